@@ -77,21 +77,23 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
         first = last
 
 
-def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """Adds `out`, the sum of `value` over the rows before this one in its group, by `order`.
+def dealt(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """df, range-sorted by group and order and written once, with `_at`, the number of the partition: a large group lies in many."""
+    return durable(df.repartitionByRange(*group, *order).withColumn("_at", F.spark_partition_id()))
 
-    The rows are range-sorted by group and order, so that a large group lies in many partitions; each partition's total by group
-    is carried to those behind it. Only the totals (partitions plus groups) meet in a window.
+
+def running(rows: DataFrame, group: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Adds to dealt() rows, for each name, the sum of its value over the rows before this one in its group, by `order`.
+
+    A window adds up within each partition's part of a group; the totals of the parts (partitions plus groups, not rows) are carried to those behind.
     """
-    cols = df.columns
-    dealt = df.repartitionByRange(*group, *order).withColumn("_at", F.spark_partition_id())
-    dealt = durable(dealt)
-    within = Window.partitionBy("_at", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = dealt.groupBy("_at", *group).agg(F.sum(value).alias("_sum"))
+    part = Window.partitionBy("_at", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*group).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(F.col("_at").alias("_at2"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    rows = dealt.withColumn("_own", F.sum(value).over(within) - F.col(value))
-    on = rows["_at"] == totals["_at2"]
-    for i, g in enumerate(group):
-        on = on & rows[g].eqNullSafe(totals[f"_g{i}"])
-    return rows.join(totals, on).select(*cols, (F.col("_own") + F.col("_before")).alias(out))
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    totals = rows.groupBy("_at", *group).agg(*[F.sum(v).alias(f"_sum_{k}") for k, v in values.items()])
+    totals = totals.select(F.col("_at").alias("_at2"), *[F.col(g).alias(f"_g_{g}") for g in group], *[so_far(f"_sum_{k}", before).alias(f"_b_{k}") for k in values])
+    out = rows.withColumns({f"_own_{k}": so_far(v, part) for k, v in values.items()})
+    on = out["_at"] == totals["_at2"]
+    for g in group:
+        on = on & out[g].eqNullSafe(totals[f"_g_{g}"])
+    return out.join(totals, on).select(*rows.columns, *[(F.col(f"_own_{k}") + F.col(f"_b_{k}")).alias(k) for k in values])

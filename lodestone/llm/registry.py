@@ -1,12 +1,20 @@
 """Queries of this subpackage and their SQL."""
 
-from lodestone.llm import decontaminate, simhash
+from lodestone.llm import chat, decontaminate, licenses, mixing, secrets, simhash, toxicity
 
 QUERIES = {
+    "op1_chat": chat.op1_chat,
+    "op5_licenses": licenses.op5_licenses,
+    "op6_mixing": mixing.op6_mixing,
+    "op7_secrets": secrets.op7_secrets,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLES = {
+    "op1_chat": chat.SQL,
+    "op5_licenses": licenses.sql(),
+    "op6_mixing": mixing.SQL,
     "op8_decontaminate": decontaminate.SQL,
 }

@@ -1,9 +1,11 @@
 """Queries of this subpackage and their SQL."""
 
-from lodestone.llm import chat, decontaminate, licenses, mixing, secrets, simhash, toxicity
+from lodestone.llm import chat, decontaminate, licenses, mixing, pii, search, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
+    "op2_pii": pii.op2_pii,
+    "op3_search": search.op3_search,
     "op5_licenses": licenses.op5_licenses,
     "op6_mixing": mixing.op6_mixing,
     "op7_secrets": secrets.op7_secrets,
@@ -14,6 +16,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_chat": chat.SQL,
+    "op3_search": search.SQL,
     "op5_licenses": licenses.sql(),
     "op6_mixing": mixing.SQL,
     "op8_decontaminate": decontaminate.SQL,

@@ -1,11 +1,12 @@
 """Queries of this subpackage and their SQL."""
 
-from lodestone.llm import chat, decontaminate, licenses, mixing, pii, search, secrets, simhash, toxicity
+from lodestone.llm import chat, decontaminate, licenses, mixing, pii, search, secrets, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op2_pii": pii.op2_pii,
     "op3_search": search.op3_search,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_licenses": licenses.op5_licenses,
     "op6_mixing": mixing.op6_mixing,
     "op7_secrets": secrets.op7_secrets,
@@ -21,3 +22,12 @@ ORACLES = {
     "op6_mixing": mixing.SQL,
     "op8_decontaminate": decontaminate.SQL,
 }
+
+
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline

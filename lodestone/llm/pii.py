@@ -6,7 +6,7 @@ consonants by script and so on), so type, script, length and layout stay; honori
 gender; country codes, top-level domains, a card's first digit and its Luhn remainder stay too. The network is a bijection: one
 entity has one surrogate wherever and however it is written (coreference), different ones have different ones (distinctness).
 
-Collision check: a surrogate that is itself an entity of the corpus is mapped on (cycle walking, still a bijection) until it is none. The
+Collision check: where a surrogate is itself an entity of the corpus, further keys are tried until it is none, nor another's surrogate. The
 few entities that this changes form a table, which is joined to the documents that hold them; all others need no join.
 """
 
@@ -40,7 +40,7 @@ MAYBE = rf"[0-9@]|{HONORIFIC}\.? \p{{Lu}}"
 COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 NAME_ALPHABETS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "çñß", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
-ROUNDS = 4
+ROUNDS, TRIES = 4, 12
 #: Rows of the exception table up to which it is broadcast.
 FEW = 10_000
 
@@ -144,22 +144,27 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def walked(docs: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(kind, norm, sur) of the entities whose first surrogate is itself an entity of the corpus, with one that isn't."""
+def moved_on(docs: DataFrame, key: str, text_col: str, tries: int = TRIES) -> DataFrame:
+    """(kind, norm, sur) of the entities whose first surrogate is itself an entity of the corpus, with another surrogate.
+
+    Try t takes another key. A surrogate is good if it is no entity, no entity's first surrogate, and no other's new one; of two that
+    meet, the smaller form keeps it. What still clashes after `tries` (a nearly full space, such as all addresses of a network) keeps its
+    first surrogate: distinct from all others, though it reads like another entity.
+    """
     found = docs.select(F.explode(entities(F.col(text_col))).alias("e")).select(kind_of(F.col("e")).alias("kind"), "e").select("kind", normal(F.col("kind"), F.col("e")).alias("norm"))
-    known = durable(found.distinct())
+    known = durable(found.distinct().withColumn("sur", surrogate(F.col("kind"), F.col("norm"), key)))
     real = known.select("kind", F.col("norm").alias("sur"))
-    open_ = durable(known.withColumn("sur", surrogate(F.col("kind"), F.col("norm"), key)).join(real, ["kind", "sur"], "left_semi").select("kind", "norm", "sur"))
-    done = None
-    while not open_.isEmpty():
-        on = durable(open_.withColumn("sur", surrogate(F.col("kind"), F.col("sur"), key)))
-        free = on.join(real, ["kind", "sur"], "left_anti").select("kind", "norm", "sur")
-        # a walk that comes back to its start has met nothing but entities: such a one keeps its form in a full space
-        stuck = on.join(real, ["kind", "sur"], "left_semi").filter("sur = norm").select("kind", "norm", "sur")
-        free = free.unionByName(stuck)
-        done = free if done is None else done.unionByName(free)
-        open_ = durable(on.join(real, ["kind", "sur"], "left_semi").filter("sur <> norm").select("kind", "norm", "sur"))
-    return (open_ if done is None else durable(done)).select("kind", "norm", "sur")
+    left = durable(known.join(real, ["kind", "sur"], "left_semi").select("kind", "norm"))
+    done = durable(left.limit(0).withColumn("sur", F.col("norm")))
+    for t in range(1, tries + 1):
+        if left.isEmpty():
+            break
+        new = left.withColumn("sur", surrogate(F.col("kind"), F.col("norm"), f"{key}|{t}"))
+        new = new.join(real, ["kind", "sur"], "left_anti").join(known.select("kind", "sur"), ["kind", "sur"], "left_anti").join(done.select("kind", "sur"), ["kind", "sur"], "left_anti")
+        new = durable(new.groupBy("kind", "sur").agg(F.min("norm").alias("norm")).select("kind", "norm", "sur"))
+        done = durable(done.unionByName(new))
+        left = durable(left.join(new, ["kind", "norm"], "left_anti").select("kind", "norm"))
+    return done
 
 
 def replace_pii(docs: DataFrame, key: str = "lodestone", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,7 +175,7 @@ def replace_pii(docs: DataFrame, key: str = "lodestone", id_col: str = "doc_id",
     one these are broadcast; beyond that the texts are joined by id and hash.
     """
     base = docs.drop(*[f"n_{k}" for k in KINDS])
-    moved = walked(base, key, text_col)
+    moved = moved_on(base, key, text_col)
     rows = base.withColumn("_e", entities(F.col(text_col)))
     marked = lambda e: let(kind_of(e), lambda k: F.struct(e.alias("e"), k.alias("kind"), normal(k, e).alias("norm")))
     rows = rows.withColumn("_m", F.transform("_e", marked))

@@ -1,0 +1,455 @@
+"""The operators against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+
+from lodestone.llm import chat, decontaminate, kernels, licenses, mixing, pii, search, secrets, simhash, suffix_dedup, toxicity
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOW = {c: c + 32 for c in range(65, 91)}
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(t):
+    return WORD.findall((t or "").translate(LOW))
+
+
+def corpus(n=120, seed=7):
+    rnd = random.Random(seed)
+    vocab = ["".join(rnd.choice("abcdeéüñ") for _ in range(rnd.randint(2, 7))) for _ in range(300)]
+    rows = []
+    for i in range(n):
+        t = " ".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 120)))
+        rows.append((i, t, "en", f"s{i % 5}" if i % 11 else None, len(t)))
+    rows += [(n, None, None, None, None), (n + 1, "", "en", "s0", 0), (n + 2, " ".join(vocab * 20), "en", "s1", 1), (n + 3, rows[3][1], "en", "s2", 1), (n + 4, rows[3][1] + " und", "en", "s2", 1), (n + 5, "  \n\t ", "en", "", 3), (n + 6, "a" * 500, "xx", "s9", 500)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Repeated and null ids, repeated rows."""
+    rows = corpus(20)
+    return spark.createDataFrame([*rows, rows[2], rows[2], (5, "another text for the same id", None, None, None), (None, rows[4][1], "en", "s0", 1), (None, None, None, None, None)], SCHEMA)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# --- 1 chat
+
+def test_chat_keeps_maximal_conversations(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (3, 2, "user", "more"), (4, 0, "user", "hi"), (4, 1, "assistant", "yo"), (4, 2, "user", "more"), (5, 0, None, None), (6, None, "user", "x"), (6, None, "user", "x"), (None, 0, "user", "hi"), (7, 0, "user", ""), (8, 0, "user", "hi"), (8, 5, "assistant", "other")]
+    got = {r["conv_id"]: (r["n_turns"], r["n_copies"], r["rendered"]) for r in chat.render(chat.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert sorted(got, key=str) == [3, 5, 6, 7, 8]
+    assert got[3][:2] == (3, 2)
+    assert got[3][2] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n<|im_start|>user\nmore<|im_end|>\n"
+    assert got[6][0] == 1 and got[5][2] == "<|im_start|>\n<|im_end|>\n"
+    assert chat.render(chat.collapse(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_chat_long_conversation(spark):
+    rows = [(1, i, "user", f"t{i}") for i in range(500)] + [(2, i, "user", f"t{i}") for i in range(499)] + [(3, i, "user", f"t{i + 1}") for i in range(499)]
+    got = {r["conv_id"]: r["n_turns"] for r in chat.render(chat.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert got == {1: 500, 3: 499}
+
+
+# --- 2 pii
+
+def test_pii_surrogates(spark):
+    rows = [(1, "Call +1 (132) 555-1352 or +1-132-555-1352; Foo.Bar@Mail3.example.com, foo.bar@mail3.example.com"), (2, "ip 10.2.3.4 card 4111 1111 1111 1111, 4111111111111111 ssn 123-45-6789"), (3, "Mrs. Ivanova, Herr Müller, г-жа Петрова, Mrs. IVANOVA"), (4, None), (5, "plain text, 2026-11-28 and v1.2.3"), (None, "10.2.3.4"), (1, "10.2.3.4")]
+    out = pii.replace_pii(spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, n_email long"))
+    assert out.columns == ["doc_id", "text", "n_email", *[f"n_{k}" for k in pii.KINDS[1:]]] or set(out.columns) == {"doc_id", "text", *[f"n_{k}" for k in pii.KINDS]}
+    got = [r["text"] for r in out.collect()]
+    phones = re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}|\+1-\d{3}-\d{3}-\d{4}", got[0])
+    assert len(phones) == 2 and len({re.sub(r"\D", "", p) for p in phones}) == 1 and "555-1352" not in got[0]
+    mails = re.findall(r"[\w.]+@[\w.]+", got[0])
+    assert mails[0].lower() == mails[1] and mails[0][0].isupper() and mails[0].endswith(".com")
+    cards = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\b\d{16}\b", got[1])
+    assert cards[0].replace(" ", "") == cards[1] != "4111111111111111"
+    d = [int(c) for c in cards[1]][::-1]
+    assert sum(sum(divmod(2 * x, 10)) if i % 2 else x for i, x in enumerate(d)) % 10 == 0
+    names = re.findall(r"(?:Mrs\.|Herr|г-жа) (\w+)", got[2])
+    assert names[0].upper() == names[3] and names[0] != "Ivanova" and names[0][-1] == "a" and re.fullmatch("[А-Я][а-я]+а", names[2])
+    assert got[3] is None and got[4] == rows[4][1]
+    assert got[5] == got[6] == re.search(r"ip (\S+)", got[1])[1]
+    again = [r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert again == got
+    other = [r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), key="k2").collect()]
+    assert other[1] != got[1]
+
+
+def test_pii_collisions_are_resolved(spark):
+    ssn = [f"{i:03d}-{i % 90 + 10}-{i * 7 % 10000:04d}" for i in range(1, 300)]
+    first = pii.replace_pii(spark.createDataFrame([(i, s) for i, s in enumerate(ssn)], "doc_id long, text string")).orderBy("doc_id").collect()
+    clash = first[5]["text"]  # now a real entity: no surrogate may equal it
+    rows = [(i, s) for i, s in enumerate([*ssn, clash])]
+    got = [r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert len(set(got)) == len(rows) and not set(got) & {*ssn, clash}
+    assert got[5] != clash and sum(a != b["text"] for a, b in zip(got, first)) == 1
+    assert pii.replace_pii(empty(spark)).count() == 0
+
+
+# --- 3 search
+
+def brute_search(rows, queries, k):
+    tf = [(i, Counter(words(t))) for i, t in rows]
+    n, mean = len(tf), sum(sum(c.values()) for _, c in tf) / len(tf)
+    df = Counter(w for _, c in tf for w in c)
+    out = {}
+    for q, t in queries:
+        s = []
+        for i, c in tf:
+            x = sum(np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in set(words(t)) if c[w])
+            if x > 0:
+                s.append((-round(x, 6), i))
+        out[q] = [(i, -x) for x, i in sorted(s)[:k]]
+    return {q: v for q, v in out.items() if v}
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 25, 3000])
+def test_search_is_exact(spark, docs, shard_bytes, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 3)
+    rows = [(r[0], r[1]) for r in corpus()]
+    qs = [(i, t) for i, t in rows if i % 10 == 0] + [(900, None), (None, "a"), (901, "zzz unseen")]
+    got = defaultdict(list)
+    for r in search.search(docs.withColumnRenamed("n_chars", "query_id"), spark.createDataFrame(qs, "query_id long, text string"), 7, shard_bytes=shard_bytes).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["doc_id"], round(r["score"], 6)))
+    want = brute_search(rows, [q for q in qs if q[0] is not None], 7)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    for q in want:
+        assert np.allclose([s for _, s in got[q]], [s for _, s in want[q]], atol=2e-6)
+
+
+def test_search_edge_cases(spark, odd):
+    q = spark.createDataFrame([(1, "another text"), (1, "same id")], "query_id long, text string")
+    assert {r["doc_id"] for r in search.search(odd, q).collect()} == {5}
+    assert search.search(empty(spark), q).count() == 0
+    assert search.search(odd, spark.createDataFrame([], "query_id long, text string")).count() == 0
+
+
+# --- 4 suffix dedup
+
+def brute_dedup(rows, length=100):
+    seen, out = set(), []
+    for i, t in rows:
+        b = (t or "").encode()
+        cov = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            s = b[p : p + length]
+            if s in seen:
+                cov[p : p + length] = b"\1" * length
+            seen.add(s)
+        kept = bytes(x for x, c in zip(b, cov) if not c)
+        out.append((i, len(b), sum(cov), sum(1 for p in range(len(b)) if cov[p] and not (p and cov[p - 1])), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def repeats():
+    rnd = random.Random(3)
+    passage = "".join(rnd.choice("abc de\x00é") for _ in range(400))
+    rows = [(i, "".join(rnd.choice("ab ") for _ in range(rnd.randint(0, 300))) + passage[rnd.randint(0, 150) : rnd.randint(200, 400)] + "".join(rnd.choice("xyz") for _ in range(90)) * rnd.randint(0, 3)) for i in range(40)]
+    return [*rows, (40, None), (41, ""), (42, "q" * 700), (43, "q" * 99), (44, "q" * 100), (45, rows[3][1]), (46, "ab" * 400)]
+
+
+@pytest.mark.parametrize("kw", [{}, {"hot": 2, "shard_strings": 20}])
+def test_suffix_dedup(spark, kw):
+    rows = repeats()
+    got = sorted(tuple(r)[:5] for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), **kw).drop("spans", "kept").collect())
+    assert got == brute_dedup(rows)
+
+
+def test_suffix_dedup_repeated_ids_and_empty(spark):
+    rows = repeats()[:10]
+    odd = [*rows, rows[2], (3, "another " * 30), (None, rows[4][1]), (None, None)]
+    got = suffix_dedup.dedup(spark.createDataFrame([(*r, 1) for r in odd], "doc_id long, text string, n_bytes long")).collect()
+    assert len(got) == len(odd)
+    null = next(r for r in got if r["doc_id"] is None and r["n_bytes"])
+    assert null["n_removed"] == null["n_bytes"]  # a copy of an earlier id
+    assert len({tuple(r) for r in got if r["doc_id"] == 2}) == 1
+    assert suffix_dedup.dedup(empty(spark)).count() == 0
+
+
+def test_repeated_rows_across_batches():
+    h = [1, 1, 2, 3, 3, 3, 4, 5, 5, 6]
+    t = pa.record_batch({"h": h, "_uid": list(range(10)), "at": [0] * 10, "settled": [False] * 6 + [True] + [False] * 3})
+    for size in (1, 2, 3, 10):
+        got = [x for b in suffix_dedup.repeated(t.slice(i, size) for i in range(0, 10, size)) for x in b.column("_uid").to_pylist()]
+        assert sorted(got) == [0, 1, 3, 4, 5, 6, 7, 8], size
+
+
+# --- 5 licenses
+
+def test_licenses(spark):
+    rows = [(1, "x CC BY cc-by y. All Rights Reserved."), (2, "This work is Licensed under the Apache License, Version 2.0."), (3, None), (4, ""), (5, "nothing here at all"), (6, "Released under the (very) MIT License!"), (6, "Released under the MIT License. " * 3), (None, "all rights reserved")]
+    got = [r.asDict() for r in licenses.scan_licenses(spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, labels string")).collect()]
+    by = {(r["doc_id"], r["n_words"]): r for r in got}
+    one = by[1, 9]
+    assert (one["n_base"], one["first_word"], one["last_word"], one["base_labels"], one["labels"], one["score"]) == (3, 1, 6, "cc-by,reserved", "cc-by,reserved", 1.0)
+    assert by[2, 10]["labels"] == "apache-2.0" and by[2, 10]["score"] > 0.5 and by[2, 10]["base_labels"] == ""
+    assert by[3, 0]["labels"] == "" and by[3, 0]["first_word"] is None and by[5, 4]["score"] == 0
+    assert by[6, 15]["labels"] == "mit" and len(by[6, 15]["spans"]) == 3
+    assert by[None, 3]["last_word"] == 0
+    assert licenses.scan_licenses(empty(spark)).count() == 0
+
+
+# --- 6 mixing
+
+def test_mixing_meets_targets(spark, docs):
+    got = mixing.mix(docs.withColumnRenamed("n_chars", "size")).collect()
+    rows = corpus()
+    size = {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows}
+    assert {r["doc_id"]: r["size"] for r in got} == size
+    by = defaultdict(list)
+    for r in got:
+        by[r["source"]].append(r)
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    total = sum(size.values())
+    goals = {s: v[0]["target"] for s, v in by.items()}
+    assert abs(sum(goals.values()) - 1.5 * total) < 1e-6
+    for s, v in by.items():
+        assert sum(r["taken"] for r in v) == int(goals[s]) and goals[s] <= 2 * v[0]["source_size"] + 1e-9
+    order = sorted((s for s in by if s is not None), key=lambda s: s.encode()) + [None]
+    level = {goals[s] / (5, 2, 1)[i % 3] for i, s in enumerate(order) if goals[s] < 2 * by[s][0]["source_size"] - 1e-9}
+    assert max(level) - min(level) < 1e-6  # those below their cap share by weight
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs).collect()), key=str)
+
+
+def test_mixing_edge_cases(spark, odd):
+    assert mixing.mix(empty(spark)).count() == 0
+    assert mixing.mix(odd).count() == odd.count()
+    one = mixing.mix(spark.createDataFrame([(1, None, None), (2, "", None)], "doc_id long, text string, source string")).collect()
+    assert [(r["size"], r["taken"], r["target"]) for r in one] == [(0, 0, 0.0)] * 2
+
+
+# --- 7 secrets
+
+def test_secrets(spark):
+    text = "é password = 'abcdefgh12' token:x secret=token=abcdefghij AKIAABCDEFGHIJKL AKIAAB " + "deadbeef" * 4 + " api-key: no"
+    far = "client_id=alice " + "x " * 400 + " password=abcdefgh1"
+    near = "client_id=alice at https://db.example.com/x password=abcdefgh1"
+    rows = [(1, text), (2, far), (3, near), (4, None), (5, ""), (6, "client_id=alice https://db.example.com"), (1, near), (1, near), (None, near)]
+    got = [r.asDict() for r in secrets.find_secrets(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_hex long")).collect()]
+    one = next(r for r in got if r["doc_id"] == 1 and r["n_access"])
+    assert (one["n_assign"], one["n_access"], one["n_hex"]) == (2, 1, 1)
+    assert one["base_sha256"] == hashlib.sha256(one["spans"].encode()).hexdigest() and one["spans"].startswith("assign:2:")
+    by = {r["doc_id"]: r["spans"] for r in got if r["doc_id"] != 1}
+    assert by[2].count(":") == 2 and "assign" in by[2] and by[4] == by[5] == by[6] == ""
+    assert [s.split(":")[0] for s in by[3].split(",")] == ["ident", "endpoint", "assign"]
+    assert by[None] == by[3] and sum(r["spans"] == by[3] for r in got if r["doc_id"] == 1) == 2 and len(got) == len(rows)
+    assert secrets.find_secrets(empty(spark)).count() == 0
+
+
+# --- 8 decontamination
+
+def brute_hits(docs, items, window=10):
+    out = []
+    wins = defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        n = min(window, len(w))
+        for p in range(len(w) - n + 1 if n else 0):
+            wins[tuple(w[p : p + n])].add(str(i))
+    sizes = {len(k) for k in wins}
+    for i, t in docs:
+        w, hit, ids = words(t), set(), set()
+        for n in sizes:
+            for p in range(len(w) - n + 1):
+                if (k := tuple(w[p : p + n])) in wins:
+                    hit |= set(range(p, p + n))
+                    ids |= wins[k]
+        out.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 23, 1500])
+def test_decontamination(spark, docs, block_bytes):
+    rows = corpus()
+    base = words(rows[7][1])
+    items = [(0, " ".join(base[:25])), (1, " ".join(base[5:18]).upper()), (2, rows[30][1]), (3, None), (4, ""), (5, " ".join(words(rows[9][1])[:3])), (6, "never seen words in here"), (5, rows[12][1]), (12, rows[40][1])]
+    bench = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, n_hit long")
+    out = decontaminate.decontaminate(docs.withColumnRenamed("n_chars", "n_words"), bench, block_bytes=block_bytes)
+    got = {tuple(r) for r in out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()}
+    want = set(brute_hits([(r[0], r[1]) for r in rows], items))
+    assert got == want
+    longest = {r["doc_id"]: r["longest"] for r in out.collect()}
+    assert longest[30] == len(words(rows[30][1])) and longest[7] >= min(25, len(base)) and "lang" in out.columns
+
+
+def test_decontamination_edge_cases(spark, odd):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert not decontaminate.decontaminate(odd, none).filter("contaminated").count()
+    bench = spark.createDataFrame([(1, "another text")], "item_id long, text string")
+    assert decontaminate.decontaminate(empty(spark), bench).count() == 0
+    assert decontaminate.decontaminate(odd, bench).filter("contaminated").count() == 1
+    assert decontaminate.decontaminate(odd, bench).count() == odd.count()
+
+
+# --- 9 toxicity
+
+def test_segments_match_all_maximal():
+    def slow(scores):  # the maximum-scoring segment first, then left and right of it
+        if not scores or max(scores) <= 0:
+            return []
+        best = max(((sum(scores[i:j]), -(j - i), i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)))
+        _, _, i, j = best
+        return [*slow(scores[:i]), round(best[0], 6), *slow(scores[j:])]
+
+    rnd = random.Random(5)
+    for _ in range(200):
+        s = [rnd.choice([-0.2, -0.2, -0.2, 0.31, 0.77]) for _ in range(rnd.randint(1, 25))]
+        at = [i for i, x in enumerate(s) if x > 0]
+        got = [round(x, 6) for _, _, x in toxicity.segments(at, [s[i] for i in at], 0.2)]
+        assert sorted(got) == sorted(slow(s))
+
+
+def test_toxicity_learns_and_calibrates(spark):
+    rnd = random.Random(1)
+    vocab = ["".join(rnd.choice("aeioulmnrst") for _ in range(rnd.randint(3, 8))) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(900):
+        w = [rnd.choice(vocab) for _ in range(rnd.randint(5, 200))]
+        bad = i % 6 == 0
+        for _ in range(3 if bad else 0):
+            w.insert(rnd.randint(0, len(w)), "grumpf" + rnd.choice(["", "en", "ity", "os"]))
+        rows.append((i, " ".join(w), 0.5))
+        labels.append((i, 1, int(bad)))
+    rows += [(9000, None, 1.0), (9001, "", 1.0), (None, "grumpf grumpfen grumpf", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    out = toxicity.toxicity(docs, spark.createDataFrame([*labels, (None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r for r in out.collect()}
+    held = [i for i in range(900) if __import__("zlib").crc32(str(i).encode()) % 5 == 0]
+    assert sum(got[i]["predicted"] == (i % 6 == 0) for i in held) / len(held) > 0.97
+    assert got[9000]["predicted"] == got[9001]["predicted"] == 0 and got[None]["predicted"] == 1 and len(got[None]["segments"]) == 1
+    assert all((r["score"] >= 0.5) == (r["predicted"] == 1) for r in got.values())
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(docs, none).count() == len(rows) and toxicity.toxicity(empty(spark), none).count() == 0
+
+
+# --- 10 SimHash
+
+def brute_simhash(rows):
+    fps = []
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
+        sh = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+        n = [0] * 64
+        for s in sh:
+            h = xxhash.xxh64_intdigest(s.encode(), 42)
+            for b in range(64):
+                n[b] += h >> b & 1
+        fps.append((i, sum(1 << b for b in range(64) if 2 * n[b] > len(sh))))
+    return fps
+
+
+def joined(fps, bits=3):
+    nodes = sorted({f for _, f in fps})
+    root = {f: f for f in nodes}
+
+    def top(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a in nodes:
+        for b in nodes:
+            if a < b and (a ^ b).bit_count() <= bits:
+                root[top(b)] = top(a)
+    low = {}
+    for i, f in fps:
+        r = top(f)
+        if i is not None:
+            low[r] = min(low.get(r, i), i)
+    return sorted(((i, f"{f:016x}", low.get(top(f))) for i, f in fps), key=str)
+
+
+def test_simhash(spark, docs, odd):
+    for df, rows in ((docs, [(r["doc_id"], r["text"]) for r in docs.collect()]), (odd, [(r["doc_id"], r["text"]) for r in odd.collect()])):
+        got = simhash.near_duplicates(df.withColumnRenamed("n_chars", "fp")).select("doc_id", "fingerprint", "component_id").collect()
+        assert sorted(map(tuple, got), key=str) == joined(brute_simhash(rows))
+    assert simhash.near_duplicates(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("most", [4096, 6])
+def test_simhash_links_and_components(spark, most):
+    rnd = random.Random(2)
+    base = [rnd.getrandbits(64) for _ in range(6)]
+    fps = {0, (1 << 64) - 1}
+    for b in base:
+        for _ in range(40):
+            b ^= sum(1 << x for x in rnd.sample(range(64), rnd.randint(1, 4)))
+            fps.add(b)
+    signed = [(int(np.uint64(f).view(np.int64)),) for f in fps]
+    e = simhash.components(simhash.links(spark.createDataFrame(signed, "fp long"), 3, most)).collect()
+    root = {int(np.int64(r["node"]).view(np.uint64)): r["root"] for r in e}
+    groups = defaultdict(set)
+    for f in fps:
+        groups[root.get(f, ("alone", f))].add(f)
+    want = defaultdict(set)
+    for i, _, c in joined([(f, f) for f in fps]):
+        want[c].add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+# --- kernels
+
+def test_words_match_the_pattern():
+    texts = ["Ab c-d é9 ÑÜ x", "", "tail", "Z", "  ", "日本 go1"]
+    data = [t.encode() for t in texts]
+    offs = np.concatenate([[0], np.cumsum([len(x) for x in data])])
+    h, first = kernels.words(np.frombuffer(b"".join(data), np.uint8), offs)
+    flat = [w for t in texts for w in words(t)]
+    assert np.diff(first).tolist() == [len(words(t)) for t in texts]
+    seen = {}
+    for w, x in zip(flat, h.tolist()):
+        assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+
+
+# --- the pipeline
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline as P
+
+    assert [n for n, _ in P.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "pii", "mixing"] and P.ORACLE_SQL is None
+    rnd = random.Random(4)
+    rows = [r for r in corpus(200) if r[1] is not None]
+    item = " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(14))
+    rows += [(300, rows[20][1] + " " + item, "en", "s1", 9), (301, "mail a.b@c.example.com now", "en", "s1", 9), (302, rows[9][1], "en", "s3", 9)]
+    rows += [(400 + i, " ".join(rnd.choice(rows)[1].split()[:20] + ["snarl"] * 2 + rnd.choice(rows)[1].split()[:20] + ["snarling"]), "en", "s1", 9) for i in range(60)]
+    d = str(tmp_path)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(r[0], 1, int(r[0] >= 400)) for r in rows if r[0] < 150 or r[0] >= 400], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for k, (name, stage) in enumerate(P.STAGES):
+        had = {r["doc_id"]: r["text"] for r in docs.collect()}
+        out = stage(spark, docs, d)
+        got = {r["doc_id"]: r for r in out.collect()}
+        if k < 4:
+            assert out.columns == docs.columns
+        if name == "toxicity":
+            assert {i for i in had if i < 400} <= set(got) and len([i for i in got if i >= 400]) <= 3
+        elif name == "simhash_near_dedup":
+            assert set(got) == {c for _, _, c in joined(brute_simhash(list(had.items())))} and 302 not in got
+        elif name == "benchmark_decontamination":
+            assert set(got) == {r[0] for r in brute_hits(list(had.items()), [(1, item)]) if not r[5]} and 300 not in got
+        elif name == "pii":
+            assert {i for i, t in had.items() if got[i]["text"] != t} == {301} and "a.b@c.example.com" not in got[301]["text"]
+        else:
+            assert set(got) <= set(had) and all(0 < r["taken"] <= 2 * r["size"] for r in got.values())
+        out.write.parquet(f"{d}/stage{k}")
+        docs = spark.read.parquet(f"{d}/stage{k}")
+    assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, P.run(spark, d).collect()))

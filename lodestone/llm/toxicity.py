@@ -30,6 +30,8 @@ TRAIN_ROWS, LEXICON = 20_000, 4096
 BEGINNINGS = (5, 6, 7)
 FOLDS = (1, 2, 3, 4)
 LOSS, LEAST_Z, LEAST_ODDS, LEAST_DOCS, PRIOR = 0.2, 3.0, 2.5, 3, 0.1
+#: Log evidence of a document without any lexicon token: below that of one token amid thousands of words.
+NO_EVIDENCE = -10.0
 BIN = 20  # histogram bins for one unit of log evidence
 
 SCORED = "score double, predicted int, segments array<struct<start:int,end:int,evidence:double>>"
@@ -115,7 +117,8 @@ def evidence(lex: tuple, rate: float, data: np.ndarray, offs: np.ndarray):
     keys, gains = lex
     found, first = tokens(data, offs)
     n = len(offs) - 1
-    value = np.array([-math.log(x + 2) for x in np.diff(first)])
+    length = [math.log(x + 2) for x in np.diff(first)]
+    value = NO_EVIDENCE - np.array(length)
     sure: list = [[] for _ in range(n)]
     if len(found[0]):
         best = gains[K.lookup(keys, found[0])]
@@ -126,7 +129,7 @@ def evidence(lex: tuple, rate: float, data: np.ndarray, offs: np.ndarray):
         edge = np.searchsorted(doc, np.arange(n + 1))
         for d in np.flatnonzero(np.diff(edge)).tolist():
             h = hit[edge[d] : edge[d + 1]]
-            ev = [(s, e, rate * x + value[d]) for s, e, x in segments((h - first[d]).tolist(), best[h].tolist(), LOSS)]
+            ev = [(s, e, rate * x - length[d]) for s, e, x in segments((h - first[d]).tolist(), best[h].tolist(), LOSS)]
             sure[d] = [x for x in ev if x[2] > 0]
             value[d] = sum(x[2] for x in sure[d]) or max(x[2] for x in ev)
     return value, sure
@@ -193,11 +196,15 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, most:
 
 
 def cut(bins: list[tuple[float, int, int]]) -> float:
-    """The log evidence from which on a document counts as toxic: fewest errors, then amid the widest gap; 0 without toxic rows."""
+    """The log evidence from which on a document counts as toxic: fewest errors, of such gaps the widest, in it the place nearest
+    to 0 (one segment expected by chance) of its middle half; 0 without toxic rows."""
     at = [b[0] for b in bins]
-    options = [(y - x, (x + y) / 2) for x, y in zip(at, at[1:], strict=False)]
+    gaps = list(zip(at, at[1:], strict=False))
     errors = lambda t: sum(n1 if v < t else n0 for v, n1, n0 in bins)
-    return min(options, key=lambda o: (errors(o[1]), -o[0]))[1] if options and sum(b[1] for b in bins) else 0.0
+    if not gaps or not sum(b[1] for b in bins):
+        return 0.0
+    x, y = min(gaps, key=lambda g: (errors((g[0] + g[1]) / 2), g[0] - g[1]))
+    return min(max(0.0, x + (y - x) / 4), y - (y - x) / 4)
 
 
 def score(docs: DataFrame, model: tuple) -> DataFrame:

@@ -178,7 +178,7 @@ def test_suffix_dedup_repeated_ids_and_empty(spark):
     assert len(got) == len(odd)
     null = next(r for r in got if r["doc_id"] is None and r["n_bytes"])
     assert null["n_removed"] == null["n_bytes"]  # a copy of an earlier id
-    assert len({tuple(r) for r in got if r["doc_id"] == 2}) == 1
+    assert len({str(r) for r in got if r["doc_id"] == 2}) == 1
     assert suffix_dedup.dedup(empty(spark)).count() == 0
 
 
@@ -198,9 +198,9 @@ def test_licenses(spark):
     by = {(r["doc_id"], r["n_words"]): r for r in got}
     one = by[1, 9]
     assert (one["n_base"], one["first_word"], one["last_word"], one["base_labels"], one["labels"], one["score"]) == (3, 1, 6, "cc-by,reserved", "cc-by,reserved", 1.0)
-    assert by[2, 10]["labels"] == "apache-2.0" and by[2, 10]["score"] > 0.5 and by[2, 10]["base_labels"] == ""
+    assert by[2, 11]["labels"] == "apache-2.0" and by[2, 11]["score"] > 0.5 and by[2, 11]["base_labels"] == ""
     assert by[3, 0]["labels"] == "" and by[3, 0]["first_word"] is None and by[5, 4]["score"] == 0
-    assert by[6, 15]["labels"] == "mit" and len(by[6, 15]["spans"]) == 3
+    assert by[6, 15]["labels"] == "mit" and len([s for s in by[6, 15]["spans"] if s["score"] == 1]) == 3
     assert by[None, 3]["last_word"] == 0
     assert licenses.scan_licenses(empty(spark)).count() == 0
 

@@ -1,8 +1,8 @@
 """All registered queries of the library's own operators."""
 
-from lodestone.plans import columns
+from lodestone.plans import columns, ranked, sessions
 
-PARTS = [columns]
+PARTS = [columns, ranked, sessions]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for part in PARTS:

@@ -93,7 +93,7 @@ def action_values(events: DataFrame, alpha: float = ALPHA) -> DataFrame:
     six = lambda x: F.floor(x * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
     step = lambda a, x: F.struct(six(a["q"] + F.lit(alpha) * (x["reward"] - a["q"])).alias("q"), six(a["s"] + x["reward"]).alias("s"))
     folded = ordered.withColumn("f", F.aggregate("xs", start, step))
-    return folded.select("scope", "state_key", "action", F.size("xs").cast("long").alias("visits"), F.col("f.q").alias("q_value"), F.col("f.s").alias("reward_sum"), F.round(F.col("f.s") / F.size("xs"), 6).alias("reward_avg"))
+    return folded.select("scope", "state_key", "action", F.size("xs").cast("long").alias("visits"), F.col("f.q").alias("q_value"), F.col("f.s").alias("reward_sum"), six(F.col("f.s") / F.size("xs")).alias("reward_avg"))
 
 
 def best_actions(values: DataFrame) -> DataFrame:

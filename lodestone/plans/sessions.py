@@ -39,7 +39,7 @@ FOLD = f"""{D.EVENTS}, o AS (SELECT scope, state_key, action, list(reward ORDER
 v AS (SELECT scope, state_key, action, len(xs)::BIGINT AS visits, list_reduce(list_concat([0.0::DOUBLE], xs), lambda q, r: floor((q + 0.25::DOUBLE * (r - q)) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE) AS q_value, list_reduce(list_concat([0.0::DOUBLE], xs), lambda s, r: floor((s + r) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE) AS reward_sum FROM o)"""
 
 
-@query("win15_action_values", f"WITH {FOLD} SELECT *, round(reward_sum / visits, 6) AS reward_avg FROM v")
+@query("win15_action_values", f"WITH {FOLD} SELECT *, floor(reward_sum / visits * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS reward_avg FROM v")
 def win15(spark, d):
     return W.action_values(V.turn_events(spark, d))
 

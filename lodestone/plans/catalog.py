@@ -1,8 +1,8 @@
 """All registered queries of the library's own operators."""
 
-from lodestone.plans import columns, judged, ranked, sessions
+from lodestone.plans import columns, evals, judged, ranked, sessions
 
-PARTS = [columns, ranked, sessions, judged]
+PARTS = [columns, ranked, sessions, judged, evals]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for part in PARTS:

@@ -1,8 +1,8 @@
 """All registered queries of the library's own operators."""
 
-from lodestone.plans import columns, edges, evals, judged, ranked, sessions
+from lodestone.plans import columns, edges, evals, extras, judged, ranked, sessions
 
-PARTS = [columns, ranked, sessions, judged, evals, edges]
+PARTS = [columns, ranked, sessions, judged, evals, edges, extras]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for part in PARTS:

@@ -165,15 +165,15 @@ def str06(spark, d):
     return J.backfill(t, scored, "subject", ["s_ebio"]).select("triple_id", "s_ebio")
 
 
-@query("str07_sessions", f"WITH {D.EVENTS}, g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM turn_events WINDOW w AS (PARTITION BY scope ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY scope ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT scope, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_s, count(*) AS n, round(avg(reward), 6) AS mean_reward FROM s GROUP BY scope, k")
+@query("str07_sessions", f"WITH {D.EVENTS}, g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM turn_events WINDOW w AS (PARTITION BY scope ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY scope ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT scope, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_s, count(*) AS n, round(avg(reward) + 1e-9::DOUBLE, 6) AS mean_reward FROM s GROUP BY scope, k")
 def str07(spark, d):
     s = J.session_activity(V.turn_events(spark, d), "12 hours")
-    return s.select("scope", F.unix_timestamp("start").alias("start_s"), (F.unix_timestamp("end") - 12 * 3600).alias("last_s"), "n", "mean_reward")
+    return s.select("scope", F.unix_timestamp("start").alias("start_s"), (F.unix_timestamp("end") - 12 * 3600).alias("last_s"), "n", F.round(F.col("mean_reward") + F.lit(1e-9), 6).alias("mean_reward"))
 
 
-@query("str07_daily_means", f"WITH {D.EVENTS} SELECT epoch(date_trunc('day', ts))::BIGINT AS day_s, state_key, count(*) AS n, round(avg(reward), 6) AS mean_reward FROM turn_events GROUP BY ALL")
+@query("str07_daily_means", f"WITH {D.EVENTS} SELECT epoch(date_trunc('day', ts))::BIGINT AS day_s, state_key, count(*) AS n, round(avg(reward) + 1e-9::DOUBLE, 6) AS mean_reward FROM turn_events GROUP BY ALL")
 def str07b(spark, d):
-    return J.windowed_means(V.turn_events(spark, d)).select(F.unix_timestamp("start").alias("day_s"), "state_key", "n", "mean_reward")
+    return J.windowed_means(V.turn_events(spark, d)).select(F.unix_timestamp("start").alias("day_s"), "state_key", "n", F.round(F.col("mean_reward") + F.lit(1e-9), 6).alias("mean_reward"))
 
 
 @query("str04_ranked_terms", f"WITH {D.EVENTS}, g AS (SELECT scope, action AS term, round(1 + sum(greatest(0.0::DOUBLE, u)), 6) AS alpha, round(1 + sum(greatest(0.0::DOUBLE, -u)), 6) AS beta FROM (SELECT *, reward - 0.25::DOUBLE AS u FROM turn_events WHERE reward IS NOT NULL) GROUP BY ALL HAVING count(*) >= 2) SELECT * FROM (SELECT scope, row_number() OVER (PARTITION BY scope ORDER BY round(alpha / (alpha + beta), 6) DESC, term) AS rank, term, round(alpha / (alpha + beta), 6) AS value FROM g) WHERE rank <= 5")

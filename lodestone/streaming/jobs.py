@@ -110,7 +110,7 @@ def backfill(rows: DataFrame, scored: DataFrame, key: str, columns: list[str]) -
 def session_activity(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """(scope, start, end, n, mean_reward) of activity sessions; works on streams (with a watermark) and tables."""
     e = events.withWatermark("ts", late) if events.isStreaming else events
-    g = e.groupBy("scope", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("reward"), 6).alias("mean_reward"))
+    g = e.groupBy("scope", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.avg("reward").alias("mean_reward"))
     return g.select("scope", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "mean_reward")
 
 
@@ -118,4 +118,4 @@ def windowed_means(events: DataFrame, length: str = "1 day", slide: str | None =
     """(start, state_key, n, mean_reward) in tumbling or sliding windows."""
     e = events.withWatermark("ts", late) if events.isStreaming else events
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
-    return e.groupBy(w.alias("w"), "state_key").agg(F.count("*").alias("n"), F.round(F.avg("reward"), 6).alias("mean_reward")).select(F.col("w.start").alias("start"), "state_key", "n", "mean_reward")
+    return e.groupBy(w.alias("w"), "state_key").agg(F.count("*").alias("n"), F.avg("reward").alias("mean_reward")).select(F.col("w.start").alias("start"), "state_key", "n", "mean_reward")

@@ -6,7 +6,8 @@ two neighbours is one more than the least between them before (the multi-documen
 the whole corpus would be a pass over all of it for each of 100 symbols, so the rounds run on what can hold a repeat, in shards:
 
 1. Every window of 100 bytes names an anchor: the leftmost least hash of its 69 substrings of 32 bytes. Equal windows name equal anchors at
-   the same place in them. About one byte in 35 is an anchor; one shuffle by anchor hash leaves those that occur twice.
+   the same place in them. About one byte in 35 is an anchor; one shuffle by anchor hash leaves those that occur twice. Where all that an
+   anchor's windows cover is equal too (by a second 64-bit hash), all but the earliest are settled there.
 2. The bytes that an anchor's windows cover are cut from the texts, laid with the anchor in the same column, and dealt to shards by
    anchor hash. All copies of a window lie in one shard, so shards need no merge. Each shard runs the rounds; neighbours with common
    prefixes of 100 and more are equal windows, and all but the earliest count as removed.
@@ -85,7 +86,7 @@ def unpacked(x):
 
 
 def anchor_rows(batches):
-    """(h, _uid, at, settled): anchors; settled ones have an equal, earlier stretch in the same slice and a random h."""
+    """(h, cover, _uid, at, settled): anchors; settled ones have an equal, earlier stretch in the same slice and a random h."""
     for b in batches:
         uid = b.column("_uid").to_numpy()
         for row, data, offs in slices(b, "text"):
@@ -98,13 +99,27 @@ def anchor_rows(batches):
             settled = np.zeros(len(h), bool)
             settled[1:] = (h[1:] == h[:-1]) & (cover[1:] == cover[:-1]) & ((at[1:] & 0xFFFF) == (at[:-1] & 0xFFFF))
             h = np.where(settled, K.mixed(u.astype(np.uint64) * np.uint64(K.R) + at.astype(np.uint64)), h)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(u), pa.array(at), pa.array(settled)], names=["h", "_uid", "at", "settled"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(cover.view(np.int64)), pa.array(u), pa.array(at), pa.array(settled)], names=["h", "cover", "_uid", "at", "settled"])
 
 
 def repeated(batches):
-    """Of rows sorted by h, those whose h occurs again, and the settled ones."""
-    last = None
+    """Of rows sorted by (h, cover, _uid, at): all but the first of each (h, cover) as settled, the first if its h has other covers
+    too, and the rows settled before."""
+    names = ["h", "_uid", "at", "settled"]
+    last, before = None, (None, None)
     for b in batches:
+        if not b.num_rows:
+            continue
+        h, cover = b.column("h").to_numpy(), b.column("cover").to_numpy()
+        copy = np.zeros(len(h), bool)
+        copy[1:] = (h[1:] == h[:-1]) & (cover[1:] == cover[:-1])
+        copy[0] = before == (h[0], cover[0])
+        before = (h[-1], cover[-1])
+        b = b.select(names)
+        if copy.any():
+            done = b.filter(pa.array(copy))
+            yield pa.RecordBatch.from_arrays([*done.columns[:3], pa.array(np.ones(done.num_rows, bool))], names=names)
+            b = b.filter(pa.array(~copy))
         if last is not None:
             b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
         h, settled = b.column("h").to_numpy(), b.column("settled").to_numpy(zero_copy_only=False)
@@ -121,10 +136,8 @@ def repeated(batches):
         keep[-1] = False
         yield b.filter(pa.array(keep))
         last = b.slice(len(h) - 2, 2) if h[-1] == h[-2] else b.slice(len(h) - 1, 1)
-    if last is not None:
-        h, settled = last.column("h").to_numpy(), last.column("settled").to_numpy(zero_copy_only=False)
-        if last.num_rows == 2 or settled[-1]:
-            yield last.slice(last.num_rows - 1, 1)
+    if last is not None and (last.num_rows == 2 or last.column("settled")[-1].as_py()):
+        yield last.slice(last.num_rows - 1, 1)
 
 
 def stretches(batches):
@@ -245,7 +258,7 @@ def kept_text(names: list[str], emit: bool):
 
 def repeated_spans(docs: DataFrame, shard_strings: int = SHARD_STRINGS, hot: int = HOT) -> DataFrame:
     """(_uid, start, end) of docs (_uid, text; a _uid once): byte spans that are covered by windows with an earlier copy."""
-    dealt_ = docs.mapInArrow(anchor_rows, "h long, _uid long, at long, settled boolean").repartition("h").sortWithinPartitions("h")
+    dealt_ = docs.mapInArrow(anchor_rows, "h long, cover long, _uid long, at long, settled boolean").repartition("h").sortWithinPartitions("h", "cover", "_uid", "at")
     found = durable(dealt_.mapInArrow(repeated, "h long, _uid long, at long, settled boolean"))
     place = F.shiftright("at", 16)
     done = found.filter("settled").select("_uid", (place - F.shiftright("at", 8).bitwiseAND(255)).alias("start"), (place - F.col("at").bitwiseAND(255) + LENGTH).alias("end"))

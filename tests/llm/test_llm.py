@@ -183,11 +183,12 @@ def test_suffix_dedup_repeated_ids_and_empty(spark):
 
 
 def test_repeated_rows_across_batches():
-    h = [1, 1, 2, 3, 3, 3, 4, 5, 5, 6]
-    t = pa.record_batch({"h": h, "_uid": list(range(10)), "at": [0] * 10, "settled": [False] * 6 + [True] + [False] * 3})
-    for size in (1, 2, 3, 10):
-        got = [x for b in suffix_dedup.repeated(t.slice(i, size) for i in range(0, 10, size)) for x in b.column("_uid").to_pylist()]
-        assert sorted(got) == [0, 1, 3, 4, 5, 6, 7, 8], size
+    h = [1, 1, 2, 3, 3, 3, 4, 5, 5, 6, 7, 7, 7]
+    cover = [1, 2, 1, 1, 2, 3, 1, 1, 2, 1, 8, 8, 9]
+    t = pa.record_batch({"h": h, "cover": cover, "_uid": list(range(13)), "at": [0] * 13, "settled": [False] * 6 + [True] + [False] * 6})
+    for size in (1, 2, 3, 13):
+        got = sorted((x, s) for b in suffix_dedup.repeated(t.slice(i, size) for i in range(0, 13, size)) for x, s in zip(b.column("_uid").to_pylist(), b.column("settled").to_pylist()))
+        assert got == [(0, False), (1, False), (3, False), (4, False), (5, False), (6, True), (7, False), (8, False), (10, False), (11, True), (12, False)], size
 
 
 # --- 5 licenses

@@ -184,6 +184,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def run_block(docs: DataFrame, rows: list, window: int, blocks: bool) -> DataFrame:
     tests = Tests([r["item_id"] for r in rows], [r["text"] for r in rows], window)
+    K._POWERS.clear()  # else it goes out with every task
     schema = StructType(docs.schema.fields + StructType.fromDDL(SCHEMA).fields)
     return docs.mapInArrow(scan(tests, blocks), schema)
 

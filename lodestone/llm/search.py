@@ -20,7 +20,7 @@ from lodestone.llm.common import durable, ships, slices, table
 ships(__name__)
 
 TOP, K1, B = 10, 1.2, 0.75
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 14 << 20
 BLOCK_DOCS, BLOCK_QUERIES = 64, 256
 DIGITS = 6
 QUERY_STEP = 50
@@ -138,8 +138,9 @@ def searcher(n_docs: int, mean: float, k: int):
         shard = None
         for b in batches:
             for row in range(b.num_rows):
-                r = {c: b.column(c)[row].as_py() for c in b.schema.names}
-                if r["seq"] < 0:
+                r = {c: b.column(c)[row].as_buffer() for c in b.schema.names if c not in ("shard", "seq")}  # no copies
+                if b.column("seq")[row].as_py() < 0:
+                    shard = None  # before the next one is built
                     shard = Shard(r, n_docs, mean)
                     continue
                 at = np.frombuffer(r["starts"], np.int64)
@@ -175,7 +176,7 @@ def pack_queries(batches):
 def term_rows(batches):
     for b in batches:
         for row in range(b.num_rows):
-            terms, starts = (np.frombuffer(b.column(c)[row].as_py(), t) for c, t in (("terms", np.int64), ("starts", np.int64)))
+            terms, starts = (np.frombuffer(b.column(c)[row].as_buffer(), t) for c, t in (("terms", np.int64), ("starts", np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(np.diff(starts))], names=["term", "n"])
 
 

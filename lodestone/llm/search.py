@@ -2,10 +2,10 @@
 
 A shard is a run of documents that one task indexes: sorted term hashes, postings (document, frequency), lengths. Document frequencies
 and lengths are added up over all shards, so every shard scores with the global statistics. Queries come in blocks; the blocks go to every
-shard and are read one after another behind its index, so that a task holds one index and one batch of blocks. In a shard a query's
-terms are split as in WAND: rare terms give a threshold (the k-th best partial score); the terms whose upper bounds together stay
-below it can't lift a document into the top k by themselves, so their postings are looked at only for documents that the
-partial score and the block maxima of the other terms let pass the threshold.
+shard and are read one after another behind its index, so that a task holds one index and one batch of blocks. In a shard the scores of
+the most frequent terms are one matrix product for a block of queries. A query's other terms are split as in WAND: rare ones give a
+threshold (the k-th best partial score); terms whose upper bounds together stay below it can't lift a document into the top k by
+themselves, so their postings are looked at only for documents that the partial score and the block maxima let pass the threshold.
 """
 
 import numpy as np
@@ -20,8 +20,10 @@ from lodestone.llm.common import durable, ships, slices, table
 ships(__name__)
 
 TOP, K1, B = 10, 1.2, 0.75
-SHARD_BYTES = 14 << 20
+SHARD_BYTES = 32 << 20
 BLOCK_DOCS, BLOCK_QUERIES = 64, 256
+#: Terms in one of DENSE documents of a shard and more are frequent, MOST_DENSE of them at most.
+DENSE, MOST_DENSE = 16, 512
 DIGITS = 6
 QUERY_STEP = 50
 
@@ -83,13 +85,29 @@ class Shard:
         self.most = np.maximum.reduceat(self.impact, self.starts[:-1]) if len(self.terms) else np.empty(0)
         # block maxima: of each term, over its postings in each block of documents
         block = self.docs // BLOCK_DOCS
-        term = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
+        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.starts))
         new = np.ones(len(block), bool)
         new[1:] = (block[1:] != block[:-1]) | (term[1:] != term[:-1])
         at = np.flatnonzero(new)
         self.block, self.block_most = block[at], np.maximum.reduceat(self.impact, at) if len(at) else np.empty(0)
         self.block_starts = np.searchsorted(at, self.starts)
         self.n_blocks = -(-self.n // BLOCK_DOCS)
+        # the most frequent terms as rows of a matrix, for all queries of a block at once
+        size = np.diff(self.starts)
+        often = np.flatnonzero(size * DENSE >= self.n)
+        often = often[np.argsort(-size[often], kind="stable")][:MOST_DENSE]
+        self.row = np.full(len(self.terms), -1)
+        self.row[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), self.n))
+        pos, which = K.spread(self.starts[often], self.starts[often + 1])
+        self.matrix[which, self.docs[pos]] = self.impact[pos]
+
+    def frequent(self, query: np.ndarray, terms: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+        """Scores of the frequent terms alone, for n queries at once; query: the query's number for each term."""
+        m = self.row[terms] >= 0
+        weights = np.zeros((n, len(self.matrix)))
+        weights[query[m], self.row[terms[m]]] = idf[m]
+        return weights @ self.matrix
 
     def add(self, acc, terms, idf, only=None):
         """Adds the terms' scores to acc; only: a mask of the documents that count."""
@@ -100,29 +118,28 @@ class Shard:
             pos, which, doc = pos[keep], which[keep], doc[keep]
         acc += np.bincount(doc, self.impact[pos] * idf[which], len(acc))
 
-    def top(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and rounded scores of the best k, ties by id. terms: places in the shard's list."""
-        acc = np.zeros(self.n)
-        bound = idf * self.most[terms]
-        size = self.starts[terms + 1] - self.starts[terms]
-        order = np.argsort(-idf, kind="stable")
-        rare = order[: max(1, int(np.searchsorted(np.cumsum(size[order]), self.n)))]
-        self.add(acc, terms[rare], idf[rare])
-        least = np.partition(acc, -k)[-k] if self.n > k else 0.0
-        rest = np.setdiff1d(np.arange(len(terms)), rare)
-        rest = rest[np.argsort(bound[rest])]
-        weak = int(np.searchsorted(np.cumsum(bound[rest]), least, "left"))  # together below the threshold
-        strong = rest[weak:]
-        if len(strong):
-            self.add(acc, terms[strong], idf[strong])
+    def top(self, acc: np.ndarray, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and rounded scores of the best k, ties by id. acc: the frequent terms' scores; terms: places of the others."""
+        if len(terms):
+            bound = idf * self.most[terms]
+            size = self.starts[terms + 1] - self.starts[terms]
+            order = np.argsort(-idf, kind="stable")
+            n_rare = max(1, int(np.searchsorted(np.cumsum(size[order]), self.n // 4)))
+            rare, rest = order[:n_rare], order[n_rare:]
+            self.add(acc, terms[rare], idf[rare])
             least = np.partition(acc, -k)[-k] if self.n > k else 0.0
-        rest = rest[:weak]
-        if len(rest):
-            pos, which = K.spread(self.block_starts[terms[rest]], self.block_starts[terms[rest] + 1])
-            more = np.bincount(self.block[pos], self.block_most[pos] * idf[rest][which], self.n_blocks)
-            only = acc + np.repeat(more, BLOCK_DOCS)[: self.n] >= least - 1e-9
-            self.add(acc, terms[rest], idf[rest], only)
-            acc[~only] = 0
+            rest = rest[np.argsort(bound[rest], kind="stable")]
+            weak = int(np.searchsorted(np.cumsum(bound[rest]), least, "left"))  # together below the threshold
+            strong, rest = rest[weak:], rest[:weak]
+            if len(strong):
+                self.add(acc, terms[strong], idf[strong])
+                least = np.partition(acc, -k)[-k] if self.n > k else 0.0
+            if len(rest):
+                pos, which = K.spread(self.block_starts[terms[rest]], self.block_starts[terms[rest] + 1])
+                more = np.bincount(self.block[pos], self.block_most[pos] * idf[rest][which], self.n_blocks)
+                only = acc + np.repeat(more, BLOCK_DOCS)[: self.n] >= least - 1e-9
+                self.add(acc, terms[rest], idf[rest], only)
+                acc[~only] = 0
         found = np.flatnonzero(acc > 0)
         if len(found) > k:
             found = found[acc[found] >= np.partition(acc[found], -k)[-k] - 10.0**-DIGITS]
@@ -144,16 +161,22 @@ def searcher(n_docs: int, mean: float, k: int):
                     shard = Shard(r, n_docs, mean)
                     continue
                 at = np.frombuffer(r["starts"], np.int64)
-                df = np.frombuffer(r["tfs"], np.int64)
+                df = np.frombuffer(r["tfs"], np.int32)
                 idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
                 place = K.lookup(shard.terms, np.frombuffer(r["terms"], np.uint64))
+                ids = np.frombuffer(r["ids"], np.int64)
+                has = np.flatnonzero(place > 0)
+                term, weight = place[has] - 1, idf[has]
+                query = np.searchsorted(at, has, "right") - 1
+                scores = shard.frequent(query, term, weight, len(ids))
+                few = shard.row[term] < 0
+                query, term, weight = query[few], term[few], weight[few]
+                edge = np.searchsorted(query, np.arange(len(ids) + 1))
                 out = []
-                for i, q in enumerate(np.frombuffer(r["ids"], np.int64).tolist()):
-                    s = slice(at[i], at[i + 1])
-                    has = place[s] > 0
-                    if has.any():
-                        found, score = shard.top(place[s][has] - 1, idf[s][has], k)
-                        out.append((np.full(len(found), q), shard.ids[found], shard.nulls[found], score))
+                for i, q in enumerate(ids.tolist()):
+                    s = slice(edge[i], edge[i + 1])
+                    found, score = shard.top(scores[i], term[s], weight[s], k)
+                    out.append((np.full(len(found), q), shard.ids[found], shard.nulls[found], score))
                 if out:
                     q, ids, nulls, score = (np.concatenate(x) for x in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids, mask=nulls), pa.array(score)], names=["query_id", "doc_id", "score"])
@@ -169,7 +192,7 @@ def pack_queries(batches):
             starts = np.cumsum([0] + [len(x["t"]) for x in q])
             terms = np.array([t["term"] for x in q for t in x["t"]], np.int64)
             df = np.array([t["df"] for x in q for t in x["t"]], np.int64)
-            cols = [terms.view(np.uint64), starts.astype(np.int64), np.empty(0, np.int32), df, np.array([x["id"] for x in q], np.int64), np.empty(0, bool), np.empty(0, np.int64)]
+            cols = [terms.view(np.uint64), starts.astype(np.int64), np.empty(0, np.int32), df.astype(np.int32), np.array([x["id"] for x in q], np.int64), np.empty(0, bool), np.empty(0, np.int64)]
             yield pa.RecordBatch.from_arrays([b.column("seq").slice(row, 1), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names=["seq", *(x.split()[0] for x in INDEX.split(", ")[3:])])
 
 

@@ -177,6 +177,7 @@ def searcher(n_docs: int, mean: float, k: int):
                     s = slice(edge[i], edge[i + 1])
                     found, score = shard.top(scores[i], term[s], weight[s], k)
                     out.append((np.full(len(found), q), shard.ids[found], shard.nulls[found], score))
+                scores = None
                 if out:
                     q, ids, nulls, score = (np.concatenate(x) for x in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids, mask=nulls), pa.array(score)], names=["query_id", "doc_id", "score"])
@@ -234,7 +235,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc
     shards = [r[0] for r in index.select("shard").collect()]  # a number for each shard_bytes of text
     dealt = packed.withColumn("shard", F.explode(F.array(*map(F.lit, shards)) if shards else F.array().cast("array<long>"))).select("shard", "seq", *cols)
     rows = index.select("shard", F.lit(-1).cast("long").alias("seq"), *cols).unionByName(dealt)
-    found = rows.repartition(max(1, len(shards)), "shard").sortWithinPartitions("shard", "seq").mapInArrow(searcher(n_docs, mean, k), "query_id long, doc_id long, score double")
+    found = rows.repartitionByRange(max(1, len(shards)), "shard").sortWithinPartitions("shard", "seq").mapInArrow(searcher(n_docs, mean, k), "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("doc_id")))
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 

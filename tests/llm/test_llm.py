@@ -52,17 +52,20 @@ def empty(spark):
 
 def test_chat_keeps_maximal_conversations(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (3, 2, "user", "more"), (4, 0, "user", "hi"), (4, 1, "assistant", "yo"), (4, 2, "user", "more"), (5, 0, None, None), (6, None, "user", "x"), (6, None, "user", "x"), (None, 0, "user", "hi"), (7, 0, "user", ""), (8, 0, "user", "hi"), (8, 5, "assistant", "other")]
-    got = {r["conv_id"]: (r["n_turns"], r["n_copies"], r["rendered"]) for r in chat.render(chat.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    df = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, place int")
+    got = {r["conv_id"]: (r["n_turns"], r["n_copies"], r["rendered"]) for r in chat.render(df, chat.collapse(df)).collect()}
     assert sorted(got, key=str) == [3, 5, 6, 7, 8]
     assert got[3][:2] == (3, 2)
     assert got[3][2] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n<|im_start|>user\nmore<|im_end|>\n"
     assert got[6][0] == 1 and got[5][2] == "<|im_start|>\n<|im_end|>\n"
-    assert chat.render(chat.collapse(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+    none = df.limit(0)
+    assert chat.render(none, chat.collapse(none)).count() == 0
 
 
 def test_chat_long_conversation(spark):
     rows = [(1, i, "user", f"t{i}") for i in range(500)] + [(2, i, "user", f"t{i}") for i in range(499)] + [(3, i, "user", f"t{i + 1}") for i in range(499)]
-    got = {r["conv_id"]: r["n_turns"] for r in chat.render(chat.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r["n_turns"] for r in chat.render(df, chat.collapse(df)).collect()}
     assert got == {1: 500, 3: 499}
 
 

@@ -43,8 +43,9 @@ def parts_of(text: str) -> list[tuple[int, int, int]]:
     taken = [(a, b) for _, a, b in found]
     if any(c in text for c in "=:"):
         found += [(3, m.start(), m.end()) for m in IDENT.finditer(text)]
-        if "://" in text:
-            found += [(5, m.start(), m.end()) for m in ENDPOINT.finditer(text)]
+    if "://" in text:
+        found += [(5, m.start(), m.end()) for m in ENDPOINT.finditer(text)]
+    if any(k in (1, 3, 5) for k, _, _ in found):  # a token without a complement in its text is never reported
         weak = [(4, m.start(), m.end()) for m in TOKEN.finditer(text)]
         found += [x for x in weak if not any(a < x[2] and x[1] < b for a, b in taken)]
     return sorted(found, key=lambda x: (x[1], x[0], x[2]))

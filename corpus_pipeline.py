@@ -18,20 +18,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by SimHash (a group of null ids alone keeps its smallest text hash)."""
+    """One row of each group linked by SimHash: the one with the smallest id (null ids last) and, where texts share it, the smallest text hash.
+
+    Groups are told apart by their smallest fingerprint, as one id can stand for texts of several groups: each of them keeps a row.
+    """
     keyed = docs.withColumn("_h", text_hash())
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    heads = groups.groupBy("component_id").agg(F.min("fp").alias("fp")).filter("component_id IS NOT NULL").select(F.col("component_id").alias("_id"))
-    kept = keyed.join(heads, keyed["doc_id"] == heads["_id"], "left_semi")
-    if keyed.filter("doc_id IS NULL").isEmpty() and keyed.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept.select(*docs.columns)
-    # repeated or null ids: one row of each head id, and one of each group without an id
-    fp = simhash.fingerprints(docs.select("doc_id", "text").withColumn("_h", text_hash()))
-    bare = fp.filter("doc_id IS NULL").join(groups.filter("component_id IS NULL").select(F.col("fp").alias("_fp")).distinct(), F.col("fp") == F.col("_fp")).groupBy("fp").agg(F.min("_h").alias("_h2")).select("_h2")
-    alone = keyed.filter("doc_id IS NULL").join(bare, F.col("_h") == F.col("_h2"), "left_semi").dropDuplicates(["_h"])
-    first = kept.groupBy("doc_id").agg(F.min("_h").alias("_h2")).withColumnRenamed("doc_id", "_id")
-    kept = kept.join(first, (kept["doc_id"] == first["_id"]) & (kept["_h"] == first["_h2"]), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(alone).select(*docs.columns)
+    rows = simhash.near_duplicates(keyed.select("doc_id", "text", "_h"), keep=("_h",)).groupBy("root", "doc_id", "_h").count()
+    heads = durable(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "_h", "count")).alias("h")).select(F.col("h.doc_id").alias("_id"), F.col("h._h").alias("_h2"), F.col("h.count").alias("_n")))
+    kept = keyed.join(heads, keyed["doc_id"].eqNullSafe(heads["_id"]) & (keyed["_h"] == heads["_h2"]), "left_semi")
+    if not heads.filter("_n > 1").isEmpty():  # a head's row repeats
+        kept = kept.dropDuplicates(["doc_id", "_h"])
+    return kept.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,19 +182,20 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
-    """One row for each row of docs: id_col, fp (long), fingerprint (16 hex digits), component_id (smallest id reachable).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE, most: int = MOST, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs: id_col, fp (long), fingerprint (16 hex digits), component_id (smallest id reachable), root (the
+    component's smallest fp; one id can stand in several components), and the columns in keep.
 
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows and ids each keep a row; a null id is passed over
     by the minimum, so a component of null ids alone has a null component_id. An empty table gives no rows.
     """
-    fp = durable(fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", shingle))
+    fp = durable(fingerprints(docs.select(F.col(id_col).alias("_id"), *keep, F.col(text_col).alias("_text")), "_text", shingle))
     nodes = fp.groupBy("fp").agg(F.min("_id").alias("low"))
     roots = components(links(nodes.select("fp"), bits, most)).withColumnRenamed("node", "fp")
     of = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     low = of.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = of.select("fp", "root").join(low, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return fp.join(of, fp["fp"] == of["_fp"]).select(F.col("_id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = of.select("fp", "root").join(low, "root").select(F.col("fp").alias("_fp"), "component_id", "root")
+    return fp.join(of, fp["fp"] == of["_fp"]).select(F.col("_id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", *keep)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -465,3 +465,30 @@ def test_pipeline_stages(spark, tmp_path):
         out.write.parquet(f"{d}/stage{k}")
         docs = spark.read.parquet(f"{d}/stage{k}")
     assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, P.run(spark, d).collect()))
+
+
+def test_pipeline_keeps_a_row_of_each_group(spark):
+    import corpus_pipeline as P
+
+    texts = [r[1] for r in corpus(20) if r[1] and len(r[1].split()) > 30]
+    a, b, c, d, e = texts[:5]
+    rnd = random.Random(9)
+    vocab = [f"w{i}" for i in range(400)]
+
+    def pair():
+        """Two texts whose fingerprints differ but link."""
+        while True:
+            w = [rnd.choice(vocab) for _ in range(300)]
+            x, y = " ".join(w), " ".join([*w, "tail"])
+            if 0 < (simhash.fingerprint(x) ^ simhash.fingerprint(y)).bit_count() <= 3:
+                return x, y
+
+    p, q = pair()
+    for first, second in ((a, b), (b, a)):
+        # id 5 stands for two texts that aren't near each other; the second one's group has a smaller head, 2
+        rows = [(5, first), (5, second), (2, second), (7, first), (9, c), (9, d), (9, d), (None, e), (None, e), (None, p), (None, q), (11, c)]
+        df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], SCHEMA)
+        got = [(r["doc_id"], r["text"]) for r in P.drop_near_duplicates(spark, df, "").collect()]
+        bare = [t for i, t in got if i is None]
+        assert sorted(x for x in got if x[0] is not None) == sorted([(5, first), (2, second), (9, c), (9, d)])
+        assert len(bare) == 2 and e in bare and set(bare) <= {e, p, q}

@@ -54,12 +54,16 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, most: int = 10_000) -> DataFrame:
-    """(query_id, rank, doc, score) by cosine, exact: a stated query set of at most `most` vectors is sent to all rows."""
-    if queries.count() > most:
-        raise ValueError(f"more than {most} query vectors: pass them in blocks")
-    pairs = vectors.join(F.broadcast(queries))  # checked above
-    scored = pairs.select("query_id", "doc", F.round(cosine(F.col("vector"), F.col("query_vector")), 6).alias("score"))
-    return top(scored, "query_id", [F.desc("score"), "doc"], k)
+    """(query_id, rank, doc, score) by cosine, exact: the queries are sent to all rows in blocks of about `most` vectors, split by a hash of their id."""
+    blocks = max(1, -(-queries.count() // most))
+    out = None
+    for i in range(blocks):
+        block = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        pairs = vectors.join(F.broadcast(block))  # a block of a bounded size
+        scored = pairs.select("query_id", "doc", F.round(cosine(F.col("vector"), F.col("query_vector")), 6).alias("score"))
+        hits = top(scored, "query_id", [F.desc("score"), "doc"], k)
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 def with_fallback(text_hits: DataFrame, vector_hits: DataFrame, queries: DataFrame, k: int, least_hits: int = 3, least_score: float = 0.0) -> DataFrame:

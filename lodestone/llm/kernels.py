@@ -16,6 +16,9 @@ WORD[0x41:0x5B] = np.arange(0x61, 0x7B)
 WORD[0x61:0x7B] = np.arange(0x61, 0x7B)
 WORD[0x80:] = np.arange(0x80, 0x100)
 
+#: Bytes whose prefix sums are held at once: a very long text takes little more memory than a short one.
+PIECE = 4 << 20
+
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -44,20 +47,36 @@ def prefixes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all lower-cased words, and the index of each document's first word (with an end)."""
-    low = WORD[data]
+def word_places(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all words of lower-cased data; words end with their document."""
     is_word = low != 0
     starts, ends = is_word.copy(), is_word.copy()
     starts[1:] &= ~is_word[:-1]
     ends[:-1] &= ~is_word[1:]
     edge = offs[1:-1]
-    edge = edge[(edge > 0) & (edge < len(data))]
+    edge = edge[(edge > 0) & (edge < len(low))]
     starts[edge] = is_word[edge]
     ends[edge - 1] = is_word[edge - 1]
-    s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    p = prefixes(low)
-    h = mixed((p[e] - p[s]) * powers(R_INV, len(data) + 1)[s] + (e - s).astype(np.uint64))
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def pieces(low: np.ndarray, s: np.ndarray, e: np.ndarray):
+    """Runs of whole words over about PIECE bytes each: (first word, end word, first byte, end byte)."""
+    i = 0
+    while i < len(s):
+        j = max(i + 1, int(np.searchsorted(e, s[i] + PIECE, "right")))
+        yield i, j, int(s[i]), int(e[j - 1])
+        i = j
+
+
+def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all lower-cased words, and the index of each document's first word (with an end)."""
+    low = WORD[data]
+    s, e = word_places(low, offs)
+    h = np.empty(len(s), np.uint64)
+    for i, j, a, b in pieces(low, s, e):
+        p, at, to = prefixes(low[a:b]), s[i:j] - a, e[i:j] - a
+        h[i:j] = mixed((p[to] - p[at]) * powers(R_INV, b - a + 1)[at] + (to - at).astype(np.uint64))
     return h, np.searchsorted(s, offs)
 
 

@@ -1,13 +1,17 @@
 """Exact top-k BM25 search: one inverted index for each shard of the documents, block-max WAND pruning, an exact merge.
 
 A shard is a run of documents that one task indexes: sorted term hashes, postings (document, frequency), lengths. Document frequencies
-and lengths are added up over all shards, so every shard scores with the global statistics. Queries come in blocks; the blocks go to every
-shard and are read one after another behind its index, so that a task holds one index and one batch of blocks. In a shard the scores of
-the most frequent terms are one matrix product for a block of queries. A query's other terms are split as in WAND: rare ones give a
-threshold (the k-th best partial score); terms whose upper bounds together stay below it can't lift a document into the top k by
-themselves, so their postings are looked at only for documents that the partial score and the block maxima let pass the threshold.
+and lengths are added up over all shards, so every shard scores with the global statistics. Within a shard documents stand in the order of
+their most widespread term (their language, by and large) and length, so that blocks of neighbours have tight maxima.
+
+Queries go to all tasks in batches of bounded size, one batch after another. A task reads its shards one by one and keeps each query's
+best k and their least score, the threshold, from shard to shard. For a query the maxima of its terms in each block of documents are added up: blocks
+whose sum stays below the threshold are skipped whole, the others are scored from the highest sum down, as far as the rising threshold
+lets them. The pivot test of WAND is thus made for all blocks at once, which suits numpy better than a cursor for each term.
 """
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,19 +19,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm import kernels as K
-from lodestone.llm.common import durable, ships, slices, table
+from lodestone.llm.common import durable, shared_dir, ships, slices, table
 
 ships(__name__)
 
 TOP, K1, B = 10, 1.2, 0.75
-SHARD_BYTES = 32 << 20
-BLOCK_DOCS, BLOCK_QUERIES = 64, 256
-#: Terms in one of DENSE documents of a shard and more are frequent, MOST_DENSE of them at most.
-DENSE, MOST_DENSE = 16, 512
+SHARD_BYTES = 16 << 20
+#: Shards that a task takes one after another, and packed bytes of queries that go to all tasks at once.
+TASK_SHARDS, BATCH_BYTES = 4, 4 << 20
+#: Documents in a block; blocks that are scored first, for a threshold.
+BLOCK_DOCS, FIRST_BLOCKS = 16, 8
 DIGITS = 6
 QUERY_STEP = 50
 
 INDEX = "shard long, n_docs long, n_words long, terms binary, starts binary, docs binary, tfs binary, ids binary, nulls binary, lens binary"
+FOUND = "query_id long, doc_id long, score double"
 
 
 def postings(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,19 +58,27 @@ def index_shards(id_col: str, shard_bytes: int):
 
         def close():
             h, doc, tf, lens, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(h, kind="stable")
-            h, doc, tf = h[order], doc[order], tf[order]
-            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-            null = np.array([x is None for x in ids])
-            number = np.array([0 if x is None else x for x in ids], np.int64)
-            cols = [h[at], np.concatenate([at, [len(h)]]).astype(np.int64), doc.astype(np.int32), tf.astype(np.int32), number, null, lens.astype(np.int64)]
+            terms, number, df = np.unique(h, return_inverse=True, return_counts=True)
+            rank = np.empty(len(df), np.int32)
+            rank[np.argsort(-df, kind="stable")] = np.arange(len(df), dtype=np.int32)
+            widest = np.full(len(lens), len(df), np.int32)
+            np.minimum.at(widest, doc, rank[number])
+            by = np.lexsort((lens, widest))
+            place = np.empty(len(lens), np.int32)
+            place[by] = np.arange(len(lens), dtype=np.int32)
+            doc = place[doc]
+            order = np.lexsort((doc, number))
+            lens, ids = lens[by], ids[by]
+            null = np.array([x is None for x in ids], bool)
+            plain = np.array([0 if x is None else x for x in ids], np.int64)
+            cols = [terms, np.concatenate([[0], np.cumsum(df)]).astype(np.int64), doc[order], tf[order], plain, null, lens.astype(np.int64)]
             return pa.RecordBatch.from_arrays([pa.array([task * (1 << 20) + made]), pa.array([len(lens)]), pa.array([int(lens.sum())]), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names=[x.split()[0] for x in INDEX.split(", ")])
 
         for b in batches:
             ids = np.array(b.column(id_col).to_pylist(), object)
             for row, data, offs in slices(b, "text"):
                 h, doc, tf, lens = postings(data, offs)
-                held.append((h, doc + n, tf, lens, ids[row : row + len(lens)]))
+                held.append((h, (doc + n).astype(np.int32), tf.astype(np.int32), lens, ids[row : row + len(lens)]))
                 n, size = n + len(lens), size + len(data)
                 if size >= shard_bytes:
                     yield close()
@@ -76,125 +90,101 @@ def index_shards(id_col: str, shard_bytes: int):
 
 
 class Shard:
-    def __init__(self, row: dict, n_docs: int, mean: float):
+    """One index row: postings with their impacts, and for each term the blocks that hold it (entries), with the largest impact there."""
+
+    def __init__(self, row: dict, mean: float):
         get = lambda c, kind: np.frombuffer(row[c], kind)
-        self.terms, self.starts, self.docs = get("terms", np.uint64), get("starts", np.int64), get("docs", np.int32)
-        tf, self.ids, self.nulls, lens = get("tfs", np.int32).astype(float), get("ids", np.int64), get("nulls", bool), get("lens", np.int64)
-        self.n, self.total = len(lens), n_docs
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[self.docs] / mean))
-        self.most = np.maximum.reduceat(self.impact, self.starts[:-1]) if len(self.terms) else np.empty(0)
-        # block maxima: of each term, over its postings in each block of documents
+        self.terms, starts, self.docs = get("terms", np.uint64), get("starts", np.int64), get("docs", np.int32)
+        tf, self.ids, self.nulls, lens = get("tfs", np.int32), get("ids", np.int64), get("nulls", bool), get("lens", np.int64)
+        self.n, self.n_blocks = len(lens), -(-len(lens) // BLOCK_DOCS)
+        norm = K1 * (1 - B + B * lens / mean)
+        self.impact = tf * (K1 + 1) / (tf + norm[self.docs])
         block = self.docs // BLOCK_DOCS
-        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.starts))
         new = np.ones(len(block), bool)
-        new[1:] = (block[1:] != block[:-1]) | (term[1:] != term[:-1])
+        new[1:] = block[1:] != block[:-1]
+        new[starts[:-1]] = True
         at = np.flatnonzero(new)
-        self.block, self.block_most = block[at], np.maximum.reduceat(self.impact, at) if len(at) else np.empty(0)
-        self.block_starts = np.searchsorted(at, self.starts)
-        self.n_blocks = -(-self.n // BLOCK_DOCS)
-        # the most frequent terms as rows of a matrix, for all queries of a block at once
-        size = np.diff(self.starts)
-        often = np.flatnonzero(size * DENSE >= self.n)
-        often = often[np.argsort(-size[often], kind="stable")][:MOST_DENSE]
-        self.row = np.full(len(self.terms), -1)
-        self.row[often] = np.arange(len(often))
-        self.matrix = np.zeros((len(often), self.n))
-        pos, which = K.spread(self.starts[often], self.starts[often + 1])
-        self.matrix[which, self.docs[pos]] = self.impact[pos]
-
-    def frequent(self, query: np.ndarray, terms: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
-        """Scores of the frequent terms alone, for n queries at once; query: the query's number for each term."""
-        m = self.row[terms] >= 0
-        weights = np.zeros((n, len(self.matrix)))
-        weights[query[m], self.row[terms[m]]] = idf[m]
-        return weights @ self.matrix
-
-    def add(self, acc, terms, idf, only=None):
-        """Adds the terms' scores to acc; only: a mask of the documents that count."""
-        pos, which = K.spread(self.starts[terms], self.starts[terms + 1])
-        doc = self.docs[pos]
-        if only is not None:
-            keep = only[doc]
-            pos, which, doc = pos[keep], which[keep], doc[keep]
-        acc += np.bincount(doc, self.impact[pos] * idf[which], len(acc))
-
-    def top(self, acc: np.ndarray, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and rounded scores of the best k, ties by id. acc: the frequent terms' scores; terms: places of the others."""
-        if len(terms):
-            bound = idf * self.most[terms]
-            size = self.starts[terms + 1] - self.starts[terms]
-            order = np.argsort(-idf, kind="stable")
-            n_rare = max(1, int(np.searchsorted(np.cumsum(size[order]), self.n // 4)))
-            rare, rest = order[:n_rare], order[n_rare:]
-            self.add(acc, terms[rare], idf[rare])
-            least = np.partition(acc, -k)[-k] if self.n > k else 0.0
-            rest = rest[np.argsort(bound[rest], kind="stable")]
-            weak = int(np.searchsorted(np.cumsum(bound[rest]), least, "left"))  # together below the threshold
-            strong, rest = rest[weak:], rest[:weak]
-            if len(strong):
-                self.add(acc, terms[strong], idf[strong])
-                least = np.partition(acc, -k)[-k] if self.n > k else 0.0
-            if len(rest):
-                pos, which = K.spread(self.block_starts[terms[rest]], self.block_starts[terms[rest] + 1])
-                more = np.bincount(self.block[pos], self.block_most[pos] * idf[rest][which], self.n_blocks)
-                only = acc + np.repeat(more, BLOCK_DOCS)[: self.n] >= least - 1e-9
-                self.add(acc, terms[rest], idf[rest], only)
-                acc[~only] = 0
-        found = np.flatnonzero(acc > 0)
+        self.block, self.most = block[at], np.maximum.reduceat(self.impact, at) if len(at) else np.empty(0)
+        self.at = np.concatenate([at, [len(block)]])
+        self.entries = np.searchsorted(at, starts)
+
+    def top(self, terms: np.ndarray, idf: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and rounded scores of all documents that can be among the best k, given that k score `least` or more already."""
+        e, which = K.spread(self.entries[terms], self.entries[terms + 1])
+        block, weight = self.block[e], idf[which]
+        bound = np.bincount(block, self.most[e] * weight, self.n_blocks)
+        margin = 10.0**-DIGITS  # ranks go by rounded scores
+        open_ = (bound > 0) & (bound >= least - margin)
+        score = np.zeros(self.n)
+
+        def add(blocks):
+            m = blocks[block]
+            own = e[m]
+            pos, of = K.spread(self.at[own], self.at[own + 1])
+            return score + np.bincount(self.docs[pos], self.impact[pos] * weight[m][of], self.n)
+
+        if np.count_nonzero(open_) > FIRST_BLOCKS:
+            first = np.zeros(self.n_blocks, bool)
+            first[np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS]] = True
+            score = add(first)
+            if self.n > k:
+                least = max(least, np.partition(score, -k)[-k])
+            open_ &= ~first & (bound >= least - margin)
+        if open_.any():
+            score = add(open_)
+        found = np.flatnonzero((score > 0) & (score >= least - margin))
         if len(found) > k:
-            found = found[acc[found] >= np.partition(acc[found], -k)[-k] - 10.0**-DIGITS]
-        score = np.round(acc[found], DIGITS)
-        order = np.lexsort((self.ids[found], ~self.nulls[found], -score))[:k]
-        return found[order], score[order]
+            found = found[score[found] >= np.partition(score[found], -k)[-k] - margin]
+        return found, np.round(score[found], DIGITS)
 
 
-def searcher(n_docs: int, mean: float, k: int):
-    """A mapInArrow function over each shard's index row with the rows of query blocks behind it."""
+class Queries:
+    """A batch of queries: ids, and the terms and weights of query i at starts[i] to starts[i + 1]."""
 
-    def run(batches):
-        shard = None
-        for b in batches:
+    def __init__(self, rows: list, n_docs: int):
+        self.ids = np.array([r["query_id"] for r in rows], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum([len(r["terms"]) // 8 for r in rows])]).astype(np.int64)
+        self.terms = np.frombuffer(b"".join(r["terms"] for r in rows), np.uint64)
+        df = np.frombuffer(b"".join(r["dfs"] for r in rows), np.int64)
+        self.idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+
+
+def searcher(batch, mean: float, k: int):
+    """A mapInArrow function over index rows: the best k documents of the task's shards for each query of the broadcast batch."""
+
+    def run(rows):
+        q = batch.value
+        best: list = [(np.empty(0), np.empty(0, bool), np.empty(0, np.int64))] * len(q.ids)  # scores, is-not-null, ids; in order
+        for b in rows:
             for row in range(b.num_rows):
-                r = {c: b.column(c)[row].as_buffer() for c in b.schema.names if c not in ("shard", "seq")}  # no copies
-                if b.column("seq")[row].as_py() < 0:
-                    shard = None  # before the next one is built
-                    shard = Shard(r, n_docs, mean)
-                    continue
-                at = np.frombuffer(r["starts"], np.int64)
-                df = np.frombuffer(r["tfs"], np.int32)
-                idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-                place = K.lookup(shard.terms, np.frombuffer(r["terms"], np.uint64))
-                ids = np.frombuffer(r["ids"], np.int64)
+                shard = Shard({c: b.column(c)[row].as_buffer() for c in b.schema.names if c not in ("shard", "n_docs", "n_words")}, mean)
+                place = K.lookup(shard.terms, q.terms)
                 has = np.flatnonzero(place > 0)
-                term, weight = place[has] - 1, idf[has]
-                query = np.searchsorted(at, has, "right") - 1
-                scores = shard.frequent(query, term, weight, len(ids))
-                few = shard.row[term] < 0
-                query, term, weight = query[few], term[few], weight[few]
-                edge = np.searchsorted(query, np.arange(len(ids) + 1))
-                out = []
-                for i, q in enumerate(ids.tolist()):
-                    s = slice(edge[i], edge[i + 1])
-                    found, score = shard.top(scores[i], term[s], weight[s], k)
-                    out.append((np.full(len(found), q), shard.ids[found], shard.nulls[found], score))
-                scores = None
-                if out:
-                    q, ids, nulls, score = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids, mask=nulls), pa.array(score)], names=["query_id", "doc_id", "score"])
+                term, weight, edge = place[has] - 1, q.idf[has], np.searchsorted(has, q.starts)
+                for i in np.flatnonzero(np.diff(edge)).tolist():
+                    s, (score, named, ids) = slice(edge[i], edge[i + 1]), best[i]
+                    found, new = shard.top(term[s], weight[s], score[-1] if len(score) == k else 0.0, k)
+                    if len(found):
+                        score, named, ids = np.concatenate([score, new]), np.concatenate([named, ~shard.nulls[found]]), np.concatenate([ids, shard.ids[found]])
+                        order = np.lexsort((ids, named, -score))[:k]
+                        best[i] = score[order], named[order], ids[order]
+                shard = None  # before the next one is built
+        n = [len(x[0]) for x in best]
+        if sum(n):
+            score, named, ids = (np.concatenate(x) for x in zip(*best, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q.ids, n)), pa.array(ids, mask=~named), pa.array(score)], names=["query_id", "doc_id", "score"])
 
     return run
 
 
-def pack_queries(batches):
-    """Rows (block, ids, sizes, terms, dfs) as one binary row each."""
+def packed_queries(batches):
+    """(query_id, t: terms with their document frequencies) with the terms and frequencies as binary."""
     for b in batches:
-        for row in range(b.num_rows):
-            q = b.column("q")[row].as_py()
-            starts = np.cumsum([0] + [len(x["t"]) for x in q])
-            terms = np.array([t["term"] for x in q for t in x["t"]], np.int64)
-            df = np.array([t["df"] for x in q for t in x["t"]], np.int64)
-            cols = [terms.view(np.uint64), starts.astype(np.int64), np.empty(0, np.int32), df.astype(np.int32), np.array([x["id"] for x in q], np.int64), np.empty(0, bool), np.empty(0, np.int64)]
-            yield pa.RecordBatch.from_arrays([b.column("seq").slice(row, 1), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names=["seq", *(x.split()[0] for x in INDEX.split(", ")[3:])])
+        t = b.column("t")
+        offs, flat = t.offsets.to_numpy(), t.values
+        term, df = (flat.field(c).to_numpy() for c in ("term", "df"))
+        each = [(term[i:j].tobytes(), df[i:j].tobytes()) for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("query_id"), *(pa.array(x, pa.binary()) for x in zip(*each, strict=True))] if each else [b.column("query_id"), pa.array([], pa.binary()), pa.array([], pa.binary())], names=["query_id", "terms", "dfs"])
 
 
 def term_rows(batches):
@@ -212,32 +202,33 @@ def query_terms(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids[row + doc]), pa.array(h.view(np.int64))], names=["query_id", "term"])
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc_id", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc_id", shard_bytes: int = SHARD_BYTES, batch_bytes: int = BATCH_BYTES, task_shards: int = TASK_SHARDS) -> DataFrame:
     """(query_id, rank, doc_id, score): the best k documents of each query (query_id, text) by BM25 over distinct query terms.
 
     Scores are rounded to 6 places; ties go to the smaller id, null ids first. Documents without a query term aren't returned; null and empty
     texts have no terms. Rows that repeat a document id are documents of their own; texts that share a query id are one query;
-    null query ids are left out. Other columns are dropped. Ids are whole numbers.
+    null query ids are left out. Other columns are dropped. Ids are whole numbers. A batch of queries takes about `batch_bytes` of
+    the driver and of each task (or one query, if that is larger); each is one pass over the index, whose results are written before the next.
     """
     spark = docs.sparkSession
     index = durable(docs.select(F.col(id_col).cast("long").alias("_id"), "text").mapInArrow(index_shards("_id", shard_bytes), INDEX))
-    total = index.agg(F.sum("n_docs").alias("n"), F.sum("n_words").alias("w")).first()
+    total = index.agg(F.count("*").alias("shards"), F.sum("n_docs").alias("n"), F.sum("n_words").alias("w")).first()
     n_docs, mean = total["n"] or 0, max(1e-9, (total["w"] or 0) / max(1, total["n"] or 0))
-    asked = queries.filter("query_id IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), "text").mapInArrow(query_terms, "query_id long, term long").distinct()
-    asked = durable(asked)
+    asked = durable(queries.filter("query_id IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), "text").mapInArrow(query_terms, "query_id long, term long").distinct())
     df = index.select("terms", "starts").mapInArrow(term_rows, "term long, n long").join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
-    n_queries = asked.select("query_id").distinct().count()
-    blocks = max(1, -(-n_queries // BLOCK_QUERIES))
     each = asked.join(df, "term").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "df"))).alias("t"))
-    packed = each.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("seq")).agg(F.collect_list(F.struct(F.col("query_id").alias("id"), "t")).alias("q"))
-    cols = [x.split()[0] for x in INDEX.split(", ")[3:]]
-    packed = durable(packed.mapInArrow(pack_queries, "seq long, " + ", ".join(f"{c} binary" for c in cols)))
-    shards = [r[0] for r in index.select("shard").collect()]  # a number for each shard_bytes of text
-    dealt = packed.withColumn("shard", F.explode(F.array(*map(F.lit, shards)) if shards else F.array().cast("array<long>"))).select("shard", "seq", *cols)
-    rows = index.select("shard", F.lit(-1).cast("long").alias("seq"), *cols).unionByName(dealt)
-    found = rows.repartitionByRange(max(1, len(shards)), "shard").sortWithinPartitions("shard", "seq").mapInArrow(searcher(n_docs, mean, k), "query_id long, doc_id long, score double")
+    each = durable(each.mapInArrow(packed_queries, "query_id long, terms binary, dfs binary"))
+    size = each.agg(F.sum(F.length("terms") + F.length("dfs") + 64)).first()[0] or 0
+    n_batches = -(-2 * size // batch_bytes) if size > batch_bytes else 1
+    root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("doc_id")))
-    return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    for n in range(n_batches):
+        rows = each.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_batches)) == n).collect()  # about batch_bytes
+        batch = spark.sparkContext.broadcast(Queries(rows, n_docs))
+        found = index.coalesce(max(1, -(-total["shards"] // task_shards))).mapInArrow(searcher(batch, mean, k), FOUND)
+        found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score").write.parquet(f"{root}/{n}")
+        batch.destroy()
+    return spark.read.schema("query_id long, rank long, doc_id long, score double").option("recursiveFileLookup", "true").parquet(root)
 
 
 def op3_search(spark, sf_dir: str) -> DataFrame:

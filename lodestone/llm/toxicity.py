@@ -40,21 +40,14 @@ SCORED = "score double, predicted int, segments array<struct<start:int,end:int,e
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashes of each word and of its beginnings (0 where it is too short); each document's first word."""
     low = K.WORD[data]
-    is_word = low != 0
-    starts, ends = is_word.copy(), is_word.copy()
-    starts[1:] &= ~is_word[:-1]
-    ends[:-1] &= ~is_word[1:]
-    edge = offs[1:-1]
-    edge = edge[(edge > 0) & (edge < len(data))]
-    starts[edge] = is_word[edge]
-    ends[edge - 1] = is_word[edge - 1]
-    s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    p, inv = K.prefixes(low), K.powers(K.R_INV, len(data) + 1)[s]
-    out = [K.mixed((p[e] - p[s]) * inv + (e - s).astype(np.uint64))]
-    for k in BEGINNINGS:
-        f = K.mixed((p[np.minimum(e, s + k)] - p[s]) * inv + np.uint64(1000 + k))
-        f[e - s < k] = 0
-        out.append(f)
+    s, e = K.word_places(low, offs)
+    out = [np.zeros(len(s), np.uint64) for _ in range(1 + len(BEGINNINGS))]
+    for i, j, a, b in K.pieces(low, s, e):
+        p, at, to = K.prefixes(low[a:b]), s[i:j] - a, e[i:j] - a
+        inv = K.powers(K.R_INV, b - a + 1)[at]
+        out[0][i:j] = K.mixed((p[to] - p[at]) * inv + (to - at).astype(np.uint64))
+        for f, k in zip(out[1:], BEGINNINGS, strict=True):
+            f[i:j] = np.where(to - at < k, np.uint64(0), K.mixed((p[np.minimum(to, at + k)] - p[at]) * inv + np.uint64(1000 + k)))
     return out, np.searchsorted(s, offs)
 
 

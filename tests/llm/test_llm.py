@@ -122,13 +122,12 @@ def brute_search(rows, queries, k):
     return {q: v for q, v in out.items() if v}
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 25, 3000])
-def test_search_is_exact(spark, docs, shard_bytes, monkeypatch):
-    monkeypatch.setattr(search, "BLOCK_QUERIES", 3)
+@pytest.mark.parametrize("kw", [{}, {"shard_bytes": 3000, "batch_bytes": 4000, "task_shards": 3}])
+def test_search_is_exact(spark, docs, kw):
     rows = [(r[0], r[1]) for r in corpus()]
     qs = [(i, t) for i, t in rows if i % 10 == 0] + [(900, None), (None, "a"), (901, "zzz unseen")]
     got = defaultdict(list)
-    for r in search.search(docs.withColumnRenamed("n_chars", "query_id"), spark.createDataFrame(qs, "query_id long, text string"), 7, shard_bytes=shard_bytes).orderBy("query_id", "rank").collect():
+    for r in search.search(docs.withColumnRenamed("n_chars", "query_id"), spark.createDataFrame(qs, "query_id long, text string"), 7, **kw).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["doc_id"], round(r["score"], 6)))
     want = brute_search(rows, [q for q in qs if q[0] is not None], 7)
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
@@ -143,6 +142,32 @@ def test_search_edge_cases(spark, odd):
     assert search.search(odd, spark.createDataFrame([], "query_id long, text string")).count() == 0
 
 
+def test_search_keeps_ties_behind_the_rounding(spark):
+    """Scores that differ by less than the rounding are ties, which the smaller id wins, in whatever shard it stands."""
+    rnd = random.Random(6)
+    words_ = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        w = [rnd.choice(words_) for _ in range(12)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(rnd.sample(w, len(w))))]  # equal but for the order of the sums
+    rnd.shuffle(rows)
+    qs = [(i, t) for i, t in rows if i % 50 == 0]
+    got = defaultdict(list)
+    for r in search.search(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(qs, "query_id long, text string"), 5, shard_bytes=5000, task_shards=2).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["doc_id"])
+    assert got == {q: [i for i, _ in v] for q, v in brute_search(rows, qs, 5).items()}
+
+
+def test_search_long_text(spark):
+    text = " ".join(f"t{i % 5000}" for i in range(400_000))
+    rows = [(1, text), (2, "t7 t8 rare"), (3, "t7")]
+    qs = [(1, "rare t7"), (2, text)]
+    got = defaultdict(list)
+    for r in search.search(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(qs, "query_id long, text string")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["doc_id"])
+    assert got == {q: [i for i, _ in v] for q, v in brute_search(rows, qs, 10).items()}
+
+
 # --- 4 suffix dedup
 
 def brute_dedup(rows, length=100):
@@ -430,6 +455,18 @@ def test_words_match_the_pattern():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rnd = random.Random(11)
+    texts = [" ".join("".join(rnd.choice("abÉ9-") for _ in range(rnd.randint(0, 30))) for _ in range(300)), "x" * 700 + " y", "tail"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    h, first = kernels.words(data, offs)
+    for most in (1, 50, 1000):
+        monkeypatch.setattr(kernels, "PIECE", most)
+        h2, first2 = kernels.words(data, offs)
+        assert (h == h2).all() and (first == first2).all()
+
+
 # --- the pipeline
 
 def test_pipeline_stages(spark, tmp_path):

@@ -92,5 +92,5 @@ def lookup(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
 def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All integers of the ranges [lo, hi), and which range each is of."""
     n = np.maximum(hi - lo, 0)
-    which = np.repeat(np.arange(len(lo)), n)
-    return np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which], which
+    which = np.repeat(np.arange(len(lo), dtype=np.int32), n)
+    return np.arange(len(which)) + (lo - (np.cumsum(n) - n))[which], which

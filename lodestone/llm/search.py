@@ -5,9 +5,9 @@ and lengths are added up over all shards, so every shard scores with the global
 their most widespread term (their language, by and large) and length, so that blocks of neighbours have tight maxima.
 
 Queries go to all tasks in batches of bounded size, one batch after another. A task reads its shards one by one and keeps each query's
-best k and their least score, the threshold, from shard to shard. For a query the maxima of its terms in each block of documents are added up: blocks
-whose sum stays below the threshold are skipped whole, the others are scored from the highest sum down, as far as the rising threshold
-lets them. The pivot test of WAND is thus made for all blocks at once, which suits numpy better than a cursor for each term.
+best k and their least score, the threshold, from shard to shard. For a query the maxima of its terms, frequent ones too, in each block of
+documents are added up; blocks whose sum stays below the threshold are skipped, and the threshold rises from one span of blocks to the next.
+The pivot test of WAND is thus made for a block at a time and for many queries at once, which suits numpy better than a cursor for each term.
 """
 
 import uuid
@@ -24,11 +24,13 @@ from lodestone.llm.common import durable, shared_dir, ships, slices, table
 ships(__name__)
 
 TOP, K1, B = 10, 1.2, 0.75
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Shards that a task takes one after another, and packed bytes of queries that go to all tasks at once.
-TASK_SHARDS, BATCH_BYTES = 4, 4 << 20
-#: Documents in a block; blocks that are scored first, for a threshold.
-BLOCK_DOCS, FIRST_BLOCKS = 16, 8
+TASK_SHARDS, BATCH_BYTES = 4, 16 << 20
+#: Documents in a block, blocks in a span, queries that are taken at once.
+BLOCK_DOCS, SPAN_BLOCKS, GROUP_QUERIES = 16, 16, 64
+#: Terms in one of DENSE documents (for bounds: blocks) of a shard and more are laid out as matrix rows.
+DENSE = 16
 DIGITS = 6
 QUERY_STEP = 50
 
@@ -90,52 +92,83 @@ def index_shards(id_col: str, shard_bytes: int):
 
 
 class Shard:
-    """One index row: postings with their impacts, and for each term the blocks that hold it (entries), with the largest impact there."""
+    """One index row, for a batch of queries: postings with what they add to a score (idf times impact), and block maxima of that."""
 
-    def __init__(self, row: dict, mean: float):
+    def __init__(self, row: dict, queries: "Queries", mean: float):
         get = lambda c, kind: np.frombuffer(row[c], kind)
-        self.terms, starts, self.docs = get("terms", np.uint64), get("starts", np.int64), get("docs", np.int32)
+        terms, self.starts, self.docs = get("terms", np.uint64), get("starts", np.int64), get("docs", np.int32)
         tf, self.ids, self.nulls, lens = get("tfs", np.int32), get("ids", np.int64), get("nulls", bool), get("lens", np.int64)
         self.n, self.n_blocks = len(lens), -(-len(lens) // BLOCK_DOCS)
+        place = K.lookup(terms, queries.terms)
+        has = np.flatnonzero(place)
+        self.asked, self.edge = (place[has] - 1).astype(np.int32), np.searchsorted(has, queries.starts)  # query i's terms: asked[edge[i] : edge[i + 1]]
+        idf = np.zeros(len(terms))
+        idf[self.asked] = queries.idf[has]
         norm = K1 * (1 - B + B * lens / mean)
-        self.impact = tf * (K1 + 1) / (tf + norm[self.docs])
+        self.value = np.repeat(idf, np.diff(self.starts)) * (tf * (K1 + 1) / (tf + norm[self.docs]))
         block = self.docs // BLOCK_DOCS
         new = np.ones(len(block), bool)
         new[1:] = block[1:] != block[:-1]
-        new[starts[:-1]] = True
+        new[self.starts[:-1]] = True
         at = np.flatnonzero(new)
-        self.block, self.most = block[at], np.maximum.reduceat(self.impact, at) if len(at) else np.empty(0)
-        self.at = np.concatenate([at, [len(block)]])
-        self.entries = np.searchsorted(at, starts)
-
-    def top(self, terms: np.ndarray, idf: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and rounded scores of all documents that can be among the best k, given that k score `least` or more already."""
-        e, which = K.spread(self.entries[terms], self.entries[terms + 1])
-        block, weight = self.block[e], idf[which]
-        bound = np.bincount(block, self.most[e] * weight, self.n_blocks)
+        self.block, self.most = block[at], np.maximum.reduceat(self.value, at) if len(at) else np.empty(0)
+        self.entries = np.searchsorted(at, self.starts)
+        # what many documents or blocks hold is laid out as rows of a matrix, for many queries at once
+        self.dense, self.values = self.matrix((np.diff(self.starts) * DENSE >= self.n) & (idf > 0), self.starts, self.docs, self.value, self.n)
+        self.wide, self.maxima = self.matrix((np.diff(self.entries) * DENSE >= self.n_blocks) & (idf > 0), self.entries, self.block, self.most, self.n_blocks)
+
+    @staticmethod
+    def matrix(often: np.ndarray, starts: np.ndarray, column: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each term (-1: none), and the rows."""
+        row = np.full(len(often), -1, np.int32)
+        terms = np.flatnonzero(often)
+        row[terms] = np.arange(len(terms))
+        pos, which = K.spread(starts[terms], starts[terms + 1])
+        out = np.zeros((len(terms), n))
+        out[which, column[pos]] = value[pos]
+        return row, out
+
+    def sums(self, lo: int, hi: int, row: np.ndarray, starts: np.ndarray, column: np.ndarray, value: np.ndarray, n_rows: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For the queries lo to hi: which rows of a matrix they hold (1 or 0), and the sums over their other terms by column."""
+        terms = self.asked[self.edge[lo] : self.edge[hi]]
+        query = np.repeat(np.arange(hi - lo), np.diff(self.edge[lo : hi + 1]))
+        r = row[terms]
+        holds = np.zeros((hi - lo, n_rows))
+        holds[query[r >= 0], r[r >= 0]] = 1
+        t, query = terms[r < 0], query[r < 0]
+        pos, which = K.spread(starts[t], starts[t + 1])
+        return holds, np.bincount(query[which] * n + column[pos], value[pos], (hi - lo) * n).reshape(hi - lo, n)
+
+    def search(self, lo: int, hi: int, best: list, k: int) -> None:
+        """Brings the best k of the queries lo to hi up to date with this shard's documents.
+
+        A span of blocks after the other: queries for which no block's bound reaches their threshold pass over it.
+        """
         margin = 10.0**-DIGITS  # ranks go by rounded scores
-        open_ = (bound > 0) & (bound >= least - margin)
-        score = np.zeros(self.n)
-
-        def add(blocks):
-            m = blocks[block]
-            own = e[m]
-            pos, of = K.spread(self.at[own], self.at[own + 1])
-            return score + np.bincount(self.docs[pos], self.impact[pos] * weight[m][of], self.n)
-
-        if np.count_nonzero(open_) > FIRST_BLOCKS:
-            first = np.zeros(self.n_blocks, bool)
-            first[np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS]] = True
-            score = add(first)
-            if self.n > k:
-                least = max(least, np.partition(score, -k)[-k])
-            open_ &= ~first & (bound >= least - margin)
-        if open_.any():
-            score = add(open_)
-        found = np.flatnonzero((score > 0) & (score >= least - margin))
-        if len(found) > k:
-            found = found[score[found] >= np.partition(score[found], -k)[-k] - margin]
-        return found, np.round(score[found], DIGITS)
+        holds, rest = self.sums(lo, hi, self.wide, self.entries, self.block, self.most, len(self.maxima), self.n_blocks)
+        bound = holds @ self.maxima + rest + margin / 4
+        holds, rest = self.sums(lo, hi, self.dense, self.starts, self.docs, self.value, len(self.values), self.n)
+        least = np.array([x[0][-1] if len(x[0]) == k else 0.0 for x in best[lo:hi]])
+        for a in range(0, self.n_blocks, SPAN_BLOCKS):
+            open_ = (bound[:, a : a + SPAN_BLOCKS] >= least[:, None] - margin) & (bound[:, a : a + SPAN_BLOCKS] > margin)
+            own = np.flatnonzero(open_.any(axis=1))
+            if not len(own):
+                continue
+            docs = slice(a * BLOCK_DOCS, min(self.n, (a + SPAN_BLOCKS) * BLOCK_DOCS))
+            score = rest[own, docs] + holds[own] @ self.values[:, docs]
+            found = np.repeat(open_[own], BLOCK_DOCS, axis=1)[:, : score.shape[1]] & (score > 0) & (score >= least[own, None] - margin)
+            if score.shape[1] > k:
+                found &= score >= np.partition(score, -k, axis=1)[:, -k, None] - margin
+            q, d = np.nonzero(found)
+            edge = np.searchsorted(q, np.arange(len(own) + 1))
+            for j in np.flatnonzero(np.diff(edge)).tolist():
+                i, at = lo + int(own[j]), d[edge[j] : edge[j + 1]]
+                new, place = np.round(score[j, at], DIGITS), at + docs.start
+                new, named, ids = np.concatenate([best[i][0], new]), np.concatenate([best[i][1], ~self.nulls[place]]), np.concatenate([best[i][2], self.ids[place]])
+                order = np.lexsort((ids, named, -new))[:k]
+                best[i] = new[order], named[order], ids[order]
+                if len(order) == k:
+                    least[i - lo] = new[order[-1]]
 
 
 class Queries:
@@ -157,17 +190,9 @@ def searcher(batch, mean: float, k: int):
         best: list = [(np.empty(0), np.empty(0, bool), np.empty(0, np.int64))] * len(q.ids)  # scores, is-not-null, ids; in order
         for b in rows:
             for row in range(b.num_rows):
-                shard = Shard({c: b.column(c)[row].as_buffer() for c in b.schema.names if c not in ("shard", "n_docs", "n_words")}, mean)
-                place = K.lookup(shard.terms, q.terms)
-                has = np.flatnonzero(place > 0)
-                term, weight, edge = place[has] - 1, q.idf[has], np.searchsorted(has, q.starts)
-                for i in np.flatnonzero(np.diff(edge)).tolist():
-                    s, (score, named, ids) = slice(edge[i], edge[i + 1]), best[i]
-                    found, new = shard.top(term[s], weight[s], score[-1] if len(score) == k else 0.0, k)
-                    if len(found):
-                        score, named, ids = np.concatenate([score, new]), np.concatenate([named, ~shard.nulls[found]]), np.concatenate([ids, shard.ids[found]])
-                        order = np.lexsort((ids, named, -score))[:k]
-                        best[i] = score[order], named[order], ids[order]
+                shard = Shard({c: b.column(c)[row].as_buffer() for c in b.schema.names if c not in ("shard", "n_docs", "n_words")}, q, mean)
+                for lo in range(0, len(q.ids), GROUP_QUERIES):
+                    shard.search(lo, min(lo + GROUP_QUERIES, len(q.ids)), best, k)
                 shard = None  # before the next one is built
         n = [len(x[0]) for x in best]
         if sum(n):
@@ -219,7 +244,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc
     each = asked.join(df, "term").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "df"))).alias("t"))
     each = durable(each.mapInArrow(packed_queries, "query_id long, terms binary, dfs binary"))
     size = each.agg(F.sum(F.length("terms") + F.length("dfs") + 64)).first()[0] or 0
-    n_batches = -(-2 * size // batch_bytes) if size > batch_bytes else 1
+    n_batches = -(-5 * size // (4 * batch_bytes)) if size > batch_bytes else 1  # with room for uneven shares
     root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("doc_id")))
     for n in range(n_batches):

@@ -28,9 +28,11 @@ SHARD_BYTES = 8 << 20
 #: Shards that a task takes one after another, and packed bytes of queries that go to all tasks at once.
 TASK_SHARDS, BATCH_BYTES = 4, 16 << 20
 #: Documents in a block, blocks in a span, queries that are taken at once.
-BLOCK_DOCS, SPAN_BLOCKS, GROUP_QUERIES = 16, 16, 64
-#: Terms in one of DENSE documents (for bounds: blocks) of a shard and more are laid out as matrix rows.
-DENSE = 16
+BLOCK_DOCS, SPAN_BLOCKS, GROUP_QUERIES = 16, 32, 128
+#: Terms in one of DENSE documents, for bounds in one of WIDE blocks, of a shard and more are laid out as matrix rows.
+DENSE, WIDE = 16, 4
+#: Sums of float32 decide what is looked at; with this factor they are upper bounds. What is looked at is added up in float64.
+ROUNDING = np.float32(1.001)
 DIGITS = 6
 QUERY_STEP = 50
 
@@ -115,7 +117,8 @@ class Shard:
         self.entries = np.searchsorted(at, self.starts)
         # what many documents or blocks hold is laid out as rows of a matrix, for many queries at once
         self.dense, self.values = self.matrix((np.diff(self.starts) * DENSE >= self.n) & (idf > 0), self.starts, self.docs, self.value, self.n)
-        self.wide, self.maxima = self.matrix((np.diff(self.entries) * DENSE >= self.n_blocks) & (idf > 0), self.entries, self.block, self.most, self.n_blocks)
+        self.wide, maxima = self.matrix((np.diff(self.entries) * WIDE >= self.n_blocks) & (idf > 0), self.entries, self.block, self.most, self.n_blocks)
+        self.near, self.maxima = self.values.astype(np.float32), maxima.astype(np.float32)
 
     @staticmethod
     def matrix(often: np.ndarray, starts: np.ndarray, column: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +136,7 @@ class Shard:
         terms = self.asked[self.edge[lo] : self.edge[hi]]
         query = np.repeat(np.arange(hi - lo), np.diff(self.edge[lo : hi + 1]))
         r = row[terms]
-        holds = np.zeros((hi - lo, n_rows))
+        holds = np.zeros((hi - lo, n_rows), np.float32)
         holds[query[r >= 0], r[r >= 0]] = 1
         t, query = terms[r < 0], query[r < 0]
         pos, which = K.spread(starts[t], starts[t + 1])
@@ -146,7 +149,7 @@ class Shard:
         """
         margin = 10.0**-DIGITS  # ranks go by rounded scores
         holds, rest = self.sums(lo, hi, self.wide, self.entries, self.block, self.most, len(self.maxima), self.n_blocks)
-        bound = holds @ self.maxima + rest + margin / 4
+        bound = (holds @ self.maxima + rest) * ROUNDING
         holds, rest = self.sums(lo, hi, self.dense, self.starts, self.docs, self.value, len(self.values), self.n)
         least = np.array([x[0][-1] if len(x[0]) == k else 0.0 for x in best[lo:hi]])
         for a in range(0, self.n_blocks, SPAN_BLOCKS):
@@ -155,15 +158,17 @@ class Shard:
             if not len(own):
                 continue
             docs = slice(a * BLOCK_DOCS, min(self.n, (a + SPAN_BLOCKS) * BLOCK_DOCS))
-            score = rest[own, docs] + holds[own] @ self.values[:, docs]
-            found = np.repeat(open_[own], BLOCK_DOCS, axis=1)[:, : score.shape[1]] & (score > 0) & (score >= least[own, None] - margin)
-            if score.shape[1] > k:
-                found &= score >= np.partition(score, -k, axis=1)[:, -k, None] - margin
+            near = (rest[own, docs] + holds[own] @ self.near[:, docs]) * ROUNDING
+            found = np.repeat(open_[own], BLOCK_DOCS, axis=1)[:, : near.shape[1]] & (near >= least[own, None] - margin) & (near > 0)
+            if near.shape[1] > k:
+                found &= near * ROUNDING >= np.partition(near, -k, axis=1)[:, -k, None]
             q, d = np.nonzero(found)
+            score = rest[own[q], docs.start + d] + np.einsum("ij,ji->i", holds[own[q]], self.values[:, docs.start + d])
+            d, q, score = (x[score >= least[own[q]] - margin] for x in (d, q, score))
             edge = np.searchsorted(q, np.arange(len(own) + 1))
             for j in np.flatnonzero(np.diff(edge)).tolist():
-                i, at = lo + int(own[j]), d[edge[j] : edge[j + 1]]
-                new, place = np.round(score[j, at], DIGITS), at + docs.start
+                i, place = lo + int(own[j]), d[edge[j] : edge[j + 1]] + docs.start
+                new = np.round(score[edge[j] : edge[j + 1]], DIGITS)
                 new, named, ids = np.concatenate([best[i][0], new]), np.concatenate([best[i][1], ~self.nulls[place]]), np.concatenate([best[i][2], self.ids[place]])
                 order = np.lexsort((ids, named, -new))[:k]
                 best[i] = new[order], named[order], ids[order]

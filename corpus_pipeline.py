@@ -38,7 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents, personal data replaced; lengths in characters follow the text."""
-    return pii.replace_pii(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pii.replace_pii(docs, pii.session_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """PII surrogates, by DataFrame functions alone.
 
-Entities (email, phone, ssn, card, ip, name after an honorific) are found by one pattern. Each is brought to a normal form (digits, lower
-case), which a keyed Feistel network maps to another of the same form: every character moves within its own alphabet (digits, vowels and
-consonants by script and so on), so type, script, length and layout stay; honorific and last letter of a name stay, and with them its
-gender; country codes, top-level domains, a card's first digit and its Luhn remainder stay too. The network is a bijection: one
-entity has one surrogate wherever and however it is written (coreference), different ones have different ones (distinctness).
-
-Collision check: where a surrogate is itself an entity of the corpus, further keys are tried until it is none, nor another's surrogate. The
-few entities that this changes form a table, which is joined to the documents that hold them; all others need no join.
+Entities (email, phone, ssn, card, ip, name after an honorific) are found by one pattern, which only texts see that a cheaper one lets
+pass. Each is brought to a normal form (digits, lower case; a name gives one for each of its words), which a keyed Feistel network maps to another
+of the same form: every character moves within its own alphabet (digits, vowels and consonants by script, ranges of the larger scripts), so type,
+script, length and layout stay; honorific and last letter of a name stay, and with them its gender; country codes, top-level domains, a
+card's first digit and its Luhn remainder stay too. The network is a bijection: one entity has one surrogate wherever and however it is
+written, a family name has one beside whatever first name (coreference), and different ones have different ones (distinctness).
+
+Collision check: where a surrogate is itself an entity of the corpus (or the entity itself), further keys are tried until it is none, nor
+another's surrogate. What is left after that (its form has hardly any free values) gets a keyed hash instead. The few entities that this
+changes form a table, which is joined to the documents that hold them; all others need no join.
 """
 
 from collections.abc import Callable
@@ -22,6 +24,7 @@ ships(__name__)
 KINDS = ("email", "phone", "ssn", "card", "ip", "name")
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 HONORIFIC = r"(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora?|Sra?|Г-жа|Г-н|г-жа|г-н|[Гг]осподин|[Гг]оспожа)"
+NAME = r"(?:\p{Lu}[\p{L}'’-]+|\p{Lo}[\p{L}\p{M}'’-]*)"
 PATTERNS = [
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     r"(?<![A-Za-z0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![A-Za-z0-9])",
@@ -31,16 +34,31 @@ PATTERNS = [
     rf"(?<![A-Za-z0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![A-Za-z0-9]|\.[0-9])",
     r"(?<![A-Za-z0-9-])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![A-Za-z0-9-])",
     r"(?<![A-Za-z0-9])[0-9]{13,19}(?![A-Za-z0-9])",
-    rf"(?<!\p{{L}}){HONORIFIC}\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?",
+    rf"(?<!\p{{L}}){HONORIFIC}\.? {NAME}(?: {NAME})?",
 ]
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS)
 #: Texts without a match of this hold no entity; it is cheap.
-MAYBE = rf"[0-9@]|{HONORIFIC}\.? \p{{Lu}}"
+MAYBE = rf"@|[0-9][0-9 .()-]{{5}}|{HONORIFIC}\.? [\p{{Lu}}\p{{Lo}}]"
 # Country codes of one and two digits (the others have three).
 COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
-NAME_ALPHABETS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "çñß", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
+#: Letters move among their like; a letter of none of these or the ranges stays.
+NAME_ALPHABETS = [
+    "aeiou",
+    "bcdfghjklmnpqrstvwxyz",
+    "áéíóúàèìòùâêîôûäëïöüãõåæøāēīōūăĕĭŏŭąęįųėőűœýÿ",
+    "çñćĉčďđĝğģĥķĺļľłńņňŕřśŝşšţťźżžþðșț",
+    "аеиоуыэюяё",
+    "бвгджзйклмнпрстфхцчшщъь",
+    "єіїґўђјљњћџѓќѕ",
+    "αεηιουωάέήίόύώϊϋ",
+    "βγδζθκλμνξπρστφχψ",
+]
+#: Georgian, Armenian, Hebrew, Arabic, Devanagari, Thai, Hiragana, Katakana, Han, Hangul.
+RANGES = [(0x10D0, 0x10F0), (0x0561, 0x0586), (0x05D0, 0x05EA), (0x0620, 0x064A), (0x0904, 0x0939), (0x0E01, 0x0E2E), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]
 ROUNDS, TRIES = 4, 12
+#: Where op2_pii and the pipeline find their key; without one they use a key that anyone can read here, which protects nobody.
+KEY_CONF, OPEN_KEY = "spark.lodestone.pii.key", "not a secret"
 #: Rows of the exception table up to which it is broadcast.
 FEW = 10_000
 
@@ -54,13 +72,15 @@ def chars(c: Column) -> Column:
     return F.filter(F.split(c, ""), lambda x: x != "")
 
 
-def alphabet(kind: str, c: Column, i: Column, n: Column, keep: Column | None = None) -> Column:
-    """The alphabet that the character stays within; itself, if it isn't to change."""
-    options = [DIGITS, LETTERS] if kind == "email" else NAME_ALPHABETS if kind == "name" else [DIGITS]
-    out = c
-    for a in options:
-        out = F.when(F.contains(F.lit(a), c), F.lit(a)).otherwise(out)
-    return out if keep is None else F.when(keep, c).otherwise(out)
+def symbol(kind: str, c: Column, keep: Column) -> Column:
+    """What the character moves within, as a struct: an alphabet, or the first code of a range (else 0), and its size; itself, if it stays."""
+    of = lambda a, base, n: F.struct(F.lit(a).alias("a") if isinstance(a, str) else a.alias("a"), F.lit(base).alias("base"), F.lit(n).alias("n"))
+    out = of(c, 0, 1)
+    for lo, hi in RANGES if kind == "name" else []:
+        out = F.when(F.ascii(c).between(lo, hi), of("", lo, hi - lo + 1)).otherwise(out)
+    for a in [DIGITS, LETTERS] if kind == "email" else NAME_ALPHABETS if kind == "name" else [DIGITS]:
+        out = F.when(F.contains(F.lit(a), c), of(a, 0, len(a))).otherwise(out)
+    return F.when(keep, of(c, 0, 1)).otherwise(out)
 
 
 def feistel(values: Column, radix: Column, salt: Column) -> Column:
@@ -82,9 +102,12 @@ def moved_text(kind: str, norm: Column, key: str, keep: Callable[[Column, Column
     """norm with every character moved within its alphabet; keep(i, n) says which stay."""
     salt = F.lit(f"{key}|{kind}")
 
+    value = lambda c, y: F.when(y["base"] > 0, F.ascii(c) - y["base"]).otherwise(F.position(c, y["a"]) - 1)
+    letter = lambda v, y: F.when(y["base"] > 0, F.decode(F.unhex(F.lpad(F.hex(y["base"] + v), 4, "0")), "UTF-16BE")).otherwise(F.substring(y["a"], v + 1, 1))
+
     def body(cs: Column) -> Column:
         n = F.size(cs)
-        return let(F.transform(cs, lambda c, i: alphabet(kind, c, i, n, keep(i, n))), lambda al: F.array_join(F.zip_with(feistel(F.zip_with(cs, al, lambda c, a: F.position(c, a) - 1), F.transform(al, lambda a: F.length(a)), salt), al, lambda v, a: F.substring(a, v + 1, 1)), ""))
+        return let(F.transform(cs, lambda c, i: symbol(kind, c, keep(i, n))), lambda ys: F.array_join(F.zip_with(feistel(F.zip_with(cs, ys, value), F.transform(ys, lambda y: y["n"]), salt), ys, letter), ""))
 
     return let(chars(norm), body)
 
@@ -102,9 +125,10 @@ def kind_of(e: Column) -> Column:
 
 
 def normal(kind: Column, e: Column) -> Column:
-    """What all ways to write an entity have in common."""
+    """What all ways to write an entity have in common: an array, of a name's words, else of one form."""
     digits = F.regexp_replace(e, "[^0-9]", "")
-    return F.when(kind == "email", F.lower(e)).when(kind == "name", F.lower(F.regexp_replace(e, rf"^{HONORIFIC}\.? ", ""))).when(kind == "ip", e).when((kind == "phone") & e.startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits)
+    one = F.when(kind == "email", F.lower(e)).when(kind == "ip", e).when((kind == "phone") & e.startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits)
+    return F.when(kind == "name", F.split(F.lower(F.regexp_replace(e, rf"^{HONORIFIC}\.? ", "")), " ")).otherwise(F.array(one))
 
 
 def surrogate(kind: Column, norm: Column, key: str) -> Column:
@@ -125,18 +149,26 @@ def surrogate(kind: Column, norm: Column, key: str) -> Column:
         .when(kind == "ip", let(F.split(norm, r"\."), octets))
         .when(kind == "card", card(F.substring(norm, -1, 1).cast("int")))
         .when(kind == "ssn", moved_text("ssn", norm, key, lambda i, n: F.lit(False)))
-        .otherwise(moved_text("name", norm, key, lambda i, n: i == n - 1))
+        .otherwise(moved_text("name", norm, key, lambda i, n: (i == n - 1) & (n > 3)))
     )
 
 
-def laid_out(kind: Column, e: Column, sur: Column) -> Column:
-    """The surrogate in the layout of the entity as written: its separators, capitals and honorific."""
+def laid_out(kind: Column, e: Column, surs: Column) -> Column:
+    """The surrogate (an array, as of normal()) in the layout of the entity as written: its separators, capitals and honorific."""
     title = F.regexp_extract(e, rf"^{HONORIFIC}\.? ", 0)
-    letters = lambda text: F.array_join(F.zip_with(chars(text), chars(sur), lambda c, s: F.when(c != F.lower(c), F.upper(s)).otherwise(s)), "")
+    sur = F.get(surs, 0)
+    letters = lambda text, new: F.array_join(F.zip_with(chars(text), chars(new), lambda c, s: F.when(c != F.lower(c), F.upper(s)).otherwise(s)), "")
+    words = F.zip_with(F.split(F.substring(e, F.length(title) + 1, F.length(e)), " "), surs, letters)
     start = F.struct(F.lit("").alias("t"), F.lit(1).alias("k"))
     digit = lambda s: lambda acc, c: F.when(c.between("0", "9"), F.struct(F.concat(acc["t"], F.substring(s, acc["k"], 1)).alias("t"), (acc["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(acc["t"], c).alias("t"), acc["k"].alias("k")))
     digits = let(F.regexp_replace(sur, "[^0-9]", ""), lambda s: F.aggregate(chars(e), start, digit(s), lambda acc: acc["t"]))
-    return F.when(kind == "email", letters(e)).when(kind == "name", F.concat(title, letters(F.substring(e, F.length(title) + 1, F.length(e))))).when(kind == "ip", sur).otherwise(digits)
+    return F.when(kind == "name", F.concat(title, F.array_join(words, " "))).when(sur.startswith("["), sur).when(kind == "email", letters(e, sur)).when(kind == "ip", sur).otherwise(digits)
+
+
+def marker(kind: Column, norm: Column, key: str) -> Column:
+    """A keyed hash instead of a surrogate: a long word for a name, else the kind and the hash in brackets."""
+    digest = F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("mark"), kind, norm), 256), 1, 16)
+    return F.when(kind == "name", F.translate(digest, DIGITS, "ghijklmnop")).otherwise(F.concat(F.lit("["), kind, F.lit(" "), digest, F.lit("]")))
 
 
 def entities(text: Column) -> Column:
@@ -148,10 +180,9 @@ def moved_on(docs: DataFrame, key: str, text_col: str, tries: int = TRIES) -> Da
     """(kind, norm, sur) of the entities whose first surrogate is itself an entity of the corpus, with another surrogate.
 
     Try t takes another key. A surrogate is good if it is no entity, no entity's first surrogate, and no other's new one; of two that
-    meet, the smaller form keeps it. What still clashes after `tries` (a nearly full space, such as all addresses of a network) keeps its
-    first surrogate: distinct from all others, though it reads like another entity.
+    meet, the smaller form keeps it. What still clashes after `tries` (a nearly full space, such as all names of two letters) gets a marker.
     """
-    found = docs.select(F.explode(entities(F.col(text_col))).alias("e")).select(kind_of(F.col("e")).alias("kind"), "e").select("kind", normal(F.col("kind"), F.col("e")).alias("norm"))
+    found = docs.select(F.explode(entities(F.col(text_col))).alias("e")).select(kind_of(F.col("e")).alias("kind"), "e").select("kind", F.explode(normal(F.col("kind"), F.col("e"))).alias("norm"))
     known = durable(found.distinct().withColumn("sur", surrogate(F.col("kind"), F.col("norm"), key)))
     real = known.select("kind", F.col("norm").alias("sur"))
     left = durable(known.join(real, ["kind", "sur"], "left_semi").select("kind", "norm"))
@@ -164,35 +195,42 @@ def moved_on(docs: DataFrame, key: str, text_col: str, tries: int = TRIES) -> Da
         new = durable(new.groupBy("kind", "sur").agg(F.min("norm").alias("norm")).select("kind", "norm", "sur"))
         done = durable(done.unionByName(new))
         left = durable(left.join(new, ["kind", "norm"], "left_anti").select("kind", "norm"))
-    return done
+    return done.unionByName(left.withColumn("sur", marker(F.col("kind"), F.col("norm"), key)))
 
 
-def replace_pii(docs: DataFrame, key: str = "lodestone", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", tries: int = TRIES) -> DataFrame:
     """docs with entities in text_col replaced, and n_<kind> for each kind. Clashing columns are replaced.
 
-    Null texts stay null. Repeated rows and ids are independent: a surrogate depends on key, kind and normal form alone. Texts are
-    whole; those without an entity are unchanged. Without an exception there is no shuffle of texts; with up to FEW documents that hold
-    one these are broadcast; beyond that the texts are joined by id and hash.
+    Whoever has the key can undo the replacement, so there is none by default. Null texts stay null. Repeated rows and ids are independent: a
+    surrogate depends on key, kind and normal form alone. Texts are whole; those without an entity are unchanged. Without an exception
+    there is no shuffle of texts; with up to FEW documents that hold one these are broadcast; beyond that the texts are joined by id and hash.
     """
+    if not key:
+        raise ValueError("replace_pii needs a key")
     base = docs.drop(*[f"n_{k}" for k in KINDS])
-    moved = moved_on(base, key, text_col)
+    moved = moved_on(base, key, text_col, tries)
     rows = base.withColumn("_e", entities(F.col(text_col)))
-    marked = lambda e: let(kind_of(e), lambda k: F.struct(e.alias("e"), k.alias("kind"), normal(k, e).alias("norm")))
+    marked = lambda e: let(kind_of(e), lambda k: F.struct(e.alias("e"), k.alias("kind"), normal(k, e).alias("norms")))
     rows = rows.withColumn("_m", F.transform("_e", marked))
     own = F.lit(None).cast("map<string,string>")
     if not moved.isEmpty():
         rows = rows.withColumn("_h", text_hash(text_col))
-        held = rows.filter(F.size("_e") > 0).select(F.col(id_col).alias("_id"), "_h", F.explode("_m").alias("m")).select("_id", "_h", "m.kind", "m.norm").distinct().join(moved, ["kind", "norm"])
+        held = rows.filter(F.size("_e") > 0).select(F.col(id_col).alias("_id"), "_h", F.explode("_m").alias("m")).select("_id", "_h", "m.kind", F.explode("m.norms").alias("norm")).distinct().join(moved, ["kind", "norm"])
         held = durable(held.groupBy("_id", "_h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "sur"))).alias("_own")).withColumnRenamed("_h", "_h2"))
         held = F.broadcast(held) if held.count() <= FEW else held
         rows = rows.join(held, rows[id_col].eqNullSafe(held["_id"]) & (rows["_h"] == held["_h2"]), "left")
         own = F.col("_own")
-    change = lambda m: laid_out(m["kind"], m["e"], F.coalesce(F.element_at(own, F.concat_ws("|", m["kind"], m["norm"])), surrogate(m["kind"], m["norm"], key)))
+    one = lambda k: lambda n: F.coalesce(F.element_at(own, F.concat_ws("|", k, n)), surrogate(k, n, key))
+    change = lambda m: laid_out(m["kind"], m["e"], F.transform(m["norms"], one(m["kind"])))
     text = F.when(F.size("_e") == 0, F.col(text_col)).otherwise(F.array_join(F.zip_with(F.split(text_col, PATTERN, -1), F.transform("_m", change), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), ""))
     is_ = lambda k: lambda m: m["kind"] == k
     counts = [F.size(F.filter("_m", is_(k))).alias(f"n_{k}") for k in KINDS]
     return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in base.columns], *counts)
 
 
+def session_key(spark) -> str:
+    return spark.conf.get(KEY_CONF, OPEN_KEY)
+
+
 def op2_pii(spark, sf_dir: str) -> DataFrame:
-    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
 
 from lodestone.llm import chat, decontaminate, kernels, licenses, mixing, pii, search, secrets, simhash, suffix_dedup, toxicity
@@ -73,7 +74,7 @@ def test_chat_long_conversation(spark):
 
 def test_pii_surrogates(spark):
     rows = [(1, "Call +1 (132) 555-1352 or +1-132-555-1352; Foo.Bar@Mail3.example.com, foo.bar@mail3.example.com"), (2, "ip 10.2.3.4 card 4111 1111 1111 1111, 4111111111111111 ssn 123-45-6789"), (3, "Mrs. Ivanova, Herr Müller, г-жа Петрова, Mrs. IVANOVA"), (4, None), (5, "plain text, 2026-11-28 and v1.2.3"), (None, "10.2.3.4"), (1, "10.2.3.4")]
-    out = pii.replace_pii(spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, n_email long"))
+    out = pii.replace_pii(spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, n_email long"), "k")
     assert out.columns == ["doc_id", "text", "n_email", *[f"n_{k}" for k in pii.KINDS[1:]]] or set(out.columns) == {"doc_id", "text", *[f"n_{k}" for k in pii.KINDS]}
     got = [r["text"] for r in out.collect()]
     phones = re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}|\+1-\d{3}-\d{3}-\d{4}", got[0])
@@ -88,7 +89,7 @@ def test_pii_surrogates(spark):
     assert names[0].upper() == names[3] and names[0] != "Ivanova" and names[0][-1] == "a" and re.fullmatch("[А-Я][а-я]+а", names[2])
     assert got[3] is None and got[4] == rows[4][1]
     assert got[5] == got[6] == re.search(r"ip (\S+)", got[1])[1]
-    again = [r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    again = [r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
     assert again == got
     other = [r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), key="k2").collect()]
     assert other[1] != got[1]
@@ -96,13 +97,136 @@ def test_pii_surrogates(spark):
 
 def test_pii_collisions_are_resolved(spark):
     ssn = [f"{i:03d}-{i % 90 + 10}-{i * 7 % 10000:04d}" for i in range(1, 300)]
-    first = pii.replace_pii(spark.createDataFrame([(i, s) for i, s in enumerate(ssn)], "doc_id long, text string")).orderBy("doc_id").collect()
+    first = pii.replace_pii(spark.createDataFrame([(i, s) for i, s in enumerate(ssn)], "doc_id long, text string"), "k").orderBy("doc_id").collect()
     clash = first[5]["text"]  # now a real entity: no surrogate may equal it
     rows = [(i, s) for i, s in enumerate([*ssn, clash])]
-    got = [r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    got = [r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").orderBy("doc_id").collect()]
     assert len(set(got)) == len(rows) and not set(got) & {*ssn, clash}
     assert got[5] != clash and sum(a != b["text"] for a, b in zip(got, first)) == 1
-    assert pii.replace_pii(empty(spark)).count() == 0
+    assert pii.replace_pii(empty(spark), "k").count() == 0
+
+
+
+class PiiModel:
+    """The operator in plain Python, row by row: the pattern of the library, everything else anew."""
+
+    def __init__(self, key, texts, tries):
+        self.key = key
+        found = {(k, n) for t in texts for k, n in ((k, n) for e in self.entities(t) for k, ns in [self.parts(e)] for n in ns)}
+        first = {x: self.move(*x, key) for x in found}
+        real, used = {(k, n) for k, n in found}, {(k, s) for (k, _), s in first.items()}
+        self.map, left = dict(first), sorted(x for x, s in first.items() if (x[0], s) in real)
+        for t in range(1, tries + 1):
+            new = {}
+            for k, n in left:
+                s = self.move(k, n, f"{key}|{t}")
+                if (k, s) not in real | used:
+                    new.setdefault((k, s), (k, n))
+            self.map |= {x: s for (_, s), x in new.items()}
+            used |= set(new)
+            left = [x for x in left if x not in new.values()]
+        for k, n in left:
+            d = hashlib.sha256(f"{key}|mark|{k}|{n}".encode()).hexdigest()[:16]
+            self.map[k, n] = d.translate(str.maketrans("0123456789", "ghijklmnop")) if k == "name" else f"[{k} {d}]"
+
+    @staticmethod
+    def entities(text):
+        return [m[0] for m in regex.finditer(pii.PATTERN, text or "")]
+
+    @staticmethod
+    def parts(e):
+        d = re.sub("[^0-9]", "", e)
+        if "@" in e:
+            return "email", [e.lower()]
+        if e[0] not in "0123456789+(":
+            return "name", regex.sub(rf"^{pii.HONORIFIC}\.? ", "", e).lower().split(" ")
+        if regex.fullmatch(rf"{pii.OCTET}(\.{pii.OCTET}){{3}}", e):
+            return "ip", [e]
+        if re.fullmatch(r"\d{3}-\d{2}-\d{4}", e):
+            return "ssn", [d]
+        return ("phone", [("+" if e[0] == "+" else "") + d]) if re.match(r"\+|\(|\d{3}[.-]\d{3}[.-]", e) else ("card", [d])
+
+    @staticmethod
+    def rounds(values, radix, salt):
+        n, v = len(values), list(values)
+        for r in range(4):
+            mine = [i for i in range(n) if (i < n // 2) == (r % 2 == 0)]
+            d = hashlib.sha512(f"{salt}|{r}|{','.join(str(v[i]) for i in range(n) if i not in mine)}".encode()).hexdigest()
+            v = [(x + int(d[i * 4 % 124 : i * 4 % 124 + 4], 16)) % radix[i] if i in mine else x for i, x in enumerate(v)]
+        return v
+
+    def within(self, kind, text, key, keep):
+        own = {"email": ["0123456789", "abcdefghijklmnopqrstuvwxyz"], "name": [*pii.NAME_ALPHABETS, *("".join(map(chr, range(a, b + 1))) for a, b in pii.RANGES)]}.get(kind, ["0123456789"])
+        sets = [c if keep(i) else next((a for a in own if c in a), c) for i, c in enumerate(text)]
+        v = self.rounds([a.index(c) for a, c in zip(sets, text)], [len(a) for a in sets], f"{key}|{kind}")
+        return "".join(a[x] for a, x in zip(sets, v))
+
+    @staticmethod
+    def luhn(digits):
+        return -sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(digits[::-1])) % 10
+
+    def move(self, kind, n, key):
+        if kind == "email":
+            return self.within(kind, n, key, lambda i: i >= n.rindex("."))
+        if kind == "phone":
+            m = re.match(pii.COUNTRY, n)
+            return self.within(kind, n, key, lambda i: i < (m.end() if m else 0))
+        if kind == "ip":
+            o = n.split(".")
+            return ".".join([o[0], *map(str, self.rounds([int(x) for x in o[1:]], [256] * 3, f"{key}|ip|{o[0]}"))])
+        if kind == "card":
+            m = self.within(kind, n[:-1], key, lambda i: i == 0)
+            return m + str((self.luhn(m) + int(n[-1]) - self.luhn(n[:-1])) % 10)
+        return self.within(kind, n, key, (lambda i: i == len(n) - 1 and len(n) > 3) if kind == "name" else lambda i: False)
+
+    def replaced(self, text):
+        def one(m):
+            e, (kind, ns) = m[0], self.parts(m[0])
+            surs = [self.map[kind, n] for n in ns]
+            cased = lambda a, b: "".join(s.upper() if i < len(a) and a[i] != a[i].lower() else s for i, s in enumerate(b))
+            if kind == "name":
+                title = regex.match(rf"{pii.HONORIFIC}\.? ", e)[0]
+                return title + " ".join(cased(a, b) for a, b in zip(e[len(title) :].split(" "), surs))
+            if kind == "ip" or surs[0].startswith("["):
+                return surs[0]
+            if kind == "email":
+                return cased(e, surs[0])
+            d = iter(re.sub("[^0-9]", "", surs[0]))
+            return "".join(next(d) if c in "0123456789" else c for c in e)
+
+        return None if text is None else regex.sub(pii.PATTERN, one, text)
+
+
+def pii_texts():
+    rnd = random.Random(12)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    scripts = ["abcdefghijklmnopqrstuvwxyz", "ščžåøéłüñ", "абвгджеёиклмнщъы", "αβγδεζηθικλμνάώ", "աբգդեզէըթժիլխծկ", "田中王李鈴木山本佐藤", "アイウエオカキ", "김이박최", "ابتثج", "गमनरत"]
+
+    def name():
+        s = rnd.choice(scripts)
+        return "".join(rnd.choice(s) for _ in range(rnd.randint(1, 7))).capitalize()
+
+    kinds = [lambda: f"{rnd.choice(['Mr', 'Mrs.', 'Dr', 'Herr', 'г-жа', 'Frau'])} {name()}" + rnd.choice(["", " " + name()]), lambda: f"{name().lower()}.{digits(2)}@{rnd.choice(['mail', 'Ex-1'])}.{rnd.choice(['com', 'co.uk'])}", lambda: f"+{rnd.choice(['1', '49', '351'])} {digits(3)} {digits(3)} {digits(4)}", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: f"{digits(3)}.{digits(3)}.{digits(4)}", lambda: ".".join(str(rnd.randint(0, 300)) for _ in range(4)), lambda: f"4{digits(3)} {digits(4)} {digits(4)} {digits(4)}", lambda: digits(rnd.randint(10, 20)), lambda: rnd.choice(["word", "2026-11-28", "v1.2", "Mr", "x@y", "Ünïcode 𝒳"])]
+    rows = [(i, rnd.choice([" ", "\n", ", "]).join(rnd.choice(kinds)() for _ in range(rnd.randint(0, 12)))) for i in range(150)]
+    return [*rows, (150, None), (151, ""), (None, rows[3][1]), (3, rows[3][1]), (3, "Mr Žižek, Dr Ծանոթ, Herr Øø, Mr 田中, г-н Щербёв, Mr John Smith and Mr Smith, Mrs SMITH"), (152, "x " * 30_000 + "Mr Long Tail a.b@c.example.com " * 2000)]
+
+
+@pytest.mark.parametrize("tries", [2, 0])
+def test_pii_matches_the_model(spark, tries):
+    rows = pii_texts()
+    rows += [(200 + i, f"Mr {a}{b}") for i, (a, b) in enumerate((a, b) for a in "AEIOU" for b in "aeiou")]  # all names of a form: none is free
+    model = PiiModel("key", [t for _, t in rows], tries)
+    got = pii.replace_pii(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_name long").repartition(3), "key", tries=tries)
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(((i, model.replaced(t)) for i, t in rows), key=str)
+    real = set(model.map)
+    assert not {(k, s) for (k, _), s in model.map.items()} & real and len(set(zip((k for k, _ in model.map), model.map.values()))) == len(real)
+    john = next(r["text"] for r in got.collect() if r["text"] and "Mr" in r["text"] and r["doc_id"] == 3 and "Herr" in r["text"]).split(", ")
+    assert john[-2].split()[2] == john[-2].split()[-1] and john[-1].split()[1] == john[-2].split()[-1].upper()
+
+
+def test_pii_needs_a_key(spark):
+    with pytest.raises(ValueError):
+        pii.replace_pii(empty(spark), "")
 
 
 # --- 3 search

@@ -9,6 +9,7 @@ on either side, so it never builds pairs.
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import ships, table, text_hash
+from lodestone.llm.common import durable, ships, table, text_hash
 
 ships(__name__)
 
@@ -40,14 +41,21 @@ def parts_of(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(1, m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(2, m.start(), m.end()) for m in HEX.finditer(text)]
-    taken = [(a, b) for _, a, b in found]
+    taken: list[list[int]] = []  # what base kinds hold, as disjoint stretches in order
+    for a, b in sorted((a, b) for _, a, b in found):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    starts = [a for a, _ in taken]
+    free = lambda a, b: not (k := bisect_right(starts, b - 1)) or taken[k - 1][1] <= a
     if any(c in text for c in "=:"):
         found += [(3, m.start(), m.end()) for m in IDENT.finditer(text)]
     if "://" in text:
         found += [(5, m.start(), m.end()) for m in ENDPOINT.finditer(text)]
     if any(k in (1, 3, 5) for k, _, _ in found):  # a token without a complement in its text is never reported
         weak = [(4, m.start(), m.end()) for m in TOKEN.finditer(text)]
-        found += [x for x in weak if not any(a < x[2] and x[1] < b for a, b in taken)]
+        found += [x for x in weak if free(x[1], x[2])]
     return sorted(found, key=lambda x: (x[1], x[0], x[2]))
 
 
@@ -73,7 +81,7 @@ def find_secrets(docs: DataFrame, reach: int = REACH, id_col: str = "doc_id") ->
     code points, end exclusive. Ties go by start, kind as listed, end.
     """
     keyed = docs.select(F.col(id_col).alias("_id"), text_hash().alias("_h"), F.col("text"))
-    found = keyed.mapInArrow(scan, StructType(keyed.drop("text").schema.fields + StructType.fromDDL(FOUND).fields))
+    found = durable(keyed.mapInArrow(scan, StructType(keyed.drop("text").schema.fields + StructType.fromDDL(FOUND).fields)))  # texts are scanned once
     # base secrets and tokens complement identifiers and endpoints; an access identifier needs no company but gives it
     part = found.filter(F.exists("_parts", lambda p: p["kind"] > 2)).dropDuplicates(["_id", "_h"]).select("_id", "_h", F.explode("_parts").alias("p"))
     secret, other = F.col("p.kind").isin(0, 2, 4), F.col("p.kind").isin(1, 3, 5)

@@ -1,5 +1,5 @@
 """A corpus pipeline of five stages: toxic documents go, one document of each near-duplicate group stays, documents with benchmark
-passages go, personal data get surrogates, and the rest is mixed to source weights.
+passages go, personal data get surrogates, and the rest is mixed to source weights, texts repeated or cut as the mix says.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; run() writes each stage's rows to the shared
 folder and reads them again for the next. Other columns of documents are carried through.
@@ -42,8 +42,21 @@ def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: doc_id, source, size, source_size, target, taken (words, repeats counted), for documents that it takes words of."""
-    return mixing.mix(docs).filter("taken > 0")
+    """The mix itself: the documents it takes words of, a row for each epoch, with size, source_size, target, epoch (from 0) and taken (the
+    row's words). Where the budget ends within a document, the text is cut behind its last word taken. Rows that are equal in id and
+    text are one document, repeated so often. Clashing columns are replaced."""
+    added = ["size", "source_size", "target", "epoch", "taken"]
+    keyed = docs.drop(*added).withColumn("_h", text_hash())
+    mixed = mixing.mix(keyed, keep=("_h",)).groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_h2")).agg(*[F.max(c).alias(c) for c in added[:3]], F.sum("taken").alias("_all"), F.count("*").alias("_n"))
+    mixed = durable(mixed.filter("_all > 0"))
+    rows = keyed.join(mixed, keyed["doc_id"].eqNullSafe(mixed["_id"]) & (keyed["_h"] == mixed["_h2"]))
+    if not mixed.filter("_n > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "_h"])
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_all") / F.col("size")) - 1)))
+    rows = rows.withColumn("taken", F.least("size", F.col("_all") - F.col("epoch") * F.col("size")))
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + mixing.TOKEN), F.lit(0)), F.lit(1), F.col("taken").cast("int"))
+    rows = rows.withColumn("text", F.when(F.col("taken") < F.col("size"), F.array_join(words, "")).otherwise(F.col("text")))
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.drop(*added).columns, *added)
 
 
 STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_duplicates), ("benchmark_decontamination", drop_contaminated), ("pii", replace_pii), ("mixing", mix_sources)]

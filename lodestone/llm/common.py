@@ -1,5 +1,6 @@
 """What the training-data operators share: tables, durable cuts of the lineage, slices of Arrow batches, distributed prefix sums."""
 
+import re
 import sys
 import tempfile
 import uuid
@@ -28,15 +29,20 @@ ships(__name__)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir, or a new one where none is set (tests)."""
+    """The folder that all executors share: the session's spark.checkpoint.dir, or a new local one where none is set and all runs locally."""
     sc = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
     return sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder and read from there: lost executors don't take it with them."""
+    """df, written once to the shared folder and read from there: lost executors don't take it with them.
+
+    Results are read from these tables lazily, so they stay until the session's owner clears the folder, as checkpoints do.
+    """
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -39,15 +39,15 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     return weighed.withColumn("target", F.least(cap, F.col("weight") * level))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: str = "", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id_col, source_col, size, source_size, target, taken.
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: str = "", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs: id_col, source_col, size, source_size, target, taken, and the columns in keep.
 
     Size is the number of words (null: 0). A source's rows are taken in the order of md5(id, seed): floor(target / source_size)
     times whole, then up to the rest of the target, the last one in part. So each source's words meet floor(target) exactly and no
     document exceeds most times its size. Null sources are one source, the last. Rows that repeat an id follow each other in any order; as
     their sizes may differ, ties go by size. An empty table gives no rows.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(TOKEN)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(TOKEN)), F.lit(0)).cast("long").alias("size"), *keep)
     sized = durable(sized.withColumn("_key", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))))
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     goals = goals.select(F.col("source").alias("_source"), "source_size", "target")
@@ -57,7 +57,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before")))
-    return placed.join(goals, placed["source"].eqNullSafe(goals["_source"])).select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.join(goals, placed["source"].eqNullSafe(goals["_source"])).select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.cast("long").alias("taken"), *keep)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -73,7 +73,21 @@ def anchors(data: np.ndarray, offs: np.ndarray):
     at = np.flatnonzero(new)
     last = np.concatenate([at[1:], [len(w)]]) - 1
     lo, hi = w[at], w[last]
-    return h[a[at]], a[at], lo, hi, K.mixed((p[hi + LENGTH] - p[lo]) * inv[lo])
+    # a hash of hashes: a polynomial of the bytes themselves has known collisions modulo 2 ** 64
+    q = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * K.powers(K.R, len(h)), out=q[1:])
+    return h[a[at]], a[at], lo, hi, K.mixed((q[hi + LENGTH - GRAM + 1] - q[lo]) * inv[lo])
+
+
+def anchor_pieces(data: np.ndarray, offs: np.ndarray):
+    """anchors() of a slice; of a very long document in pieces of about K.PIECE windows. The anchor of a window depends on the window alone."""
+    if len(data) <= K.PIECE or len(offs) > 2:
+        yield anchors(data, offs)
+        return
+    for at in range(0, len(data) - LENGTH + 1, K.PIECE):
+        part = data[at : at + K.PIECE + LENGTH - 1]
+        h, a, lo, hi, cover = anchors(part, np.array([0, len(part)]))
+        yield h, a + at, lo + at, hi + at, cover
 
 
 def packed(a, lo, hi):
@@ -90,16 +104,16 @@ def anchor_rows(batches):
     for b in batches:
         uid = b.column("_uid").to_numpy()
         for row, data, offs in slices(b, "text"):
-            h, a, lo, hi, cover = anchors(data, offs)
-            doc = np.searchsorted(offs, lo, "right") - 1
-            base = offs[doc]
-            u, at = uid[row + doc], packed(a - base, lo - base, hi - base)
-            order = np.lexsort((at, u, at & 0xFFFF, cover, h))
-            h, u, at, cover = h[order], u[order], at[order], cover[order]
-            settled = np.zeros(len(h), bool)
-            settled[1:] = (h[1:] == h[:-1]) & (cover[1:] == cover[:-1]) & ((at[1:] & 0xFFFF) == (at[:-1] & 0xFFFF))
-            h = np.where(settled, K.mixed(u.astype(np.uint64) * np.uint64(K.R) + at.astype(np.uint64)), h)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(cover.view(np.int64)), pa.array(u), pa.array(at), pa.array(settled)], names=["h", "cover", "_uid", "at", "settled"])
+            for h, a, lo, hi, cover in anchor_pieces(data, offs):
+                doc = np.searchsorted(offs, lo, "right") - 1
+                base = offs[doc]
+                u, at = uid[row + doc], packed(a - base, lo - base, hi - base)
+                order = np.lexsort((at, u, at & 0xFFFF, cover, h))
+                h, u, at, cover = h[order], u[order], at[order], cover[order]
+                settled = np.zeros(len(h), bool)
+                settled[1:] = (h[1:] == h[:-1]) & (cover[1:] == cover[:-1]) & ((at[1:] & 0xFFFF) == (at[:-1] & 0xFFFF))
+                h = np.where(settled, K.mixed(u.astype(np.uint64) * np.uint64(K.R) + at.astype(np.uint64)), h)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(cover.view(np.int64)), pa.array(u), pa.array(at), pa.array(settled)], names=["h", "cover", "_uid", "at", "settled"])
 
 
 def repeated(batches):

@@ -8,8 +8,8 @@ the words of clean documents, a segment of score S in n words has log evidence l
 significant segments (or the best one, if none is). The training rows, each scored by a lexicon from the other folds, place the decision between
 the classes.
 
-Documented bounds: the classifier is fitted on at most `train_rows` labelled documents (by md5 of the id) and keeps at most
-`lexicon` tokens. All documents are scored, over their whole texts.
+Documented bound: the classifier is fitted on at most `train_rows` labelled documents (by md5 of the id), which bounds its lexicon
+too; every token that passes the tests is kept. All documents are scored, over their whole texts.
 """
 
 import math
@@ -26,7 +26,7 @@ from lodestone.llm.common import durable, ships, slices, table, text_hash
 
 ships(__name__)
 
-TRAIN_ROWS, LEXICON = 20_000, 4096
+TRAIN_ROWS = 20_000
 BEGINNINGS = (5, 6, 7)
 FOLDS = (1, 2, 3, 4)
 LOSS, LEAST_Z, LEAST_ODDS, LEAST_DOCS, PRIOR = 0.2, 3.0, 2.5, 3, 0.1
@@ -68,7 +68,7 @@ def features(batches):
             yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(toxic[d]), pa.array(fold[d])], names=["f", "toxic", "fold"])
 
 
-def lexicon(counts: DataFrame, n1: int, n0: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def lexicon(counts: DataFrame, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted token hashes and their log-odds, from (f, a, b): toxic and other documents with the token."""
     total = PRIOR * (n1 + n0)
     w = (F.col("a") + F.col("b")) / (n1 + n0) * total
@@ -76,7 +76,7 @@ def lexicon(counts: DataFrame, n1: int, n0: int, most: int) -> tuple[np.ndarray,
     odds = F.log(a / (n1 + total - a)) - F.log(b / (n0 + total - b))
     z = F.col("odds") / F.sqrt(1 / a + 1 / b)
     rows = counts.filter(F.col("a") >= LEAST_DOCS).withColumn("odds", odds).withColumn("z", z).filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
-    rows = rows.orderBy(F.desc("z"), "f").limit(most).select("f", "odds").collect()
+    rows = rows.select("f", "odds").collect()  # tokens of the training rows that mark toxic text
     f, v = np.array([r["f"] for r in rows], np.int64).view(np.uint64), np.array([r["odds"] for r in rows], float)
     order = np.argsort(f)
     return f[order], np.concatenate([[0.0], v[order]])
@@ -156,7 +156,7 @@ def decay(lex: tuple, clean: DataFrame) -> float:
     return min(max(lo, 0.1), 2.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, most: int = LEXICON, id_col: str = "doc_id"):
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id"):
     """(lexicon, lambda, cut): what scoring needs. Learns only from labels whose crc32(id as text) mod 5 is not 0."""
     fold = F.pmod(F.crc32(F.col("_id").cast("string")), F.lit(5))
     marked = labels.select(F.col("doc_id").alias("_id"), "toxic").filter("toxic IS NOT NULL AND _id IS NOT NULL").groupBy("_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(fold != 0)
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, most:
 
     def without(k):
         own = [x for x in FOLDS if x != k]
-        return lexicon(counts.selectExpr("f", " + ".join(f"n1{x}" for x in own) + " AS a", " + ".join(f"n0{x}" for x in own) + " AS b"), *(sum(n.get((t, x), 0) for x in own) for t in (1, 0)), most)
+        return lexicon(counts.selectExpr("f", " + ".join(f"n1{x}" for x in own) + " AS a", " + ".join(f"n0{x}" for x in own) + " AS b"), *(sum(n.get((t, x), 0) for x in own) for t in (1, 0)))
 
     full, early = without(None), {k: without(k) for k in FOLDS}
     rate = decay(full, train.filter("toxic = 0"))
@@ -216,13 +216,13 @@ def score(docs: DataFrame, model: tuple) -> DataFrame:
     return base.mapInArrow(run, StructType(base.schema.fields + StructType.fromDDL(SCORED).fields))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, most: int = LEXICON, id_col: str = "doc_id") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id") -> DataFrame:
     """docs with score (0 to 1), predicted (score >= 0.5) and the significant segments.
 
     Null and empty texts have no token and the score of no evidence. Without labels or toxic examples the lexicon is empty. Labels repeated for an
     id count as toxic if one is; null labels and ids aren't learnt from. Repeated rows get equal scores.
     """
-    return score(docs, fit(docs, labels, train_rows, most, id_col))
+    return score(docs, fit(docs, labels, train_rows, id_col))
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:

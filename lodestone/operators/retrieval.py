@@ -140,6 +140,17 @@ def gap_record(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return rows.select("query_id", confirmed.alias("confirmed"), missing.alias("missing"), F.round(F.size(confirmed) / F.greatest(F.lit(1), F.size("t")), 4).alias("coverage"))
 
 
+def by_utility(hits: DataFrame, anchors: DataFrame, gap: DataFrame, k: int) -> DataFrame:
+    """The k hits (query_id, doc, score, text) of each query of most use, with utility and rank: the score, the share of the query's anchors
+    (query_id, anchor) and the share of its missing entities (gap: query_id, missing) that the text holds. Ties go to the smaller doc."""
+    low = F.lower("text")
+    cover = hits.join(anchors, "query_id").groupBy("query_id", "doc").agg((F.count_if(F.contains(low, F.col("anchor"))) / F.count("*")).alias("_cover"))
+    rows = hits.join(cover, ["query_id", "doc"], "left").join(gap, "query_id", "left")
+    closing = F.when(F.coalesce(F.size("missing"), F.lit(0)) > 0, F.size(F.filter("missing", lambda e: F.contains(low, F.lower(e)))) / F.size("missing")).otherwise(0.0)
+    utility = F.lit(0.35) * F.least(F.col("score") / F.lit(10.0), F.lit(1.0)) + F.lit(0.35) * F.coalesce("_cover", F.lit(0.0)) + F.lit(0.30) * closing
+    return top(rows.withColumn("utility", F.round(utility, 6)).drop("_cover", "missing"), "query_id", [F.desc("utility"), "doc"], k)
+
+
 def expanded_terms(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, term, match, distance): index terms within 0, 1 or 2 edits of a query term (for terms up to 2, 5 and more letters).
 

@@ -133,10 +133,19 @@ def prj17(spark, d):
     return c.select("conv_id", "turn", key.alias("state_key"), T.state_key(T.important_terms(text, 12)).alias("terms_key"), T.action_key({"context": F.col("turn"), "triplets": F.size(T.important_terms(text, 80))}).alias("action_key"))
 
 
-@query("prj20_low_value", r"SELECT doc_id, pos, n_mail + n_year + n_comma > 12 OR starts_with(lower(sentence), 'correspondence') AS low_value FROM (SELECT doc_id, pos, sentence, len(regexp_extract_all(sentence, '@')) AS n_mail, len(regexp_extract_all(sentence, '(19|20)[0-9]{2}')) AS n_year, len(regexp_extract_all(sentence, ',')) AS n_comma FROM sentences)".replace("SELECT doc_id, pos, n_mail", f"WITH {D.SENTENCES} SELECT doc_id, pos, n_mail", 1))
+def low_value_sql(c: str) -> str:
+    n = lambda x, p: f"len(regexp_extract_all({x}, '{p}'))"
+    long_words = f"len(list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{6,}}')))"
+    authors, marks = n(c, T.AUTHOR_INITIAL), n(f"lower({c})", T.CITATION_MARK)
+    report = f"{D.contains_any(f'lower({c})', T.CASE_REPORT)} AND NOT {D.contains_any(f'lower({c})', T.ONCOLOGY)}"
+    return f"(contains(lower({c}), 'correspondence') OR {authors} >= 4 OR ({authors} >= 2 AND {marks} >= 1) OR ({marks} >= 2 AND {long_words} >= 8) OR (contains(lower({c}), 'physician') AND contains(lower({c}), 'noted') AND {D.contains_any(f'lower({c})', T.ADVICE)}) OR ({report}))"
+
+
+#: Lines of documents and whole documents, for a query that compares.
+@query("prj20_low_value", f"WITH {D.SENTENCES} SELECT doc_id, pos, {low_value_sql('sentence')} AS low_value FROM sentences UNION ALL SELECT doc_id, -1, {low_value_sql('text')} FROM documents WHERE text IS NOT NULL")
 def prj20(spark, d):
-    n = lambda p: F.regexp_count("sentence", F.lit(p))
-    return V.sentences(spark, d).select("doc_id", "pos", ((n("@") + n("(19|20)[0-9]{2}") + n(",") > 12) | F.lower("sentence").startswith("correspondence")).alias("low_value"))
+    rows = V.sentences(spark, d).unionByName(V.table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.lit(-1).cast("long").alias("pos"), F.col("text").alias("sentence")))
+    return rows.select("doc_id", "pos", T.low_value(F.col("sentence"), F.lit("compare")).alias("low_value"))
 
 
 @query("prj21_blended_types", f"WITH {D.TRIPLES} SELECT triple_id, CASE WHEN b >= g THEN 'bio' ELSE 'gen' END AS label, round(greatest(b, g), 6) AS score FROM (SELECT triple_id, 0.6::DOUBLE * s_ebio + 0.4::DOUBLE * o_ebio AS b, 0.6::DOUBLE * s_ngen + 0.4::DOUBLE * o_ngen AS g FROM triples)")

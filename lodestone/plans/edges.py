@@ -114,14 +114,14 @@ def u02(spark, d):
 
 @query("u03_entity_classes")
 def u03(spark, d):
-    t = V.triples(spark, d).filter("pos = 0").select("triple_id", "subject")
+    t = V.triples(spark, d).select("triple_id", "subject")
     got = M.scored(t, ["subject"], M.dictionary_labels({"bio": ["the", "thin"], "gen": ["and", "der"]}), "bio double, gen double")
     return got.withColumn("label", F.when(F.col("bio") >= F.col("gen"), "bio").otherwise("gen"))
 
 
 @query("u04_extracted_triples")
 def u04(spark, d):
-    s = V.sentences(spark, d).filter("pos = 0").select("doc_id", "sentence")
+    s = V.sentences(spark, d).select("doc_id", "sentence")
     return M.scored(s, ["sentence"], M.pattern_triples(), "subject string, relation string, object string")
 
 

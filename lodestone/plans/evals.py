@@ -28,14 +28,14 @@ PHRASES = {"caveat": ["only"], "transfer": ["idiot"], "wrong": ["stheon"], "over
 
 
 def claims(spark, d):
-    return V.sentences(spark, d).filter("pos < 10").select("doc_id", "pos", F.col("sentence").alias("claim"))
+    return V.sentences(spark, d).select("doc_id", "pos", F.col("sentence").alias("claim"))
 
 
 def gold(spark, d):
     return V.table(spark, d, "benchmark").select(F.col("item_id").alias("gold_id"), F.col("text").alias("claim"))
 
 
-CL = f"{D.SENTENCES}, cl AS (SELECT doc_id, pos, sentence AS claim FROM sentences WHERE pos < 10)"
+CL = f"{D.SENTENCES}, cl AS (SELECT doc_id, pos, sentence AS claim FROM sentences)"
 HIT = "contains(' ' || regexp_replace(lower(claim), '[^a-z0-9-]+', ' ', 'g') || ' ', ' ' || alias || ' ')"
 ALIAS_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ALIASES) + ") a(canonical, alias)"
 
@@ -56,9 +56,9 @@ def join08(spark, d):
     return E.best_gold(claims(spark, d), ["doc_id", "pos"], "claim", gold(spark, d))
 
 
-@query("join09_best_graph", f"WITH {CL}, g AS (SELECT item_id % 5 AS graph_id, unnest({D.important('text', 3)}) AS node FROM benchmark WHERE item_id < 15), gd AS (SELECT DISTINCT graph_id, node FROM g), m AS (SELECT conv_id, turn, graph_id, coalesce(string_agg(node, ',' ORDER BY node) FILTER (NOT contains(lower(text), node)), '') AS missing, count(*) FILTER (NOT contains(lower(text), node)) AS k, count(*) AS n FROM conversations, gd GROUP BY ALL) SELECT conv_id, turn, graph_id, missing, score FROM (SELECT *, round(1 - k::DOUBLE / n, 4) AS score, row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(1 - k::DOUBLE / n, 4) DESC, graph_id) AS r FROM m) WHERE r = 1")
+@query("join09_best_graph", f"WITH {CL}, g AS (SELECT item_id // 3 AS graph_id, unnest({D.important('text', 3)}) AS node FROM benchmark), gd AS (SELECT DISTINCT graph_id, node FROM g), m AS (SELECT conv_id, turn, graph_id, coalesce(string_agg(node, ',' ORDER BY node) FILTER (NOT contains(lower(text), node)), '') AS missing, count(*) FILTER (NOT contains(lower(text), node)) AS k, count(*) AS n FROM conversations, gd GROUP BY ALL) SELECT conv_id, turn, graph_id, missing, score FROM (SELECT *, round(1 - k::DOUBLE / n, 4) AS score, row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(1 - k::DOUBLE / n, 4) DESC, graph_id) AS r FROM m) WHERE r = 1")
 def join09(spark, d):
-    g = V.table(spark, d, "benchmark").filter("item_id < 15").select((F.col("item_id") % 5).alias("graph_id"), F.explode(T.important_terms(F.col("text"), 3)).alias("node")).distinct()
+    g = V.table(spark, d, "benchmark").select(F.floor(F.col("item_id") / 3).alias("graph_id"), F.explode(T.important_terms(F.col("text"), 3)).alias("node")).distinct()
     return E.best_graph(V.table(spark, d, "conversations"), ["conv_id", "turn"], "text", g).withColumn("missing", F.array_join("missing", ","))
 
 
@@ -145,11 +145,11 @@ def join11(spark, d):
     return E.replayed(turns, own.unionByName(any_)).withColumn("answer", F.md5("answer")).select("scenario", "turn", "variant", "answer")
 
 
-@query("join12_traps_of_turns", "WITH t AS (SELECT conv_id * 100 + turn AS turn_id, unnest(['premise_' || conv_id % 7, 'drift_' || turn]) AS trap_id FROM conversations), b AS (SELECT 'premise_' || event_id AS trap_id, event_type AS type, 4 AS severity FROM events WHERE event_id < 4) SELECT turn_id, t.trap_id, coalesce(type, CASE WHEN contains(t.trap_id, 'premise') THEN 'user_false_premise' WHEN contains(t.trap_id, 'drift') THEN 'scope_drift' ELSE 'generated_trap' END) AS type, coalesce(severity, CASE WHEN contains(t.trap_id, 'premise') THEN 5 ELSE 3 END) AS severity FROM t LEFT JOIN b USING (trap_id)")
+@query("join12_traps_of_turns", "WITH t AS (SELECT conv_id * 100 + turn AS turn_id, unnest(['premise_' || conv_id % 7, 'drift_' || turn]) AS trap_id FROM conversations), b AS (SELECT 'premise_' || event_id AS trap_id, event_type AS type, 4 AS severity FROM events) SELECT turn_id, t.trap_id, coalesce(type, CASE WHEN contains(t.trap_id, 'premise') THEN 'user_false_premise' WHEN contains(t.trap_id, 'drift') THEN 'scope_drift' ELSE 'generated_trap' END) AS type, coalesce(severity, CASE WHEN contains(t.trap_id, 'premise') THEN 5 ELSE 3 END) AS severity FROM t LEFT JOIN b USING (trap_id)")
 def join12(spark, d):
     c = V.table(spark, d, "conversations")
     turns = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), F.array(F.concat(F.lit("premise_"), (F.col("conv_id") % 7).cast("string")), F.concat(F.lit("drift_"), F.col("turn").cast("string"))).alias("trap_ids"))
-    bank = V.table(spark, d, "events").filter("event_id < 4").select(F.concat(F.lit("premise_"), F.col("event_id").cast("string")).alias("trap_id"), F.col("event_type").alias("type"), F.lit(4).alias("severity"))
+    bank = V.table(spark, d, "events").select(F.concat(F.lit("premise_"), F.col("event_id").cast("string")).alias("trap_id"), F.col("event_type").alias("type"), F.lit(4).alias("severity"))
     return E.traps_of(turns, bank)
 
 

@@ -11,7 +11,7 @@ from lodestone.operators import windows as W
 from lodestone.plans import duck as D
 from lodestone.plans import ranked as K
 from lodestone.plans.columns import redact_sql
-from lodestone.plans.judged import IDEAS, PAIRS, idea_turns, nli_pairs
+from lodestone.plans.judged import IDEAS, MOST_EVIDENCE, PAIRS, idea_turns, nli_pairs
 from lodestone.sources import views as V
 
 Q, S = {}, {}
@@ -38,9 +38,9 @@ def prj11(spark, d):
     return E.concepts(V.triples(spark, d), "triple_id", "subject", syn)
 
 
-@query("prj16_lettered_options", r"WITH t AS (SELECT doc_id, 'a) ' || replace(substr(text, 1, 200), chr(10), chr(10) || 'b) ') AS t FROM documents), l AS (SELECT doc_id, regexp_extract_all(lower(t), '(?m)^\s*\(?([a-h])[).:]\s+\S', 1) AS l FROM t) SELECT doc_id, len(l) >= 2 AND len(list_filter(l, lambda x, i: ascii(x) <> 96 + i)) = 0 AS offers FROM l")
+@query("prj16_lettered_options", r"WITH t AS (SELECT doc_id, 'a) ' || replace(text, chr(10), chr(10) || 'b) ') AS t FROM documents), l AS (SELECT doc_id, regexp_extract_all(lower(t), '(?m)^\s*\(?([a-h])[).:]\s+\S', 1) AS l FROM t) SELECT doc_id, len(l) >= 2 AND len(list_filter(l, lambda x, i: ascii(x) <> 96 + i)) = 0 AS offers FROM l")
 def prj16(spark, d):
-    t = F.concat(F.lit("a) "), F.replace(F.substring("text", 1, 200), F.lit("\n"), F.lit("\nb) ")))
+    t = F.concat(F.lit("a) "), F.replace(F.col("text"), F.lit("\n"), F.lit("\nb) ")))
     return V.table(spark, d, "documents").select("doc_id", T.offers_options(t).alias("offers"))
 
 
@@ -81,16 +81,16 @@ def prj23(spark, d):
     return E.query_anchors(K.asked(spark, d), generic(spark, d), aliases, 6)
 
 
-@query("prj24_external_query", f"WITH r AS (SELECT doc_id, regexp_replace({'RED'}, '\\[[a-z]+\\]', ' ', 'g') AS t FROM documents) SELECT doc_id, array_to_string(list_slice(list_filter({D.important('t', 40)}, lambda x: x NOT IN ('einen', 'thing')), 1, 12), ' ') AS query FROM r".replace("RED", redact_sql("substr(text, 1, 400)")))
+@query("prj24_external_query", f"WITH r AS (SELECT doc_id, regexp_replace({'RED'}, '\\[[a-z]+\\]', ' ', 'g') AS t FROM documents) SELECT doc_id, array_to_string(list_slice(list_filter({D.important('t', 40)}, lambda x: x NOT IN ('einen', 'thing')), 1, 12), ' ') AS query FROM r".replace("RED", redact_sql("text")))
 def prj24(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", E.external_query(F.substring("text", 1, 400), ["einen", "thing"], 12).alias("query"))
+    return V.table(spark, d, "documents").select("doc_id", E.external_query(F.col("text"), ["einen", "thing"], 12).alias("query"))
 
 
-@query("ret15_seed_preserved", f"WITH p AS (SELECT a.item_id AS query_id, {D.important('a.text', 40)} AS s, {D.important('substr(a.text, 1, 60) || b.text', 40)} AS c FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1) SELECT query_id, len(list_intersect(s, c)) >= 0.5::DOUBLE * len(s) AND len(list_filter(c, lambda x: NOT list_contains(s, x))) <= 0.6::DOUBLE * greatest(1, len(c)) AS preserved FROM p")
+@query("ret15_seed_preserved", f"WITH p AS (SELECT a.item_id AS query_id, {D.important('a.text', 40)} AS s, {D.important('b.text || a.text', 40)} AS c FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1) SELECT query_id, len(list_intersect(s, c)) >= 0.5::DOUBLE * len(s) AND len(list_filter(c, lambda x: NOT list_contains(s, x))) <= 0.6::DOUBLE * greatest(1, len(c)) AS preserved FROM p")
 def ret15(spark, d):
     b = V.table(spark, d, "benchmark")
     nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
-    return b.join(nxt, "item_id").select(F.col("item_id").alias("query_id"), E.preserves_seed(F.col("text"), F.concat(F.substring("text", 1, 60), "other")).alias("preserved"))
+    return b.join(nxt, "item_id").select(F.col("item_id").alias("query_id"), E.preserves_seed(F.col("text"), F.concat("other", "text")).alias("preserved"))
 
 
 @query("ret13_ranked_ideas", f"WITH {IDEAS}, g AS (SELECT idea, round(least(1.0::DOUBLE, 0.40::DOUBLE * ln(1 + count(*)) / ln(33.0::DOUBLE) + 0.30::DOUBLE * greatest(0.0::DOUBLE, least(1.0::DOUBLE, round(avg(reward), 6))) + 0.20::DOUBLE), 4) AS importance FROM (SELECT session_id, reward, unnest(ideas) AS idea FROM id) GROUP BY idea), q AS (SELECT DISTINCT item_id AS query_id, unnest({D.terms('text')}) AS idea FROM benchmark) SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY importance DESC, idea) AS rank, idea, round(importance + 1, 4) AS score FROM q JOIN g USING (idea)) WHERE rank <= 8")
@@ -148,27 +148,28 @@ def names_sql(c):
     return rf"list_distinct(list_transform(regexp_extract_all(coalesce({c}, ''), '\b[A-Z][A-Za-z0-9-]*(?:\s+[A-Z][A-Za-z0-9-]*){{0,3}}'), lambda x: lower(x)))"
 
 
-CMP = f"""cp AS (SELECT item_id AS query_id, doc_id, b.text AS h, d.text AS p FROM benchmark b JOIN (SELECT doc_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 300) AS text FROM documents) d ON d.doc_id % 40 = b.item_id % 40),
+CMP = f"""{K.bm25_sql(K.DOCS, K.FIELDS, K.BOOSTS, MOST_EVIDENCE)}, cp AS (SELECT query_id, doc_id, b.text AS h, d.text AS p FROM ranked JOIN benchmark b ON b.item_id = query_id JOIN (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM documents) d ON d.doc_id = doc),
 cl AS (SELECT query_id, doc_id, {D.jaccard(D.important('p', 80), D.important('h', 120))} AS lex, list_distinct(list_filter({D.terms('p')}, lambda x: x NOT IN ({D.quoted(T.STOP)}))) AS pw, list_distinct(list_filter({D.terms('h')}, lambda x: x NOT IN ({D.quoted(T.STOP)}))) AS hw, {names_sql('p')} AS pe, {names_sql('h')} AS he, list_intersect(list_distinct({D.terms('p')}), [{D.quoted(REL)}]) AS pr, list_intersect(list_distinct({D.terms('h')}), [{D.quoted(REL)}]) AS hr, list_intersect(list_distinct({D.terms('p')}), [{D.quoted(COND)}]) AS pc, list_intersect(list_distinct({D.terms('h')}), [{D.quoted(COND)}]) AS hc, ({D.hits('p', NEGS)} > 0) <> ({D.hits('h', NEGS)} > 0) AS neg FROM cp)"""
 
 
 @query("join07_comparability", f"WITH {CMP}, u AS (SELECT *, len(pc) > 0 AND len(hc) > 0 AND len(list_intersect(pc, hc)) = 0 AS uc, len(pe) > 0 AND len(he) > 0 AND len(list_intersect(pe, he)) = 0 AS ue, len(pr) > 0 AND len(hr) > 0 AND len(list_intersect(pr, hr)) = 0 AS ur FROM cl) SELECT query_id, doc_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.20::DOUBLE * lex + 0.25::DOUBLE * {D.jaccard('pw', 'hw')} + 0.35::DOUBLE * greatest({D.jaccard('pe', 'he')}, {D.jaccard('pw', 'he')}) + 0.20::DOUBLE * {D.jaccard('pr', 'hr')} + CASE WHEN uc THEN -0.25 ELSE 0.0 END::DOUBLE + CASE WHEN ue THEN -0.35 ELSE 0.0 END::DOUBLE + CASE WHEN ur THEN -0.15 ELSE 0.0 END::DOUBLE + CASE WHEN neg THEN 0.05 ELSE 0.0 END::DOUBLE)), 4) AS score, concat_ws(',', CASE WHEN uc THEN 'condition_mismatch' END, CASE WHEN ue THEN 'entity_mismatch' END, CASE WHEN ur THEN 'relation_mismatch' END, CASE WHEN neg THEN 'negation_mismatch' END) AS reasons FROM u")
 def join07(spark, d):
-    b = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("h"), (F.col("item_id") % 40).alias("k"))
-    docs = V.table(spark, d, "documents").select("doc_id", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 300).alias("p"), (F.col("doc_id") % 40).alias("k"))
+    b = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("h"))
+    docs = V.table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("p"))
+    hits = K.ret02(spark, d, MOST_EVIDENCE).select("query_id", F.col("doc").alias("doc_id"))
     c = E.comparability(F.col("p"), F.col("h"), REL, COND, NEGS)
-    return docs.join(b, "k").select("query_id", "doc_id", c["score"].alias("score"), F.array_join(c["reasons"], ",").alias("reasons"))
+    return docs.join(hits, "doc_id").join(b, "query_id").select("query_id", "doc_id", c["score"].alias("score"), F.array_join(c["reasons"], ",").alias("reasons"))
 
 
-@query("join14_filled_abstracts", "SELECT l.doc_id, coalesce(nullif(substr(d.text, 1, 40), ''), 'none') AS abstract FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.doc_id % 2 = 0".replace("coalesce(nullif(substr(d.text, 1, 40), ''), 'none')", "coalesce(substr(d.text, 1, 40), 'none')"))
+@query("join14_filled_abstracts", "SELECT l.doc_id, coalesce(d.text, 'none') AS abstract FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id")
 def join14(spark, d):
-    docs = V.table(spark, d, "documents").filter("doc_id % 2 = 0").select("doc_id", F.substring("text", 1, 40).alias("found"))
+    docs = V.table(spark, d, "documents").select("doc_id", F.col("text").alias("found"))
     return V.table(spark, d, "labels").join(docs, "doc_id", "left").select("doc_id", F.coalesce("found", F.lit("none")).alias("abstract"))
 
 
-@query("join15_support_sentences", f"WITH {D.TRIPLES}, s AS (SELECT doc_id, pos FROM sentences WHERE pos < 2) SELECT s.doc_id, s.pos, count(triple_id) AS n_triples, string_agg(subject || ' ' || relation || ' ' || object, '; ' ORDER BY triple_id) AS triples FROM s LEFT JOIN triples t ON t.doc_id = s.doc_id AND t.pos = s.pos GROUP BY ALL")
+@query("join15_support_sentences", f"WITH {D.TRIPLES}, s AS (SELECT doc_id, pos FROM sentences) SELECT s.doc_id, s.pos, count(triple_id) AS n_triples, string_agg(subject || ' ' || relation || ' ' || object, '; ' ORDER BY triple_id) AS triples FROM s LEFT JOIN triples t ON t.doc_id = s.doc_id AND t.pos = s.pos GROUP BY ALL")
 def join15(spark, d):
-    s = V.sentences(spark, d).filter("pos < 2").select("doc_id", "pos")
+    s = V.sentences(spark, d).select("doc_id", "pos")
     t = V.triples(spark, d).select("doc_id", "pos", F.struct("triple_id", F.concat_ws(" ", "subject", "relation", "object").alias("t")).alias("x"))
     g = s.join(t, ["doc_id", "pos"], "left").groupBy("doc_id", "pos").agg(F.count("x").alias("n_triples"), F.array_sort(F.collect_list("x")).alias("xs"))
     return g.select("doc_id", "pos", "n_triples", F.nullif(F.array_join("xs.t", "; "), F.lit("")).alias("triples"))

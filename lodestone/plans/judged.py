@@ -9,7 +9,7 @@ from lodestone.operators import graph as G
 from lodestone.operators import rewards as W
 from lodestone.operators import windows as Win
 from lodestone.plans import duck as D
-from lodestone.plans.ranked import DOCS, FIELDS, BOOSTS, SCORED, anchors, bm25_sql, hit_texts, scored_triples
+from lodestone.plans.ranked import DOCS, FIELDS, BOOSTS, SCORED, anchors, bm25_sql, hit_texts, ret02, scored_triples
 from lodestone.sources import views as V
 
 Q, S = {}, {}
@@ -52,7 +52,7 @@ def join10(spark, d):
     return W.pairs(V.memory_docs(spark, d)).select("session_id", "turn_index", F.length("question").cast("long").alias("q_len"), F.length("answer").cast("long").alias("a_len"))
 
 
-CLAIMS = f"{D.SENTENCES}, cl AS (SELECT doc_id AS s, pos AS claim_id, sentence, {D.important('sentence', 80)} AS ca, {D.important('sentence', 120)} AS cb, {D.important('sentence', 24)} AS c24 FROM sentences WHERE pos < 12)"
+CLAIMS = f"{D.SENTENCES}, cl AS (SELECT doc_id AS s, pos AS claim_id, sentence, {D.important('sentence', 80)} AS ca, {D.important('sentence', 120)} AS cb, {D.important('sentence', 24)} AS c24 FROM sentences)"
 
 
 #: The texts are invented: frequent driver words stand in for negations.
@@ -60,7 +60,7 @@ DRIVER_NEGATORS = ["with", "was", "nicht", "pas", "por"]
 
 
 def doc_claims(spark, d):
-    return V.sentences(spark, d).filter("pos < 12").select("doc_id", F.col("pos").alias("claim_id"), F.col("sentence").alias("claim"))
+    return V.sentences(spark, d).select("doc_id", F.col("pos").alias("claim_id"), F.col("sentence").alias("claim"))
 
 
 @query("join04_claim_conflicts", f"WITH {CLAIMS}, n AS (SELECT s, claim_id, c24, {NEG('sentence', DRIVER_NEGATORS)} AS neg FROM cl) SELECT a.s AS doc_id, a.claim_id, min(b.claim_id) AS prior_id FROM n a JOIN n b ON a.s = b.s AND b.claim_id < a.claim_id AND a.neg <> b.neg WHERE len(list_intersect(a.c24, b.c24)) > 0 AND len(list_intersect(a.c24, b.c24))::DOUBLE / greatest(1, least(len(a.c24), len(b.c24))) >= 0.45 GROUP BY a.s, a.claim_id")
@@ -80,13 +80,16 @@ def nli_sql(premise, hypothesis):
     return f"(SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, o - c * 0.5::DOUBLE)) AS e FROM (SELECT *, CASE WHEN o > 0.15 AND {NEG(premise, C.NLI_NEGATORS)} <> {NEG(hypothesis, C.NLI_NEGATORS)} THEN least(1.0::DOUBLE, o + 0.25::DOUBLE) ELSE 0.0::DOUBLE END AS c FROM (SELECT *, {o} AS o FROM PAIRS)))"
 
 
-PAIRS = f"pr AS (SELECT item_id AS query_id, doc_id AS evidence_id, b.text AS hypo, d.text AS prem, {D.important('d.text', 80)} AS pa, {D.important('b.text', 120)} AS pb FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40), sc AS (SELECT query_id, evidence_id, e, c, greatest(0.0::DOUBLE, 1.0::DOUBLE - e - c) AS n FROM {nli_sql('prem', 'hypo').replace('PAIRS', 'pr')}), nl AS (SELECT query_id, evidence_id, round(e, 4) AS entailment, round(c, 4) AS contradiction, round(n, 4) AS neutral, CASE WHEN e >= greatest(c, n) THEN 'entailment' WHEN c >= n THEN 'contradiction' ELSE 'neutral' END AS label FROM sc)"
+#: Evidence for a claim: its best documents by BM25, at most 8.
+MOST_EVIDENCE = 8
+PAIRS = f"{bm25_sql(DOCS, FIELDS, BOOSTS, MOST_EVIDENCE)}, pr AS (SELECT query_id, doc_id AS evidence_id, b.text AS hypo, d.text AS prem, {D.important('d.text', 80)} AS pa, {D.important('b.text', 120)} AS pb FROM ranked JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = doc), sc AS (SELECT query_id, evidence_id, e, c, greatest(0.0::DOUBLE, 1.0::DOUBLE - e - c) AS n FROM {nli_sql('prem', 'hypo').replace('PAIRS', 'pr')}), nl AS (SELECT query_id, evidence_id, round(e, 4) AS entailment, round(c, 4) AS contradiction, round(n, 4) AS neutral, CASE WHEN e >= greatest(c, n) THEN 'entailment' WHEN c >= n THEN 'contradiction' ELSE 'neutral' END AS label FROM sc)"
 
 
 def nli_pairs(spark, d):
-    b = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("hypo"), (F.col("item_id") % 40).alias("k"))
-    docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("evidence_id"), F.col("text").alias("prem"), (F.col("doc_id") % 40).alias("k"))
-    return C.scored_pairs(docs.join(b, "k"), "prem", "hypo").select("query_id", "evidence_id", "entailment", "contradiction", "neutral", "label")
+    b = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("hypo"))
+    docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("evidence_id"), F.col("text").alias("prem"))
+    hits = ret02(spark, d, MOST_EVIDENCE).select("query_id", F.col("doc").alias("evidence_id"))
+    return C.scored_pairs(docs.join(hits, "evidence_id").join(b, "query_id"), "prem", "hypo").select("query_id", "evidence_id", "entailment", "contradiction", "neutral", "label")
 
 
 @query("u01_heuristic_scores", f"WITH {PAIRS} SELECT * FROM nl")
@@ -94,12 +97,9 @@ def u01(spark, d):
     return nli_pairs(spark, d)
 
 
-@query("join06_claim_support", f"WITH {PAIRS}, s AS (SELECT *, CASE WHEN contradiction >= 0.3 THEN 'contradicted' WHEN entailment >= 0.05 THEN 'entailed' ELSE 'unsupported' END AS st FROM nl), g AS (SELECT query_id, count(*) AS n_checked, count(*) FILTER (st = 'contradicted') AS nc, count(*) FILTER (st = 'entailed') AS ne FROM s GROUP BY query_id), bc AS (SELECT query_id, evidence_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY contradiction DESC, evidence_id) AS r FROM s WHERE st = 'contradicted') WHERE r = 1), be AS (SELECT query_id, evidence_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY entailment DESC, evidence_id) AS r FROM s WHERE st = 'entailed') WHERE r = 1) SELECT g.query_id, CASE WHEN nc > 0 THEN 'contradicted' WHEN ne > 0 THEN 'entailed' ELSE 'unsupported' END AS status, n_checked, CASE WHEN nc > 0 THEN bc.evidence_id WHEN ne > 0 THEN be.evidence_id END AS best_evidence FROM g LEFT JOIN bc USING (query_id) LEFT JOIN be USING (query_id)")
+@query("join06_claim_support", f"WITH {PAIRS}, s AS (SELECT *, CASE WHEN contradiction >= 0.5 THEN 'contradicted' WHEN entailment >= 0.5 AND entailment >= neutral THEN 'entailed' ELSE 'unsupported' END AS st FROM nl), g AS (SELECT query_id, count(*) AS n_checked, count(*) FILTER (st = 'contradicted') AS nc, count(*) FILTER (st = 'entailed') AS ne FROM s GROUP BY query_id), bc AS (SELECT query_id, evidence_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY contradiction DESC, evidence_id) AS r FROM s WHERE st = 'contradicted') WHERE r = 1), be AS (SELECT query_id, evidence_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY entailment DESC, evidence_id) AS r FROM s WHERE st = 'entailed') WHERE r = 1) SELECT g.query_id, CASE WHEN nc > 0 THEN 'contradicted' WHEN ne > 0 THEN 'entailed' ELSE 'unsupported' END AS status, n_checked, CASE WHEN nc > 0 THEN bc.evidence_id WHEN ne > 0 THEN be.evidence_id END AS best_evidence FROM g LEFT JOIN bc USING (query_id) LEFT JOIN be USING (query_id)")
 def join06(spark, d):
-    rows = nli_pairs(spark, d).withColumn("neutral", F.lit(0.0))
-    s = C.status(F.col("entailment"), F.col("contradiction"), F.col("neutral"), 0.05, 0.3)
-    rows = rows.withColumn("_s", s).withColumn("entailment", F.when(F.col("_s") == "entailed", F.col("entailment") + 1).otherwise(0.0)).withColumn("contradiction", F.when(F.col("_s") == "contradicted", F.col("contradiction") + 1).otherwise(0.0))
-    return C.support(rows, ["query_id"])
+    return C.support(nli_pairs(spark, d), ["query_id"])
 
 
 @query("agg20_panel_consensus", f"WITH {PAIRS}, g AS (SELECT query_id, round(avg(entailment), 4) AS entailment, round(max(contradiction), 4) AS contradiction, round(avg(neutral), 4) AS neutral, list(label) AS l FROM nl GROUP BY query_id), h AS (SELECT *, CASE WHEN entailment >= contradiction AND entailment >= neutral THEN 'entailment' WHEN contradiction >= neutral THEN 'contradiction' ELSE 'neutral' END AS label FROM g) SELECT query_id, entailment, contradiction, neutral, label, round(len(list_filter(l, lambda x: x = label))::DOUBLE / len(l), 4) AS agreement FROM h")
@@ -231,9 +231,9 @@ def agg15(spark, d):
     return W.compared(mean(e.filter("action < 5")), mean(e.filter("action >= 5")), "scope", "v")
 
 
-@query("agg16_selected_sources", "SELECT doc_id, source FROM documents WHERE regexp_matches(source, '^src[0-9]$') AND CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) % 2 = 0 ORDER BY doc_id LIMIT 100")
+@query("agg16_selected_sources", "SELECT doc_id, source FROM documents WHERE regexp_matches(source, '^src[0-9]$') AND CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) % 2 = 0")
 def agg16(spark, d):
-    return V.table(spark, d, "documents").filter(F.col("source").rlike("^src[0-9]$") & (F.regexp_extract("source", "([0-9]+)", 1).cast("int") % 2 == 0)).orderBy("doc_id").limit(100).select("doc_id", "source")
+    return V.table(spark, d, "documents").filter(F.col("source").rlike("^src[0-9]$") & (F.regexp_extract("source", "([0-9]+)", 1).cast("int") % 2 == 0)).select("doc_id", "source")
 
 
 IDEAS = f"{D.MEMORY}, id AS (SELECT session_id, importance AS reward, {D.important('text', 16)} AS ideas FROM memory_docs)"
@@ -271,16 +271,16 @@ def agg25(spark, d):
     return V.memory_docs(spark, d).withColumn("episode", F.floor(F.col("turn_index") / 4).cast("int")).groupBy("session_id", "episode").agg(F.min("turn_index").alias("first_turn"), F.max("turn_index").alias("last_turn"), F.count("*").alias("n"), F.round(F.max("importance"), 4).alias("importance"))
 
 
-@query("set01_evidence_union", f"WITH {D.SENTENCES}, u AS (SELECT 'pinned' AS source, 0 AS p, doc_id, pos, sentence AS text FROM sentences WHERE pos = 0 UNION ALL SELECT 'memory', 1, doc_id, pos, sentence FROM sentences WHERE pos < 3), e AS (SELECT 'ev_' || substr(sha256(doc_id || chr(10) || pos || chr(10) || substr(text, 1, 240)), 1, 24) AS evidence_id, source, p, text FROM u) SELECT evidence_id, source, text FROM (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY p, text) AS r FROM e) WHERE r = 1")
+@query("set01_evidence_union", f"WITH {D.SENTENCES}, u AS (SELECT 'pinned' AS source, 0 AS p, doc_id, pos, sentence AS text FROM sentences WHERE length(sentence) >= 120 UNION ALL SELECT 'memory', 1, doc_id, pos, sentence FROM sentences), e AS (SELECT 'ev_' || substr(sha256(doc_id || chr(10) || pos || chr(10) || substr(text, 1, 240)), 1, 24) AS evidence_id, source, p, text FROM u) SELECT evidence_id, source, text FROM (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY p, text) AS r FROM e) WHERE r = 1")
 def set01(spark, d):
     s = V.sentences(spark, d).withColumnRenamed("sentence", "text")
-    return G.evidence_union([("pinned", s.filter("pos = 0")), ("memory", s.filter("pos < 3"))])
+    return G.evidence_union([("pinned", s.filter("length(text) >= 120")), ("memory", s)])
 
 
-@query("set02_selected_context", f"WITH {D.MEMORY}, {D.SENTENCES} SELECT 'memory' AS origin, session_id AS id, text, CAST(NULL AS BIGINT) AS pos FROM memory_docs WHERE turn_index = 0 UNION ALL SELECT 'document', doc_id, sentence, pos FROM sentences WHERE pos = 0")
+@query("set02_selected_context", f"WITH {D.MEMORY}, {D.SENTENCES} SELECT 'memory' AS origin, session_id AS id, text, CAST(NULL AS BIGINT) AS pos FROM memory_docs UNION ALL SELECT 'document', doc_id, sentence, pos FROM sentences")
 def set02(spark, d):
-    a = V.memory_docs(spark, d).filter("turn_index = 0").select(F.lit("memory").alias("origin"), F.col("session_id").alias("id"), "text")
-    b = V.sentences(spark, d).filter("pos = 0").select(F.lit("document").alias("origin"), F.col("doc_id").alias("id"), F.col("sentence").alias("text"), "pos")
+    a = V.memory_docs(spark, d).select(F.lit("memory").alias("origin"), F.col("session_id").alias("id"), "text")
+    b = V.sentences(spark, d).select(F.lit("document").alias("origin"), F.col("doc_id").alias("id"), F.col("sentence").alias("text"), "pos")
     return a.unionByName(b, allowMissingColumns=True)
 
 

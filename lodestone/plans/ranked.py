@@ -61,9 +61,9 @@ def ret01(spark, d):
 
 
 @query("ret02_bm25_fields", f"WITH {bm25_sql(DOCS, FIELDS, BOOSTS, 5)} SELECT * FROM ranked")
-def ret02(spark, d):
+def ret02(spark, d, k=5):
     docs, index = doc_index(spark, d)
-    return X.bm25(asked(spark, d), docs, index, BOOSTS, 5)
+    return X.bm25(asked(spark, d), docs, index, BOOSTS, k)
 
 
 LEVELS = {"title": {"title": 4.0}, "paper": {"body": 2.0, "title": 1.0}, "sentence": {"body": 1.0}}
@@ -116,12 +116,12 @@ def ret07(spark, d):
 
 
 COS = "list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / greatest(sqrt(list_sum(list_transform(q.embedding, lambda v: v::DOUBLE * v::DOUBLE))) * sqrt(list_sum(list_transform(e.embedding, lambda v: v::DOUBLE * v::DOUBLE))), 1e-12)"
-NEAR = f"near AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank, doc, score FROM (SELECT q.vec_id AS query_id, e.vec_id AS doc, round({COS}, 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 20)) WHERE rank <= 10)"
+NEAR = f"near AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank, doc, score FROM (SELECT q.vec_id AS query_id, e.vec_id AS doc, round({COS}, 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)) WHERE rank <= 10)"
 
 
 def near(spark, d, k=10):
     e = V.table(spark, d, "embeddings")
-    return X.nearest(e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector")), k).select("query_id", "rank", "doc", "score")
+    return X.nearest(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector")), k).select("query_id", "rank", "doc", "score")
 
 
 @query("ret08_nearest_vectors", f"WITH {NEAR} SELECT * FROM near")
@@ -129,17 +129,17 @@ def ret08(spark, d):
     return near(spark, d)
 
 
-TEXT_HITS = bm25_sql(DOCS, {"title": "title"}, {"title": 1.0}, 4, "SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id < 20")
+TEXT_HITS = bm25_sql(DOCS, {"title": "title"}, {"title": 1.0}, 4, "SELECT item_id AS query_id, text AS query FROM benchmark")
 
 
 def text_hits(spark, d, k=4):
     docs, index = doc_index(spark, d)
-    return X.bm25(asked(spark, d).filter("query_id < 20"), docs, index, {"title": 1.0}, k)
+    return X.bm25(asked(spark, d), docs, index, {"title": 1.0}, k)
 
 
 @query("ret09_vector_fallback", f"WITH {TEXT_HITS}, {NEAR}, w AS (SELECT q.query_id, coalesce(n, 0) AS n FROM qq q LEFT JOIN (SELECT query_id, count(*) AS n, max(score) AS best FROM ranked GROUP BY query_id) USING (query_id) WHERE coalesce(n, 0) < 3 OR best < 12), m AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) + n AS rank, doc, score, 'vector' AS mode FROM near JOIN w USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM ranked r WHERE r.query_id = near.query_id AND r.doc = near.doc)) SELECT query_id, rank, doc, score, 'text' AS mode FROM ranked UNION ALL SELECT * FROM m WHERE rank <= 8")
 def ret09(spark, d):
-    return X.with_fallback(text_hits(spark, d), near(spark, d), asked(spark, d).filter("query_id < 20"), 8, 3, 12.0)
+    return X.with_fallback(text_hits(spark, d), near(spark, d), asked(spark, d), 8, 3, 12.0)
 
 
 @query("ret10_rank_fusion", f"WITH {TEXT_HITS}, {NEAR}, u AS (SELECT query_id, doc, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, rank, doc FROM ranked UNION ALL SELECT query_id, rank, doc FROM near) GROUP BY query_id, doc) SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank, doc, score FROM u) WHERE rank <= 10")
@@ -216,12 +216,15 @@ def ret24(spark, d):
     return g.select("query_id", F.array_join("confirmed", " ").alias("confirmed"), F.array_join("missing", " ").alias("missing"), "coverage")
 
 
-@query("ret22_snippet_utility", f"WITH {HITS}, an AS (SELECT item_id AS query_id, unnest({D.important('text', 4)}) AS anchor FROM benchmark), a AS (SELECT query_id, doc, any_value(score) AS score, count(*) FILTER (contains(lower(text), anchor))::DOUBLE / count(*) AS cover FROM ht JOIN an USING (query_id) GROUP BY query_id, doc), u AS (SELECT query_id, doc, round(0.5::DOUBLE * least(score / 20.0::DOUBLE, 1.0::DOUBLE) + 0.5::DOUBLE * cover, 6) AS utility FROM a) SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY utility DESC, doc) AS rank, doc, utility FROM u) WHERE rank <= 3")
+#: What a query's best hit leaves open.
+OPEN = f"gp AS (SELECT item_id AS query_id, list_filter({D.important('b.text')}, lambda x: NOT list_contains(coalesce({D.terms('ht.text')}, []), x)) AS missing FROM benchmark b JOIN ht ON ht.query_id = item_id AND rank = 1)"
+
+
+@query("ret22_snippet_utility", f"WITH {HITS}, an AS (SELECT item_id AS query_id, unnest({D.important('text', 4)}) AS anchor FROM benchmark), {OPEN}, a AS (SELECT query_id, doc, any_value(score) AS score, count(*) FILTER (contains(lower(text), anchor))::DOUBLE / count(*) AS cover, any_value(text) AS text FROM ht JOIN an USING (query_id) GROUP BY query_id, doc), u AS (SELECT query_id, doc, round(0.35::DOUBLE * least(score / 10.0::DOUBLE, 1.0::DOUBLE) + 0.35::DOUBLE * cover + 0.30::DOUBLE * CASE WHEN len(missing) = 0 THEN 0.0 ELSE len(list_filter(missing, lambda x: contains(lower(text), x)))::DOUBLE / len(missing) END, 6) AS utility FROM a JOIN gp USING (query_id)) SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY utility DESC, doc) AS rank, doc, utility FROM u) WHERE rank <= 3")
 def ret22(spark, d):
     hits = hit_texts(spark, d)
-    cover = X.anchor_coverage(hits, anchors(spark, d)).select("query_id", "doc", (F.col("n_matched") / F.col("n_anchors")).alias("cover"))
-    u = hits.join(cover, ["query_id", "doc"]).withColumn("utility", F.round(F.lit(0.5) * F.least(F.col("score") / F.lit(20.0), F.lit(1.0)) + F.lit(0.5) * F.col("cover"), 6))
-    return X.top(u.drop("rank"), "query_id", [F.desc("utility"), "doc"], 3).select("query_id", "rank", "doc", "utility")
+    gap = X.gap_record(asked(spark, d), hits.filter("rank = 1")).select("query_id", "missing")
+    return X.by_utility(hits.drop("rank"), anchors(spark, d), gap, 3).select("query_id", "rank", "doc", "utility")
 
 
 @query("ret26_attempt_quality", f"WITH {HITS}, an AS (SELECT item_id AS query_id, unnest({D.important('text', 4)}) AS anchor FROM benchmark), a AS (SELECT query_id, doc, any_value(source) AS source, count(*) FILTER (contains(lower(ht.text), anchor)) AS matched, count(*) AS anchors FROM ht JOIN an USING (query_id) JOIN documents ON doc_id = doc GROUP BY query_id, doc), c AS (SELECT query_id, count(*) AS n, count(*) FILTER (matched >= anchors) AS f, count(*) FILTER (matched > 0 AND matched < anchors) AS p, count(DISTINCT source) AS s FROM a GROUP BY query_id) SELECT item_id AS query_id, coalesce(n, 0) AS n, coalesce(f, 0) AS full, coalesce(p, 0) AS partial, coalesce(s, 0) AS sources, round(least(1.0::DOUBLE, 0.25::DOUBLE * coalesce(f, 0) + 0.1::DOUBLE * coalesce(p, 0) + 0.05::DOUBLE * coalesce(s, 0)), 4) AS score FROM benchmark LEFT JOIN c ON query_id = item_id".replace("AS full,", 'AS "full",'))
@@ -236,9 +239,9 @@ def ret28(spark, d):
     return X.bm25(asked(spark, d), m, X.postings(m, "doc", {"text": F.col("text")}), {"text": 1.0}, 3)
 
 
-@query("ret29_selection_terms", f"WITH {D.SENTENCES} SELECT doc_id, array_to_string(list_slice({D.first_seen('flatten(l)')}, 1, 20), ' ') AS query FROM (SELECT doc_id, list({D.important('sentence', 20)} ORDER BY pos) AS l FROM sentences WHERE pos < 3 GROUP BY doc_id)")
+@query("ret29_selection_terms", f"WITH {D.SENTENCES} SELECT doc_id, array_to_string(list_slice({D.first_seen('flatten(l)')}, 1, 20), ' ') AS query FROM (SELECT doc_id, list({D.important('sentence', 20)} ORDER BY pos) AS l FROM sentences GROUP BY doc_id)")
 def ret29(spark, d):
-    s = V.sentences(spark, d).filter("pos < 3").select("doc_id", F.struct("pos", T.important_terms(F.col("sentence"), 20).alias("t")).alias("x"))
+    s = V.sentences(spark, d).select("doc_id", F.struct("pos", T.important_terms(F.col("sentence"), 20).alias("t")).alias("x"))
     g = s.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("l"))
     return g.select("doc_id", F.array_join(F.slice(F.array_distinct(F.flatten("l.t")), 1, 20), " ").alias("query"))
 

@@ -14,15 +14,97 @@ def pairs(messages: DataFrame) -> DataFrame:
     return u.join(a, ["session_id", "turn_index"])
 
 
-def reward(question: Column, answer: Column, support: Column, has_context: Column, budget: int) -> Column:
-    """The score of a turn without claims or conflicts: weighted relevance, support, sentiment and costs, 0 to 1, 4 places."""
-    relevance = T.lexical_overlap(question, answer)
-    delta = T.sentiment(answer) - T.sentiment(question)
-    tokens = F.least(F.lit(1.0), F.floor(F.length(answer) / 4) / F.lit(float(max(1, budget))))
+# The weights of a turn's reward, and of the means over its retrieval steps.
+WEIGHTS = {
+    "relevance": 0.22,
+    "support": 0.24,
+    "factuality": 0.14,
+    "citation_coverage": 0.16,
+    "alignment": 0.08,
+    "frame_alignment": 0.06,
+    "sentiment_gain": 0.05,
+    "has_context": 0.08,
+    "conflict_free": 0.08,
+    "assembly_quality": 0.03,
+    "claim_contradiction": -0.20,
+    "unsupported": -0.10,
+    "off_topic": -0.10,
+    "frame_drift": -0.10,
+    "prior_conflict": -0.15,
+    "longitudinal": -0.08,
+    "query_drift": -0.08,
+    "unsupported_bridge": -0.10,
+    "latency": -0.05,
+    "tokens": -0.05,
+}
+STEP_GAP, STEP_DISTRACTORS = 0.04, -0.04
+#: Columns of a turn that reward_report takes where they are there; missing ones and nulls count as nothing.
+FEATURES = ["entailment_avg", "contradiction_avg", "n_claims", "n_entailed", "n_contradicted", "n_unsupported", "n_conflicts", "frame_alignment", "frame_drift", "n_prior_conflicts", "longitudinal", "assembly_quality", "n_feedback_accepted", "n_ungrounded", "edge_support", "elapsed_sec", "gap_closure", "distractor_ratio"]
+
+
+def support_of(answer: Column, context: Column, messages: Column) -> Column:
+    """The best overlap of the answer with all context texts, with the messages among them, or with one text."""
+    one = F.array_max(F.transform(context, lambda x: T.lexical_overlap(answer, x)))
+    return F.greatest(T.lexical_overlap(answer, F.array_join(context, "\n")), T.lexical_overlap(answer, F.array_join(messages, "\n")), F.coalesce(one, F.lit(0.0)))
+
+
+def alignment_of(question: Column, answer: Column, context: Column) -> Column:
+    """The share of the question's terms that the answer or a context text has."""
     q = T.important_terms(question, 40)
-    alignment = F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, T.important_terms(answer, 80))) / F.size(q))
-    score = 0.22 * relevance + 0.24 * support + 0.08 * alignment + 0.05 * F.greatest(F.lit(0.0), delta) + 0.08 * F.when(has_context, 1.0).otherwise(0.25) + 0.08 - 0.05 * tokens
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4)
+    seen = F.array_union(T.important_terms(answer, 80), F.flatten(F.transform(context, lambda x: T.important_terms(x, 80))))
+    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, seen)) / F.size(q))
+
+
+def off_topic_of(question: Column, answer: Column, context: Column, mechanistic: list[str] | None = None, pharmacology: list[str] | None = None) -> Column:
+    """The penalty for pharmacology in the answer to a question about mechanisms that doesn't ask for it."""
+    topic, foreign = mechanistic or [*T.MECHANISTIC, *T.MECHANISTIC_GENERIC], pharmacology or T.PHARMACOLOGY
+    asks = (T.hits(question, topic) > 0) | F.contains(F.lower(question), F.lit("functional synergy"))
+    own = T.hits(answer, foreign)
+    total = own + F.when(own > 0, 0.25 * T.hits(F.array_join(context, " "), foreign)).otherwise(0.0)
+    return F.when(asks & (T.hits(question, T.ASKS_PHARMACOLOGY) == 0) & (T.hits(question, foreign) == 0), F.round(F.least(F.lit(1.0), total / 4.0), 4)).otherwise(0.0)
+
+
+def reward_report(turns: DataFrame, budget: int, mechanistic: list[str] | None = None, pharmacology: list[str] | None = None) -> DataFrame:
+    """turns with score and its 20 terms (WEIGHTS), rounded to 4 places: weighted, with the step rewards, and clamped to 0..1.
+
+    turns: question, answer, context and messages (arrays of texts; the second those of the context that are messages), and any of
+    FEATURES. edge_support: missing, partial or other. Columns that clash with the added ones are replaced.
+    """
+    have = lambda c, kind="double": F.coalesce(F.col(c).cast(kind), F.lit(0).cast(kind)) if c in turns.columns else F.lit(0).cast(kind)
+    unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    q, a, ctx = F.col("question"), F.col("answer"), F.col("context")
+    claims = F.greatest(F.lit(1.0), have("n_claims"))
+    share = lambda c: F.when(have("n_claims") > 0, have(c) / claims).otherwise(0.0)
+    edge = F.col("edge_support") if "edge_support" in turns.columns else F.lit("")
+    bridge = F.when((have("n_unsupported") > 0) & (have("n_claims") > 0), F.when(edge == "missing", share("n_unsupported")).when(edge == "partial", 0.5 * share("n_unsupported")))
+    terms = {
+        "relevance": T.lexical_overlap(q, a),
+        "support": support_of(a, ctx, F.col("messages")),
+        "factuality": unit(have("entailment_avg") - have("contradiction_avg")),
+        "citation_coverage": share("n_entailed"),
+        "alignment": alignment_of(q, a, ctx),
+        "frame_alignment": have("frame_alignment"),
+        "sentiment_gain": F.greatest(F.lit(0.0), T.sentiment(a) - T.sentiment(q)),
+        "has_context": F.when(F.size(ctx) > 0, 1.0).otherwise(0.25),
+        "conflict_free": 1.0 - F.least(F.lit(1.0), 0.35 * have("n_conflicts")),
+        "assembly_quality": unit(have("assembly_quality")),
+        "claim_contradiction": share("n_contradicted"),
+        "unsupported": share("n_unsupported"),
+        "off_topic": off_topic_of(q, a, ctx, mechanistic, pharmacology),
+        "frame_drift": have("frame_drift"),
+        "prior_conflict": F.least(F.lit(1.0), have("n_prior_conflicts") / 2.0),
+        "longitudinal": have("longitudinal"),
+        "query_drift": F.least(F.lit(1.0), have("n_ungrounded") / F.greatest(F.lit(1.0), have("n_feedback_accepted") + have("n_ungrounded"))),
+        "unsupported_bridge": F.least(F.lit(1.0), F.coalesce(bridge, F.lit(0.0))),
+        "latency": F.least(F.lit(1.0), have("elapsed_sec") / 30.0),
+        "tokens": F.least(F.lit(1.0), F.floor(F.length(a) / 4) / F.lit(float(max(1, budget)))),
+    }
+    rows = turns.withColumns({f"_t_{k}": v for k, v in terms.items()})
+    score = sum((F.lit(w) * F.col(f"_t_{k}") for k, w in WEIGHTS.items()), F.lit(0.0))
+    if {"gap_closure", "distractor_ratio"} & set(turns.columns):
+        score = unit(score + STEP_GAP * have("gap_closure") + STEP_DISTRACTORS * have("distractor_ratio"))
+    rows = rows.withColumn("score", F.round(unit(score), 4)).withColumns({k: F.round(f"_t_{k}", 4) for k in terms})
+    return rows.drop(*[f"_t_{k}" for k in terms])
 
 
 def context_support(pairs_: DataFrame, context: DataFrame) -> DataFrame:

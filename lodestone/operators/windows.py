@@ -37,10 +37,22 @@ def with_states(messages: DataFrame, working_turns: int = 8, least: float = 0.25
     return messages.withColumn("memory_state", memory_state(F.col("doc_type"), F.lit(False), F.col("turn_index"), current, F.col("importance"), F.col("role"), working_turns, least))
 
 
-def priority(state: Column, importance: Column, turn: Column, current: Column, working_turns: int) -> Column:
+def relevance_bonus(text: Column, query: Column) -> Column:
+    """Up to 0.45 for the share of the query's terms that the text has."""
+    q = T.important_terms(query, 12)
+    return F.least(F.lit(0.45), F.size(F.array_intersect(q, T.important_terms(text, 14))) / F.greatest(F.lit(4), F.size(q)) * 0.9)
+
+
+def priority(state: Column, importance: Column, turn: Column, current: Column, working_turns: int, supported: Column | None = None, reward: Column | None = None, relevance: Column | None = None) -> Column:
+    """A row's place in the working set: by state, importance and age, with bonuses for evidence, reward and relevance where given."""
     bonus = F.when(state == "promoted", 1.0).when(state == "working", 0.65).when(state == "episodic", 0.45).when(state == "evicted", 0.0).otherwise(0.25)
     age = F.greatest(F.lit(0), current - turn)
-    return F.round(bonus + 0.55 * importance + 0.35 / (1.0 + age / max(1, working_turns)), 4)
+    total = bonus + 0.55 * F.coalesce(importance, F.lit(0.0)) + 0.35 / (1.0 + age / max(1, working_turns))
+    if supported is not None:
+        total += F.when(supported, 0.25).otherwise(0.0)
+    if reward is not None:
+        total += F.greatest(F.lit(0.0), F.least(F.lit(0.2), 0.2 * F.coalesce(reward, F.lit(0.0))))
+    return F.round(total if relevance is None else total + relevance, 4)
 
 
 def fitting(rows: DataFrame, key: str, order: list[Column], cost: Column, keep: list[str], budget: int) -> DataFrame:

@@ -6,6 +6,7 @@ from lodestone.functions import text as T
 from lodestone.functions import triples as R
 from lodestone.operators import claims as C
 from lodestone.operators import graph as G
+from lodestone.operators import replay as Rp
 from lodestone.operators import rewards as W
 from lodestone.operators import windows as Win
 from lodestone.plans import duck as D
@@ -169,9 +170,48 @@ def agg05b(spark, d):
     return with_support(spark, d).select("session_id", "turn_index", F.round("support", 6).alias("support"), "n_context")
 
 
-@query("agg04_turn_reward", f"WITH {SUPPORT}, f AS (SELECT session_id, turn_index, coalesce(support, 0.0)::DOUBLE AS support, coalesce(n, 0) AS n, {D.jaccard('q80', 'a120')} AS rel, (CASE WHEN len(q40) = 0 THEN 0.0 ELSE len(list_intersect(q40, a80))::DOUBLE / len(q40) END) AS al, {sentiment_sql('a')}::DOUBLE - {sentiment_sql('q')}::DOUBLE AS delta, least(1.0::DOUBLE, (length(a) // 4) / 600.0::DOUBLE) AS tok FROM tp LEFT JOIN cx USING (session_id, turn_index)) SELECT session_id, turn_index, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.22::DOUBLE * rel + 0.24::DOUBLE * support + 0.08::DOUBLE * al + 0.05::DOUBLE * greatest(0.0::DOUBLE, delta) + 0.08::DOUBLE * (CASE WHEN n > 0 THEN 1.0 ELSE 0.25 END)::DOUBLE + 0.08::DOUBLE - 0.05::DOUBLE * tok)), 4) AS score FROM f")
+#: What earlier steps of a turn would give, drawn from its ids, as the tables hold no such columns.
+STAND_INS = {"entailment_avg": "((session_id * 3 + turn_index * 7) % 11) / 10.0", "contradiction_avg": "((session_id * 5 + turn_index) % 7) / 10.0", "n_claims": "(session_id + turn_index) % 5", "n_entailed": "((session_id + turn_index) % 5) // 2", "n_contradicted": "((session_id + turn_index) % 5) // 4", "n_unsupported": "((session_id + turn_index) % 5) // 3", "n_conflicts": "(session_id * 7 + turn_index) % 4", "frame_alignment": "((session_id + turn_index * 3) % 9) / 8.0", "frame_drift": "((session_id * 2 + turn_index) % 5) / 4.0", "n_prior_conflicts": "(session_id + turn_index * 5) % 4", "longitudinal": "((session_id * 11 + turn_index) % 6) / 5.0", "assembly_quality": "((session_id + turn_index) % 13) / 10.0", "n_feedback_accepted": "session_id % 6", "n_ungrounded": "(session_id + turn_index) % 3", "elapsed_sec": "(session_id * 13 + turn_index) % 45", "gap_closure": "((session_id + turn_index) % 4) / 3.0", "distractor_ratio": "((session_id * 2 + turn_index) % 4) / 3.0"}
+EDGES = "CASE session_id % 3 WHEN 0 THEN 'missing' WHEN 1 THEN 'partial' ELSE 'supported' END"
+#: The texts are invented: frequent words stand in for the vocabularies of mechanisms and pharmacology.
+TOPIC, FOREIGN = ["the", "and", "der"], ["with", "was", "pas"]
+STAND_IN_SQL = ", ".join(f"({v})::DOUBLE AS {k}" for k, v in STAND_INS.items()).replace("session_id", "tp.session_id").replace("turn_index", "tp.turn_index")
+UNIT = lambda x: f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {x}))"
+SHARE_OF = lambda c: f"CASE WHEN n_claims > 0 THEN {c}::DOUBLE / n_claims ELSE 0.0 END"
+REWARD_TERMS = {
+    "relevance": D.jaccard("q80", "a120"),
+    "support": f"greatest(coalesce(best, 0.0), {D.jaccard('a80', 'whole')})",
+    "factuality": UNIT("entailment_avg - contradiction_avg"),
+    "citation_coverage": SHARE_OF("n_entailed"),
+    "alignment": "CASE WHEN len(q40) = 0 THEN 0.0 ELSE len(list_intersect(q40, list_concat(a80, seen)))::DOUBLE / len(q40) END",
+    "frame_alignment": "frame_alignment",
+    "sentiment_gain": f"greatest(0.0::DOUBLE, {sentiment_sql('a')}::DOUBLE - {sentiment_sql('q')}::DOUBLE)",
+    "has_context": "CASE WHEN n > 0 THEN 1.0 ELSE 0.25 END",
+    "conflict_free": "1.0::DOUBLE - least(1.0::DOUBLE, 0.35::DOUBLE * n_conflicts)",
+    "assembly_quality": UNIT("assembly_quality"),
+    "claim_contradiction": SHARE_OF("n_contradicted"),
+    "unsupported": SHARE_OF("n_unsupported"),
+    "off_topic": f"CASE WHEN ({D.hits('q', TOPIC)} > 0 OR contains(lower(q), 'functional synergy')) AND {D.hits('q', T.ASKS_PHARMACOLOGY)} = 0 AND {D.hits('q', FOREIGN)} = 0 THEN round(least(1.0::DOUBLE, ({D.hits('a', FOREIGN)} + CASE WHEN {D.hits('a', FOREIGN)} > 0 THEN 0.25::DOUBLE * {D.hits('joined', FOREIGN)} ELSE 0.0 END) / 4.0::DOUBLE), 4) ELSE 0.0 END",
+    "frame_drift": "frame_drift",
+    "prior_conflict": "least(1.0::DOUBLE, n_prior_conflicts / 2.0::DOUBLE)",
+    "longitudinal": "longitudinal",
+    "query_drift": "least(1.0::DOUBLE, n_ungrounded::DOUBLE / greatest(1, n_feedback_accepted + n_ungrounded))",
+    "unsupported_bridge": f"CASE WHEN n_unsupported > 0 AND n_claims > 0 THEN least(1.0::DOUBLE, CASE edge_support WHEN 'missing' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0.0 END * ({SHARE_OF('n_unsupported')})) ELSE 0.0 END",
+    "latency": "least(1.0::DOUBLE, elapsed_sec / 30.0::DOUBLE)",
+    "tokens": "least(1.0::DOUBLE, (length(a) // 4) / 600.0::DOUBLE)",
+}
+SCORE = " + ".join(f"{w}::DOUBLE * {k}" for k, w in W.WEIGHTS.items())
+REWARDS = f"{TURNS}, cx AS (SELECT tp.session_id, tp.turn_index, max({D.jaccard('tp.a80', 'm.m120')}) AS best, count(*) AS n, string_agg(m.text, chr(10) ORDER BY m.turn_index) AS joined, flatten(list(m.m80)) AS seen FROM tp JOIN (SELECT *, {D.important('text', 120)} AS m120, {D.important('text', 80)} AS m80 FROM memory_docs) m ON m.session_id = tp.session_id AND m.turn_index < tp.turn_index AND m.turn_index >= tp.turn_index - 3 GROUP BY ALL), fe AS (SELECT tp.*, best, coalesce(n, 0) AS n, coalesce(joined, '') AS joined, coalesce(seen, []) AS seen, {D.important('joined', 120)} AS whole, {EDGES.replace('session_id', 'tp.session_id')} AS edge_support, {STAND_IN_SQL} FROM tp LEFT JOIN cx ON cx.session_id = tp.session_id AND cx.turn_index = tp.turn_index), te AS (SELECT session_id, turn_index, gap_closure, distractor_ratio, {', '.join(f'({v})::DOUBLE AS {k}' for k, v in REWARD_TERMS.items())} FROM fe)"
+
+
+@query("agg04_turn_reward", f"WITH {REWARDS} SELECT session_id, turn_index, round({UNIT(UNIT(f'{SCORE} + 0.04::DOUBLE * gap_closure - 0.04::DOUBLE * distractor_ratio'))}, 4) AS score, {', '.join(f'round({k}, 4) AS {k}' for k in W.WEIGHTS)} FROM te")
 def agg04(spark, d):
-    return with_support(spark, d).select("session_id", "turn_index", W.reward(F.col("question"), F.col("answer"), F.col("support"), F.col("n_context") > 0, 600).alias("score"))
+    m = V.memory_docs(spark, d)
+    ctx = m.select("session_id", F.col("turn_index").alias("m_turn"), F.explode(F.sequence(F.col("turn_index") + 1, F.col("turn_index") + 3)).alias("turn_index"), "text")
+    ctx = ctx.groupBy("session_id", "turn_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("m_turn", "text"))), lambda x: x["text"]).alias("context"))
+    turns = W.pairs(m).join(ctx, ["session_id", "turn_index"], "left").withColumn("context", F.coalesce("context", F.array().cast("array<string>")))
+    turns = turns.withColumns({k: F.expr(v.replace("//", "div")).cast("double") for k, v in STAND_INS.items()} | {"edge_support": F.expr(EDGES), "messages": F.col("context")})
+    return W.reward_report(turns, 600, TOPIC, FOREIGN).select("session_id", "turn_index", "score", *W.WEIGHTS)
 
 
 @query("agg06_query_novelty", f"WITH t AS (SELECT DISTINCT conv_id, turn, unnest({D.terms('text')}) AS term FROM conversations), f AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, term) AS ft FROM t), s AS (SELECT conv_id, turn, round(count(*) FILTER (ft = turn)::DOUBLE / count(*), 4) AS novelty FROM f GROUP BY ALL), l AS (SELECT conv_id, min(turn) AS lead FROM conversations GROUP BY conv_id) SELECT c.conv_id, c.turn, CASE WHEN c.turn = lead THEN 1.0 ELSE coalesce(novelty, 0.0) END::DOUBLE AS novelty FROM conversations c LEFT JOIN s USING (conv_id, turn) JOIN l USING (conv_id)")
@@ -195,10 +235,10 @@ def agg07(spark, d):
     return W.frame_alignment(frames, p.select("session_id", "turn_index", "answer"), ["session_id", "turn_index"])
 
 
-@query("agg08_policy_replay", f"WITH {SUPPORT}, r AS (SELECT session_id, round(coalesce(support, 0.0), 6)::DOUBLE AS support, coalesce(n, 0) AS n FROM tp LEFT JOIN cx USING (session_id, turn_index)) SELECT session_id, count(*) AS pairs, round(avg(support), 4) AS support, sum(n)::BIGINT AS n_context FROM r GROUP BY ROLLUP (session_id)")
+@query("agg08_policy_replay")
 def agg08(spark, d):
-    rows = with_support(spark, d).withColumn("support", F.round("support", 6))
-    return rows.rollup("session_id").agg(F.count("*").alias("pairs"), F.round(F.avg("support"), 4).alias("support"), F.sum("n_context").alias("n_context"))
+    m = V.memory_docs(spark, d)
+    return Rp.replay_summary(m, 300, 3).withColumn("budget", F.lit(300)).unionByName(Rp.replay_summary(m, 120, 3).withColumn("budget", F.lit(120)))
 
 
 WEIGHTS = {"click": 0.3, "view": 0.2, "purchase": 0.25, "signup": 0.15, "error": 0.1}

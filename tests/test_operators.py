@@ -1,6 +1,10 @@
 """Operators on inputs beyond the sizes that are sent to all tasks."""
 
-from lodestone.operators import evaluation, retrieval
+import random
+import re
+
+from lodestone.functions import text as T
+from lodestone.operators import evaluation, replay, retrieval
 
 
 def test_nearest_goes_on_in_blocks(spark):
@@ -17,3 +21,88 @@ def test_best_gold_takes_a_large_table(spark, monkeypatch):
     small = rows()
     monkeypatch.setattr(evaluation, "MOST_CONFIG_ROWS", 2)
     assert rows() == small and [r[:2] for r in small] == [(1, 1), (2, 2)]
+
+
+# --- replay of context policies, against a plain walk through each session
+
+STOP = set(T.STOP)
+
+
+def important(text, n):
+    return list(dict.fromkeys(w for w in (x.lower() for x in re.findall("[A-Za-z][A-Za-z0-9_-]{2,}", text or "")) if w not in STOP))[:n]
+
+
+def overlap(a, b):
+    a, b = set(important(a, 80)), set(important(b, 120))
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def walk(session, budget, turns):
+    """(reward, tokens, compressed) of both policies for each answered user turn of a session: rows (turn, role, text, importance)."""
+    out = []
+    by_turn = {r[0]: r for r in session}
+    for turn, role, question, _ in session:
+        answer = by_turn.get(turn + 1)
+        if role != "user" or not answer or answer[1] != "assistant":
+            continue
+        before = [r for r in session if r[0] < turn]
+        picked, used = [], 0
+        for r in sorted((r for r in before if r[1] in ("user", "assistant")), reverse=True)[: 2 * turns]:
+            if used + replay.estimate(r[2]) <= budget:
+                picked.append((r[0], r[2]))
+                used += replay.estimate(r[2])
+        plans = [(picked, used, 0)]
+        q = set(important(question, 12))
+        ranked = []
+        for r in before:
+            state = "working" if r[0] >= max(0, turn - turns) else "evicted" if r[3] < 0.25 or r[1] in ("system", "tool") else "episodic"
+            if state != "evicted":
+                bonus = min(0.45, len(q & set(important(r[2], 14))) / max(4, len(q)) * 0.9)
+                ranked.append((-round({"working": 0.65, "episodic": 0.45}[state] + 0.55 * r[3] + 0.35 / (1 + (turn - r[0]) / turns) + bonus, 4), -r[0], r[2]))
+        picked, left, packed = [], budget, 0
+        for _, t, text in sorted(ranked):
+            short = text if replay.estimate(text) <= left else replay.shortened(text, left) if left >= 24 else ""
+            if short:
+                packed += short != text
+                left -= replay.estimate(short)
+                picked.append((-t, short))
+        plans.append((picked, budget - left, packed))
+        a = answer[2]
+        for picked, used, packed in plans:
+            texts = [t for _, t in sorted(picked)]
+            support = max([overlap(a, "\n".join(texts)), *(overlap(a, t) for t in texts)])
+            q40 = set(important(question, 40))
+            aligned = len(q40 & set(important(a, 80)).union(*(important(t, 80) for t in texts))) / len(q40) if q40 else 0.0
+            score = 0.22 * overlap(question, a) + 0.24 * support + 0.08 * aligned + 0.08 * (1 if texts else 0.25) + 0.08 - 0.05 * min(1, len(a) // 4 / budget)
+            out.append((turn, score, used, packed))
+    return out
+
+
+def test_replay_matches_a_plain_walk(spark):
+    rnd = random.Random(4)
+    vocab = [f"word{i}" for i in range(60)] + ["the", "and"]
+    rows = []
+    for s in range(8):
+        for t in range(rnd.randint(2, 14)):
+            text = ". ".join(" ".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 25))) for _ in range(rnd.randint(1, 4))) + "."
+            rows.append((s, t, "message", rnd.choice(["user", "assistant"]) if t % 5 == 4 else ("user", "assistant")[t % 2] if s < 7 else "system", text, rnd.randint(0, 10) / 10))
+    df = spark.createDataFrame(rows, "session_id long, turn_index int, doc_type string, role string, text string, importance double")
+    for budget in (300, 90):
+        got = sorted((r["session_id"], r["turn_index"], r["policy"], r["score"], r["context_tokens"], r["compressed"]) for r in replay.replayed(df, budget, 3).collect())
+        want = []
+        for s in range(8):
+            w = walk([(t, role, text, i) for x, t, _, role, text, i in rows if x == s], budget, 3)
+            want += [(s, t, ("baseline", "current")[k % 2], score, used, packed) for k, (t, score, used, packed) in enumerate(w)]
+        assert [x[:3] + x[4:] for x in got] == [x[:3] + x[4:] for x in sorted(want)]
+        assert all(abs(a[3] - b[3]) < 6e-5 for a, b in zip(got, sorted(want), strict=True))
+        total = next(r for r in replay.replay_summary(df, budget, 3).collect() if r["session_id"] is None)
+        assert total["turn_pairs"] == len(want) // 2 and abs(total["score_delta"] - (total["current_score"] - total["baseline_score"])) < 1e-4
+    assert replay.replay_summary(df.limit(0), 300).filter("session_id IS NOT NULL").count() == 0
+
+
+def test_shortened_fits():
+    rnd = random.Random(9)
+    for _ in range(300):
+        text = ". ".join(" ".join("w" * rnd.randint(1, 12) for _ in range(rnd.randint(1, 30))) for _ in range(rnd.randint(1, 6)))
+        for budget in (8, 24, 60, 500):
+            assert replay.estimate(replay.shortened(text, budget)) <= budget

@@ -54,3 +54,13 @@ def informative(c: Column) -> Column:
 def quality(s_ebio: Column, o_ebio: Column, conf: Column, search_score: Column) -> Column:
     z = lambda c: F.coalesce(c, F.lit(0.0))
     return (z(s_ebio) + z(o_ebio)) / 2 * 0.3 + z(conf) * 0.3 + F.when(z(search_score) > 0, F.least(z(search_score) / 20.0, F.lit(1.0))).otherwise(0.0) * 0.4
+
+
+def blended_type(scores: dict[str, Column], prior: dict[str, Column], weight: float) -> dict[str, Column]:
+    """label and score of the class with the best blend, weight * score + (1 - weight) * prior; of equal ones the first named."""
+    total = {k: F.lit(weight) * F.coalesce(c, F.lit(0.0)) + F.lit(round(1 - weight, 12)) * F.coalesce(prior.get(k, F.lit(None)), F.lit(0.0)) for k, c in scores.items()}
+    best = F.greatest(*total.values()) if len(total) > 1 else next(iter(total.values()))
+    label = F.lit(None).cast("string")
+    for k, v in reversed(total.items()):
+        label = F.when(v == best, k).otherwise(label)
+    return {"label": label, "score": F.round(best, 6)}

@@ -160,3 +160,24 @@ def frame_alignment(frames: DataFrame, answers: DataFrame, key: list[str]) -> Da
     hit = lambda c: F.size(F.array_intersect("t", c))
     drift = F.least(F.lit(1.0), hit("avoided") / 4.0)
     return rows.select(*key, F.round(F.least(F.lit(1.0), hit("active") / F.greatest(F.lit(1), F.least(F.size("active"), F.lit(12)))), 4).alias("alignment"), F.round(F.when((F.size("active") > 0) & (hit("active") == 0), F.greatest(drift, F.lit(0.25))).otherwise(drift), 4).alias("drift"))
+
+
+def consistency_report(rows: DataFrame) -> DataFrame:
+    """rows (frame_alignment's alignment and drift; n_claims, n_contradicted, n_unsupported, n_prior_conflicts) with the rates of contradicted
+    and unsupported claims, the prior-conflict rate, their weighted penalty, and warnings (an array of types)."""
+    claims = F.greatest(F.lit(1), "n_claims")
+    rate = lambda c: F.least(F.lit(1.0), F.col(c) / claims)
+    prior = F.least(F.lit(1.0), F.col("n_prior_conflicts") / 2.0)
+    penalty = F.lit(0.35) * rate("n_contradicted") + F.lit(0.20) * rate("n_unsupported") + F.lit(0.25) * prior + F.lit(0.20) * F.col("drift")
+    warn = lambda test, name: F.when(test, F.lit(name))
+    warnings = F.array_compact(F.array(warn(F.col("drift") > 0, "frame_drift"), warn(F.col("n_contradicted") > 0, "source_contradiction"), warn(F.col("n_prior_conflicts") > 0, "prior_memory_conflict")))
+    return rows.withColumns({"contradicted_rate": F.round(rate("n_contradicted"), 4), "unsupported_rate": F.round(rate("n_unsupported"), 4), "prior_conflict_rate": F.round(prior, 4), "penalty": F.round(F.least(F.lit(1.0), penalty), 4), "warnings": warnings})
+
+
+def run_summary(turns: DataFrame, traps: DataFrame, key: str, failed_below: float) -> DataFrame:
+    """A row for each run (key): turns, mean_reward, failed turns (reward below `failed_below`), traps and missed_traps.
+
+    turns: (key, reward); traps: (key, missed), a row for each trap that was set. Runs without traps have none missed.
+    """
+    t = turns.groupBy(key).agg(F.count("*").alias("turns"), F.round(F.avg("reward"), 6).alias("mean_reward"), F.count_if(F.col("reward") < failed_below).alias("failed"))
+    return t.join(traps.groupBy(key).agg(F.count("*").alias("traps"), F.count_if("missed").alias("missed_traps")), key, "left").na.fill(0, ["traps", "missed_traps"])

@@ -120,3 +120,18 @@ def folded_changes(log: DataFrame, keys: list[str], order: list, columns: list[s
     full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = log.withColumns({c: F.last(c, True).over(full) for c in [*columns, deleted]}).withColumn("_r", F.row_number().over(w)).filter("_r = 1")
     return rows.filter(~F.coalesce(F.col(deleted), F.lit(False))).select(*keys, *columns)
+
+
+def episodes(messages: DataFrame, key: list[str], max_facts: int = 6) -> DataFrame:
+    """A summary of each episode (key): first and last turn, focus terms, facts (its supported messages in order, else those of most
+    importance), n_supported and importance.
+
+    messages: key, turn_index, role, text, importance, supported, reward (the episode's). A task holds one episode's texts.
+    """
+    text = F.transform("x", lambda m: F.coalesce(m["text"], F.lit("")))
+    g = messages.groupBy(*key).agg(F.min("turn_index").alias("first_turn"), F.max("turn_index").alias("last_turn"), F.count("*").alias("n"), F.count_if("supported").alias("n_supported"), F.max("reward").alias("_reward"), F.array_sort(F.collect_list(F.struct("turn_index", "role", "text", "importance", "supported"))).alias("x"))
+    best = F.slice(F.reverse(F.array_sort(F.transform("x", lambda m: F.struct(m["importance"].alias("i"), m["turn_index"].alias("t"), m["role"].alias("role"), m["text"].alias("text"))))), 1, max_facts)
+    line = lambda m: F.concat(m["role"], F.lit(": "), F.substring(F.coalesce(m["text"], F.lit("")), 1, 260))
+    facts = F.when(F.col("n_supported") > 0, F.transform(F.slice(F.filter("x", lambda m: m["supported"]), 1, max_facts), line)).otherwise(F.transform(best, line))
+    score = F.greatest(F.lit(0.4), F.least(F.lit(1.0), 0.45 + 0.35 * F.coalesce("_reward", F.lit(0.0)) + 0.05 * F.col("n_supported")))
+    return g.select(*key, "first_turn", "last_turn", "n", T.important_terms(F.array_join(text, " "), 18).alias("focus"), facts.alias("facts"), "n_supported", F.round(score, 4).alias("importance"))

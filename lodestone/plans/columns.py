@@ -116,10 +116,13 @@ def prj14(spark, d):
     return s.select("conv_id", "turn", F.size("l").cast("long").alias("n"), F.array_join("l", "\n").alias("sentences"))
 
 
-@query("prj15_tags", f"SELECT doc_id, array_to_string(list_sort(list_filter(['the', 'der', 'que', 'les', 'and'], lambda w: contains(lower(text), w))), ',') AS tags FROM documents")
+#: Common words stand in for a vocabulary of topics.
+TOPICS = ["the", "der", "que", "les", "and"]
+
+
+@query("prj15_tags", f"SELECT doc_id, array_to_string(list_sort(list_filter([{D.quoted(TOPICS)}], lambda w: contains(lower(coalesce(text, '')), w))), ',') AS tags FROM documents")
 def prj15(spark, d):
-    low = F.lower("text")
-    return V.table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.filter(T.lits(["the", "der", "que", "les", "and"]), lambda w: F.contains(low, w))), ",").alias("tags"))
+    return V.table(spark, d, "documents").select("doc_id", F.array_join(T.tags(F.col("text"), TOPICS), ",").alias("tags"))
 
 
 INTENT_SQL = f"CASE WHEN {D.contains_any('lower(text)', T.COMPARE)} THEN 'compare' WHEN {D.contains_any('lower(text)', T.MECHANISM)} THEN 'mechanism' WHEN {D.contains_any('lower(text)', T.EVIDENCE)} THEN 'evidence' WHEN contains(text, '?') THEN 'question' ELSE 'statement' END"
@@ -150,8 +153,8 @@ def prj20(spark, d):
 
 @query("prj21_blended_types", f"WITH {D.TRIPLES} SELECT triple_id, CASE WHEN b >= g THEN 'bio' ELSE 'gen' END AS label, round(greatest(b, g), 6) AS score FROM (SELECT triple_id, 0.6::DOUBLE * s_ebio + 0.4::DOUBLE * o_ebio AS b, 0.6::DOUBLE * s_ngen + 0.4::DOUBLE * o_ngen AS g FROM triples)")
 def prj21(spark, d):
-    t = V.triples(spark, d).select("triple_id", (F.lit(0.6) * F.col("s_ebio") + F.lit(0.4) * F.col("o_ebio")).alias("b"), (F.lit(0.6) * F.col("s_ngen") + F.lit(0.4) * F.col("o_ngen")).alias("g"))
-    return t.select("triple_id", F.when(F.col("b") >= F.col("g"), "bio").otherwise("gen").alias("label"), F.round(F.greatest("b", "g"), 6).alias("score"))
+    x = R.blended_type({"bio": F.col("s_ebio"), "gen": F.col("s_ngen")}, {"bio": F.col("o_ebio"), "gen": F.col("o_ngen")}, 0.6)
+    return V.triples(spark, d).select("triple_id", x["label"].alias("label"), x["score"].alias("score"))
 
 
 @query("prj25_message_flags", f"SELECT conv_id, turn, len({D.important('text', 80)}) < 4 AS context_poor, regexp_matches(trim(lower(text)), '^[a-h][).]?$') AS option_reply, {D.contains_any('lower(text)', ['as above', 'continue', 'earlier', 'previous', 'summarize that', 'rewrite that'])} AS followup FROM conversations")

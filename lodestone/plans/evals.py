@@ -126,13 +126,13 @@ def agg18(spark, d):
     return board(spark, d).groupBy("doc_id").agg(F.count("*").alias("failures"), F.max("severity").alias("worst"), F.array_join(F.array_sort(F.collect_set("root_cause")), ",").alias("causes"))
 
 
-@query("agg11_coreference", f"WITH r AS (SELECT conv_id AS id, turn, {D.important('text', 6)} AS req, {D.important('text', 2)} AS forb, lag({D.important('text', 80)}) OVER (PARTITION BY conv_id ORDER BY turn) AS ret FROM conversations), s AS (SELECT id * 100 + turn AS id, req, len(list_filter(req, lambda e: len(list_filter(ret, lambda r: contains(r, e))) > 0)) AS k, len(list_filter(forb, lambda e: len(list_filter(ret, lambda r: contains(r, e))) > 0)) AS b FROM r WHERE ret IS NOT NULL) SELECT id, (CASE WHEN len(req) = 0 THEN 0.0 ELSE round(k::DOUBLE / len(req), 4) END)::DOUBLE AS found, greatest(0.0::DOUBLE, 1.0::DOUBLE - 0.5::DOUBLE * b) AS clean FROM s")
+@query("agg11_coreference", f"WITH r AS (SELECT conv_id AS id, turn, {D.important('text', 6)} AS req, {D.important('text', 2)} AS forb, lag({D.important('text', 80)}) OVER (PARTITION BY conv_id ORDER BY turn) AS ret FROM conversations), s AS (SELECT id || ':' || turn AS id, req, len(list_filter(req, lambda e: len(list_filter(ret, lambda r: contains(r, e))) > 0)) AS k, len(list_filter(forb, lambda e: len(list_filter(ret, lambda r: contains(r, e))) > 0)) AS b FROM r WHERE ret IS NOT NULL) SELECT id, (CASE WHEN len(req) = 0 THEN 0.0 ELSE round(k::DOUBLE / len(req), 4) END)::DOUBLE AS found, greatest(0.0::DOUBLE, 1.0::DOUBLE - 0.5::DOUBLE * b) AS clean FROM s")
 def agg11(spark, d):
     from pyspark.sql.window import Window
 
     c = V.table(spark, d, "conversations")
     t = F.col("text")
-    rows = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), T.important_terms(t, 6).alias("required"), T.important_terms(t, 2).alias("forbidden"), F.lag(T.important_terms(t, 80)).over(Window.partitionBy("conv_id").orderBy("turn")).alias("retrieved"))
+    rows = c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), T.important_terms(t, 6).alias("required"), T.important_terms(t, 2).alias("forbidden"), F.lag(T.important_terms(t, 80)).over(Window.partitionBy("conv_id").orderBy("turn")).alias("retrieved"))
     return E.coreference(rows.filter("retrieved IS NOT NULL"))
 
 
@@ -145,17 +145,17 @@ def join11(spark, d):
     return E.replayed(turns, own.unionByName(any_)).withColumn("answer", F.md5("answer")).select("scenario", "turn", "variant", "answer")
 
 
-@query("join12_traps_of_turns", "WITH t AS (SELECT conv_id * 100 + turn AS turn_id, unnest(['premise_' || conv_id % 7, 'drift_' || turn]) AS trap_id FROM conversations), b AS (SELECT 'premise_' || event_id AS trap_id, event_type AS type, 4 AS severity FROM events) SELECT turn_id, t.trap_id, coalesce(type, CASE WHEN contains(t.trap_id, 'premise') THEN 'user_false_premise' WHEN contains(t.trap_id, 'drift') THEN 'scope_drift' ELSE 'generated_trap' END) AS type, coalesce(severity, CASE WHEN contains(t.trap_id, 'premise') THEN 5 ELSE 3 END) AS severity FROM t LEFT JOIN b USING (trap_id)")
+@query("join12_traps_of_turns", "WITH t AS (SELECT conv_id || ':' || turn AS turn_id, unnest(['premise_' || conv_id % 7, 'drift_' || turn]) AS trap_id FROM conversations), b AS (SELECT 'premise_' || event_id AS trap_id, event_type AS type, 4 AS severity FROM events) SELECT turn_id, t.trap_id, coalesce(type, CASE WHEN contains(t.trap_id, 'premise') THEN 'user_false_premise' WHEN contains(t.trap_id, 'drift') THEN 'scope_drift' ELSE 'generated_trap' END) AS type, coalesce(severity, CASE WHEN contains(t.trap_id, 'premise') THEN 5 ELSE 3 END) AS severity FROM t LEFT JOIN b USING (trap_id)")
 def join12(spark, d):
     c = V.table(spark, d, "conversations")
-    turns = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), F.array(F.concat(F.lit("premise_"), (F.col("conv_id") % 7).cast("string")), F.concat(F.lit("drift_"), F.col("turn").cast("string"))).alias("trap_ids"))
+    turns = c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("turn_id"), F.array(F.concat(F.lit("premise_"), (F.col("conv_id") % 7).cast("string")), F.concat(F.lit("drift_"), F.col("turn").cast("string"))).alias("trap_ids"))
     bank = V.table(spark, d, "events").select(F.concat(F.lit("premise_"), F.col("event_id").cast("string")).alias("trap_id"), F.col("event_type").alias("type"), F.lit(4).alias("severity"))
     return E.traps_of(turns, bank)
 
 
-@query("join13_trap_outcomes", "WITH t AS (SELECT conv_id * 100 + turn AS turn_id, 'trap' AS trap_id, text, substr(lower(text), 3, 4) AS wrong, conv_id % 5 = 0 AS det FROM conversations) SELECT turn_id, trap_id, CASE WHEN det THEN 'detected' WHEN contains(trim(regexp_replace(replace(lower(text), '-', ' '), '\\s+', ' ', 'g')), trim(regexp_replace(replace(wrong, '-', ' '), '\\s+', ' ', 'g'))) AND NOT contains(lower(text), 'was') THEN 'missed' ELSE 'resisted' END AS outcome FROM t")
+@query("join13_trap_outcomes", "WITH t AS (SELECT conv_id || ':' || turn AS turn_id, 'trap' AS trap_id, text, substr(lower(text), 3, 4) AS wrong, conv_id % 5 = 0 AS det FROM conversations) SELECT turn_id, trap_id, CASE WHEN det THEN 'detected' WHEN contains(trim(regexp_replace(replace(lower(text), '-', ' '), '\\s+', ' ', 'g')), trim(regexp_replace(replace(wrong, '-', ' '), '\\s+', ' ', 'g'))) AND NOT contains(lower(text), 'was') THEN 'missed' ELSE 'resisted' END AS outcome FROM t")
 def join13(spark, d):
-    c = V.table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), F.lit("trap").alias("trap_id"), F.col("text").alias("answer"), F.substring(F.lower("text"), 3, 4).alias("wrong_claim"), (F.col("conv_id") % 5 == 0).alias("det"))
+    c = V.table(spark, d, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("turn_id"), F.lit("trap").alias("trap_id"), F.col("text").alias("answer"), F.substring(F.lower("text"), 3, 4).alias("wrong_claim"), (F.col("conv_id") % 5 == 0).alias("det"))
     return E.trap_outcomes(c.select("turn_id", "trap_id", "wrong_claim"), c.filter("det").select("turn_id", "trap_id"), c.select("turn_id", "answer"), ["was"])
 
 

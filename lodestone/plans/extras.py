@@ -61,10 +61,7 @@ def prj19(spark, d):
 
 @query("prj22_bridge_terms", f"SELECT item_id, array_to_string({D.first_seen('list_concat(list_concat(CASE WHEN contains(lower(text), ' + chr(39) + 'the' + chr(39) + ') THEN [' + chr(39) + 'evidence' + chr(39) + '] ELSE [] END, CASE WHEN contains(lower(text), ' + chr(39) + 'and' + chr(39) + ') THEN [' + chr(39) + 'relationship' + chr(39) + ', ' + chr(39) + 'evidence' + chr(39) + '] ELSE [] END), ' + D.important('text', 3) + ')')}, ' ') AS bridge FROM benchmark")
 def prj22(spark, d):
-    low = F.lower("text")
-    none = F.array().cast("array<string>")
-    words = lambda w, xs: F.when(F.contains(low, F.lit(w)), T.lits(xs)).otherwise(none)
-    return V.table(spark, d, "benchmark").select("item_id", F.array_join(F.array_distinct(F.concat(words("the", ["evidence"]), words("and", ["relationship", "evidence"]), T.important_terms(F.col("text"), 3))), " ").alias("bridge"))
+    return V.table(spark, d, "benchmark").select("item_id", F.array_join(T.bridge_terms(F.col("text"), {"the": ["evidence"], "and": ["relationship", "evidence"]}), " ").alias("bridge"))
 
 
 GENERIC = f"ge AS (SELECT term FROM (SELECT DISTINCT conv_id, turn, unnest({D.terms('text')}) AS term FROM conversations) GROUP BY term HAVING count(*) >= 40)"
@@ -118,9 +115,9 @@ def ret31(spark, d):
     return E.open_nodes_covered(K.anchors(spark, d).withColumnRenamed("anchor", "node"), K.hit_texts(spark, d))
 
 
-@query("ret32_reusable_notes", f"WITH t AS (SELECT conv_id, turn, {D.important('text', 8)} AS a FROM conversations), q AS (SELECT conv_id, turn, unnest(a) AS x FROM t), n AS (SELECT conv_id, turn, unnest(a) AS x FROM t WHERE turn = 0) SELECT q.conv_id * 100 + q.turn AS query_id, n.conv_id * 100 + n.turn AS note_id, count(*) AS shared FROM q JOIN n ON q.conv_id = n.conv_id AND q.x = n.x WHERE q.turn > 0 GROUP BY ALL HAVING count(*) >= 2")
+@query("ret32_reusable_notes", f"WITH t AS (SELECT conv_id, turn, {D.important('text', 8)} AS a FROM conversations), q AS (SELECT conv_id, turn, unnest(a) AS x FROM t), n AS (SELECT conv_id, turn, unnest(a) AS x FROM t WHERE turn = 0) SELECT q.conv_id || ':' || q.turn AS query_id, n.conv_id || ':' || n.turn AS note_id, count(*) AS shared FROM q JOIN n ON q.conv_id = n.conv_id AND q.x = n.x WHERE q.turn > 0 GROUP BY ALL HAVING count(*) >= 2")
 def ret32(spark, d):
-    t = V.table(spark, d, "conversations").select(F.col("conv_id").alias("session"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "turn", T.important_terms(F.col("text"), 8).alias("anchors"))
+    t = V.table(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "turn", T.important_terms(F.col("text"), 8).alias("anchors"))
     return E.reusable_notes(t.filter("turn > 0").withColumnRenamed("id", "query_id"), t.filter("turn = 0").withColumnRenamed("id", "note_id"), 2)
 
 

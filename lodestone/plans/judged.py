@@ -228,13 +228,28 @@ def agg06b(spark, d):
 
 
 @query("agg07_frame_alignment", f"WITH {TURNS}, fr AS (SELECT session_id, turn_index, {D.important('q', 18)} AS active, list_slice({D.terms('q')}, 1, 2) AS avoided, list_distinct({D.terms('a')}) AS t FROM tp), h AS (SELECT *, len(list_intersect(t, active)) AS ha, len(list_intersect(t, avoided)) AS hv FROM fr) SELECT session_id, turn_index, round(least(1.0::DOUBLE, ha::DOUBLE / greatest(1, least(len(active), 12))), 4) AS alignment, round(CASE WHEN len(active) > 0 AND ha = 0 THEN greatest(least(1.0::DOUBLE, hv / 4.0::DOUBLE), 0.25::DOUBLE) ELSE least(1.0::DOUBLE, hv / 4.0::DOUBLE) END, 4) AS drift FROM h")
-def agg07(spark, d):
+def agg07b(spark, d):
     p = W.pairs(V.memory_docs(spark, d))
     q = F.col("question")
     frames = p.select("session_id", "turn_index", T.important_terms(q, 18).alias("active"), F.array_distinct(F.slice(T.terms(q), 1, 2)).alias("avoided"))
     return W.frame_alignment(frames, p.select("session_id", "turn_index", "answer"), ["session_id", "turn_index"])
 
 
+COUNTS = {k: STAND_INS[k] for k in ("n_claims", "n_contradicted", "n_unsupported", "n_prior_conflicts")}
+COUNT_SQL = ", ".join(f"({v})::BIGINT AS {k}" for k, v in COUNTS.items())
+RATE = lambda c: f"least(1.0::DOUBLE, {c}::DOUBLE / greatest(1, n_claims))"
+
+
+@query("agg07_consistency_report", f"WITH {TURNS}, fr AS (SELECT session_id, turn_index, {D.important('q', 18)} AS active, list_slice({D.terms('q')}, 1, 2) AS avoided, list_distinct({D.terms('a')}) AS t FROM tp), h AS (SELECT *, len(list_intersect(t, active)) AS ha, len(list_intersect(t, avoided)) AS hv FROM fr), al AS (SELECT session_id, turn_index, {COUNT_SQL}, round(least(1.0::DOUBLE, ha::DOUBLE / greatest(1, least(len(active), 12))), 4) AS alignment, round(CASE WHEN len(active) > 0 AND ha = 0 THEN greatest(least(1.0::DOUBLE, hv / 4.0::DOUBLE), 0.25::DOUBLE) ELSE least(1.0::DOUBLE, hv / 4.0::DOUBLE) END, 4) AS drift FROM h) SELECT session_id, turn_index, alignment, drift, round({RATE('n_contradicted')}, 4) AS contradicted_rate, round({RATE('n_unsupported')}, 4) AS unsupported_rate, round(least(1.0::DOUBLE, n_prior_conflicts / 2.0::DOUBLE), 4) AS prior_conflict_rate, round(least(1.0::DOUBLE, 0.35::DOUBLE * {RATE('n_contradicted')} + 0.20::DOUBLE * {RATE('n_unsupported')} + 0.25::DOUBLE * least(1.0::DOUBLE, n_prior_conflicts / 2.0::DOUBLE) + 0.20::DOUBLE * drift), 4) AS penalty, concat_ws(',', CASE WHEN drift > 0 THEN 'frame_drift' END, CASE WHEN n_contradicted > 0 THEN 'source_contradiction' END, CASE WHEN n_prior_conflicts > 0 THEN 'prior_memory_conflict' END) AS warnings FROM al")
+def agg07(spark, d):
+    p = W.pairs(V.memory_docs(spark, d))
+    q = F.col("question")
+    frames = p.select("session_id", "turn_index", T.important_terms(q, 18).alias("active"), F.array_distinct(F.slice(T.terms(q), 1, 2)).alias("avoided"))
+    rows = W.frame_alignment(frames, p.select("session_id", "turn_index", "answer"), ["session_id", "turn_index"])
+    rows = W.consistency_report(rows.withColumns({k: F.expr(v.replace("//", "div")) for k, v in COUNTS.items()}))
+    return rows.drop(*COUNTS).withColumn("warnings", F.array_join("warnings", ","))
+
+
 @query("agg08_policy_replay")
 def agg08(spark, d):
     m = V.memory_docs(spark, d)
@@ -259,9 +274,11 @@ def agg10(spark, d):
     return W.capped(e.select("scope", F.col("action").alias("type"), F.col("reward").alias("amount")), "scope")
 
 
-@query("agg14_run_summary", f"WITH {D.EVENTS} SELECT state_key, count(*) AS turns, round(avg(reward), 6) AS mean_reward, count(*) FILTER (reward < 0.1) AS failed, count(DISTINCT scope) AS scopes FROM turn_events GROUP BY state_key")
+@query("agg14_run_summary", f"WITH {D.EVENTS}, t AS (SELECT state_key, count(*) AS turns, round(avg(reward), 6) AS mean_reward, count(*) FILTER (reward < 0.1) AS failed FROM turn_events GROUP BY state_key), m AS (SELECT state_key, count(*) AS traps, count(*) FILTER (coalesce(reward, 0.0) < 0.05) AS missed_traps FROM turn_events WHERE action = 3 GROUP BY state_key) SELECT state_key, turns, mean_reward, failed, coalesce(traps, 0) AS traps, coalesce(missed_traps, 0) AS missed_traps FROM t LEFT JOIN m USING (state_key)")
 def agg14(spark, d):
-    return V.turn_events(spark, d).groupBy("state_key").agg(F.count("*").alias("turns"), F.round(F.avg("reward"), 6).alias("mean_reward"), F.count_if(F.col("reward") < 0.1).alias("failed"), F.count_distinct("scope").alias("scopes"))
+    e = V.turn_events(spark, d)
+    traps = e.filter("action = 3").select("state_key", (F.coalesce("reward", F.lit(0.0)) < 0.05).alias("missed"))
+    return W.run_summary(e, traps, "state_key", 0.1)
 
 
 @query("agg15_compared_runs", f"WITH {D.EVENTS}, a AS (SELECT scope, round(avg(reward), 6) AS before FROM turn_events WHERE action < 5 GROUP BY scope), b AS (SELECT scope, round(avg(reward), 6) AS after FROM turn_events WHERE action >= 5 GROUP BY scope) SELECT scope, before, after, round(after - before, 4) AS delta FROM a FULL JOIN b USING (scope)")
@@ -306,9 +323,13 @@ def agg22(spark, d):
     return G.promoted_terms(e.select(F.col("action").alias("run"), F.col("scope").alias("term"), (F.col("reward") > 0.1).alias("ok")), known, 0.5, 3, 2)
 
 
-@query("agg25_episodes", f"WITH {D.MEMORY} SELECT session_id, turn_index // 4 AS episode, min(turn_index) AS first_turn, max(turn_index) AS last_turn, count(*) AS n, round(max(importance), 4) AS importance FROM memory_docs GROUP BY ALL")
+EPISODE = "turn_index // 4 AS episode, importance >= 0.95 AS supported, importance AS reward"
+
+
+@query("agg25_episodes", f"WITH {D.MEMORY}, m AS (SELECT *, {EPISODE} FROM memory_docs), g AS (SELECT session_id, episode, min(turn_index) AS first_turn, max(turn_index) AS last_turn, count(*) AS n, count(*) FILTER (supported) AS n_supported, max(reward) AS rw, string_agg(coalesce(text, ''), ' ' ORDER BY turn_index) AS joined, list(role || ': ' || substr(coalesce(text, ''), 1, 260) ORDER BY turn_index) FILTER (supported) AS sup, list(role || ': ' || substr(coalesce(text, ''), 1, 260) ORDER BY importance DESC, turn_index DESC) AS best FROM m GROUP BY session_id, episode) SELECT session_id, episode, first_turn, last_turn, n, array_to_string({D.important('joined', 18)}, ' ') AS focus, array_to_string(list_slice(CASE WHEN n_supported > 0 THEN sup ELSE best END, 1, 6), ' | ') AS facts, n_supported, round(greatest(0.4::DOUBLE, least(1.0::DOUBLE, 0.45::DOUBLE + 0.35::DOUBLE * rw + 0.05::DOUBLE * n_supported)), 4) AS importance FROM g")
 def agg25(spark, d):
-    return V.memory_docs(spark, d).withColumn("episode", F.floor(F.col("turn_index") / 4).cast("int")).groupBy("session_id", "episode").agg(F.min("turn_index").alias("first_turn"), F.max("turn_index").alias("last_turn"), F.count("*").alias("n"), F.round(F.max("importance"), 4).alias("importance"))
+    rows = V.memory_docs(spark, d).withColumns({"episode": F.floor(F.col("turn_index") / 4).cast("int"), "supported": F.col("importance") >= 0.95, "reward": F.col("importance")})
+    return Win.episodes(rows, ["session_id", "episode"]).withColumns({"focus": F.array_join("focus", " "), "facts": F.array_join("facts", " | ")})
 
 
 @query("set01_evidence_union", f"WITH {D.SENTENCES}, u AS (SELECT 'pinned' AS source, 0 AS p, doc_id, pos, sentence AS text FROM sentences WHERE length(sentence) >= 120 UNION ALL SELECT 'memory', 1, doc_id, pos, sentence FROM sentences), e AS (SELECT 'ev_' || substr(sha256(doc_id || chr(10) || pos || chr(10) || substr(text, 1, 240)), 1, 24) AS evidence_id, source, p, text FROM u) SELECT evidence_id, source, text FROM (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY p, text) AS r FROM e) WHERE r = 1")

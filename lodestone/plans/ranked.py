@@ -109,9 +109,12 @@ def ret06(spark, d):
     return X.bm25(asked(spark, d), t, X.postings(t, "triple_id", {"spo": F.col("spo")}), {"spo": 1.0}, 10)
 
 
-@query("ret07_keyword_sentences", f"WITH {D.SENTENCES}, {bm25_sql('SELECT doc_id * 100000 + pos AS doc, sentence FROM sentences', {'body': 'sentence'}, {'body': 1.0}, 5)} SELECT * FROM ranked")
+LINES = "SELECT doc_id || ':' || pos AS doc, sentence FROM sentences"
+
+
+@query("ret07_keyword_sentences", f"WITH {D.SENTENCES}, {bm25_sql(LINES, {'body': 'sentence'}, {'body': 1.0}, 5)} SELECT * FROM ranked")
 def ret07(spark, d):
-    s = V.sentences(spark, d).select((F.col("doc_id") * 100000 + F.col("pos")).alias("doc"), "sentence")
+    s = V.sentences(spark, d).select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("doc"), "sentence")
     return X.bm25(asked(spark, d), s, X.postings(s, "doc", {"body": F.col("sentence")}), {"body": 1.0}, 5)
 
 
@@ -152,12 +155,12 @@ def ret11(spark, d):
     return X.top(scored_triples(spark, d).filter("confidence >= 0.6"), "article_id", [F.desc("quality"), "triple_id"], 3).select("article_id", "rank", "triple_id", "confidence")
 
 
-MESSAGES = "SELECT conv_id * 1000 + turn AS doc, text FROM conversations WHERE role IN ('user', 'assistant')"
+MESSAGES = "SELECT conv_id || ':' || turn AS doc, text FROM conversations WHERE role IN ('user', 'assistant')"
 
 
 @query("ret12_memory_search", f"WITH {bm25_sql(MESSAGES, {'text': 'text'}, {'text': 2.0}, 5)} SELECT * FROM ranked")
 def ret12(spark, d):
-    m = V.table(spark, d, "conversations").filter(F.col("role").isin("user", "assistant")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), "text")
+    m = V.table(spark, d, "conversations").filter(F.col("role").isin("user", "assistant")).select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc"), "text")
     return X.bm25(asked(spark, d), m, X.postings(m, "doc", {"text": F.col("text")}), {"text": 2.0}, 5)
 
 
@@ -204,10 +207,14 @@ def ret20(spark, d):
     return X.feedback_terms(hit_texts(spark, d), asked(spark, d), 8)
 
 
-@query("ret21_off_topic", f"WITH {HITS} SELECT query_id, doc, contains(lower(text), 'idiot') AND NOT contains(lower(text), 'the') AS off_topic FROM ht")
+#: Common words stand in for phrases to avoid and for weak anchors.
+AVOID, WEAK = ["idiot", "was", " der "], ["the", "and", "und"]
+
+
+@query("ret21_off_topic", f"WITH {HITS}, fr AS (SELECT item_id AS query_id, list_filter({D.important('text', 4)}, lambda x: length(x) >= 3) AS al, list_filter({D.important('text', 4)}, lambda x: length(x) >= 3 AND x NOT IN ({D.quoted(WEAK)})) AS fo FROM benchmark) SELECT query_id, doc, {D.contains_any('lower(text)', AVOID)} AND len(list_intersect(CASE WHEN len(fo) > 0 THEN fo ELSE al END, {D.important('lower(text)', 128)})) = 0 AS off_topic FROM ht JOIN fr USING (query_id)")
 def ret21(spark, d):
-    low = F.lower("text")
-    return hit_texts(spark, d).select("query_id", "doc", (T.contains_any(low, ["idiot"]) & ~T.contains_any(low, ["the"])).alias("off_topic"))
+    frames = asked(spark, d).select("query_id", T.lits(AVOID).alias("avoid"), T.important_terms(F.col("query"), 4).alias("anchors"))
+    return X.off_topic(hit_texts(spark, d), frames, WEAK).select("query_id", "doc", "off_topic")
 
 
 @query("ret24_gap_record", f"WITH {HITS}, o AS (SELECT item_id AS query_id, {D.important('text')} AS t FROM benchmark), s AS (SELECT query_id, list_distinct(flatten(list({D.terms('text')}))) AS seen FROM ht GROUP BY query_id) SELECT query_id, array_to_string(c, ' ') AS confirmed, array_to_string(m, ' ') AS missing, round(len(c)::DOUBLE / greatest(1, len(t)), 4) AS coverage FROM (SELECT query_id, t, list_sort(list_filter(t, lambda x: list_contains(coalesce(seen, []), x))) AS c, list_sort(list_filter(t, lambda x: NOT list_contains(coalesce(seen, []), x))) AS m FROM o LEFT JOIN s USING (query_id))")
@@ -233,9 +240,12 @@ def ret26(spark, d):
     return X.attempt_quality(hits.select("query_id", "source", F.col("n_matched").alias("matched"), F.col("n_anchors").alias("anchors")), asked(spark, d))
 
 
-@query("ret28_history_search", f"WITH {bm25_sql('SELECT conv_id * 1000 + turn AS doc, text FROM conversations WHERE role = ' + chr(39) + 'assistant' + chr(39), {'text': 'text'}, {'text': 1.0}, 3)} SELECT * FROM ranked")
+ANSWERS = "SELECT conv_id || ':' || turn AS doc, text FROM conversations WHERE role = 'assistant'"
+
+
+@query("ret28_history_search", f"WITH {bm25_sql(ANSWERS, {'text': 'text'}, {'text': 1.0}, 3)} SELECT * FROM ranked")
 def ret28(spark, d):
-    m = V.table(spark, d, "conversations").filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), "text")
+    m = V.table(spark, d, "conversations").filter("role = 'assistant'").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc"), "text")
     return X.bm25(asked(spark, d), m, X.postings(m, "doc", {"text": F.col("text")}), {"text": 1.0}, 3)
 
 

@@ -13,12 +13,17 @@ VERBS = r"inhibits?|activates?|induces?|reduces?|increases?|decreases?|predicts?
 METHOD, ADVICE = ["method", "methods", "cohort", "assay", "sequencing", "trial", "randomized"], ["should", "recommend", "recommended", "consider"]
 SPECULATION = r"(?i)\b(may|might|could|likely|possibly|appears?|suggests?|uncertain|unclear)\b"
 
+# What marks a citation, an acronym and a report of findings.
+CITATION = r"\[[0-9]+\]|\(PMID"
+ACRONYM = r"(?-i)\b[A-Z0-9-]{2,}\b"
+REPORT = r"\b(study|paper|analysis|result|finding|reports?|reported|shows?|showed)\b"
+
 
 def claim_type(c: Column) -> Column:
     """The first rule that holds: citation, question, method, recommendation, uncertainty, fact (an acronym or a reporting word), other."""
     toks = F.array_distinct(T.terms(c))
     has = lambda ws: F.arrays_overlap(toks, T.lits(ws))
-    return F.when(c.rlike(r"\[[0-9]+\]|\(PMID"), "citation_statement").when(c.endswith("?"), "other").when(has(METHOD), "method").when(has(ADVICE), "recommendation").when(c.rlike(SPECULATION), "uncertainty").when(c.rlike(r"(?-i)\b[A-Z0-9-]{2,}\b") | F.lower(c).rlike(r"\b(study|paper|analysis|result|finding|reports?|reported|shows?|showed)\b"), "fact").otherwise("other")
+    return F.when(c.rlike(CITATION), "citation_statement").when(c.endswith("?"), "other").when(has(METHOD), "method").when(has(ADVICE), "recommendation").when(c.rlike(SPECULATION), "uncertainty").when(c.rlike(ACRONYM) | F.lower(c).rlike(REPORT), "fact").otherwise("other")
 
 
 def atomic_claims(answers: DataFrame, key: list[str], text: str) -> DataFrame:

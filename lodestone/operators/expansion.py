@@ -8,6 +8,9 @@ from lodestone.functions import text as T
 from lodestone.operators import retrieval as X
 
 
+# Names, as runs of up to four capitalised words.
+NAME = r"\b[A-Z][A-Za-z0-9-]*(?:\s+[A-Z][A-Za-z0-9-]*){0,3}"
+
 
 def concept(c: Column) -> Column:
     """The normal form of a concept: lower-case words and digits, hyphens as spaces, plural endings folded."""
@@ -108,7 +111,7 @@ def comparability(premise: Column, hypothesis: Column, relations: list[str], con
     """score (4 places) and reasons of a pair: weighted overlaps of words, entities and relations less penalties for unlike conditions,
     entities and relations."""
     words = lambda c: F.array_distinct(F.filter(T.terms(c), lambda t: ~t.isin(T.STOP)))
-    names = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\b[A-Z][A-Za-z0-9-]*(?:\s+[A-Z][A-Za-z0-9-]*){0,3}"), F.lit(0)), F.lower))
+    names = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(NAME), F.lit(0)), F.lower))
     among = lambda c, ws: F.array_intersect(F.array_distinct(T.terms(c)), T.lits(ws))
     unlike = lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_intersect(a, b)) == 0)
     pw, hw, pe, he = words(premise), words(hypothesis), names(premise), names(hypothesis)

@@ -67,13 +67,32 @@ def pubmed(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("MedlineCitation.PMID").alias("pmid"), F.col("MedlineCitation.Article.ArticleTitle").alias("title"), F.array_join("MedlineCitation.Article.Abstract.AbstractText", " ").alias("abstract"), F.get(ids, F.lit(0))["_VALUE"].alias("pmcid"))
 
 
-def jats(spark: SparkSession, path: str) -> DataFrame:
-    """(pmid, pmcid, title, abstract, paragraphs) of JATS article XML."""
-    schema = "front struct<`article-meta`:struct<`article-id`:array<struct<`_pub-id-type`:string,_VALUE:string>>,`title-group`:struct<`article-title`:string>,abstract:struct<p:array<string>>>>, body struct<sec:array<struct<p:array<string>>>>"
+def jats(spark: SparkSession, path: str, depth: int = 4) -> DataFrame:
+    """(pmid, pmcid, title, abstract, paragraphs) of JATS article XML, for articles with a title and an abstract or a pmcid.
+
+    Sectioned abstracts count as well as plain ones. Paragraphs are those of the body, then of its sections, down to `depth` levels; a
+    section's own come before those of the sections in it.
+    """
+    sec = "struct<p:array<string>>"
+    for _ in range(depth - 1):
+        sec = f"struct<p:array<string>,sec:array<{sec}>>"
+    schema = f"front struct<`article-meta`:struct<`article-id`:array<struct<`_pub-id-type`:string,_VALUE:string>>,`title-group`:struct<`article-title`:string>,abstract:struct<p:array<string>,sec:array<struct<p:array<string>>>>>>, body struct<p:array<string>,sec:array<{sec}>>"
     rows = spark.read.schema(schema).option("rowTag", "article").xml(path)
+    none = F.array().cast("array<string>")
+    own = lambda x: F.coalesce(x, none)
+
+    def below(x, level: int):
+        """A section's paragraphs with those of its sections."""
+        if level == depth:
+            return own(x["p"])
+        return F.concat(own(x["p"]), F.coalesce(F.flatten(F.transform(x["sec"], lambda y: below(y, level + 1))), none))
+
     meta = "front.`article-meta`"
     one = lambda *kinds: F.get(F.filter(F.col(f"{meta}.`article-id`"), lambda x: x["_pub-id-type"].isin(*kinds)), F.lit(0))["_VALUE"]
-    return rows.select(one("pmid").alias("pmid"), one("pmc", "pmcid").alias("pmcid"), F.col(f"{meta}.`title-group`.`article-title`").alias("title"), F.array_join(f"{meta}.abstract.p", " ").alias("abstract"), F.flatten("body.sec.p").alias("paragraphs"))
+    abstract = F.concat(own(F.col(f"{meta}.abstract.p")), F.coalesce(F.flatten(F.transform(F.col(f"{meta}.abstract.sec"), lambda x: own(x["p"]))), none))
+    paragraphs = F.concat(own(F.col("body.p")), F.coalesce(F.flatten(F.transform(F.col("body.sec"), lambda x: below(x, 1))), none))
+    out = rows.select(one("pmid").alias("pmid"), one("pmc", "pmcid").alias("pmcid"), F.trim(f"{meta}.`title-group`.`article-title`").alias("title"), F.array_join(abstract, " ").alias("abstract"), paragraphs.alias("paragraphs"))
+    return out.filter("title <> '' AND (abstract <> '' OR pmcid IS NOT NULL)")
 
 
 def fulltext_sentences(articles: DataFrame, query_terms: list[str], k: int) -> DataFrame:

@@ -122,3 +122,11 @@ def test_claims_and_scorers(spark):
     assert sorted(r["x"] for r in out) == [0.0, 0.5, 0.5]
     fix = M.scored(spark.createDataFrame([("hypoxa",), ("zzz",)], "t string"), ["t"], M.spelling_repair(["hypoxia"]), "fixed string").collect()
     assert {r["fixed"] for r in fix} == {"hypoxia", "zzz"}
+
+
+def test_jats_nested_sections(spark, tmp_path):
+    meta = lambda i, title, abstract: f"<front><article-meta><article-id pub-id-type='pmid'>{i}</article-id><title-group><article-title>{title}</article-title></title-group>{abstract}</article-meta></front>"
+    docs = [meta(1, "One", "<abstract><sec><title>A</title><p>first</p></sec><sec><p>second</p></sec></abstract>") + "<body><p>lead</p><sec><p>a</p><sec><p>b</p><sec><p>c</p></sec></sec></sec><sec><p>d</p></sec></body>", meta(2, "Two", "<abstract><p>plain</p></abstract>"), meta(3, "Three", ""), meta(4, "", "<abstract><p>x</p></abstract>")]
+    (tmp_path / "a.xml").write_text("<articles>" + "".join(f"<article>{x}</article>" for x in docs) + "</articles>")
+    got = {r["pmid"]: r for r in S.jats(spark, str(tmp_path / "a.xml")).collect()}
+    assert set(got) == {"1", "2"} and got["1"]["abstract"] == "first second" and got["1"]["paragraphs"] == ["lead", "a", "b", "c", "d"] and got["2"]["paragraphs"] == []

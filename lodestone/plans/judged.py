@@ -103,7 +103,11 @@ def join06(spark, d):
     return C.support(nli_pairs(spark, d), ["query_id"])
 
 
-@query("agg20_panel_consensus", f"WITH {PAIRS}, g AS (SELECT query_id, round(avg(entailment), 4) AS entailment, round(max(contradiction), 4) AS contradiction, round(avg(neutral), 4) AS neutral, list(label) AS l FROM nl GROUP BY query_id), h AS (SELECT *, CASE WHEN entailment >= contradiction AND entailment >= neutral THEN 'entailment' WHEN contradiction >= neutral THEN 'contradiction' ELSE 'neutral' END AS label FROM g) SELECT query_id, entailment, contradiction, neutral, label, round(len(list_filter(l, lambda x: x = label))::DOUBLE / len(l), 4) AS agreement FROM h")
+#: The mean of values of 4 places, rounded half up in whole numbers.
+MEAN4 = lambda c: f"((2 * sum(CAST(round({c} * 10000) AS BIGINT)) + count(*)) // (2 * count(*)))::DOUBLE / 10000.0::DOUBLE"
+
+
+@query("agg20_panel_consensus", f"WITH {PAIRS}, g AS (SELECT query_id, {MEAN4('entailment')} AS entailment, round(max(contradiction), 4) AS contradiction, {MEAN4('neutral')} AS neutral, list(label) AS l FROM nl GROUP BY query_id), h AS (SELECT *, CASE WHEN entailment >= contradiction AND entailment >= neutral THEN 'entailment' WHEN contradiction >= neutral THEN 'contradiction' ELSE 'neutral' END AS label FROM g) SELECT query_id, entailment, contradiction, neutral, label, round(len(list_filter(l, lambda x: x = label))::DOUBLE / len(l), 4) AS agreement FROM h")
 def agg20(spark, d):
     return C.panel(nli_pairs(spark, d), "query_id")
 

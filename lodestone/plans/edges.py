@@ -1,5 +1,6 @@
 """Queries of sources, streams and scorers (SRC, STR, U) over rows derived from the driver's tables."""
 
+import re
 import tempfile
 import uuid
 
@@ -27,8 +28,12 @@ def query(name, sql=None):
 
 
 def shared(spark) -> str:
-    """A new folder for a stream's tables: in the shared folder the session names, else (tests) a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lodestone-")
+    """A new folder for a query's tables: in the shared folder the session names; without one, a local folder where all runs locally."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="lodestone-")
     return f"{base}/{uuid.uuid4().hex}"
 
 

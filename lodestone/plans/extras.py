@@ -11,6 +11,7 @@ from lodestone.operators import windows as W
 from lodestone.plans import duck as D
 from lodestone.plans import ranked as K
 from lodestone.plans.columns import redact_sql
+from lodestone.plans.edges import shared
 from lodestone.plans.judged import IDEAS, MOST_EVIDENCE, PAIRS, idea_turns, nli_pairs
 from lodestone.sources import views as V
 
@@ -123,10 +124,8 @@ def ret32(spark, d):
 
 @query("ret19_multilevel_retrieval")
 def ret19(spark, d):
-    from tempfile import mkdtemp
-
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(mkdtemp(prefix="lodestone-"))
+        spark.sparkContext.setCheckpointDir(shared(spark))
     docs, index = K.doc_index(spark, d)
     return E.multilevel(K.asked(spark, d), [("title", docs, index, "text", {"title": 4.0}, 3), ("paper", docs, index, "text", {"title": 1.0, "body": 2.0}, 4), ("sentence", docs, index, "text", {"body": 1.0}, 6)])
 

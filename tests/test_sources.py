@@ -57,8 +57,43 @@ def test_json_and_xml(spark, tmp_path):
 def test_extractor_outputs(spark, tmp_path):
     g = spark.createDataFrame([(1, "<triplet> HGF <subj> MET <obj> activates <triplet> a | b | c"), (2, None), (3, "nothing")], "id long, g string")
     assert [(r["subject"], r["relation"], r["object"]) for r in S.linearised(g, "id", "g").orderBy("place").collect()] == [("HGF", "activates", "MET"), ("a", "b", "c")]
-    (tmp_path / "o.txt").write_text("SENT: One sentence.\nTUP: 0.9\tA\tis\tB\nTUP: 0.5\tC\thas\tD\nSENT: Two.\n")
-    assert [(r["sentence"], r["confidence"], r["object"]) for r in S.openie(spark, str(tmp_path / "o.txt")).orderBy("place").collect()] == [("One sentence.", 0.9, "B"), ("One sentence.", 0.5, "D")]
+    (tmp_path / "o.txt").write_text("SENT 3: One sentence.\nTUP 0.9: (A; is; B)\nTUP: C ; has; D; in E\nTUP 1: (x; y)\nSENT 12 : Two.\r\nTUP 2: (F (a); of; G)\r\nSENT none: Three.\nTUP 1: (h; i; j)\n")
+    got = S.openie(spark, str(tmp_path / "o.txt")).orderBy("sent_id", "place").collect()
+    assert [(r["sent_id"], r["subject"], r["predicate"], r["object"]) for r in got] == [(-1, "h", "i", "j"), (3, "A", "is", "B"), (3, "C", "has", "D"), (12, "F (a)", "of", "G")]
+    (tmp_path / "p.txt").write_text("TUP 1: (a; b; c)\n")
+    assert [tuple(r) for r in S.openie(spark, str(tmp_path / "p.txt")).drop("place").collect()] == [(-1, "a", "b", "c")]
+    (tmp_path / "none.txt").write_text("")
+    assert S.openie(spark, str(tmp_path / "none.txt")).count() == 0
+
+
+def test_banks_turns_and_records(spark, tmp_path):
+    claims = [{"claim_id": "1", "claim": "a", "required_nodes": ["x", "y"]}, {"claim_id": "2", "claim": "b", "entities": ["e"], "required_nodes": ["x"], "required_mechanism_nodes": ["m"]}, {"claim_id": "3", "claim": "c", "entities": [], "required_mechanism_nodes": ["m"]}, {"claim_id": "4", "claim": "d"}]
+    (tmp_path / "g.json").write_text(json.dumps({"claims": claims}, indent=1))
+    got = {r["claim_id"]: (r["entities"], r["required_mechanism_nodes"]) for r in S.gold_claims(spark, [str(tmp_path / "g.json")]).collect()}
+    assert got == {"1": (["x", "y"], ["x", "y"]), "2": (["e"], ["m"]), "3": (["m"], ["m"]), "4": ([], [])}
+    (tmp_path / "t.jsonl").write_text(json.dumps({"turn": 1, "text": "hi", "must_mention": ["k"]}) + "\n" + json.dumps({"turn": 0, "user_message": "u", "expected_focus_terms": []}) + "\n")
+    t = S.turns(spark, str(tmp_path / "t.jsonl")).orderBy("turn").collect()
+    assert [(r["user_message"], r["expected_focus_terms"]) for r in t] == [("u", []), ("hi", ["k"])]
+    a = spark.createDataFrame([("7", "PMC1", "T @GENE_7157 @@@<m>p53</m>@@@", "S &lt; @DISEASE_D1 @@@x@@@ @OTHER_1", "d"), ("8", None, None, None, None), ("", "", "only", "", "")], "pmid string, pmcid string, title string, text_hl string, doi string")
+    rows = S.annotated_records(a).orderBy("pmid").collect()
+    assert len(rows) == 2 and rows[1]["title"] == "T p53" and rows[1]["snippet"] == "S < x @OTHER_1" and rows[1]["entities"] == {"GENE": ["7157"], "DISEASE": ["D1"]} and rows[1]["url"].endswith("/7") and rows[0]["snippet"] == "only" and rows[0]["url"] == ""
+    b = spark.createDataFrame([("7", None, " a  b ", 0.5, None), (None, "PMC2", "c", None, "intro"), (None, None, "d", None, None), ("9", None, None, None, None)], "pmid string, pmcid string, text string, score double, section string")
+    got = S.sentence_records(b, "litsense2", "Sentence")
+    assert [(r["title"], r["snippet"], r["url"]) for r in got.orderBy("snippet").collect()] == [("LitSense Sentence | PMID 7", "a b", S.PUBMED + "7/"), ("LitSense Sentence | PMCID PMC2", "c", S.PMC + "PMC2/"), ("LitSense Sentence | NCBI result", "d", "")]
+    assert S.annotated_records(a).unionByName(got).count() == 5 and set(got.columns) == set(S.EVIDENCE)
+
+
+def test_graph_tables_and_scan(spark, tmp_path):
+    rows = S.checked(S.raw_triples(spark, csv(tmp_path)), "graph")
+    nodes, edges, triples = S.graph_tables(rows, {"EBio": 0.95, "NGen": 0.05}, {"EBio": 0.7})
+    assert {r["canonical"]: r["type"] for r in nodes.collect()} == {"HGF": "generic", "MET": "biomedical"}
+    assert {(r["canonical"], r["role"]) for r in edges.collect()} == {("HGF", "AS_SUBJECT_OF"), ("MET", "AS_OBJECT_OF")} and triples.first()["method"] == "csv"
+    (tmp_path / "bad.csv").write_text(HEAD + "\n1,text,a,is,b,0.9,x,0,0.9,0,0\n")
+    assert S.checked(S.raw_triples(spark, str(tmp_path / "bad.csv")), "graph").first()["reject_reason"] == "bad_number"
+    t = spark.createDataFrame([("1", "a", "b"), ("2", "", "b"), ("3", None, "b"), ("4", "c", "d"), ("5", "", ""), ("6", "e", "f")], "triple_id string, subject string, object string")
+    for most, want in ((None, (3, 3)), (2, (2, 2)), (9, (3, 3)), (1, (1, 0))):
+        good, stats = S.store_scan(t, most)
+        assert good.count() == want[0] and tuple(stats.first()) == want
 
 
 def test_runs_logs_and_exports(spark, tmp_path):
@@ -66,6 +101,10 @@ def test_runs_logs_and_exports(spark, tmp_path):
     S.export_annotations(df, str(tmp_path / "a"))
     lines = [json.loads(x)["id"] for f in sorted((tmp_path / "a").glob("part*")) for x in f.read_text().splitlines()]
     assert lines == [1, 2, 3]
+    rows = spark.createDataFrame([(1, "b", "p", "note"), (2, "a", "p", "like"), (3, "a", "q", "note")], "id long, created_at string, paper_id string, kind string")
+    for i, (paper, kind, want) in enumerate(((None, None, {1, 2, 3}), ("p", None, {1, 2}), ("p", "note", {1}), (None, "x", set()))):
+        S.export_annotations(rows, str(tmp_path / f"x{i}"), paper, kind)
+        assert {r["id"] for r in spark.read.schema("id long").json(str(tmp_path / f"x{i}")).collect()} == want
     for n in (1, 2):
         S.write_run({"turns": df.limit(n)}, str(tmp_path / "run"), "r1")
     assert spark.read.parquet(str(tmp_path / "run/turns")).count() == 2

@@ -23,11 +23,22 @@ MOST = 4096
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bits set in over half the XXH64 of the text's word shingles, repeats included; 0 without words."""
+def remixed(h: np.ndarray, view: int) -> np.ndarray:
+    """The hashes of another view: those of view 0, mixed with its number (the finishing steps of SplitMix64)."""
+    if not view:
+        return h
+    h = h + np.uint64(view * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, views: int = 1) -> list[int]:
+    """For each view, the bits set in over half the hashes (XXH64; remixed beyond view 0) of the text's word shingles, repeats included; 0
+    without words."""
     words = (text or "").encode().translate(LOWER).split()
     if not words:
-        return 0
+        return [0] * views
     whole = b" ".join(words)
     if len(words) <= shingle:
         h = np.array([xxhash.xxh64_intdigest(whole, SEED)], np.uint64)
@@ -36,22 +47,28 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         at = [0, *end.tolist()]
         digest = xxhash.xxh64_intdigest
         h = np.fromiter((digest(whole[a : b - 1], SEED) for a, b in zip(at, at[shingle:])), np.uint64, len(words) - shingle + 1)  # noqa: B905
-    set_ = np.zeros(64, np.int64)
+    set_ = np.zeros((views, 64), np.int64)
     for i in range(0, len(h), 1 << 16):  # a very long text isn't unpacked at once
-        set_ += np.unpackbits(h[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
-    return int(np.packbits(2 * set_ > len(h), bitorder="little").view("<u8")[0])
+        for v in range(views):
+            set_[v] += np.unpackbits(remixed(h[i : i + (1 << 16)], v).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
+    return np.packbits(2 * set_ > len(h), axis=1, bitorder="little").view("<u8")[:, 0].tolist()
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """docs with `fp`, the fingerprint as a signed long; without the text."""
-    keep = [c for c in docs.columns if c not in (text_col, "fp")]
+def names(views: int) -> list[str]:
+    return ["fp", *(f"fp{v}" for v in range(1, views))]
+
+
+def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, views: int = 1) -> DataFrame:
+    """docs with `fp`, the fingerprint as a signed long, and fp1, fp2, .. of further views; without the text."""
+    made = names(views)
+    keep = [c for c in docs.columns if c not in (text_col, *made)]
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(text_col)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fp)], names=[*keep, "fp"])
+            fp = np.array([fingerprint(t.as_py(), shingle, views) for t in b.column(text_col)], np.uint64).reshape(-1, views).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(np.ascontiguousarray(fp[:, v])) for v in range(views))], names=[*keep, *made])
 
-    return docs.select(*keep, text_col).mapInArrow(run, docs.select(*keep).withColumn("fp", F.lit(0).cast("long")).schema)
+    return docs.select(*keep, text_col).mapInArrow(run, docs.select(*keep, *[F.lit(0).cast("long").alias(c) for c in made]).schema)
 
 
 def chains() -> list[list[int]]:
@@ -182,16 +199,33 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE, most: int = MOST, keep: tuple[str, ...] = ()) -> DataFrame:
+def viewed_links(fps: DataFrame, view: str, bits: int, most: int) -> DataFrame:
+    """Pairs (a, b) of `fp` that join every two whose fingerprints of another view are equal or linked. fps: (fp, <view>), distinct.
+
+    In the view, a fingerprint stands for the smallest `fp` that has it."""
+    first = durable(fps.groupBy(view).agg(F.min("fp").alias("first")))
+    equal = fps.join(first, view).filter("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    end = lambda c: first.select(F.col(view).alias(c), F.col("first").alias(f"_{c}"))
+    near = links(first.select(F.col(view).alias("fp")), bits, most).join(end("a"), "a").join(end("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return equal.unionByName(near)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE, most: int = MOST, keep: tuple[str, ...] = (), views: int = 1) -> DataFrame:
     """One row for each row of docs: id_col, fp (long), fingerprint (16 hex digits), component_id (smallest id reachable), root (the
     component's smallest fp; one id can stand in several components), and the columns in keep.
 
+    Each of several views is a fingerprint of its own, and texts link if they do in any: a pair that one view misses by chance is met in
+    another. fp, fingerprint and root are those of the first view.
+
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows and ids each keep a row; a null id is passed over
     by the minimum, so a component of null ids alone has a null component_id. An empty table gives no rows.
     """
-    fp = durable(fingerprints(docs.select(F.col(id_col).alias("_id"), *keep, F.col(text_col).alias("_text")), "_text", shingle))
+    fp = durable(fingerprints(docs.select(F.col(id_col).alias("_id"), *keep, F.col(text_col).alias("_text")), "_text", shingle, views))
     nodes = fp.groupBy("fp").agg(F.min("_id").alias("low"))
-    roots = components(links(nodes.select("fp"), bits, most)).withColumnRenamed("node", "fp")
+    edges = links(nodes.select("fp"), bits, most)
+    for view in names(views)[1:]:
+        edges = edges.unionByName(viewed_links(fp.select("fp", view).distinct(), view, bits, most))
+    roots = components(edges).withColumnRenamed("node", "fp")
     of = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     low = of.groupBy("root").agg(F.min("low").alias("component_id"))
     of = of.select("fp", "root").join(low, "root").select(F.col("fp").alias("_fp"), "component_id", "root")

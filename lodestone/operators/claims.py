@@ -11,32 +11,82 @@ NLI_NEGATORS = ["no", "not", "never", "without", "absent", "negative", "inhibits
 CLAIM_NEGATORS = ["no", "not", "never", "without", "absent", "negative", "fails", "cannot", "can't", "doesn't"]
 VERBS = r"inhibits?|activates?|induces?|reduces?|increases?|decreases?|predicts?|improves?|worsens?|causes?|associates?|correlates?|binds?|expresses?|regulates?|is|are|was|were|has|have|had|uses?|used|reports?|reported"
 METHOD, ADVICE = ["method", "methods", "cohort", "assay", "sequencing", "trial", "randomized"], ["should", "recommend", "recommended", "consider"]
-SPECULATION = r"(?i)\b(may|might|could|likely|possibly|appears?|suggests?|uncertain|unclear)\b"
 
-# What marks a citation, an acronym and a report of findings.
-CITATION = r"\[[0-9]+\]|\(PMID"
-ACRONYM = r"(?-i)\b[A-Z0-9-]{2,}\b"
+# What marks speculation, negation, a citation, an acronym and a report of findings.
+SPECULATION = r"(?i)\b(may|might|could|possibly|possible|suggests?|suggested|likely|uncertain|unclear|appears?)\b"
+NEGATION = r"(?i)\b(no|not|never|without|absent|negative|fails?|cannot|can't|does not|do not|did not)\b"
+CITATION = r"(?i)\b(PMID|PMCID|doi)\b|\[[0-9,\s-]+\]|\([A-Z][A-Za-z-]+ et al\.,? \d{4}\)"
+ACRONYM = r"\b[A-Z0-9-]{2,}\b"
 REPORT = r"\b(study|paper|analysis|result|finding|reports?|reported|shows?|showed)\b"
 
+# Starts of sentences that claim nothing, words of the field, types of claims that need a citation, verbs that relate and verbs that state.
+NON_FACTUAL = ["thanks", "thank you", "sure", "here is", "here are", "i can", "i will", "let me know", "please"]
+FIELD = ["aggregation", "aspirin", "biomarker", "cancer", "cardiovascular", "cell", "chemotherapy", "clinical", "disease", "expression", "gene", "inflammation", "inhibits", "insulin", "metformin", "mutation", "patient", "platelet", "protein", "risk", "sensitivity", "study", "thrombotic", "treatment", "tumor"]
+CITED = ["biomedical_fact", "method", "recommendation", "uncertainty"]
+RELATING = r"(?i)\b(inhibits?|activates?|induces?|reduces?|increases?|decreases?|predicts?|improves?|worsens?|causes?|associates?|correlates?|binds?|expresses?|regulates?)\b"
+STATING = r"(?i)\b(is|are|was|were|has|have|had|uses?|used|reports?|reported)\b"
+NAMES = r"\b[A-Z][A-Za-z0-9-]*(?:\s+[A-Z][A-Za-z0-9-]*){0,3}\b"
+NO_NAMES = ["the", "this", "these"]
+
+
+def non_factual(c: Column) -> Column:
+    """Whether a sentence is blank, a question or a courtesy."""
+    low = F.trim(F.lower(F.coalesce(c, F.lit(""))))
+    out = (low == "") | low.endswith("?")
+    for start in NON_FACTUAL:
+        out = out | low.startswith(start)
+    return out
+
 
 def claim_type(c: Column) -> Column:
-    """The first rule that holds: citation, question, method, recommendation, uncertainty, fact (an acronym or a reporting word), other."""
+    """The first rule that holds: citation, nothing claimed, method, recommendation, uncertainty, fact (a word of the field, an acronym or a
+    reporting word), other."""
     toks = F.array_distinct(T.terms(c))
     has = lambda ws: F.arrays_overlap(toks, T.lits(ws))
-    return F.when(c.rlike(CITATION), "citation_statement").when(c.endswith("?"), "other").when(has(METHOD), "method").when(has(ADVICE), "recommendation").when(c.rlike(SPECULATION), "uncertainty").when(c.rlike(ACRONYM) | F.lower(c).rlike(REPORT), "fact").otherwise("other")
+    return F.when(c.rlike(CITATION), "citation_statement").when(non_factual(c), "other").when(has(METHOD), "method").when(has(ADVICE), "recommendation").when(c.rlike(SPECULATION), "uncertainty").when(has(FIELD) | c.rlike(ACRONYM) | F.lower(c).rlike(REPORT), "biomedical_fact").otherwise("other")
+
+
+def claim_entities(c: Column) -> Column:
+    """Names (runs of up to four capitalised words, as first written), then words of the field that aren't among them."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(NAMES), F.lit(0))
+    low = F.transform(found, F.lower)
+    names = F.filter(found, lambda x, i: (F.array_position(low, F.lower(x)) == i + 1) & ~F.lower(x).isin(NO_NAMES))
+    return F.concat(names, F.array_except(F.array_intersect(F.array_distinct(T.terms(c)), T.lits(FIELD)), low))
+
+
+def claim_relations(c: Column) -> Column:
+    """Verbs of the claim in lower case: those that relate, then those that state."""
+    verbs = lambda p: F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(p), F.lit(1)), F.lower)
+    return F.array_distinct(F.concat(verbs(RELATING), verbs(STATING)))
+
+
+def speculation(c: Column) -> Column:
+    """none, likely, uncertain or possible, by the first hedging word."""
+    word = F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), SPECULATION, 1))
+    return F.when(word == "", "none").when(word.isin("likely", "appears", "appear"), "likely").when(word.isin("uncertain", "unclear"), "uncertain").otherwise("possible")
+
+
+def finished(c: Column) -> Column:
+    """Without blanks, commas and semicolons at the ends, and with a full stop where no mark ends it."""
+    t = F.regexp_replace(c, r"^[ ,;]+|[ ,;]+$", "")
+    return F.when((t == "") | t.rlike("[.!?]$"), t).otherwise(F.concat(t, F.lit(".")))
 
 
 def atomic_claims(answers: DataFrame, key: list[str], text: str) -> DataFrame:
-    """Keys with place, sentence, claim, claim_type, negation, claim_id. Sentences with a subject and verb are split at ';' and 'and',
-    and a part that starts with a verb gets the subject again; other sentences are one claim."""
-    s = answers.select(*key, F.posexplode(T.sentences(F.col(text))).alias("place", "sentence")).filter(~F.col("sentence").endswith("?"))
+    """Keys with place, part, sentence, claim, claim_id, claim_type, entities, relations, negation, speculation, requires_citation.
+
+    Sentences with a subject and verb are split at ';' and 'and', and a part that starts with a verb gets the subject again; other sentences
+    are one claim. Questions and courtesies give none.
+    """
+    s = answers.select(*key, F.posexplode(T.sentences(F.col(text))).alias("place", "sentence")).filter(~non_factual(F.col("sentence")))
     body = F.regexp_replace("sentence", r"[.!?]$", "")
-    subject = F.trim(F.regexp_extract(body, rf"(?i)^(.+?)\s+\b({VERBS})\b", 1))
+    subject = F.regexp_replace(F.regexp_extract(body, rf"(?i)^(.+?)\s+\b({VERBS})\b", 1), r"^[ ,;]+|[ ,;]+$", "")
     subject = F.when(F.size(F.split(subject, r"\s+")) > 8, "").otherwise(subject)
     parts = F.when(subject == "", F.array(body)).otherwise(F.transform(F.split(body, r"\s*;\s*|\s+\band\b\s+"), lambda p, i: F.when((i > 0) & p.rlike(rf"(?i)^({VERBS})\b"), F.concat_ws(" ", subject, p)).otherwise(p)))
     rows = s.select(*key, F.col("place").cast("long").alias("place"), "sentence", F.posexplode(parts).alias("part", "c"))
-    rows = rows.withColumn("claim", F.regexp_replace("c", r"^[ ,;]+|[ ,;]+$", "")).filter("claim <> ''").withColumn("claim", F.when(F.col("claim").rlike("[.!?]$"), F.col("claim")).otherwise(F.concat("claim", F.lit("."))))
-    return rows.select(*key, "place", F.col("part").cast("long").alias("part"), "claim", claim_type(F.col("claim")).alias("claim_type"), (T.hits(F.col("claim"), CLAIM_NEGATORS) > 0).alias("negation"), T.stable_id(F.col("place").cast("string"), F.col("claim"), prefix="claim_").alias("claim_id"))
+    rows = rows.withColumn("claim", finished(T.squeeze(finished(F.col("c"))))).filter((F.col("claim") != "") & ~non_factual(F.col("claim"))).withColumn("claim_type", claim_type(F.col("claim")))
+    c = F.col("claim")
+    return rows.select(*key, "place", F.col("part").cast("long").alias("part"), "sentence", "claim", T.stable_id(F.col("place").cast("string"), c, prefix="claim_").alias("claim_id"), "claim_type", claim_entities(c).alias("entities"), claim_relations(c).alias("relations"), c.rlike(NEGATION).alias("negation"), speculation(c).alias("speculation"), F.col("claim_type").isin(CITED).alias("requires_citation"))
 
 
 def heuristic_scores(premise: Column, hypothesis: Column) -> tuple[Column, Column, Column]:

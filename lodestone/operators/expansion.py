@@ -6,10 +6,20 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
 from lodestone.operators import retrieval as X
+from lodestone.operators.claims import NEGATION
 
 
-# Names, as runs of up to four capitalised words.
-NAME = r"\b[A-Z][A-Za-z0-9-]*(?:\s+[A-Z][A-Za-z0-9-]*){0,3}"
+# Names, species, cell lines and times in texts; words that don't count, that name diseases and relations, or that count as names;
+# sections whose statements are weak.
+NAME = r"\b[A-Z][A-Za-z0-9-]*(?:\s+[A-Z][A-Za-z0-9-]*){0,3}\b"
+SPECIES = r"(?i)\b(mouse|mice|murine|rat|rats|human|patients?|cell line|in vitro|in vivo|xenograft|organoid)\b"
+CELL_LINE = r"\b[A-Z]{1,5}[- ]?\d{1,4}[A-Z]?\b"
+TIME = r"(?i)\b(acute|chronic|early|late|baseline|after|before|post[- ]?treatment|pre[- ]?treatment|\d+\s*(day|week|month|year)s?)\b"
+COMMON = ["the", "and", "for", "that", "this", "with", "from", "into", "what", "when", "where", "which", "would", "could", "should", "about", "there", "their", "study", "studies", "reports", "reported", "shows", "showed", "used", "using", "risk", "response", "disease"]
+DISEASES = ["cancer", "carcinoma", "tumor", "tumour", "cardiovascular", "diabetes", "insulin", "thrombosis", "thrombotic", "inflammation", "infection"]
+RELATIONS = ["inhibit", "inhibits", "inhibited", "activate", "activates", "reduce", "reduces", "increase", "increases", "decrease", "decreases", "predict", "predicts", "improve", "improves", "cause", "causes", "associate", "associated", "correlate", "correlates", "bind", "binds", "regulate", "regulates", "use", "uses"]
+KNOWN = ["aspirin", "metformin", "platelet", "aggregation", "biomarker", "chemotherapy"]
+WEAK_SECTIONS = ["introduction", "background", "discussion"]
 
 
 def concept(c: Column) -> Column:
@@ -107,21 +117,44 @@ def multilevel(queries: DataFrame, levels: list[tuple[str, DataFrame, DataFrame,
     return out
 
 
-def comparability(premise: Column, hypothesis: Column, relations: list[str], conditions: list[str], negators: list[str]) -> dict[str, Column]:
-    """score (4 places) and reasons of a pair: weighted overlaps of words, entities and relations less penalties for unlike conditions,
-    entities and relations."""
-    words = lambda c: F.array_distinct(F.filter(T.terms(c), lambda t: ~t.isin(T.STOP)))
-    names = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(NAME), F.lit(0)), F.lower))
+def comparability(premise: Column, hypothesis: Column, relations: list[str] = RELATIONS, diseases: list[str] = DISEASES, negation: str = NEGATION, section: Column | None = None, entities: Column | None = None) -> dict[str, Column]:
+    """score (4 places), comparable, reasons and blocking of a pair: weighted overlaps of words, entities and relations, less penalties for unlike
+    diseases, entities, relations, species, cell lines, times and for a weak section of the premise.
+
+    entities: the hypothesis' own, if known (else its names). blocking is the first mismatch that forbids a comparison, or what is lacking.
+    """
+    none = F.array().cast("array<string>")
+    words = lambda c: F.array_distinct(F.filter(T.terms(c), lambda t: ~t.isin(COMMON)))
+    found = lambda c, p: F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(p), F.lit(0)), F.lower))
+    names = lambda c: F.array_union(found(c, NAME), F.array_intersect(words(c), T.lits(KNOWN)))
     among = lambda c, ws: F.array_intersect(F.array_distinct(T.terms(c)), T.lits(ws))
+    stems = lambda c: F.array_distinct(F.transform(among(c, relations), lambda x: F.regexp_replace(F.regexp_replace(x, "s$", ""), "ed$", "")))
     unlike = lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_intersect(a, b)) == 0)
+    joined = lambda xs: F.transform(xs, lambda x: F.replace(x, F.lit(" "), F.lit("-")))
     pw, hw, pe, he = words(premise), words(hypothesis), names(premise), names(hypothesis)
-    pr, hr, pc, hc = among(premise, relations), among(hypothesis, relations), among(premise, conditions), among(hypothesis, conditions)
-    negation = (T.hits(premise, negators) > 0) != (T.hits(hypothesis, negators) > 0)
-    rules = [("condition_mismatch", unlike(pc, hc), -0.25), ("entity_mismatch", unlike(pe, he), -0.35), ("relation_mismatch", unlike(pr, hr), -0.15), ("negation_mismatch", negation, 0.05)]
+    if entities is not None:
+        given = F.array_distinct(F.transform(F.coalesce(entities, none), F.lower))
+        he = F.when(F.size(given) > 0, given).otherwise(he)
+    pr, hr = stems(premise), stems(hypothesis)
+    says_no = lambda c: F.coalesce(c, F.lit("")).rlike(negation)
+    weak = F.lit(False) if section is None else F.lower(F.coalesce(section, F.lit(""))).isin(WEAK_SECTIONS)
+    rules = [  # reason, whether it holds, what it adds, what it blocks
+        ("disease_mismatch", unlike(among(premise, diseases), among(hypothesis, diseases)), -0.25, "disease"),
+        ("entity_mismatch", unlike(pe, he), -0.35, "entity"),
+        ("relation_mismatch", unlike(pr, hr), -0.15, None),
+        ("species_or_population_mismatch", unlike(found(premise, SPECIES), found(hypothesis, SPECIES)), -0.20, "species"),
+        ("cell_line_mismatch", unlike(joined(found(premise, CELL_LINE)), joined(found(hypothesis, CELL_LINE))), -0.20, "cell_line"),
+        ("negation_mismatch", says_no(premise) != says_no(hypothesis), 0.05, None),
+        ("temporality_mismatch", unlike(found(premise, TIME), found(hypothesis, TIME)), -0.15, "temporality"),
+        ("weak_section_context", weak, -0.05, None),
+    ]
     score = 0.20 * T.lexical_overlap(premise, hypothesis) + 0.25 * T.jaccard(pw, hw) + 0.35 * F.greatest(T.jaccard(pe, he), T.jaccard(pw, he)) + 0.20 * T.jaccard(pr, hr)
-    for _, cond, x in rules:
+    for _, cond, x, _ in rules:
         score = score + F.when(cond, x).otherwise(0.0)
-    return {"score": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4), "reasons": F.array_compact(F.array(*[F.when(cond, name) for name, cond, _ in rules]))}
+    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4)
+    level = F.when(score >= 0.65, "high_overlap").when(score >= 0.35, "low_but_usable_overlap").otherwise("insufficient_overlap")
+    blocks = F.coalesce(*[F.when(cond, block) for _, cond, _, block in rules if block], F.when(score >= 0.35, "none"), F.when((F.size(he) > 0) | (F.size(pe) > 0), "entity"), F.lit("relation"))
+    return {"score": score, "comparable": score >= 0.35, "reasons": F.array_compact(F.array(*[F.when(cond, name) for name, cond, _, _ in rules], level)), "blocking": blocks}
 
 
 def frames(turns: DataFrame, key: str, order: str, most: int = 12) -> DataFrame:

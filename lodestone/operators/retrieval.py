@@ -131,6 +131,39 @@ def feedback_terms(hits: DataFrame, queries: DataFrame, n: int, least: int = 2)
     return top(rows.join(own, ["query_id", "term"], "left_anti"), "query_id", [F.desc("support"), "term"], n).select("query_id", "rank", "term", "support")
 
 
+def feedback_report(hits: DataFrame, queries: DataFrame, n: int = 8, most: int = 12, noisy: tuple = (), generic: tuple = (), broad: tuple = (), phrases: tuple = ()) -> DataFrame:
+    """(query_id, kind, rank, term, support, score): up to n terms each of a query's accepted and rejected hits, the first `most` by rank.
+
+    hits: (query_id, rank, text, structured). A hit is rejected if its text is of low value, or if the query has anchors (its terms that aren't
+    generic) and the hit holds none of them, unless it is structured (a relation). Candidates are the phrases that hits hold and the first 2 n
+    terms; they score 0.8 for a phrase, 0.5 for each further hit that supports them (1.5 at most), less 1.2 if generic; earlier ones go first.
+    Where all anchors are broad, only anchors are accepted. A term that is accepted isn't listed as rejected.
+    """
+    own = queries.select("query_id", "query", F.filter(T.important_terms(F.col("query"), 96), lambda t: ~t.isin(*generic) if generic else F.lit(True)).alias("anchors"))
+    rows = hits.filter((F.col("rank") <= most) & (F.trim(F.coalesce("text", F.lit(""))) != "")).join(own, "query_id")
+    rows = rows.withColumn("item", T.important_terms(F.col("text"), 96))
+    fits = (F.size("anchors") == 0) | F.arrays_overlap("anchors", "item") | F.coalesce("structured", F.lit(False))
+    rows = rows.withColumn("kind", F.when(~T.low_value(F.col("text"), F.col("query")) & fits, "accepted").otherwise("rejected"))
+    keys = ["query_id", "kind"]
+    terms = rows.select(*keys, "rank", F.posexplode(F.slice("item", 1, 2 * n)).alias("pos", "term")).groupBy(*keys, "term").agg(F.min(F.struct("rank", "pos")).alias("x"))
+    terms = top(terms, keys, ["x", "term"], 2 * n, "place").select(*keys, F.lit(1).alias("tier"), "place", "term", F.array("term").alias("pieces"))
+    held = F.filter(T.lits(phrases), lambda w: F.contains(F.lower("text"), w))
+    found = rows.select(*keys, F.explode(held).alias("term")).distinct()
+    found = found.select(*keys, F.lit(0).alias("tier"), F.array_position(T.lits(phrases), F.col("term")).alias("place"), "term", T.important_terms(F.col("term"), 12).alias("pieces"))
+    cand = found.unionByName(terms).filter((F.length("term") >= 3) & ~F.col("term").rlike("(ou|ly)$"))
+    cand = cand.filter(~F.col("term").isin(*noisy)) if noisy else cand
+    holds = rows.select(*keys, "rank", F.explode("item").alias("piece")).distinct()
+    support = cand.select(*keys, "term", F.explode("pieces").alias("piece")).join(holds, [*keys, "piece"]).groupBy(*keys, "term").agg(F.count_distinct("rank").alias("support"))
+    cand = cand.join(support, [*keys, "term"], "left").na.fill(0, ["support"])
+    score = F.when(F.contains("term", F.lit(" ")), 0.8).otherwise(0.0) + F.least(F.lit(1.5), F.greatest(F.lit(0), F.col("support") - 1) * 0.5) - F.when(F.col("term").isin(*generic) if generic else F.lit(False), 1.2).otherwise(0.0)
+    best = top(cand.withColumn("score", F.round(score, 4)), keys, [F.desc("score"), "tier", "place"], n, "_place").select(*keys, "_place", "term", "support", "score")
+    vague = (F.size("anchors") > 0) & (F.size(F.array_except("anchors", T.lits(broad))) == 0)
+    best = best.join(own, "query_id").filter((F.col("kind") == "rejected") | ~vague | F.array_contains("anchors", F.col("term")))
+    taken = best.filter("kind = 'accepted'").select("query_id", "term", F.lit(True).alias("_taken"))
+    best = best.join(taken, ["query_id", "term"], "left").filter("kind = 'accepted' OR _taken IS NULL")
+    return top(best, keys, ["_place"], n).select("query_id", "kind", "rank", "term", "support", "score")
+
+
 def gap_record(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """(query_id, confirmed, missing, coverage): query terms found in the hits' texts or not (both sorted)."""
     own = queries.select("query_id", T.important_terms(F.col("query")).alias("t"))

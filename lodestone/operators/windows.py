@@ -98,6 +98,25 @@ def carried_flag(rows: DataFrame, key: str, order: list, flag: Column, out: str)
     return rows.withColumn(out, F.coalesce(F.max(flag.cast("int")).over(w) == 1, F.lit(False)))
 
 
+def obeys_correction(answer: Column, terms: Column) -> Column:
+    """Whether an answer names all terms of a correction, in either case; it does where there are none."""
+    low = F.lower(F.coalesce(answer, F.lit("")))
+    return F.coalesce(F.forall(terms, lambda t: F.contains(low, F.lower(t))), F.lit(True))
+
+
+def supported_claims(claims: DataFrame, session: str, n: int) -> DataFrame:
+    """(session, rank, turn_index, claim, evidence_id, score): entailed claims as later evidence, newest turn first, each text once.
+
+    claims: (session, turn_index, place, claim, status, entailment). Blank claims are passed over; of a text that repeats, its newest turn's counts.
+    """
+    rows = claims.filter("status = 'entailed'").withColumn("claim", F.trim("claim")).filter("claim <> ''")
+    newest = F.min(F.struct((-F.col("turn_index")).alias("t"), "place", F.coalesce("entailment", F.lit(0.0)).alias("score"))).alias("x")
+    rows = rows.groupBy(session, "claim").agg(newest).withColumn("evidence_id", F.concat(F.lit("prior_claim_"), T.stable_id(F.col("claim"))))
+    w = Window.partitionBy(session).orderBy("x.t", "x.place", "claim")
+    rows = rows.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)
+    return rows.select(session, "rank", (-F.col("x.t")).alias("turn_index"), "claim", "evidence_id", F.col("x.score").alias("score"))
+
+
 def action_values(events: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(scope, state_key, action, visits, q_value, reward_sum, reward_avg): an ordered fold, rounded to 6 places at each step."""
     ordered = events.filter("reward IS NOT NULL").groupBy("scope", "state_key", "action").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "reward"))).alias("xs"))

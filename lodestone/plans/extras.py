@@ -137,24 +137,54 @@ def prj26(spark, d):
     return K.asked(spark, d).select("query_id").join(n, "query_id", "left").join(a, "query_id", "left").na.fill(0, ["hits", "covered", "relations"])
 
 
-REL, COND, NEGS = ["was", "ist", "est"], ["for", "pour", "para"], ["with", "nicht"]
+#: Common words stand in for relations, diseases and negation.
+REL, COND, NEGS = ["was", "ist", "est"], ["for", "pour", "para"], r"(?i)\b(with|nicht)\b"
+
+
+def ascii_sql(c):
+    """Letters beyond ASCII as underscores, so that word boundaries are where Spark sees them."""
+    return f"regexp_replace(coalesce({c}, ''), '[^\\x00-\\x7F]', '_', 'g')"
+
+
+def found_sql(c, pattern, flags="i"):
+    return f"list_distinct(list_transform(regexp_extract_all({ascii_sql(c)}, '{pattern.replace('(?i)', '')}', 0, '{flags}'), lambda x: lower(x)))"
+
+
+def words_sql(c):
+    return f"list_distinct(list_filter({D.terms(c)}, lambda x: x NOT IN ({D.quoted(E.COMMON)})))"
 
 
 def names_sql(c):
-    return rf"list_distinct(list_transform(regexp_extract_all(coalesce({c}, ''), '\b[A-Z][A-Za-z0-9-]*(?:\s+[A-Z][A-Za-z0-9-]*){{0,3}}'), lambda x: lower(x)))"
+    return f"list_distinct(list_concat({found_sql(c, E.NAME, 'c')}, list_intersect({words_sql(c)}, [{D.quoted(E.KNOWN)}])))"
+
+
+def stems_sql(c):
+    return f"list_distinct(list_transform(list_intersect(list_distinct({D.terms(c)}), [{D.quoted(REL)}]), lambda x: regexp_replace(regexp_replace(x, 's$', ''), 'ed$', '')))"
+
+
+def unlike_sql(a, b):
+    return f"(len({a}) > 0 AND len({b}) > 0 AND len(list_intersect({a}, {b})) = 0)"
+
+
+def cells_sql(c):
+    return f"list_transform({found_sql(c, E.CELL_LINE, 'c')}, lambda x: replace(x, ' ', '-'))"
 
 
-CMP = f"""{K.bm25_sql(K.DOCS, K.FIELDS, K.BOOSTS, MOST_EVIDENCE)}, cp AS (SELECT query_id, doc_id, b.text AS h, d.text AS p FROM ranked JOIN benchmark b ON b.item_id = query_id JOIN (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM documents) d ON d.doc_id = doc),
-cl AS (SELECT query_id, doc_id, {D.jaccard(D.important('p', 80), D.important('h', 120))} AS lex, list_distinct(list_filter({D.terms('p')}, lambda x: x NOT IN ({D.quoted(T.STOP)}))) AS pw, list_distinct(list_filter({D.terms('h')}, lambda x: x NOT IN ({D.quoted(T.STOP)}))) AS hw, {names_sql('p')} AS pe, {names_sql('h')} AS he, list_intersect(list_distinct({D.terms('p')}), [{D.quoted(REL)}]) AS pr, list_intersect(list_distinct({D.terms('h')}), [{D.quoted(REL)}]) AS hr, list_intersect(list_distinct({D.terms('p')}), [{D.quoted(COND)}]) AS pc, list_intersect(list_distinct({D.terms('h')}), [{D.quoted(COND)}]) AS hc, ({D.hits('p', NEGS)} > 0) <> ({D.hits('h', NEGS)} > 0) AS neg FROM cp)"""
+COLS = {"w": words_sql, "e": names_sql, "r": stems_sql, "c": lambda c: f"list_intersect(list_distinct({D.terms(c)}), [{D.quoted(COND)}])", "s": lambda c: found_sql(c, E.SPECIES), "l": cells_sql, "t": lambda c: found_sql(c, E.TIME)}
+CMP = f"""{K.bm25_sql(K.DOCS, K.FIELDS, K.BOOSTS, MOST_EVIDENCE)}, cp AS (SELECT query_id, doc_id, b.text AS h, d.text AS p FROM ranked JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = doc),
+cl AS (SELECT query_id, doc_id, {D.jaccard(D.important('p', 80), D.important('h', 120))} AS lex, {', '.join(f'{f(c)} AS {c}{k}' for k, f in COLS.items() for c in 'ph')}, regexp_matches({ascii_sql('p')}, '{NEGS}') <> regexp_matches({ascii_sql('h')}, '{NEGS}') AS neg FROM cp),
+u AS (SELECT *, {', '.join(f"{unlike_sql('p' + k, 'h' + k)} AS u{k}" for k in 'cerslt')} FROM cl),
+sc AS (SELECT *, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.20::DOUBLE * lex + 0.25::DOUBLE * {D.jaccard('pw', 'hw')} + 0.35::DOUBLE * greatest({D.jaccard('pe', 'he')}, {D.jaccard('pw', 'he')}) + 0.20::DOUBLE * {D.jaccard('pr', 'hr')} {' '.join(f'+ CASE WHEN {k} THEN {x} ELSE 0.0 END::DOUBLE' for k, x in (('uc', -0.25), ('ue', -0.35), ('ur', -0.15), ('us', -0.2), ('ul', -0.2), ('neg', 0.05), ('ut', -0.15)))})), 4) AS score FROM u)"""
+REASONS = {"uc": "disease_mismatch", "ue": "entity_mismatch", "ur": "relation_mismatch", "us": "species_or_population_mismatch", "ul": "cell_line_mismatch", "neg": "negation_mismatch", "ut": "temporality_mismatch"}
 
 
-@query("join07_comparability", f"WITH {CMP}, u AS (SELECT *, len(pc) > 0 AND len(hc) > 0 AND len(list_intersect(pc, hc)) = 0 AS uc, len(pe) > 0 AND len(he) > 0 AND len(list_intersect(pe, he)) = 0 AS ue, len(pr) > 0 AND len(hr) > 0 AND len(list_intersect(pr, hr)) = 0 AS ur FROM cl) SELECT query_id, doc_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.20::DOUBLE * lex + 0.25::DOUBLE * {D.jaccard('pw', 'hw')} + 0.35::DOUBLE * greatest({D.jaccard('pe', 'he')}, {D.jaccard('pw', 'he')}) + 0.20::DOUBLE * {D.jaccard('pr', 'hr')} + CASE WHEN uc THEN -0.25 ELSE 0.0 END::DOUBLE + CASE WHEN ue THEN -0.35 ELSE 0.0 END::DOUBLE + CASE WHEN ur THEN -0.15 ELSE 0.0 END::DOUBLE + CASE WHEN neg THEN 0.05 ELSE 0.0 END::DOUBLE)), 4) AS score, concat_ws(',', CASE WHEN uc THEN 'condition_mismatch' END, CASE WHEN ue THEN 'entity_mismatch' END, CASE WHEN ur THEN 'relation_mismatch' END, CASE WHEN neg THEN 'negation_mismatch' END) AS reasons FROM u")
+@query("join07_comparability", f"WITH {CMP} SELECT query_id, doc_id, score, score >= 0.35 AS comparable, concat_ws(',', {', '.join(f'CASE WHEN {k} THEN {chr(39)}{v}{chr(39)} END' for k, v in REASONS.items())}, CASE WHEN score >= 0.65 THEN 'high_overlap' WHEN score >= 0.35 THEN 'low_but_usable_overlap' ELSE 'insufficient_overlap' END) AS reasons, CASE WHEN uc THEN 'disease' WHEN ue THEN 'entity' WHEN us THEN 'species' WHEN ul THEN 'cell_line' WHEN ut THEN 'temporality' WHEN score >= 0.35 THEN 'none' WHEN len(he) > 0 OR len(pe) > 0 THEN 'entity' ELSE 'relation' END AS blocking FROM sc")
 def join07(spark, d):
     b = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("h"))
-    docs = V.table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("p"))
+    docs = V.table(spark, d, "documents").select("doc_id", F.col("text").alias("p"))
     hits = K.ret02(spark, d, MOST_EVIDENCE).select("query_id", F.col("doc").alias("doc_id"))
     c = E.comparability(F.col("p"), F.col("h"), REL, COND, NEGS)
-    return docs.join(hits, "doc_id").join(b, "query_id").select("query_id", "doc_id", c["score"].alias("score"), F.array_join(c["reasons"], ",").alias("reasons"))
+    return docs.join(hits, "doc_id").join(b, "query_id").select("query_id", "doc_id", "p", "h").select("query_id", "doc_id", c["score"].alias("score"), c["comparable"].alias("comparable"), F.array_join(c["reasons"], ",").alias("reasons"), c["blocking"].alias("blocking"))
 
 
 @query("join14_filled_abstracts", "SELECT l.doc_id, coalesce(d.text, 'none') AS abstract FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id")

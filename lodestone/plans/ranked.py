@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions import triples as R
 from lodestone.operators import retrieval as X
+from lodestone.operators import windows as W
 from lodestone.plans import duck as D
-from lodestone.plans.columns import conf
+from lodestone.plans.columns import conf, low_value_sql
+from lodestone.plans.sessions import STATES
 from lodestone.sources import views as V
 
 Q, S = {}, {}
@@ -158,9 +160,14 @@ def ret11(spark, d):
 MESSAGES = "SELECT conv_id || ':' || turn AS doc, text FROM conversations WHERE role IN ('user', 'assistant')"
 
 
-@query("ret12_memory_search", f"WITH {bm25_sql(MESSAGES, {'text': 'text'}, {'text': 2.0}, 5)} SELECT * FROM ranked")
+KEPT = f"SELECT session_id || ':' || turn_index AS doc, text FROM (WITH {STATES} SELECT * FROM ms WHERE memory_state <> 'evicted')"
+
+
+@query("ret12_memory_search", f"WITH {bm25_sql(KEPT, {'text': 'text'}, {'text': 2.0}, 5)} SELECT * FROM ranked")
 def ret12(spark, d):
-    m = V.table(spark, d, "conversations").filter(F.col("role").isin("user", "assistant")).select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc"), "text")
+    """Memory rows that aren't evicted."""
+    rows = W.with_states(V.memory_docs(spark, d), 3).filter("memory_state <> 'evicted'")
+    m = rows.select(F.concat_ws(":", F.col("session_id").cast("string"), F.col("turn_index").cast("string")).alias("doc"), "text")
     return X.bm25(asked(spark, d), m, X.postings(m, "doc", {"text": F.col("text")}), {"text": 2.0}, 5)
 
 
@@ -207,6 +214,29 @@ def ret20(spark, d):
     return X.feedback_terms(hit_texts(spark, d), asked(spark, d), 8)
 
 
+#: Common words and a pair of words stand in for noise, generic terms and phrases.
+NOISY, BROADLY, PHRASES = ("einen", "thing"), ("thon", "ment"), ("of the", "in the", "et les")
+
+
+def candidate_sql():
+    low = low_value_sql("text")
+    held = f"unnest(list_filter([{D.quoted(PHRASES)}], lambda w: contains(lower(text), w)))"
+    return f"""{HITS}, ow AS (SELECT item_id AS query_id, list_filter({D.important('text', 96)}, lambda x: x NOT IN ({D.quoted(BROADLY)})) AS anchors FROM benchmark),
+fr0 AS (SELECT query_id, rank, text, anchors, {D.important('text', 96)} AS item FROM ht JOIN ow USING (query_id) WHERE trim(coalesce(text, '')) <> ''),
+fr AS (SELECT *, CASE WHEN NOT {low} AND (len(anchors) = 0 OR len(list_intersect(anchors, item)) > 0) THEN 'accepted' ELSE 'rejected' END AS kind FROM fr0),
+tm AS (SELECT query_id, kind, term, 1 AS tier, row_number() OVER (PARTITION BY query_id, kind ORDER BY rank, pos, term) AS place FROM (SELECT query_id, kind, term, min(rank) AS rank, arg_min(pos, rank * 1000 + pos) AS pos FROM (SELECT query_id, kind, rank, unnest(item[1:16]) AS term, unnest(range(0, least(16, len(item)))) AS pos FROM fr) GROUP BY ALL)),
+ca AS (SELECT query_id, kind, term, tier, place, [term] AS pieces FROM tm WHERE place <= 16 UNION ALL SELECT query_id, kind, term, 0, list_position([{D.quoted(PHRASES)}], term), {D.important('term', 12)} FROM (SELECT DISTINCT query_id, kind, {held} AS term FROM fr)),
+cs AS (SELECT ca.query_id, ca.kind, ca.term, tier, place, count(DISTINCT CASE WHEN len(list_intersect(pieces, item)) > 0 THEN rank END) AS support FROM ca JOIN fr USING (query_id, kind) WHERE length(ca.term) >= 3 AND NOT regexp_matches(ca.term, '(ou|ly)$') AND ca.term NOT IN ({D.quoted(NOISY)}) GROUP BY ALL),
+sd AS (SELECT *, round(CASE WHEN contains(term, ' ') THEN 0.8 ELSE 0.0 END::DOUBLE + least(1.5::DOUBLE, greatest(0, support - 1) * 0.5::DOUBLE) - CASE WHEN term IN ({D.quoted(BROADLY)}) THEN 1.2 ELSE 0.0 END::DOUBLE, 4) AS score FROM cs),
+bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, tier, place) AS p FROM sd) WHERE p <= 8)"""
+
+
+@query("ret20_feedback_report", f"WITH {candidate_sql()} SELECT query_id, kind, row_number() OVER (PARTITION BY query_id, kind ORDER BY p) AS rank, term, support, score FROM bs WHERE kind = 'accepted' OR NOT EXISTS (SELECT 1 FROM bs t WHERE t.query_id = bs.query_id AND t.term = bs.term AND t.kind = 'accepted')")
+def ret20r(spark, d):
+    hits = hit_texts(spark, d).withColumn("structured", F.lit(False))
+    return X.feedback_report(hits, asked(spark, d), 8, 12, NOISY, BROADLY, (), PHRASES)
+
+
 #: Common words stand in for phrases to avoid and for weak anchors.
 AVOID, WEAK = ["idiot", "was", " der "], ["the", "and", "und"]
 

@@ -113,6 +113,24 @@ def win13(spark, d):
     return W.carried_flag(V.table(spark, d, "conversations"), "conv_id", ["turn"], F.contains(F.lower("text"), F.lit("the")), "active").select("conv_id", "turn", "active")
 
 
+@query("win12_supported_claims", "WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS c, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM conversations), k AS (SELECT conv_id, trim(c) AS claim, arg_min(turn, (-turn, place)) AS turn_index, min((-turn, place)) AS x FROM l WHERE contains(lower(c), 'the') AND trim(c) <> '' GROUP BY ALL) SELECT * FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY x, claim) AS rank, turn_index, claim, 'prior_claim_' || substr(sha256(claim), 1, 24) AS evidence_id, 1.0::DOUBLE AS score FROM k) WHERE rank <= 20")
+def win12s(spark, d):
+    """Lines of messages as claims; those with a common word stand in for entailed ones."""
+    lines = V.table(spark, d, "conversations").select("conv_id", F.col("turn").alias("turn_index"), F.posexplode(F.split("text", "\n")).alias("place", "claim"))
+    claims = lines.withColumn("status", F.when(F.contains(F.lower("claim"), F.lit("the")), "entailed").otherwise("unsupported")).withColumn("entailment", F.lit(1.0))
+    return W.supported_claims(claims, "conv_id", 20)
+
+
+@query("win13_obeyed_corrections", f"SELECT conv_id, turn, active, NOT active OR len(list_filter(t, lambda x: NOT contains(lower(text), x))) = 0 AS obeyed FROM (SELECT conv_id, turn, text, coalesce(max(CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END) OVER w = 1, false) AS active, coalesce(lag({D.important('text', 2)}) OVER (PARTITION BY conv_id ORDER BY turn), []) AS t FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))")
+def win13o(spark, d):
+    """While a correction is active, an answer must name the first terms of the message before it."""
+    from pyspark.sql.window import Window
+
+    rows = W.carried_flag(V.table(spark, d, "conversations"), "conv_id", ["turn"], F.contains(F.lower("text"), F.lit("the")), "active")
+    rows = rows.withColumn("t", F.lag(T.important_terms(F.col("text"), 2)).over(Window.partitionBy("conv_id").orderBy("turn")))
+    return rows.select("conv_id", "turn", "active", (~F.col("active") | W.obeys_correction(F.col("text"), F.col("t"))).alias("obeyed"))
+
+
 @query("ups01_first_of_key", f"WITH {D.EVENTS} SELECT scope, action, event_id FROM (SELECT *, row_number() OVER (PARTITION BY scope, action ORDER BY ts, event_id) AS r FROM turn_events) WHERE r = 1")
 def ups01(spark, d):
     return W.latest(V.turn_events(spark, d), ["scope", "action"], ["ts", "event_id"]).select("scope", "action", "event_id")

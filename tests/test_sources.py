@@ -8,6 +8,7 @@ from lodestone.functions import models as M
 from lodestone.functions import text as T
 from lodestone.functions import triples as R
 from lodestone.operators import claims as C
+from lodestone.operators import expansion as E
 from lodestone.operators import windows as W
 from lodestone.sources import files as S
 from lodestone.streaming import jobs as J
@@ -153,7 +154,11 @@ def test_claims_and_scorers(spark):
     a = spark.createDataFrame([(1, "HGF activates MET and reduces apoptosis. Is that so? Maybe the trial showed it.")], "id long, text string")
     got = C.atomic_claims(a, ["id"], "text").orderBy("place", "part").collect()
     assert [r["claim"] for r in got] == ["HGF activates MET.", "HGF reduces apoptosis.", "Maybe the trial showed it."]
-    assert got[2]["claim_type"] == "method"
+    assert got[2]["claim_type"] == "method" and got[0]["claim_type"] == "biomedical_fact"
+    a = spark.createDataFrame([(1, "Thanks for asking. The TP53 gene may not predict Risk in TP53 carriers. Please see below. Aspirin appears safe [1, 2]. It was unclear; they had no data.",), (2, None), (3, "")], "id long, text string")
+    got = C.atomic_claims(a, ["id"], "text").orderBy("place", "part").collect()
+    assert [(r["claim"], r["claim_type"], r["speculation"], r["negation"], r["requires_citation"]) for r in got] == [("The TP53 gene may not predict Risk in TP53 carriers.", "uncertainty", "possible", True, True), ("Aspirin appears safe [1, 2].", "citation_statement", "likely", False, False), ("It was unclear.", "uncertainty", "uncertain", False, True), ("they had no data.", "other", "none", True, False)]
+    assert got[0]["entities"] == ["The TP53", "Risk", "TP53", "gene"] and got[0]["relations"] == ["predict"] and got[1]["entities"] == ["Aspirin"]
     p = C.scored_pairs(spark.createDataFrame([("HGF activates MET signalling", "HGF activates MET signalling"), ("HGF never activates MET", "HGF activates MET"), ("apples", "HGF activates MET")], "p string, h string"), "p", "h").collect()
     assert [r["label"] for r in p] == ["entailment", "contradiction", "neutral"]
     rows = spark.createDataFrame([("a b",), ("a b",), (None,)], "t string")
@@ -163,6 +168,16 @@ def test_claims_and_scorers(spark):
     assert {r["fixed"] for r in fix} == {"hypoxia", "zzz"}
 
 
+def test_comparability(spark):
+    rows = [("Aspirin inhibits platelet aggregation", "Aspirin inhibits platelet aggregation", None, None), ("Mice with A549 tumours improved after 3 weeks", "Human MCF7 cancer did not improve at 5 weeks", "Discussion", None), (None, "", None, []), ("nothing alike", "Quite other words", None, ["Nothing"])]
+    df = spark.createDataFrame(rows, "p string, h string, section string, ents array<string>")
+    c = E.comparability(F.col("p"), F.col("h"), section=F.col("section"), entities=F.col("ents"))
+    got = df.select(*[x.alias(k) for k, x in c.items()]).collect()
+    assert got[0]["comparable"] and got[0]["score"] == 1.0 and got[0]["reasons"] == ["high_overlap"] and got[0]["blocking"] == "none"
+    assert got[1]["reasons"] == ["entity_mismatch", "species_or_population_mismatch", "cell_line_mismatch", "negation_mismatch", "temporality_mismatch", "weak_section_context", "insufficient_overlap"] and got[1]["blocking"] == "entity" and got[1]["score"] == 0.0
+    assert got[2]["blocking"] == "relation" and got[3]["blocking"] == "entity"
+
+
 def test_jats_nested_sections(spark, tmp_path):
     meta = lambda i, title, abstract: f"<front><article-meta><article-id pub-id-type='pmid'>{i}</article-id><title-group><article-title>{title}</article-title></title-group>{abstract}</article-meta></front>"
     docs = [meta(1, "One", "<abstract><sec><title>A</title><p>first</p></sec><sec><p>second</p></sec></abstract>") + "<body><p>lead</p><sec><p>a</p><sec><p>b</p><sec><p>c</p></sec></sec></sec><sec><p>d</p></sec></body>", meta(2, "Two", "<abstract><p>plain</p></abstract>"), meta(3, "Three", ""), meta(4, "", "<abstract><p>x</p></abstract>")]

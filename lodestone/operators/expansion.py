@@ -167,6 +167,37 @@ def frames(turns: DataFrame, key: str, order: str, most: int = 12) -> DataFrame:
     return xs.select(key, F.explode(F.aggregate("xs", start, step, lambda s: s["out"])).alias("x")).select(key, f"x.{order}", "x.active")
 
 
+def claim_keys(claims: Column) -> Column:
+    """(key, claim) of claims: those with the same first 14 terms are one. Blank claims go, long ones keep 1000 characters."""
+    kept = F.filter(F.transform(F.coalesce(claims, F.array().cast("array<string>")), F.trim), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.transform(kept, lambda x: F.struct(F.array_join(T.important_terms(x, 14), " ").alias("key"), F.substring(x, 1, 1000).alias("claim")))
+
+
+def frame_lists(turns: DataFrame, key: str, order: str, terms: dict[str, tuple[str, int]], claims: dict[str, tuple[str, int]]) -> DataFrame:
+    """key, order and after each turn the running lists: what the turn brings first, then what was there, each once, as many as the cap allows.
+
+    terms, claims: for each list, the turn's array column and the cap. Lists of claims hold (key, claim) and tell claims apart by their key.
+    An ordered fold over capped lists of a key's turns.
+    """
+    none = F.array().cast("array<string>")
+    given = {n: F.coalesce(F.col(c), none) for n, (c, _) in terms.items()} | {n: claim_keys(F.col(c)) for n, (c, _) in claims.items()}
+    most = {n: k for n, (_, k) in (terms | claims).items()}
+    xs = turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, F.struct(*[v.alias(n) for n, v in given.items()]).alias("l")))).alias("xs"))
+
+    def merged(name: str, new: Column, old: Column) -> Column:
+        both = F.concat(new, old)
+        if name in claims:
+            keys = F.transform(both, lambda x: x["key"])
+            return F.slice(F.filter(both, lambda x, i: F.array_position(keys, x["key"]) == i + 1), 1, most[name])
+        return F.slice(F.array_distinct(both), 1, most[name])
+
+    empty = F.struct(*[F.slice(F.get("xs.l", F.lit(0))[n], 1, 0).alias(n) for n in most])
+    start = F.struct(empty.alias("now"), F.transform(F.slice("xs", 1, 0), lambda x: F.struct(x[order].alias(order), x["l"].alias("l"))).alias("out"))
+    now = lambda s, x: F.struct(*[merged(n, x["l"][n], s["now"][n]).alias(n) for n in most])
+    step = lambda s, x: F.struct(now(s, x).alias("now"), F.concat(s["out"], F.array(F.struct(x[order].alias(order), now(s, x).alias("l")))).alias("out"))
+    return xs.select(key, F.explode(F.aggregate("xs", start, step, lambda s: s["out"])).alias("x")).select(key, f"x.{order}", "x.l.*")
+
+
 def near_duplicate_terms(terms: DataFrame, least: float = 0.75, n: int = 4) -> DataFrame:
     """(term, other, similarity): distinct terms whose character n-grams agree by more than `least` (Jaccard). Pairs come from shared
     grams, and only of terms whose gram counts allow the similarity."""

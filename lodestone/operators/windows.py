@@ -32,9 +32,18 @@ def memory_state(doc_type: Column, supported: Column, turn: Column, current: Col
     return F.when(doc_type.isin(PRESERVED) | F.coalesce(supported, F.lit(False)), "promoted").when(doc_type == "episodic_summary", "episodic").when(turn >= F.greatest(F.lit(0), current - max(1, working_turns)), "working").when((F.coalesce(importance, F.lit(0.0)) < least) | F.coalesce(role.isin(LOW_VALUE), F.lit(False)), "evicted").otherwise("episodic")
 
 
-def with_states(messages: DataFrame, working_turns: int = 8, least: float = 0.25) -> DataFrame:
+def evidence_supported(flag: Column | None = None, pinned: Column | None = None, statuses: Column | None = None) -> Column:
+    """Whether a row is kept for its evidence: flagged, pinned, or with an entailed claim among the statuses of its claims."""
+    out = F.lit(False)
+    for c in (flag, pinned):
+        out = out if c is None else out | F.coalesce(c, F.lit(False))
+    return out if statuses is None else out | F.coalesce(F.array_contains(statuses, "entailed"), F.lit(False))
+
+
+def with_states(messages: DataFrame, working_turns: int = 8, least: float = 0.25, supported: Column | None = None) -> DataFrame:
+    """messages with memory_state; supported: rows that evidence promotes (none, if not given)."""
     current = F.max(F.coalesce("turn_index", F.lit(-1))).over(Window.partitionBy("session_id"))
-    return messages.withColumn("memory_state", memory_state(F.col("doc_type"), F.lit(False), F.col("turn_index"), current, F.col("importance"), F.col("role"), working_turns, least))
+    return messages.withColumn("memory_state", memory_state(F.col("doc_type"), F.lit(False) if supported is None else supported, F.col("turn_index"), current, F.col("importance"), F.col("role"), working_turns, least))
 
 
 def relevance_bonus(text: Column, query: Column) -> Column:

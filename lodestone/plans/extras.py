@@ -212,6 +212,21 @@ def win14(spark, d):
     return E.frames(V.table(spark, d, "conversations"), "conv_id", "turn", 400).select("conv_id", "turn", F.array_join("active", " ").alias("active"))
 
 
+LISTS = f"""ln AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS c, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM conversations),
+lk AS (SELECT conv_id, turn, list(array_to_string({D.important('c', 14)}, ' ') ORDER BY place) AS k FROM ln WHERE contains(lower(c), 'the') AND trim(c) <> '' GROUP BY ALL),
+tl AS (SELECT c.conv_id, c.turn, {D.important('text', 2)} AS t, coalesce(k, []) AS k FROM conversations c LEFT JOIN lk ON lk.conv_id = c.conv_id AND lk.turn = c.turn),
+rl AS (SELECT a.conv_id, a.turn, flatten(list(b.t ORDER BY b.turn DESC)) AS t, flatten(list(b.k ORDER BY b.turn DESC)) AS k FROM tl a JOIN tl b ON a.conv_id = b.conv_id AND b.turn <= a.turn GROUP BY ALL)"""
+
+
+@query("win14_frame_lists", f"WITH {LISTS} SELECT conv_id, turn, array_to_string(list_slice({D.first_seen('t')}, 1, 24), ' ') AS avoided, array_to_string(list_slice({D.first_seen('k')}, 1, 12), '|') AS supported FROM rl")
+def win14l(spark, d):
+    """First terms stand in for terms to avoid, lines with a common word for supported claims."""
+    c = V.table(spark, d, "conversations").withColumn("avoid", T.important_terms(F.col("text"), 2))
+    c = c.withColumn("claims", F.filter(F.split("text", "\n"), lambda x: F.contains(F.lower(x), F.lit("the"))))
+    rows = E.frame_lists(c.select("conv_id", "turn", "avoid", "claims"), "conv_id", "turn", {"avoided": ("avoid", 24)}, {"supported": ("claims", 12)})
+    return rows.select("conv_id", "turn", F.array_join("avoided", " ").alias("avoided"), F.array_join("supported.key", "|").alias("supported"))
+
+
 @query("ups05_merged_ideas", f"WITH {IDEAS} SELECT idea, count(*) AS frequency, count(DISTINCT session_id) AS sessions, round(sum(reward), 4) AS reward_sum FROM (SELECT session_id, reward, unnest(ideas) AS idea FROM id) GROUP BY idea")
 def ups05(spark, d):
     """History and delta by (idea, session), then their union re-aggregated."""

@@ -60,9 +60,11 @@ STATES = f"""{D.MEMORY}, st AS (SELECT *, max(turn_index) OVER (PARTITION BY ses
 ms AS (SELECT *, CASE WHEN turn_index >= greatest(0, cur - 3) THEN 'working' WHEN importance < 0.25 OR role IN ('system', 'tool') THEN 'evicted' ELSE 'episodic' END AS memory_state FROM st)"""
 
 
-@query("win05_memory_states", f"WITH {STATES} SELECT session_id, turn_index, role, memory_state FROM ms")
+@query("win05_memory_states", f"WITH {STATES} SELECT session_id, turn_index, role, CASE WHEN importance > 0.9 OR (role = 'assistant' AND turn_index % 5 = 1) THEN 'promoted' ELSE memory_state END AS memory_state FROM ms")
 def win05(spark, d):
-    return W.with_states(V.memory_docs(spark, d), 3).select("session_id", "turn_index", "role", "memory_state")
+    """Rows of high importance stand in for pinned ones, every fifth turn's answers for those with an entailed claim."""
+    statuses = F.when((F.col("role") == "assistant") & (F.col("turn_index") % 5 == 1), F.array(F.lit("unsupported"), F.lit("entailed")))
+    return W.with_states(V.memory_docs(spark, d), 3, supported=W.evidence_supported(None, F.col("importance") > 0.9, statuses)).select("session_id", "turn_index", "role", "memory_state")
 
 
 PRIORITY = "round(CASE memory_state WHEN 'working' THEN 0.65 ELSE 0.45 END::DOUBLE + 0.55::DOUBLE * importance + 0.35::DOUBLE / (1.0::DOUBLE + greatest(0, cur - turn_index) / 3::DOUBLE), 4)"

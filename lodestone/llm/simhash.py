@@ -19,6 +19,7 @@ from lodestone.llm.common import durable, ships, table
 ships(__name__)
 
 BITS, SEGMENTS, SEED, SHINGLE = 3, 8, 42, 3
+KINDS = 3 * SEGMENTS  # of buckets; view v has the kinds from v * KINDS on
 MOST = 4096
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -128,7 +129,7 @@ def bucket_links(bits: int, most: int | None):
             fp = np.concatenate(parts).view(np.uint64)
             if len(fp) < 2:
                 return
-            u, v = forest(fp, int(key[0]), bits)
+            u, v = forest(fp, int(key[0]) % KINDS, bits)
             if u:
                 fp = fp.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), key[0], np.int32)), pa.array(np.full(len(u), key[1], np.int64)), pa.array(fp[u]), pa.array(fp[v])], names=["kind", "key", "a", "b"])
@@ -161,21 +162,25 @@ def bucket_links(bits: int, most: int | None):
 
 
 def links(fps: DataFrame, bits: int = BITS, most: int = MOST) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints `fp` that join every two which a path of links of at most `bits` (0 to 3) bits joins."""
+    """(view, a, b): pairs of distinct fingerprints `fp` that join every two of a view which a path of links of at most `bits` (0 to 3) bits joins.
+
+    fps: (fp), or (view, fp) for several views, which are dealt and compared in one pass."""
+    fps = fps if "view" in fps.columns else fps.withColumn("view", F.lit(0))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), sum((segment(s) * (1 << 8 * j) for j, s in enumerate(segs)), F.lit(0).cast("long")).alias("key")) for k, segs in enumerate(chains())])
     schema = "kind int, key long, a long, b long"
     dealt = lambda df: df.repartition("kind", "key").sortWithinPartitions("kind", "key").mapInArrow(bucket_links(bits, None), schema)
-    first = fps.select("fp", F.explode(kinds).alias("_k")).select("_k.kind", "_k.key", "fp")
+    first = fps.select("view", "fp", F.explode(kinds).alias("_k")).select((F.col("view") * KINDS + F.col("_k.kind")).cast("int").alias("kind"), "_k.key", "fp")
     first = durable(first.repartition("kind", "key").sortWithinPartitions("kind", "key").mapInArrow(bucket_links(bits, most), schema))
     beyond = first.filter("b IS NULL")
-    out = first.filter("b IS NOT NULL").select("a", "b")
+    view = F.floor(F.col("kind") / KINDS).cast("int").alias("view")
+    out = first.filter("b IS NOT NULL").select(view, "a", "b")
     if not beyond.isEmpty():
         rest = F.when(F.lit(False), F.array(F.lit(0)))  # by kind, the four segments that the bucket doesn't hold equal
         for k, segs in enumerate(chains()):
-            rest = rest.when(F.col("kind") == k, F.array(*[F.lit(s) for s in range(SEGMENTS) if s not in segs]))
+            rest = rest.when(F.col("kind") % KINDS == k, F.array(*[F.lit(s) for s in range(SEGMENTS) if s not in segs]))
         again = beyond.select("kind", "key", F.col("a").alias("fp"), F.explode(rest).alias("_s"))
         again = again.select("kind", (F.col("key") * (1 << 11) + F.col("_s") * 256 + F.expr("shiftrightunsigned(fp, 8 * _s) & 255")).alias("key"), "fp")
-        out = out.unionByName(dealt(again).select("a", "b"))
+        out = out.unionByName(dealt(again).select(view, "a", "b"))
     return out
 
 
@@ -199,15 +204,17 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def viewed_links(fps: DataFrame, view: str, bits: int, most: int) -> DataFrame:
-    """Pairs (a, b) of `fp` that join every two whose fingerprints of another view are equal or linked. fps: (fp, <view>), distinct.
+def viewed_links(fps: DataFrame, views: int, bits: int, most: int) -> DataFrame:
+    """Pairs (a, b) of `fp` that join every two whose fingerprints of some view are equal or linked. fps: (fp, fp1, fp2, ..).
 
-    In the view, a fingerprint stands for the smallest `fp` that has it."""
-    first = durable(fps.groupBy(view).agg(F.min("fp").alias("first")))
-    equal = fps.join(first, view).filter("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b"))
-    end = lambda c: first.select(F.col(view).alias(c), F.col("first").alias(f"_{c}"))
-    near = links(first.select(F.col(view).alias("fp")), bits, most).join(end("a"), "a").join(end("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    return equal.unionByName(near)
+    In each view a fingerprint stands for the smallest `fp` that has it."""
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.col(c).alias("of")) for v, c in enumerate(names(views))])).alias("x")
+    pairs = fps.select("fp", each).select("fp", "x.view", "x.of").distinct()
+    first = durable(pairs.groupBy("view", "of").agg(F.min("fp").alias("first")))
+    equal = pairs.join(first, ["view", "of"]).filter("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    end = lambda c: first.select("view", F.col("of").alias(c), F.col("first").alias(f"_{c}"))
+    near = links(first.select("view", F.col("of").alias("fp")), bits, most)
+    return equal.unionByName(near.join(end("a"), ["view", "a"]).join(end("b"), ["view", "b"]).select(F.col("_a").alias("a"), F.col("_b").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE, most: int = MOST, keep: tuple[str, ...] = (), views: int = 1) -> DataFrame:
@@ -222,9 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fp = durable(fingerprints(docs.select(F.col(id_col).alias("_id"), *keep, F.col(text_col).alias("_text")), "_text", shingle, views))
     nodes = fp.groupBy("fp").agg(F.min("_id").alias("low"))
-    edges = links(nodes.select("fp"), bits, most)
-    for view in names(views)[1:]:
-        edges = edges.unionByName(viewed_links(fp.select("fp", view).distinct(), view, bits, most))
+    edges = links(nodes.select("fp"), bits, most) if views == 1 else viewed_links(fp, views, bits, most)
     roots = components(edges).withColumnRenamed("node", "fp")
     of = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     low = of.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from lodestone.llm import chat, decontaminate, licenses, mixing, pii, search, secrets, simhash, suffix_dedup, toxicity
+from lodestone.llm import chat, decontaminate, licenses, minhash, mixing, negatives, pii, search, secrets, simhash, suffix_dedup, toxicity, whitening
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_minhash": minhash.op12_minhash,
+    "op13_negatives": negatives.op13_negatives,
 }
 
 ORACLES = {
@@ -21,6 +24,8 @@ ORACLES = {
     "op5_licenses": licenses.sql(),
     "op6_mixing": mixing.SQL,
     "op8_decontaminate": decontaminate.SQL,
+    "op12_minhash": minhash.SQL,
+    "op13_negatives": negatives.SQL,
 }
 
 

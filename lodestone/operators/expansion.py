@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
+from lodestone.operators import index as N
 from lodestone.operators import retrieval as X
 from lodestone.operators.claims import NEGATION
 
@@ -99,14 +100,14 @@ def reusable_notes(queries: DataFrame, notes: DataFrame, least: int = 1) -> Data
     return q.join(n, ["session", "a"]).groupBy("query_id", "note_id").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
 
 
-def multilevel(queries: DataFrame, levels: list[tuple[str, DataFrame, DataFrame, str, dict, int]], feedback: int = 4) -> DataFrame:
+def multilevel(queries: DataFrame, levels: list[tuple[str, DataFrame, N.Index, str, dict, int]], feedback: int = 4) -> DataFrame:
     """(query_id, level, rank, doc, score): one stage a level over all queries; each level's accepted hits give the next level's extra terms.
 
-    levels: (name, docs, postings, text column, boosts, budget). A document counts at the first level that finds it.
+    levels: (name, docs, index, text column, boosts, budget). A document counts at the first level that finds it.
     """
     asked, out = queries, None
     for name, docs, index, text, boosts, budget in levels:
-        hits = X.bm25(asked, docs, index, boosts, budget).select("query_id", F.lit(name).alias("level"), "rank", "doc", "score")
+        hits = N.bm25(asked, index, boosts, budget).select("query_id", F.lit(name).alias("level"), "rank", "doc", "score")
         if out is not None:
             hits = hits.join(out.select("query_id", "doc"), ["query_id", "doc"], "left_anti").select(*out.columns)
         hits = hits.checkpoint()  # the next stage starts from here
@@ -198,12 +199,44 @@ def frame_lists(turns: DataFrame, key: str, order: str, terms: dict[str, tuple[s
     return xs.select(key, F.explode(F.aggregate("xs", start, step, lambda s: s["out"])).alias("x")).select(key, f"x.{order}", "x.l.*")
 
 
+def char_grams(term: Column, n: int = 4) -> Column:
+    """The distinct n-grams of the lower-cased term, blanks as underscores; a shorter term is its own."""
+    t = F.replace(F.lower(term), F.lit(" "), F.lit("_"))
+    return F.when(F.length(t) < n, F.array(t)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - n + 1)), lambda i: F.substring(t, i, n))))
+
+
+def similar_terms(left: DataFrame, right: DataFrame, least: float = 0.75, n: int = 4) -> DataFrame:
+    """(term, other, similarity): terms of left and right (both: term) whose character n-grams agree by more than `least` (Jaccard).
+
+    A set-similarity join: grams stand from the rarest on, and two sets that agree enough share one of the first few (k less the overlap that a
+    match needs, plus 1), so frequent grams are hardly ever joined; sizes that forbid the similarity are dropped before the exact count.
+    """
+    sets = lambda df: df.select("term").filter("term IS NOT NULL").distinct().withColumn("g", char_grams(F.col("term"), n))
+    a, b = sets(left), sets(right)
+    held = a.unionByName(b).distinct().select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("held"))
+
+    def prefix(df):
+        rare = df.select("term", "g", F.explode("g").alias("gram")).join(held, "gram").groupBy("term", "g").agg(F.array_sort(F.collect_list(F.struct("held", "gram"))).alias("r"))
+        few = F.slice("r", F.lit(1), F.size("g") - F.ceil(F.size("g") * F.lit(least)).cast("int") + 1)
+        return rare.select("term", "g", F.explode(few).alias("x")).select("term", "g", "x.gram")
+
+    other = prefix(b).select(F.col("term").alias("other"), F.col("g").alias("o"), "gram")
+    fits = F.least(F.size("g"), F.size("o")) > F.lit(least) * F.greatest(F.size("g"), F.size("o"))
+    pairs = prefix(a).join(other, "gram").filter(fits & (F.col("term") != F.col("other"))).select("term", "other", "g", "o").dropDuplicates(["term", "other"])
+    both = F.size(F.array_intersect("g", "o"))
+    return pairs.withColumn("similarity", F.round(both / (F.size("g") + F.size("o") - both), 4)).filter(both > F.lit(least) * (F.size("g") + F.size("o") - both)).select("term", "other", "similarity")
+
+
 def near_duplicate_terms(terms: DataFrame, least: float = 0.75, n: int = 4) -> DataFrame:
-    """(term, other, similarity): distinct terms whose character n-grams agree by more than `least` (Jaccard). Pairs come from shared
-    grams, and only of terms whose gram counts allow the similarity."""
-    padded = F.concat(F.lit(" "), "term", F.lit(" "))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - n + 1)), lambda i: F.substring(padded, i, n)))
-    g = terms.select("term").distinct().withColumn("g", grams).select("term", F.size("g").alias("k"), F.explode("g").alias("gram"))
-    o = g.select(F.col("term").alias("other"), F.col("k").alias("ok"), "gram")
-    pairs = g.join(o, "gram").filter((F.col("term") < F.col("other")) & (F.least("k", "ok") > F.lit(least) * F.greatest("k", "ok"))).groupBy("term", "other", "k", "ok").agg(F.count("*").alias("s"))
-    return pairs.withColumn("similarity", F.round(F.col("s") / (F.col("k") + F.col("ok") - F.col("s")), 4)).filter(F.col("similarity") > least).select("term", "other", "similarity")
+    """(term, other, similarity): similar_terms within one table, each pair once."""
+    return similar_terms(terms, terms, least, n).filter(F.col("term") < F.col("other"))
+
+
+def promotion_gates(candidates: DataFrame, known: DataFrame, stop: DataFrame, least: float = 0.75, runs: int = 2) -> DataFrame:
+    """(term, decision, closest): what stops each candidate (term, runs): stopword, near_duplicate (of a known term; the closest, ties to the smaller one),
+    single_run, or nothing (promoted). known, stop: (term). A term that is known is its own nearest duplicate."""
+    close = similar_terms(candidates, known, least).unionByName(candidates.select("term").join(known.select("term").distinct(), "term").select("term", F.col("term").alias("other"), F.lit(1.0).alias("similarity")))
+    close = close.groupBy("term").agg(F.min_by("other", F.struct(-F.col("similarity"), "other")).alias("closest"))
+    rows = candidates.join(close, "term", "left").join(stop.select("term").distinct().withColumn("_stop", F.lit(True)), "term", "left")
+    decision = F.when(F.col("_stop"), "stopword").when(F.col("closest").isNotNull(), "near_duplicate").when(F.col("runs") < runs, "single_run").otherwise("promoted")
+    return rows.select("term", decision.alias("decision"), F.when(decision == "near_duplicate", F.col("closest")).alias("closest"))

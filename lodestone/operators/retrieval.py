@@ -1,12 +1,12 @@
-"""Ranked retrieval for tables of queries: BM25 over boosted fields, vectors, fallback, fusion, expansion, feedback, coverage."""
+"""Ranked retrieval for tables of queries: vectors, fallback, fusion, fuzzy search, expansion, feedback, coverage. BM25 is in index."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
-
-K1, B = 1.2, 0.75
+from lodestone.operators import index as N
+from lodestone.operators import phrases as P
 
 
 def top(df: DataFrame, key: str | list, order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -15,38 +15,6 @@ def top(df: DataFrame, key: str | list, order: list, k: int, rank: str = "rank")
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).filter(F.col(rank) <= k)
 
 
-def postings(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
-    """(doc, field, term, tf, len): the inverted index. Each text is split once."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), T.terms(c).alias("t")) for f, c in fields.items()])).alias("x"))
-    rows = rows.select("doc", "x.field", F.size("x.t").alias("len"), F.explode("x.t").alias("term"))
-    return rows.groupBy("field", "term", "doc", "len").agg(F.count("*").alias("tf"))
-
-
-def statistics(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """(field, n, mean): the number of documents and the mean length of a field."""
-    n = docs.agg(F.count("*").alias("n"))
-    words = index.groupBy("field").agg(F.sum("tf").alias("w"))
-    return words.join(F.broadcast(n)).select("field", "n", (F.col("w") / F.col("n")).alias("mean"))  # one row; a row a field
-
-
-def bm25(queries: DataFrame, docs: DataFrame, index: DataFrame, boosts: dict[str, float], k: int) -> DataFrame:
-    """(query_id, rank, doc, score): the best field of each document wins; score is rounded to 6 places, ties by document.
-
-    queries: (query_id, query). Postings are cut to the queries' terms before they are joined, document frequencies too.
-    """
-    spark = queries.sparkSession
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term"))
-    used = index.join(asked.select("term").distinct(), "term", "left_semi")
-    df = used.groupBy("field", "term").agg(F.count("*").alias("df"))
-    boost = spark.createDataFrame([(f, float(b)) for f, b in boosts.items()], "field string, boost double")
-    stats = statistics(docs, index).join(F.broadcast(boost), "field")  # a row a field
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = used.join(df, ["field", "term"]).join(F.broadcast(stats), "field").select("field", "term", "doc", (F.col("boost") * idf * weight).alias("w"))
-    hits = asked.join(scored, "term").groupBy("query_id", "doc", "field").agg(F.sum("w").alias("s")).groupBy("query_id", "doc").agg(F.round(F.max("s"), 6).alias("score"))
-    return top(hits, "query_id", [F.desc("score"), "doc"], k).select("query_id", "rank", "doc", "score")
-
-
 def cosine(a: Column, b: Column) -> Column:
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
     square = lambda x: F.sqrt(total(F.transform(x, lambda v: v.cast("double") * v.cast("double"))))
@@ -84,10 +52,15 @@ def fused(lists: list[DataFrame], k: int, c: int = 60, depth: int = 50) -> DataF
     return top(both.groupBy("query_id", "doc").agg(F.round(F.sum("s"), 9).alias("score")), "query_id", [F.desc("score"), "doc"], k).select("query_id", "rank", "doc", "score")
 
 
+def sure_triples(triples: DataFrame, confidence_min: float, ebio_min: float) -> DataFrame:
+    """Informative, sure and biomedical enough triples."""
+    return triples.filter(F.col("subject_ok") & F.col("object_ok") & (F.col("confidence") >= confidence_min) & ((F.col("s_ebio") >= ebio_min) | (F.col("o_ebio") >= ebio_min)))
+
+
 def filtered_triples(triples: DataFrame, confidence_min: float, ebio_min: float, k: int) -> DataFrame:
     """Informative, sure and biomedical enough triples, one of each signature (the first id), best quality first. Needs the columns
     confidence, quality, signature, subject_ok, object_ok, s_ebio, o_ebio, triple_id."""
-    kept = triples.filter(F.col("subject_ok") & F.col("object_ok") & (F.col("confidence") >= confidence_min) & ((F.col("s_ebio") >= ebio_min) | (F.col("o_ebio") >= ebio_min)))
+    kept = sure_triples(triples, confidence_min, ebio_min)
     first = kept.groupBy("signature").agg(F.min_by(F.struct("triple_id", "quality"), "triple_id").alias("x")).select("signature", "x.*")
     return first.orderBy(F.desc("quality"), "triple_id").limit(k)
 
@@ -114,18 +87,33 @@ def level_budgets(queries: DataFrame, total: int) -> DataFrame:
     return queries.select("query_id", F.explode(F.array(*[F.struct(F.lit(level).alias("level"), F.lit(b).cast("long").alias("budget")) for level, b in (("title", quarter), ("paper", quarter), ("sentence", max(1, total - 2 * quarter)))])).alias("x")).select("query_id", "x.*")
 
 
-def anchor_coverage(hits: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(query_id, doc, n_anchors, n_matched, passes): anchors of the query that the hit's text holds; all but one must match.
+def alias_pattern(alias: Column) -> Column:
+    """Finds the alias in a lower-cased text, not within a word; a blank stands for blanks and hyphens."""
+    quoted = F.regexp_replace(F.lower(alias), r"([^\p{L}\p{N} ])", r"\\$1")
+    return F.concat(F.lit("(?<![a-z0-9])"), F.replace(quoted, F.lit(" "), F.lit(r"[-\s]+")), F.lit("(?![a-z0-9])"))
+
 
-    hits: (query_id, doc, text); anchors: (query_id, anchor).
+def anchor_coverage(hits: DataFrame, anchors: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc, n_anchors, n_matched, missing, passes): anchors of the query that the hit's text names, by themselves or by an alias, and
+    those it doesn't (sorted); all but one must match, and a single one.
+
+    hits: (query_id, doc, text); anchors: (query_id, anchor); aliases: (anchor, alias), of any size. A hit's text meets its query's patterns
+    as one array, so it isn't repeated for each.
     """
-    rows = hits.join(anchors, "query_id").groupBy("query_id", "doc").agg(F.count("*").alias("n_anchors"), F.count_if(F.contains(F.lower("text"), F.col("anchor"))).alias("n_matched"))
+    named = anchors.select("query_id", "anchor", F.col("anchor").alias("alias"))
+    if aliases is not None:
+        named = named.unionByName(anchors.join(aliases, "anchor").select("query_id", "anchor", "alias"))
+    named = named.filter(F.trim("alias") != "").groupBy("query_id", "anchor").agg(F.collect_set(alias_pattern(F.col("alias"))).alias("p"))
+    own = named.groupBy("query_id").agg(F.collect_list(F.struct("anchor", "p")).alias("_a"))
+    missing = F.array_sort(F.transform(F.filter("_a", lambda a: ~F.exists(a["p"], lambda p: F.regexp_like(F.lower(F.coalesce("text", F.lit(""))), p))), lambda a: a["anchor"]))
+    rows = hits.join(own, "query_id").select("query_id", "doc", F.size("_a").cast("long").alias("n_anchors"), missing.alias("missing"))
+    rows = rows.select("query_id", "doc", "n_anchors", (F.col("n_anchors") - F.size("missing")).alias("n_matched"), "missing")
     return rows.withColumn("passes", F.col("n_matched") >= F.greatest(F.lit(1), F.col("n_anchors") - 1))
 
 
 def feedback_terms(hits: DataFrame, queries: DataFrame, n: int, least: int = 2) -> DataFrame:
     """(query_id, rank, term, support): terms of accepted hits (query_id, doc, text) that the query lacks, by the hits that hold them."""
-    rows = hits.select("query_id", "doc", F.explode(T.important_terms(F.col("text"), 200)).alias("term"))
+    rows = hits.select("query_id", "doc", F.explode(T.important_terms(F.col("text"), None)).alias("term"))
     rows = rows.groupBy("query_id", "term").agg(F.count_distinct("doc").alias("support")).filter(F.col("support") >= least)
     own = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term"))
     return top(rows.join(own, ["query_id", "term"], "left_anti"), "query_id", [F.desc("support"), "term"], n).select("query_id", "rank", "term", "support")
@@ -200,17 +188,34 @@ def off_topic(hits: DataFrame, frames: DataFrame, weak: list[str] | None = None)
     return rows.withColumn("off_topic", F.coalesce(avoided & ~F.arrays_overlap(own, T.important_terms(low, 128)), F.lit(False))).drop("avoid", "anchors")
 
 
-def expanded_terms(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, term, match, distance): index terms within 0, 1 or 2 edits of a query term (for terms up to 2, 5 and more letters).
+def expanded_terms(vocabulary: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, term, match, distance): words of the vocabulary (match) within 0, 1 or 2 edits of a query's term (see phrases.within_edits)."""
+    asked = N.asked_terms(queries)
+    return asked.join(P.within_edits(asked, vocabulary), "term").select("query_id", "term", "match", "distance")
+
 
-    Candidates share the first letter and differ by at most 2 in length: the distinct terms are joined on (letter, length).
+# How much a biomedical subject or object adds to a score, fields and boosts of the fuzzy search, hits fetched for each result.
+BIOMEDICAL, TRIPLE_BOOSTS, FETCHED = 2.0, {"subject": 2.0, "object": 2.0, "relation": 1.0, "sentence_text": 1.0}, 3
+
+
+def fuzzy_search(queries: DataFrame, index: N.Index, triples: DataFrame, papers: DataFrame | None = None, confidence_min: float = 0.5, ebio_min: float = 0.3, k: int = 50) -> DataFrame:
+    """(query_id, rank, triple_id, signature, quality, score): the best triples of each query (query_id, query) by quality, among its 3 k best by search.
+
+    The search takes all words of the index within some edits of a query's terms (BM25, best field), keeps the articles of `papers` (article_id) if it
+    is given, and adds 2 for a subject and 2 for an object that is biomedical enough. Hits that aren't informative, sure and biomedical enough go; of
+    each signature the best hit stays. triples: triple_id, article_id and what filtered_triples needs.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term"))
-    most = F.when(F.length("term") <= 2, 0).when(F.length("term") <= 5, 1).otherwise(2)
-    want = asked.select("term").distinct().withColumn("most", most).withColumn("n", F.explode(F.sequence(F.length("term") - F.col("most"), F.length("term") + F.col("most")))).withColumn("c", F.substring("term", 1, 1))
-    have = index.select(F.col("term").alias("match")).distinct().withColumn("n", F.length("match")).withColumn("c", F.substring("match", 1, 1))
-    near = want.join(have, ["c", "n"]).withColumn("distance", F.levenshtein("term", "match")).filter(F.col("distance") <= F.col("most"))
-    return asked.join(near.select("term", "match", F.col("distance").cast("long").alias("distance")), "term").select("query_id", "term", "match", "distance")
+    spark = queries.sparkSession
+    asked = expanded_terms(N.vocabulary(spark, index).withColumnRenamed("term", "match"), queries).select("query_id", F.col("match").alias("term")).distinct()
+    facts = triples.select(F.col("triple_id").alias("doc"), "article_id", "s_ebio", "o_ebio")
+    facts = facts if papers is None else facts.join(papers.select("article_id").distinct(), "article_id", "left_semi")
+    enough = lambda c: F.when(F.col(c) >= ebio_min, BIOMEDICAL).otherwise(0.0)
+    facts = facts.select("doc", (enough("s_ebio") + enough("o_ebio")).alias("_more"))
+    adjust = lambda hits: hits.join(facts, "doc").select("query_id", "doc", F.round(F.col("score") + F.col("_more"), 6).alias("score"))
+    hits = N.search(asked, index, TRIPLE_BOOSTS, FETCHED * k, adjust, 2 * BIOMEDICAL)
+    rows = hits.join(triples.withColumn("doc", F.col("triple_id")), "doc")
+    kept = top(sure_triples(rows, confidence_min, ebio_min), ["query_id", "signature"], ["rank"], 1, "_first")
+    return top(kept.drop("rank").withColumnRenamed("_first", "_"), "query_id", [F.desc("quality"), F.desc("score"), "triple_id"], k).select("query_id", "rank", "triple_id", "signature", "quality", "score")
 
 
 def attempt_quality(hits: DataFrame, queries: DataFrame) -> DataFrame:

@@ -1,18 +1,17 @@
 """Queries of sources, streams and scorers (SRC, STR, U) over rows derived from the driver's tables."""
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from lodestone.functions import models as M
 from lodestone.functions import text as T
+from lodestone.operators import stored as St
 from lodestone.plans import duck as D
 from lodestone.plans.columns import conf
 from lodestone.sources import files as S_
 from lodestone.sources import views as V
+from lodestone.sources.store import shared
 from lodestone.streaming import jobs as J
+from lodestone.streaming import observed as O
 
 Q, S = {}, {}
 
@@ -27,16 +26,6 @@ def query(name, sql=None):
     return put
 
 
-def shared(spark) -> str:
-    """A new folder for a query's tables: in the shared folder the session names; without one, a local folder where all runs locally."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="lodestone-")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def as_csv_rows(spark, d):
     """Triples as the CSV's string rows, every seventh without a subject and every eleventh with a bad number."""
     t = V.triples(spark, d)
@@ -170,6 +159,16 @@ def str06(spark, d):
     return J.backfill(t, scored, "subject", ["s_ebio"]).select("triple_id", "s_ebio")
 
 
+@query("str06_restarted_backfill", f"WITH {D.TRIPLES} SELECT triple_id, CASE WHEN pos % 3 = 0 THEN length(subject) / 100.0 ELSE s_ebio END::DOUBLE AS s_ebio FROM triples")
+def str06r(spark, d):
+    """A run that is stopped after two parts, and one that goes on."""
+    t, done = V.triples(spark, d).select("triple_id", "subject", F.when(F.col("pos") % 3 != 0, F.col("s_ebio")).alias("s_ebio")), shared(spark)
+    score = lambda keys: keys.withColumn("s_ebio", F.length("subject") / F.lit(100.0))
+    for most in (2, None):
+        out = St.backfill_in_parts(t, "subject", ["s_ebio"], score, done, 6, most)
+    return out.select("triple_id", "s_ebio")
+
+
 @query("str07_sessions", f"WITH {D.EVENTS}, g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM turn_events WINDOW w AS (PARTITION BY scope ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY scope ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT scope, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_s, count(*) AS n, round(avg(reward) + 1e-9::DOUBLE, 6) AS mean_reward FROM s GROUP BY scope, k")
 def str07(spark, d):
     s = J.session_activity(V.turn_events(spark, d), "12 hours")
@@ -187,3 +186,77 @@ def str04(spark, d):
 
     e = V.turn_events(spark, d).filter("reward IS NOT NULL")
     return J.ranked_terms(term_beta(e.select("scope", F.col("action").alias("term"), (F.col("reward") - F.lit(0.25)).alias("utility"))), 5)
+
+
+#: Files that events come in, and seconds: how late a row may be, and how long a term is remembered.
+N_FILES, DELAY, TTL = 5, 6 * 3600, 48 * 3600
+
+
+def event_files(spark, d) -> str:
+    """The events in five files by time; every thirteenth comes with the last file, late."""
+    out = f"{shared(spark)}/events"
+    e = V.turn_events(spark, d)
+    ends = e.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b"))
+    place = F.least(F.lit(N_FILES - 1), F.floor((F.unix_micros("ts") - F.col("a")) * N_FILES / (F.col("b") - F.col("a") + 1)))
+    rows = e.join(F.broadcast(ends)).withColumn("file", F.when(F.col("event_id") % 13 == 0, N_FILES - 1).otherwise(place).cast("int")).drop("a", "b")  # one row
+    for i in range(N_FILES):  # one after another: a stream takes files in the order of their times
+        rows.filter(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(out)
+    return out
+
+
+def event_stream(spark, path):
+    return J.read_events(spark, path, J.EVENTS, 1).withColumn("ts", F.col("ts"))
+
+
+LATE = f"""{D.EVENTS}, ev AS (SELECT *, epoch_us(ts) AS us FROM turn_events), en AS (SELECT min(us) AS a, max(us) AS b FROM ev),
+fl AS (SELECT ev.*, CASE WHEN event_id % 13 = 0 THEN {N_FILES - 1} ELSE least({N_FILES - 1}, CAST(floor((us - a) * {N_FILES}::DOUBLE / (b - a + 1)) AS INT)) END AS f FROM ev, en),
+mk AS (SELECT f, max(us) AS m FROM fl GROUP BY f), wm AS (SELECT x.f, (max(y.m) // 1000 - {DELAY * 1000}) * 1000 AS w FROM (SELECT DISTINCT f FROM fl) x LEFT JOIN mk y ON y.f <= x.f - 2 GROUP BY x.f),
+lt AS (SELECT fl.*, w, coalesce(us <= w, false) AS late FROM fl JOIN wm USING (f))"""
+
+
+@query("str03_expiring_counts", f"""WITH {LATE}, o AS (SELECT scope, state_key AS term, f, us, event_id, reward - 0.5::DOUBLE AS u, max(us) OVER p AS before FROM lt WHERE NOT late AND reward IS NOT NULL WINDOW p AS (PARTITION BY scope, state_key ORDER BY f, us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, sum(CASE WHEN us > before + {TTL}::BIGINT * 1000000 THEN 1 ELSE 0 END) OVER (PARTITION BY scope, term ORDER BY f, us, event_id ROWS UNBOUNDED PRECEDING) AS k FROM o), h AS (SELECT *, max(k) OVER (PARTITION BY scope, term) AS last_k, max(us) OVER (PARTITION BY scope, term) AS last FROM g)
+SELECT scope, term, round(1 + sum(greatest(u, 0.0)), 6) AS alpha, round(1 + sum(greatest(-u, 0.0)), 6) AS beta, count(*) AS updates, any_value(last) + {TTL}::BIGINT * 1000000 < (SELECT max(us) FROM lt) AS expired FROM h WHERE k = last_k GROUP BY scope, term""")
+def str03e(spark, d):
+    """Counts over a stream of several files, with late rows: the last state of each term, and whether it is past its time at the stream's end."""
+    path, out = event_files(spark, d), shared(spark)
+    rows = event_stream(spark, path).select("scope", F.col("state_key").alias("term"), "ts", "event_id", (F.col("reward") - 0.5).alias("utility"))
+    O.run_stream(O.expiring_counts(rows, TTL, f"{DELAY} seconds"), f"{out}/rows", "update", f"{out}/checkpoint")
+    seen = spark.read.schema(O.COUNTED + ", part int").parquet(f"{out}/rows")
+    last = seen.groupBy("scope", "term").agg(F.max_by(F.struct("alpha", "beta", "updates", "last_us"), "part").alias("x")).select("scope", "term", "x.*")
+    end = spark.read.parquet(path).agg(F.max(F.unix_micros("ts")).alias("_end"))
+    return last.join(F.broadcast(end)).select("scope", "term", F.round("alpha", 6).alias("alpha"), F.round("beta", 6).alias("beta"), "updates", (F.col("last_us") + TTL * 1_000_000 < F.col("_end")).alias("expired"))  # one row
+
+
+@query("str07_late_rows", f"WITH {LATE}, dy AS (SELECT epoch(date_trunc('day', ts))::BIGINT AS day_s, state_key, reward, late, coalesce((epoch(date_trunc('day', ts))::BIGINT + 86400) * 1000000 <= w, false) AS shut FROM lt) SELECT day_s, state_key, count(*) FILTER (NOT shut) AS n, round(avg(reward) FILTER (NOT shut) + 1e-9::DOUBLE, 6) AS mean_reward, count(*) FILTER (late) AS n_late FROM dy GROUP BY ALL")
+def str07l(spark, d):
+    """Daily means over a stream of several files with a watermark: windows that are shut take no more rows; rows behind the watermark are counted."""
+    path, out = event_files(spark, d), shared(spark)
+    O.run_stream(J.windowed_means(event_stream(spark, path), late=f"{DELAY} seconds"), f"{out}/rows", "update", f"{out}/checkpoint")
+    O.late_rows(event_stream(spark, path), "ts", DELAY, out, ["ts", "state_key"]).awaitTermination()
+    seen = spark.read.schema("start timestamp, state_key string, n long, mean_reward double, part int").parquet(f"{out}/rows")
+    days = seen.groupBy(F.unix_timestamp("start").alias("day_s"), "state_key").agg(F.max_by(F.struct("n", "mean_reward"), "part").alias("x")).select("day_s", "state_key", "x.n", F.round(F.col("x.mean_reward") + F.lit(1e-9), 6).alias("mean_reward"))
+    late = spark.read.schema("ts timestamp, state_key string").parquet(f"{out}/late").groupBy(F.unix_timestamp(F.date_trunc("day", "ts")).alias("day_s"), "state_key").agg(F.count("*").alias("n_late"))
+    return days.join(late, ["day_s", "state_key"], "full").na.fill(0, ["n", "n_late"]).select("day_s", "state_key", "n", "mean_reward", "n_late")
+
+
+#: The texts are invented: frequent words stand in for negations. Lines of a turn are its claims.
+DRIVER_NEGATORS = ["with", "was", "nicht", "pas", "por"]
+OBSERVED = f"""ln AS (SELECT conv_id, turn, turn * 1000 + place - 1 AS claim_id, trim(c) AS claim FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS c, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM conversations) WHERE trim(c) <> ''),
+nn AS (SELECT conv_id, turn, claim_id, {D.important('claim', 24)} AS t, {D.hits('claim', DRIVER_NEGATORS)} > 0 AS neg FROM ln),
+cf AS (SELECT a.conv_id, a.turn, a.claim_id, min(b.claim_id) AS prior_id FROM nn a JOIN nn b ON a.conv_id = b.conv_id AND b.claim_id < a.claim_id AND a.neg <> b.neg WHERE len(list_intersect(a.t, b.t)) > 0 AND len(list_intersect(a.t, b.t))::DOUBLE / greatest(1, least(len(a.t), len(b.t))) >= 0.45 GROUP BY ALL),
+tf AS (SELECT conv_id, turn, {D.important('text', 6)} AS t FROM conversations), fr AS (SELECT a.conv_id, a.turn, flatten(list(b.t ORDER BY b.turn DESC)) AS l FROM tf a JOIN tf b ON a.conv_id = b.conv_id AND b.turn <= a.turn GROUP BY ALL),
+cn AS (SELECT conv_id, turn, count(*) AS n FROM ln GROUP BY ALL), ck AS (SELECT conv_id, turn, count(*) AS n, string_agg(claim_id || ':' || prior_id, ',' ORDER BY claim_id) AS conflicts FROM cf GROUP BY ALL)"""
+
+
+@query("str01_observed_sessions", f"WITH {OBSERVED} SELECT fr.conv_id AS session_id, fr.turn, coalesce(cn.n, 0) AS n_claims, coalesce(ck.n, 0) AS n_conflicts, coalesce(conflicts, '') AS conflicts, array_to_string(list_slice({D.first_seen('l')}, 1, {O.FRAME_TERMS}), ' ') AS active, (sum(coalesce(cn.n, 0)) OVER w)::BIGINT AS total_claims, (sum(coalesce(ck.n, 0)) OVER w)::BIGINT AS total_conflicts FROM fr LEFT JOIN cn ON cn.conv_id = fr.conv_id AND cn.turn = fr.turn LEFT JOIN ck ON ck.conv_id = fr.conv_id AND ck.turn = fr.turn WINDOW w AS (PARTITION BY fr.conv_id ORDER BY fr.turn ROWS UNBOUNDED PRECEDING)")
+def str01s(spark, d):
+    """Turns come in three files; state carries claims, frames and totals from one to the next."""
+    path, out = f"{shared(spark)}/turns", shared(spark)
+    c = V.table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), "turn", F.timestamp_seconds(F.col("turn") * 60 + 1_700_000_000).alias("ts"), "text")
+    for lo, hi in ((None, 2), (2, 4), (4, None)):  # one after another: a stream takes files in the order of their times
+        c.filter((F.lit(lo is None) | (F.col("turn") >= (lo or 0))) & (F.lit(hi is None) | (F.col("turn") < (hi or 0)))).write.mode("append").parquet(path)
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((F.col("turn") * 1000 + i).alias("claim_id"), F.trim(x).alias("claim")))
+    rows = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 8).parquet(path).withColumn("claims", F.filter(lines, lambda x: x["claim"] != ""))
+    O.run_stream(O.observe_sessions(O.turn_rows(rows, DRIVER_NEGATORS)), f"{out}/rows", "append", f"{out}/checkpoint")
+    return spark.read.schema(O.TURN).parquet(f"{out}/rows").drop("part")

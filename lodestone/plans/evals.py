@@ -32,7 +32,8 @@ def claims(spark, d):
 
 
 def gold(spark, d):
-    return V.table(spark, d, "benchmark").select(F.col("item_id").alias("gold_id"), F.col("text").alias("claim"))
+    t = F.col("text")
+    return V.table(spark, d, "benchmark").select(F.col("item_id").alias("gold_id"), t.alias("claim"), T.important_terms(t, 3).alias("entities"))
 
 
 CL = f"{D.SENTENCES}, cl AS (SELECT doc_id, pos, sentence AS claim FROM sentences)"
@@ -48,12 +49,22 @@ def clm02(spark, d):
     return c.join(e, ["doc_id", "pos"], "left").select("doc_id", "pos", F.coalesce(F.array_join("entities", ","), F.lit("")).alias("entities"), E.first_predicate(F.col("claim"), PREDICATES).alias("predicate"), F.when(T.hits(F.col("claim"), NEGATORS) > 0, "negated").otherwise("affirmed").alias("polarity"))
 
 
-GOLD = f"{CL}, gt AS (SELECT item_id AS gold_id, len(list_distinct({D.terms('text')})) AS n, unnest(list_distinct({D.terms('text')})) AS term FROM benchmark), ct AS (SELECT doc_id, pos, unnest(list_distinct({D.terms('claim')})) AS term FROM cl), gm AS (SELECT doc_id, pos, gold_id, round(count(*)::DOUBLE / n, 4) AS match FROM ct JOIN gt USING (term) GROUP BY doc_id, pos, gold_id, n), bg AS (SELECT doc_id, pos, gold_id, match FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY match DESC, gold_id) AS r FROM gm) WHERE r = 1)"
+#: Aliases of a node stand in for those of a domain.
+NODE_ALIASES = [("the", "then"), ("the", "der"), ("and", "und ")]
+NODE_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in NODE_ALIASES) + ") na(node, alias)"
+TERMS = f"list_filter(regexp_extract_all(lower(text), '{E.GOLD_TERM}'), lambda x: x NOT IN ({D.quoted(E.GOLD_STOP)}))"
+GOLD = f"""{CL}, ce AS (SELECT doc_id, pos, list(DISTINCT canonical) AS own FROM cl JOIN {ALIAS_SQL} ON {HIT} GROUP BY ALL),
+gg AS (SELECT item_id AS gold_id, {TERMS} AS t, {D.important('text', 3)} AS e FROM benchmark),
+gx AS (SELECT gold_id, unnest(e) AS node FROM gg), gy AS (SELECT gold_id, list({{'node': node, 'pieces': pieces}}) AS ep FROM (SELECT gold_id, gx.node, coalesce(list(alias) FILTER (alias IS NOT NULL), [gx.node]) AS pieces FROM gx LEFT JOIN {NODE_SQL} ON na.node = gx.node GROUP BY gold_id, gx.node) GROUP BY gold_id),
+gm AS (SELECT cl.doc_id, cl.pos, gold_id, greatest(len(list_filter(t, lambda x: contains(lower(claim), x)))::DOUBLE / greatest(1, len(t)), len(list_filter(coalesce(ep, []), lambda n: list_contains(coalesce(own, []), n.node) OR len(list_filter(n.pieces, lambda p: contains(lower(claim), p))) > 0))::DOUBLE / greatest(1, len(e))) AS rate FROM cl LEFT JOIN ce ON ce.doc_id = cl.doc_id AND ce.pos = cl.pos, gg LEFT JOIN gy USING (gold_id)),
+bg AS (SELECT doc_id, pos, gold_id, round(rate, 4) AS match FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY rate DESC, gold_id) AS r FROM gm WHERE rate > 0) WHERE r = 1)"""
 
 
 @query("join08_best_gold", f"WITH {GOLD} SELECT * FROM bg")
 def join08(spark, d):
-    return E.best_gold(claims(spark, d), ["doc_id", "pos"], "claim", gold(spark, d))
+    c, key = claims(spark, d), ["doc_id", "pos"]
+    own = E.alias_entities(c, key, "claim", spark.createDataFrame(ALIASES, "canonical string, alias string"))
+    return E.best_gold(c, key, "claim", gold(spark, d), own, spark.createDataFrame(NODE_ALIASES, "node string, alias string"))
 
 
 @query("join09_best_graph", f"WITH {CL}, g AS (SELECT item_id // 3 AS graph_id, unnest({D.important('text', 3)}) AS node FROM benchmark), gd AS (SELECT DISTINCT graph_id, node FROM g), m AS (SELECT conv_id, turn, graph_id, coalesce(string_agg(node, ',' ORDER BY node) FILTER (NOT contains(lower(text), node)), '') AS missing, count(*) FILTER (NOT contains(lower(text), node)) AS k, count(*) AS n FROM conversations, gd GROUP BY ALL) SELECT conv_id, turn, graph_id, missing, score FROM (SELECT *, round(1 - k::DOUBLE / n, 4) AS score, row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(1 - k::DOUBLE / n, 4) DESC, graph_id) AS r FROM m) WHERE r = 1")

@@ -7,13 +7,14 @@ from lodestone.operators import expansion as E
 from lodestone.operators import graph as G
 from lodestone.operators import retrieval as X
 from lodestone.operators import rewards as Rw
+from lodestone.operators import stored as St
 from lodestone.operators import windows as W
 from lodestone.plans import duck as D
 from lodestone.plans import ranked as K
 from lodestone.plans.columns import redact_sql
-from lodestone.plans.edges import shared
 from lodestone.plans.judged import IDEAS, MOST_EVIDENCE, PAIRS, idea_turns, nli_pairs
 from lodestone.sources import views as V
+from lodestone.sources.store import shared
 
 Q, S = {}, {}
 
@@ -126,7 +127,7 @@ def ret32(spark, d):
 def ret19(spark, d):
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared(spark))
-    docs, index = K.doc_index(spark, d)
+    docs, index = V.table(spark, d, "documents").select("doc_id", "text"), K.stored(spark, d, "documents")
     return E.multilevel(K.asked(spark, d), [("title", docs, index, "text", {"title": 4.0}, 3), ("paper", docs, index, "text", {"title": 1.0, "body": 2.0}, 4), ("sentence", docs, index, "text", {"body": 1.0}, 6)])
 
 
@@ -236,7 +237,48 @@ def ups05(spark, d):
     return both.groupBy("idea").agg(F.sum("n").alias("frequency"), F.count_distinct("session_id").alias("sessions"), F.round(F.sum("r"), 4).alias("reward_sum"))
 
 
-@query("agg23_near_duplicate_terms", f"WITH v AS (SELECT DISTINCT unnest({D.terms('text')}) AS term FROM benchmark), g AS (SELECT term, list_distinct(list_transform(range(1, greatest(2, length(term) + 2 - 4 + 2)), lambda i: substr(' ' || term || ' ', i, 4))) AS g FROM v) SELECT a.term, b.term AS other, round(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))), 4) AS similarity FROM g a JOIN g b ON a.term < b.term WHERE round(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))), 4) > 0.5")
+LINKED = f"""{D.MEMORY}, i0 AS (SELECT session_id, turn_index, importance AS reward, {D.important('text', 16)} AS t FROM memory_docs), i1 AS (SELECT session_id, turn_index, reward, CASE WHEN len(t) >= 2 THEN list_append(t, t[1] || ' ' || t[2]) ELSE t END AS ideas FROM i0),
+i2 AS (SELECT *, unnest(ideas) AS idea FROM i1), i3 AS (SELECT idea, session_id, turn_index, list_slice(list_filter(ideas, lambda x: x <> idea), 1, 16) AS near, list_slice(list_filter(ideas, lambda x: contains(x, ' ') AND split_part(x, ' ', 1) = idea), 1, 16) AS child FROM i2),
+ln AS (SELECT idea, turn_index, session_id, unnest(near) AS other, unnest(range(0, len(near))) AS place FROM i3), lc AS (SELECT DISTINCT idea, unnest(child) AS other FROM i3),
+nn AS (SELECT idea, least(48, count(DISTINCT other)) AS n_cooccurring, first(other ORDER BY turn_index, session_id, place) AS first_cooccurring FROM ln GROUP BY idea), nc AS (SELECT idea, least(48, count(*)) AS n_children FROM lc GROUP BY idea),
+gi AS (SELECT idea, count(*) AS frequency, count(DISTINCT session_id) AS sessions, round(sum(reward), 6) AS reward_sum, round(avg(reward), 6) AS reward_avg FROM i2 GROUP BY idea)"""
+
+
+@query("ups05_stored_ideas", f"WITH {LINKED} SELECT gi.idea, frequency, sessions, reward_sum, coalesce(n_cooccurring, 0)::INT AS n_cooccurring, first_cooccurring, coalesce(n_children, 0)::INT AS n_children, round(least(1.0::DOUBLE, 0.40::DOUBLE * ln(1 + frequency) / ln(33.0::DOUBLE) + 0.30::DOUBLE * greatest(0.0::DOUBLE, least(1.0::DOUBLE, reward_avg)) + 0.20::DOUBLE + 0.10::DOUBLE * ln(1 + coalesce(n_cooccurring, 0) + coalesce(n_children, 0)) / ln(17.0::DOUBLE)), 4) AS importance FROM gi LEFT JOIN nn ON nn.idea = gi.idea LEFT JOIN nc ON nc.idea = gi.idea")
+def ups05s(spark, d):
+    """Three deltas, one of them written twice, with a snapshot in between. The first two terms of a turn stand in for a phrase."""
+    t = T.important_terms(F.col("text"), 16)
+    ideas = F.when(F.size(t) >= 2, F.concat(t, F.array(F.array_join(F.slice(t, 1, 2), " ")))).otherwise(t)
+    turns = V.memory_docs(spark, d).select("session_id", "turn_index", F.col("importance").alias("reward"), ideas.alias("ideas"))
+    kept = St.Ideas(spark, shared(spark))
+    kept.add(turns.filter("turn_index < 2"), 0)
+    kept.add(turns.filter("turn_index BETWEEN 2 AND 3"), 1)
+    kept.compact(1)
+    for _ in range(2):
+        kept.add(turns.filter("turn_index > 3"), 2)
+    rows = kept.read()
+    return rows.select("idea", "frequency", "sessions", "reward_sum", F.size("cooccurring").alias("n_cooccurring"), F.get("cooccurring", F.lit(0)).alias("first_cooccurring"), F.size("children").alias("n_children"), "importance")
+
+
+GRAMS = "(CASE WHEN length(term) < 4 THEN [term] ELSE list_distinct(list_transform(range(1, length(term) - 2), lambda i: substr(term, i, 4))) END)"
+
+
+def similar_sql(a: str, b: str, least: float) -> str:
+    """CTE sm (term, other, similarity) of two tables of terms."""
+    both, all_ = "len(list_intersect(x.g, y.g))", "len(list_distinct(list_concat(x.g, y.g)))"
+    return f"ga AS (SELECT DISTINCT term, {GRAMS} AS g FROM {a}), gb AS (SELECT DISTINCT term, {GRAMS} AS g FROM {b}), sm AS (SELECT x.term, y.term AS other, round({both}::DOUBLE / {all_}, 4) AS similarity FROM ga x JOIN gb y ON x.term <> y.term WHERE {both} > {least}::DOUBLE * {all_})"
+
+
+@query("agg23_near_duplicate_terms", f"WITH v AS (SELECT DISTINCT unnest({D.terms('text')}) AS term FROM benchmark), {similar_sql('v', 'v', 0.5)} SELECT * FROM sm WHERE term < other")
 def agg23(spark, d):
     terms = V.table(spark, d, "benchmark").select(F.explode(T.terms(F.col("text"))).alias("term"))
     return E.near_duplicate_terms(terms, 0.5)
+
+
+@query("agg23_promotion_gates", f"WITH c AS (SELECT term, count(DISTINCT item_id % 5) AS runs FROM (SELECT item_id, unnest({D.terms('text')}) AS term FROM benchmark) GROUP BY term), k AS (SELECT DISTINCT unnest({D.terms('text')}) AS term FROM conversations WHERE turn = 0), {similar_sql('c', 'k', 0.6)}, cl AS (SELECT term, first(other ORDER BY similarity DESC, other) AS closest FROM (SELECT * FROM sm UNION ALL SELECT term, term, 1.0 FROM c JOIN k USING (term)) GROUP BY term), d AS (SELECT c.term, CASE WHEN c.term IN ({D.quoted(T.STOP)}) THEN 'stopword' WHEN closest IS NOT NULL THEN 'near_duplicate' WHEN runs < 2 THEN 'single_run' ELSE 'promoted' END AS decision, closest FROM c LEFT JOIN cl ON cl.term = c.term) SELECT term, decision, CASE WHEN decision = 'near_duplicate' THEN closest END AS closest FROM d")
+def agg23g(spark, d):
+    """Items stand in for runs, five of them; terms of first turns are known."""
+    words = lambda t: t.select("*", F.explode(T.terms(F.col("text"))).alias("term"))
+    c = words(V.table(spark, d, "benchmark")).groupBy("term").agg(F.count_distinct(F.col("item_id") % 5).alias("runs"))
+    known = words(V.table(spark, d, "conversations").filter("turn = 0")).select("term")
+    return E.promotion_gates(c, known, spark.createDataFrame([(w,) for w in T.STOP], "term string"), 0.6, 2)

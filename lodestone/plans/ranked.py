@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions import triples as R
+from lodestone.operators import index as N
+from lodestone.operators import neighbours as NB
 from lodestone.operators import retrieval as X
 from lodestone.operators import windows as W
 from lodestone.plans import duck as D
@@ -33,12 +35,45 @@ def title(c="text"):
     return F.substring_index(c, "\n", 1)
 
 
-def doc_index(spark, d):
-    docs = V.table(spark, d, "documents").select("doc_id", "text")
-    return docs, X.postings(docs, "doc_id", {"title": title(), "body": F.col("text")})
+def by_two(*cs):
+    return F.concat_ws(":", *[F.col(c).cast("string") for c in cs]).alias("doc")
 
 
-def bm25_sql(docs: str, fields: dict, boosts: dict, k: int, queries="SELECT item_id AS query_id, text AS query FROM benchmark") -> str:
+def spo_rows(spark, d):
+    return scored_triples(spark, d).filter("confidence >= 0.6 AND s_ebio >= 0.5").select(F.col("triple_id").alias("doc"), F.concat_ws(" ", "subject", "relation", "object").alias("spo"))
+
+
+def kept_memory(spark, d):
+    """Memory rows that aren't evicted."""
+    return W.with_states(V.memory_docs(spark, d), 3).filter("memory_state <> 'evicted'").select(by_two("session_id", "turn_index"), "text")
+
+
+def whole(name):
+    return F.col(name)
+
+
+#: For each index: its documents, with the column doc, and for each field what makes it of a column.
+INDEXED = {
+    "documents": (lambda spark, d: V.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"), {"title": ("text", title), "body": ("text", whole)}),
+    "triples": (spo_rows, {"spo": ("spo", whole)}),
+    "triple_fields": (lambda spark, d: V.triples(spark, d).select(F.col("triple_id").alias("doc"), *X.TRIPLE_BOOSTS), {c: (c, whole) for c in X.TRIPLE_BOOSTS}),
+    "sentences": (lambda spark, d: V.sentences(spark, d).select(by_two("doc_id", "pos"), "sentence"), {"body": ("sentence", whole)}),
+    "memory": (kept_memory, {"text": ("text", whole)}),
+    "answers": (lambda spark, d: V.table(spark, d, "conversations").filter("role = 'assistant'").select(by_two("conv_id", "turn"), "text"), {"text": ("text", whole)}),
+}
+_WRITTEN: dict[tuple[str, str, str], N.Index] = {}
+
+
+def stored(spark, d, kind: str) -> N.Index:
+    """The index of this kind over a data folder: written by the first query of an application that needs it, read by the others."""
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _WRITTEN or not N.there(spark, _WRITTEN[key]):
+        rows, fields = INDEXED[kind]
+        _WRITTEN[key] = N.write_index(rows(spark, d), "doc", {f: make(c) for f, (c, make) in fields.items()})
+    return _WRITTEN[key]
+
+
+def bm25_sql(docs: str, fields: dict, boosts: dict, k: int, queries="SELECT item_id AS query_id, text AS query FROM benchmark", asked: str = "") -> str:
     """CTEs ending in `ranked (query_id, rank, doc, score)`; docs: SELECT of doc and the fields' sources."""
     parts = " UNION ALL ".join(f"SELECT doc, '{f}' AS field, {D.terms(c)} AS t FROM dd" for f, c in fields.items())
     boost = " ".join(f"WHEN field = '{f}' THEN {b}::DOUBLE" for f, b in boosts.items())
@@ -46,7 +81,7 @@ def bm25_sql(docs: str, fields: dict, boosts: dict, k: int, queries="SELECT item
 pp AS (SELECT field, term, doc, len, count(*) AS tf FROM (SELECT doc, field, len(t) AS len, unnest(t) AS term FROM ft) GROUP BY ALL),
 st AS (SELECT field, (SELECT count(*) FROM dd) AS n, sum(tf)::DOUBLE / (SELECT count(*) FROM dd) AS mean FROM pp GROUP BY field),
 dq AS (SELECT field, term, count(*) AS df FROM pp GROUP BY field, term),
-aq AS (SELECT DISTINCT query_id, unnest({D.terms('query')}) AS term FROM qq),
+aq AS ({asked or f"SELECT DISTINCT query_id, unnest({D.terms('query')}) AS term FROM qq"}),
 hits AS (SELECT query_id, doc, field, sum((CASE {boost} END) * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS s FROM aq JOIN pp USING (term) JOIN dq USING (field, term) JOIN st USING (field) WHERE (CASE {boost} END) IS NOT NULL GROUP BY query_id, doc, field),
 best AS (SELECT query_id, doc, round(max(s), 6) AS score FROM hits GROUP BY query_id, doc),
 ranked AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank, doc, score FROM best) WHERE rank <= {k})"""
@@ -58,14 +93,13 @@ FIELDS = {"title": "title", "body": "text"}
 
 @query("ret01_postings", f"WITH {D.SENTENCES} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({D.terms('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def ret01(spark, d):
-    index = X.postings(V.table(spark, d, "documents"), "doc_id", {"body": F.col("text")})
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    postings = spark.table(stored(spark, d, "documents").postings).filter("field = 'body'")
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query("ret02_bm25_fields", f"WITH {bm25_sql(DOCS, FIELDS, BOOSTS, 5)} SELECT * FROM ranked")
 def ret02(spark, d, k=5):
-    docs, index = doc_index(spark, d)
-    return X.bm25(asked(spark, d), docs, index, BOOSTS, k)
+    return N.bm25(asked(spark, d), stored(spark, d, "documents"), BOOSTS, k)
 
 
 LEVELS = {"title": {"title": 4.0}, "paper": {"body": 2.0, "title": 1.0}, "sentence": {"body": 1.0}}
@@ -73,20 +107,13 @@ LEVELS = {"title": {"title": 4.0}, "paper": {"body": 2.0, "title": 1.0}, "senten
 
 @query("ret03_level_search", " UNION ALL ".join(f"SELECT * FROM (WITH {bm25_sql(DOCS, FIELDS, b, 3)} SELECT '{level}' AS level, ranked.* FROM ranked)" for level, b in LEVELS.items()))
 def ret03(spark, d):
-    docs, index = doc_index(spark, d)
     out = None
     for level, boosts in LEVELS.items():
-        hits = X.bm25(asked(spark, d), docs, index, boosts, 3).select(F.lit(level).alias("level"), "query_id", "rank", "doc", "score")
+        hits = N.bm25(asked(spark, d), stored(spark, d, "documents"), boosts, 3).select(F.lit(level).alias("level"), "query_id", "rank", "doc", "score")
         out = hits if out is None else out.unionByName(hits)
     return out
 
 
-@query("ret04_fuzzy_terms", f"WITH a AS (SELECT DISTINCT item_id AS query_id, unnest({D.terms('text')}) AS term FROM benchmark), v AS (SELECT DISTINCT unnest({D.terms('text')}) AS match FROM conversations), w AS (SELECT DISTINCT term, CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS most FROM a), n AS (SELECT term, match, levenshtein(term, match) AS distance FROM w JOIN v ON substr(term, 1, 1) = substr(match, 1, 1) AND abs(length(term) - length(match)) <= most WHERE levenshtein(term, match) <= most) SELECT query_id, term, match, distance FROM a JOIN n USING (term)")
-def ret04(spark, d):
-    index = X.postings(V.table(spark, d, "conversations"), "conv_id", {"body": F.col("text")})
-    return X.expanded_terms(index, asked(spark, d))
-
-
 def scored_triples(spark, d):
     c = F.col
     t = V.triples(spark, d).withColumns({"confidence": conf(), "signature": R.signature(c("subject"), c("relation"), c("object")), "subject_ok": R.informative(c("subject")), "object_ok": R.informative(c("object"))})
@@ -97,6 +124,39 @@ SCORED = f"""{D.TRIPLES}, scored AS (SELECT *, {D.CONFIDENCE} AS confidence, {D.
  round((s_ebio + o_ebio) / 2 * 0.3::DOUBLE + {D.CONFIDENCE} * 0.3::DOUBLE + least((pos % 30) / 20.0::DOUBLE, 1.0::DOUBLE) * 0.4::DOUBLE, 6) AS quality FROM triples)"""
 
 
+def edits_sql(asked: str, words: str) -> str:
+    """CTEs a (query_id, term), v (match) and n (term, match, distance)."""
+    return f"a AS ({asked}), v AS ({words}), w AS (SELECT DISTINCT term, CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS most FROM a), n AS (SELECT term, match, levenshtein(term, match) AS distance FROM w JOIN v ON abs(length(term) - length(match)) <= most WHERE levenshtein(term, match) <= most)"
+
+
+ASKED = f"SELECT DISTINCT item_id AS query_id, unnest({D.terms('text')}) AS term FROM benchmark"
+WORDS = f"SELECT DISTINCT unnest({D.terms('text')}) AS match FROM conversations"
+
+
+@query("ret04_fuzzy_terms", f"WITH {edits_sql(ASKED, WORDS)} SELECT query_id, term, match, distance FROM a JOIN n USING (term)")
+def ret04(spark, d):
+    words = V.table(spark, d, "conversations").select(F.explode(T.terms(F.col("text"))).alias("match"))
+    return X.expanded_terms(words, asked(spark, d))
+
+
+def fuzzy_sql(k):
+    """Triples of articles named PMC.. stand in for the papers that a user picks."""
+    fields = {c: c for c in X.TRIPLE_BOOSTS}
+    found = bm25_sql("SELECT triple_id AS doc, subject, object, relation, sentence_text FROM triples", fields, X.TRIPLE_BOOSTS, 0, asked="SELECT DISTINCT query_id, match AS term FROM a JOIN n USING (term)")
+    words = "SELECT DISTINCT unnest(t) AS match FROM (" + " UNION ALL ".join(f"SELECT {D.terms(c)} AS t FROM triples" for c in fields) + ")"
+    return f"""WITH {SCORED}, {edits_sql(ASKED, words)}, {found},
+ ad AS (SELECT query_id, doc, round(best.score + CASE WHEN s_ebio >= 0.3 THEN 2 ELSE 0 END::DOUBLE + CASE WHEN o_ebio >= 0.3 THEN 2 ELSE 0 END::DOUBLE, 6) AS score FROM best JOIN triples ON triple_id = doc WHERE article_id LIKE 'PMC%'),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS r FROM ad),
+ kp AS (SELECT query_id, r, triple_id, signature, quality, score, row_number() OVER (PARTITION BY query_id, signature ORDER BY r) AS f FROM rk JOIN scored ON triple_id = doc WHERE r <= {3 * k} AND subject_ok AND object_ok AND confidence >= 0.5 AND (s_ebio >= 0.3 OR o_ebio >= 0.3))
+ SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY quality DESC, score DESC, triple_id) AS rank, triple_id, signature, quality, score FROM kp WHERE f = 1) WHERE rank <= {k}"""
+
+
+@query("ret04_fuzzy_search", fuzzy_sql(10))
+def ret04s(spark, d):
+    papers = V.triples(spark, d).filter("article_id LIKE 'PMC%'").select("article_id")
+    return X.fuzzy_search(asked(spark, d), stored(spark, d, "triple_fields"), scored_triples(spark, d), papers, k=10)
+
+
 @query("ret05_quality_filter", f"WITH {SCORED} SELECT signature, triple_id, quality FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY triple_id) AS r FROM scored WHERE subject_ok AND object_ok AND confidence >= 0.5 AND (s_ebio >= 0.3 OR o_ebio >= 0.3)) WHERE r = 1 ORDER BY quality DESC, triple_id LIMIT 50")
 def ret05(spark, d):
     return X.filtered_triples(scored_triples(spark, d), 0.5, 0.3, 50)
@@ -107,8 +167,7 @@ TRIPLE_DOCS = "SELECT triple_id AS doc, subject || ' ' || relation || ' ' || obj
 
 @query("ret06_triple_search", f"WITH {SCORED}, {bm25_sql(TRIPLE_DOCS, {'spo': 'spo'}, {'spo': 1.0}, 10)} SELECT * FROM ranked")
 def ret06(spark, d):
-    t = scored_triples(spark, d).filter("confidence >= 0.6 AND s_ebio >= 0.5").select("triple_id", F.concat_ws(" ", "subject", "relation", "object").alias("spo"))
-    return X.bm25(asked(spark, d), t, X.postings(t, "triple_id", {"spo": F.col("spo")}), {"spo": 1.0}, 10)
+    return N.bm25(asked(spark, d), stored(spark, d, "triples"), {"spo": 1.0}, 10)
 
 
 LINES = "SELECT doc_id || ':' || pos AS doc, sentence FROM sentences"
@@ -116,8 +175,7 @@ LINES = "SELECT doc_id || ':' || pos AS doc, sentence FROM sentences"
 
 @query("ret07_keyword_sentences", f"WITH {D.SENTENCES}, {bm25_sql(LINES, {'body': 'sentence'}, {'body': 1.0}, 5)} SELECT * FROM ranked")
 def ret07(spark, d):
-    s = V.sentences(spark, d).select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("doc"), "sentence")
-    return X.bm25(asked(spark, d), s, X.postings(s, "doc", {"body": F.col("sentence")}), {"body": 1.0}, 5)
+    return N.bm25(asked(spark, d), stored(spark, d, "sentences"), {"body": 1.0}, 5)
 
 
 COS = "list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / greatest(sqrt(list_sum(list_transform(q.embedding, lambda v: v::DOUBLE * v::DOUBLE))) * sqrt(list_sum(list_transform(e.embedding, lambda v: v::DOUBLE * v::DOUBLE))), 1e-12)"
@@ -138,8 +196,15 @@ TEXT_HITS = bm25_sql(DOCS, {"title": "title"}, {"title": 1.0}, 4, "SELECT item_i
 
 
 def text_hits(spark, d, k=4):
-    docs, index = doc_index(spark, d)
-    return X.bm25(asked(spark, d), docs, index, {"title": 1.0}, k)
+    return N.bm25(asked(spark, d), stored(spark, d, "documents"), {"title": 1.0}, k)
+
+
+@query("ret08_approximate_neighbours")
+def ret08a(spark, d, k=10):
+    """No SQL: which lists a query looks through depends on fitted centroids. tests/test_retrieval.py holds its recall against ret08."""
+    e = V.table(spark, d, "embeddings")
+    lists = NB.write_lists(e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector")))
+    return NB.approximate(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), lists, k, 1200)
 
 
 @query("ret09_vector_fallback", f"WITH {TEXT_HITS}, {NEAR}, w AS (SELECT q.query_id, coalesce(n, 0) AS n FROM qq q LEFT JOIN (SELECT query_id, count(*) AS n, max(score) AS best FROM ranked GROUP BY query_id) USING (query_id) WHERE coalesce(n, 0) < 3 OR best < 12), m AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) + n AS rank, doc, score, 'vector' AS mode FROM near JOIN w USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM ranked r WHERE r.query_id = near.query_id AND r.doc = near.doc)) SELECT query_id, rank, doc, score, 'text' AS mode FROM ranked UNION ALL SELECT * FROM m WHERE rank <= 8")
@@ -165,10 +230,7 @@ KEPT = f"SELECT session_id || ':' || turn_index AS doc, text FROM (WITH {STATES}
 
 @query("ret12_memory_search", f"WITH {bm25_sql(KEPT, {'text': 'text'}, {'text': 2.0}, 5)} SELECT * FROM ranked")
 def ret12(spark, d):
-    """Memory rows that aren't evicted."""
-    rows = W.with_states(V.memory_docs(spark, d), 3).filter("memory_state <> 'evicted'")
-    m = rows.select(F.concat_ws(":", F.col("session_id").cast("string"), F.col("turn_index").cast("string")).alias("doc"), "text")
-    return X.bm25(asked(spark, d), m, X.postings(m, "doc", {"text": F.col("text")}), {"text": 2.0}, 5)
+    return N.bm25(asked(spark, d), stored(spark, d, "memory"), {"text": 2.0}, 5)
 
 
 def variant_sql(n):
@@ -192,9 +254,18 @@ def anchors(spark, d):
     return asked(spark, d).select("query_id", F.explode(T.important_terms(F.col("query"), 4)).alias("anchor"))
 
 
-@query("ret16_anchor_coverage", f"WITH {bm25_sql(DOCS, FIELDS, BOOSTS, 5)}, an AS (SELECT item_id AS query_id, unnest({D.important('text', 4)}) AS anchor FROM benchmark) SELECT query_id, doc, count(*) AS n_anchors, count(*) FILTER (contains(lower(text), anchor)) AS n_matched, count(*) FILTER (contains(lower(text), anchor)) >= greatest(1, count(*) - 1) AS passes FROM ranked JOIN an USING (query_id) JOIN documents ON doc_id = doc GROUP BY query_id, doc")
+#: Pairs of common words stand in for a domain's aliases.
+ANCHOR_ALIASES = [("the", "of a"), ("and", "und"), ("thon", "the t")]
+COVERED = f"""{bm25_sql(DOCS, FIELDS, BOOSTS, 5)}, an AS (SELECT item_id AS query_id, unnest({D.important('text', 4)}) AS anchor FROM benchmark),
+al AS (SELECT anchor, anchor AS alias FROM an UNION SELECT * FROM (VALUES {', '.join(str(x) for x in ANCHOR_ALIASES)}) v(anchor, alias)),
+hm AS (SELECT query_id, doc, anchor, bool_or(regexp_matches(lower(text), '(^|[^a-z0-9])' || replace(regexp_replace(alias, '([^a-z0-9 ])', '\\\\\\1', 'g'), ' ', '[-\\s]+') || '($|[^a-z0-9])')) AS ok FROM ranked JOIN an USING (query_id) JOIN al USING (anchor) JOIN documents ON doc_id = doc GROUP BY ALL),
+cv AS (SELECT query_id, doc, count(*) AS n_anchors, count(*) FILTER (ok) AS n_matched, coalesce(string_agg(anchor, ',' ORDER BY anchor) FILTER (NOT ok), '') AS missing, count(*) FILTER (ok) >= greatest(1, count(*) - 1) AS passes FROM hm GROUP BY query_id, doc)"""
+
+
+@query("ret16_anchor_coverage", f"WITH {COVERED} SELECT * FROM cv")
 def ret16(spark, d):
-    return X.anchor_coverage(hit_texts(spark, d), anchors(spark, d))
+    aliases = spark.createDataFrame(ANCHOR_ALIASES, "anchor string, alias string")
+    return X.anchor_coverage(hit_texts(spark, d), anchors(spark, d), aliases).withColumn("missing", F.array_join("missing", ","))
 
 
 def hit_texts(spark, d):
@@ -209,7 +280,7 @@ def ret18(spark, d):
 HITS = f"{bm25_sql(DOCS, FIELDS, BOOSTS, 5)}, ht AS (SELECT ranked.*, text FROM ranked JOIN documents ON doc_id = doc)"
 
 
-@query("ret20_feedback_terms", f"WITH {HITS}, ft2 AS (SELECT DISTINCT query_id, doc, unnest({D.important('text', 200)}) AS term FROM ht), c AS (SELECT query_id, term, count(DISTINCT doc) AS support FROM ft2 GROUP BY query_id, term HAVING count(DISTINCT doc) >= 2) SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY support DESC, term) AS rank, term, support FROM c WHERE NOT EXISTS (SELECT 1 FROM aq WHERE aq.query_id = c.query_id AND aq.term = c.term)) WHERE rank <= 8")
+@query("ret20_feedback_terms", f"WITH {HITS}, ft2 AS (SELECT DISTINCT query_id, doc, unnest({D.important('text', 1000000)}) AS term FROM ht), c AS (SELECT query_id, term, count(DISTINCT doc) AS support FROM ft2 GROUP BY query_id, term HAVING count(DISTINCT doc) >= 2) SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY support DESC, term) AS rank, term, support FROM c WHERE NOT EXISTS (SELECT 1 FROM aq WHERE aq.query_id = c.query_id AND aq.term = c.term)) WHERE rank <= 8")
 def ret20(spark, d):
     return X.feedback_terms(hit_texts(spark, d), asked(spark, d), 8)
 
@@ -264,7 +335,7 @@ def ret22(spark, d):
     return X.by_utility(hits.drop("rank"), anchors(spark, d), gap, 3).select("query_id", "rank", "doc", "utility")
 
 
-@query("ret26_attempt_quality", f"WITH {HITS}, an AS (SELECT item_id AS query_id, unnest({D.important('text', 4)}) AS anchor FROM benchmark), a AS (SELECT query_id, doc, any_value(source) AS source, count(*) FILTER (contains(lower(ht.text), anchor)) AS matched, count(*) AS anchors FROM ht JOIN an USING (query_id) JOIN documents ON doc_id = doc GROUP BY query_id, doc), c AS (SELECT query_id, count(*) AS n, count(*) FILTER (matched >= anchors) AS f, count(*) FILTER (matched > 0 AND matched < anchors) AS p, count(DISTINCT source) AS s FROM a GROUP BY query_id) SELECT item_id AS query_id, coalesce(n, 0) AS n, coalesce(f, 0) AS full, coalesce(p, 0) AS partial, coalesce(s, 0) AS sources, round(least(1.0::DOUBLE, 0.25::DOUBLE * coalesce(f, 0) + 0.1::DOUBLE * coalesce(p, 0) + 0.05::DOUBLE * coalesce(s, 0)), 4) AS score FROM benchmark LEFT JOIN c ON query_id = item_id".replace("AS full,", 'AS "full",'))
+@query("ret26_attempt_quality", f"WITH {COVERED}, c AS (SELECT query_id, count(*) AS n, count(*) FILTER (n_matched >= n_anchors) AS f, count(*) FILTER (n_matched > 0 AND n_matched < n_anchors) AS p, count(DISTINCT source) AS s FROM cv JOIN documents ON doc_id = doc GROUP BY query_id) SELECT item_id AS query_id, coalesce(n, 0) AS n, coalesce(f, 0) AS full, coalesce(p, 0) AS partial, coalesce(s, 0) AS sources, round(least(1.0::DOUBLE, 0.25::DOUBLE * coalesce(f, 0) + 0.1::DOUBLE * coalesce(p, 0) + 0.05::DOUBLE * coalesce(s, 0)), 4) AS score FROM benchmark LEFT JOIN c ON query_id = item_id".replace("AS full,", 'AS "full",'))
 def ret26(spark, d):
     hits = ret16(spark, d).join(V.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source"), "doc")
     return X.attempt_quality(hits.select("query_id", "source", F.col("n_matched").alias("matched"), F.col("n_anchors").alias("anchors")), asked(spark, d))
@@ -275,8 +346,7 @@ ANSWERS = "SELECT conv_id || ':' || turn AS doc, text FROM conversations WHERE r
 
 @query("ret28_history_search", f"WITH {bm25_sql(ANSWERS, {'text': 'text'}, {'text': 1.0}, 3)} SELECT * FROM ranked")
 def ret28(spark, d):
-    m = V.table(spark, d, "conversations").filter("role = 'assistant'").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc"), "text")
-    return X.bm25(asked(spark, d), m, X.postings(m, "doc", {"text": F.col("text")}), {"text": 1.0}, 3)
+    return N.bm25(asked(spark, d), stored(spark, d, "answers"), {"text": 1.0}, 3)
 
 
 @query("ret29_selection_terms", f"WITH {D.SENTENCES} SELECT doc_id, array_to_string(list_slice({D.first_seen('flatten(l)')}, 1, 20), ' ') AS query FROM (SELECT doc_id, list({D.important('sentence', 20)} ORDER BY pos) AS l FROM sentences GROUP BY doc_id)")

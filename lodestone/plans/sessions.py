@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import stored as S_
 from lodestone.operators import windows as W
 from lodestone.plans import duck as D
 from lodestone.sources import views as V
+from lodestone.sources.store import shared
 
 Q, S = {}, {}
 
@@ -150,6 +152,15 @@ def ups03(spark, d):
     return W.with_states(V.memory_docs(spark, d), 3).groupBy("session_id", "memory_state").agg(F.count("*").alias("n"))
 
 
+@query("ups03_updated_states", f"WITH {STATES} SELECT session_id, turn_index, role, memory_state FROM ms")
+def ups03u(spark, d):
+    """Early turns first, then the others: the second write touches only the sessions that have any."""
+    rows, path = V.memory_docs(spark, d).select("doc_type", "session_id", "turn_index", "role", "importance"), shared(spark)
+    for part in (rows.filter("turn_index < 3"), rows.filter("turn_index >= 3")):
+        S_.update_states(spark, path, part, 3)
+    return spark.read.parquet(path).select("session_id", "turn_index", "role", "memory_state")
+
+
 @query("ups04_message_ids", f"WITH {D.MEMORY} SELECT 'mem_' || substr(sha256(session_id || chr(10) || turn_index || chr(10) || role), 1, 24) AS mem_id, max(turn_index) AS turn_index FROM memory_docs GROUP BY 1")
 def ups04(spark, d):
     m = V.memory_docs(spark, d)

@@ -14,15 +14,6 @@ def test_nearest_goes_on_in_blocks(spark):
     assert len(rows(10_000)) == 120 and rows(15) == rows(10_000)
 
 
-def test_best_gold_takes_a_large_table(spark, monkeypatch):
-    claims = spark.createDataFrame([(1, "red blue green"), (2, "blue yellow"), (3, "none")], "id long, claim string")
-    gold = spark.createDataFrame([(1, "red blue"), (2, "yellow"), (3, "green red blue")], "gold_id long, claim string")
-    rows = lambda: sorted(map(tuple, evaluation.best_gold(claims, ["id"], "claim", gold).collect()))
-    small = rows()
-    monkeypatch.setattr(evaluation, "MOST_CONFIG_ROWS", 2)
-    assert rows() == small and [r[:2] for r in small] == [(1, 1), (2, 2)]
-
-
 # --- replay of context policies, against a plain walk through each session
 
 STOP = set(T.STOP)

@@ -31,8 +31,9 @@ TASK_SHARDS, BATCH_BYTES = 4, 16 << 20
 BLOCK_DOCS, SPAN_BLOCKS, GROUP_QUERIES = 16, 32, 128
 #: Terms in one of DENSE documents, for bounds in one of WIDE blocks, of a shard and more are laid out as matrix rows.
 DENSE, WIDE = 16, 4
-#: Sums of float32 decide what is looked at; with this factor they are upper bounds. What is looked at is added up in float64.
-ROUNDING = np.float32(1.001)
+#: Sums of float32 decide what is looked at; with a factor they are upper bounds: this one, or more for queries whose terms are so many that the
+#: rounding of their sum (at most EACH for a term) can exceed it. What is looked at is added up in float64.
+ROUNDING, EACH = 1.001, 1.2e-7
 DIGITS = 6
 QUERY_STEP = 50
 
@@ -119,6 +120,7 @@ class Shard:
         self.dense, self.values = self.matrix((np.diff(self.starts) * DENSE >= self.n) & (idf > 0), self.starts, self.docs, self.value, self.n)
         self.wide, maxima = self.matrix((np.diff(self.entries) * WIDE >= self.n_blocks) & (idf > 0), self.entries, self.block, self.most, self.n_blocks)
         self.near, self.maxima = self.values.astype(np.float32), maxima.astype(np.float32)
+        self.rounding = np.float32(max(ROUNDING, 1 + EACH * np.diff(queries.starts).max(initial=0)))
 
     @staticmethod
     def matrix(often: np.ndarray, starts: np.ndarray, column: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,19 +151,19 @@ class Shard:
         """
         margin = 10.0**-DIGITS  # ranks go by rounded scores
         holds, rest = self.sums(lo, hi, self.wide, self.entries, self.block, self.most, len(self.maxima), self.n_blocks)
-        bound = (holds @ self.maxima + rest) * ROUNDING
+        bound = (holds @ self.maxima + rest) * self.rounding
         holds, rest = self.sums(lo, hi, self.dense, self.starts, self.docs, self.value, len(self.values), self.n)
         least = np.array([x[0][-1] if len(x[0]) == k else 0.0 for x in best[lo:hi]])
         for a in range(0, self.n_blocks, SPAN_BLOCKS):
-            open_ = (bound[:, a : a + SPAN_BLOCKS] >= least[:, None] - margin) & (bound[:, a : a + SPAN_BLOCKS] > margin)
+            open_ = (bound[:, a : a + SPAN_BLOCKS] >= least[:, None] - margin) & (bound[:, a : a + SPAN_BLOCKS] > 0)
             own = np.flatnonzero(open_.any(axis=1))
             if not len(own):
                 continue
             docs = slice(a * BLOCK_DOCS, min(self.n, (a + SPAN_BLOCKS) * BLOCK_DOCS))
-            near = (rest[own, docs] + holds[own] @ self.near[:, docs]) * ROUNDING
+            near = (rest[own, docs] + holds[own] @ self.near[:, docs]) * self.rounding
             found = np.repeat(open_[own], BLOCK_DOCS, axis=1)[:, : near.shape[1]] & (near >= least[own, None] - margin) & (near > 0)
             if near.shape[1] > k:
-                found &= near * ROUNDING >= np.partition(near, -k, axis=1)[:, -k, None]
+                found &= np.maximum(near * self.rounding, near + margin) >= np.partition(near, -k, axis=1)[:, -k, None]
             q, d = np.nonzero(found)
             score = rest[own[q], docs.start + d] + np.einsum("ij,ji->i", holds[own[q]], self.values[:, docs.start + d])
             d, q, score = (x[score >= least[own[q]] - margin] for x in (d, q, score))

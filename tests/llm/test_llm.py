@@ -292,6 +292,19 @@ def test_search_long_text(spark):
     assert got == {q: [i for i, _ in v] for q, v in brute_search(rows, qs, 10).items()}
 
 
+@pytest.mark.parametrize("n_docs", [50, 10**6, 5 * 10**6])
+def test_search_returns_hits_of_widespread_terms(spark, n_docs):
+    """A term in all of many documents scores below the rounding, and its documents are hits all the same; ties go to the smaller id."""
+    index = spark.createDataFrame([(i, "the " * (i % 3 + 1)) for i in range(50)], "_id long, text string").coalesce(1).mapInArrow(search.index_shards("_id", 1 << 20), search.INDEX).first()
+    term = np.frombuffer(index["terms"], np.uint64)
+    batch = search.Queries([{"query_id": 1, "terms": term.tobytes(), "dfs": np.array([n_docs]).tobytes()}], n_docs)
+    best = [(np.empty(0), np.empty(0, bool), np.empty(0, np.int64))]
+    search.Shard(index.asDict(), batch, 2.0).search(0, 1, best, 10)
+    idf = np.log(1 + 0.5 / (n_docs + 0.5))
+    want = sorted((-round(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * tf / 2)), 6), i) for i, tf in ((i, i % 3 + 1) for i in range(50)))[:10]
+    assert best[0][2].tolist() == [i for _, i in want]
+
+
 # --- 4 suffix dedup
 
 def brute_dedup(rows, length=100):

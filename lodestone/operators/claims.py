@@ -129,6 +129,24 @@ def support(scored: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, F.when(F.col("nc") > 0, "contradicted").when(F.col("ne") > 0, "entailed").otherwise("unsupported").alias("status"), "n_checked", F.when(F.col("nc") > 0, -F.col("xc.i")).when(F.col("ne") > 0, -F.col("xe.i")).alias("best_evidence"))
 
 
+def claim_support(pairs: DataFrame, keys: list[str], comparable: Column, most: int = 8) -> DataFrame:
+    """Keys with status, n_candidates, n_incomparable, n_checked, best_entailment, max_contradiction, best_evidence, prompt_supported, needs_confirmation.
+
+    pairs: keys, evidence_id, premise, hypothesis, requires_citation, in_prompt. Evidence that can't be compared with the claim is counted and not
+    scored; of the rest the first `most` by evidence_id are. Contradicted wins over entailed; ties go to the smaller evidence_id. A claim that needs
+    no citation is not_checked.
+    """
+    rows = pairs.withColumn("_ok", F.coalesce(comparable, F.lit(False)))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n_candidates"), F.count_if(~F.col("_ok")).alias("n_incomparable"), F.max("requires_citation").alias("_cited"))
+    few = rows.filter("_ok AND requires_citation").withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("evidence_id"))).filter(F.col("_r") <= most)
+    scored = scored_pairs(few, "premise", "hypothesis")
+    best = scored.groupBy(*keys).agg(F.max("entailment").alias("best_entailment"), F.max("contradiction").alias("max_contradiction"), F.max((status(F.col("entailment"), F.col("contradiction"), F.col("neutral")) == "entailed") & F.coalesce("in_prompt", F.lit(False))).alias("prompt_supported"))
+    out = counts.join(support(scored, keys), keys, "left").join(best, keys, "left")
+    state = F.when(~F.col("_cited"), "not_checked").otherwise(F.coalesce("status", F.lit("unsupported")))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return out.select(*keys, state.alias("status"), "n_candidates", "n_incomparable", F.coalesce("n_checked", F.lit(0)).alias("n_checked"), zero("best_entailment"), zero("max_contradiction"), "best_evidence", F.coalesce("prompt_supported", F.lit(False)).alias("prompt_supported"), (state == "contradicted").alias("needs_confirmation"))
+
+
 def claim_conflicts(claims: DataFrame, session: str, negators: list[str] = CLAIM_NEGATORS) -> DataFrame:
     """(session, claim_id, prior_id): the first earlier claim of the session with an overlap of 0.45 and opposite negation.
 

@@ -87,6 +87,35 @@ def merged_sources(lists: list[tuple[str, float, DataFrame]], k: int) -> DataFra
     return X.top(first, "query_id", [F.desc("score"), "doc"], k).select("query_id", "rank", "doc", "source", "score")
 
 
+# What a source adds to a result's rank, an id, no shared term; the weight of the title and the most terms that it is measured against.
+PRIORS = {"litsense2": 0.16, "pubtator3": 0.12, "pmc_fulltext_sentence": 0.14, "pubmed": 0.04, "pmc": 0.04}
+WITH_ID, NOTHING_SHARED, TITLE_WEIGHT, TITLE_TERMS = 0.04, -0.20, 0.45, 12
+
+
+def external_results(queries: DataFrame, results: DataFrame, k: int, priors: dict[str, float] | None = None) -> DataFrame:
+    """(query_id, rank, key, source, score, tier, missing): results of several sources, ranked and merged; the first of each key stays.
+
+    queries: (query_id, query, anchors: array of required anchors, perhaps empty). results: (query_id, source, key, title, snippet, provider_score, has_id).
+    The score is the share of the query's terms in title and snippet, 0.45 times their share in the title, the source's prior (a source named
+    a or a:b has that of a), and what an id adds. Results with all anchors (tier 2) go first, then those with some (1); then by score,
+    provider_score and key.
+    """
+    prior = F.lit(0.0)
+    for name, p in (priors or PRIORS).items():
+        prior = F.when(F.substring_index("source", ":", 1) == name, p).otherwise(prior)
+    q = queries.select("query_id", T.important_terms(F.col("query"), 64).alias("_q"), F.coalesce("anchors", F.array().cast("array<string>")).alias("_a"))
+    text = F.lower(F.concat_ws(" ", "title", "snippet"))
+    rows = results.join(q, "query_id").withColumns({"_t": T.important_terms(F.col("title"), 80), "_s": T.important_terms(F.col("snippet"), 160)})
+    n = F.size("_q")
+    both, named = F.size(F.array_intersect("_q", F.array_union("_t", "_s"))), F.size(F.array_intersect("_q", "_t"))
+    add = prior + F.when(F.col("has_id"), WITH_ID).otherwise(0.0) + F.when(both == 0, NOTHING_SHARED).otherwise(0.0)
+    score = both / F.greatest(F.lit(1), n) + TITLE_WEIGHT * named / F.greatest(F.lit(1), F.least(n, F.lit(TITLE_TERMS))) + add
+    missing = F.filter("_a", lambda a: ~F.regexp_like(text, X.alias_pattern(a)))
+    rows = rows.select("query_id", "key", "source", "provider_score", F.round(score, 4).alias("score"), missing.alias("missing"), F.when(F.size(missing) == 0, 2).when(F.size(missing) < F.size("_a"), 1).otherwise(0).alias("tier"))
+    order = [F.desc("tier"), F.desc("score"), F.desc("provider_score"), "key", "source"]
+    return X.top(X.top(rows, ["query_id", "key"], order, 1, "_first").drop("_first"), "query_id", order, k).select("query_id", "rank", "key", "source", "score", "tier", "missing")
+
+
 def open_nodes_covered(missing: DataFrame, results: DataFrame) -> DataFrame:
     """(query_id, covered): whether the results name all of a query's open nodes; missing: (query_id, node), results: (query_id, text)."""
     hit = missing.join(results, "query_id", "left").groupBy("query_id", "node").agg(F.max(F.coalesce(F.contains(F.lower("text"), F.col("node")), F.lit(False))).alias("ok"))

@@ -42,6 +42,15 @@ STEP_GAP, STEP_DISTRACTORS = 0.04, -0.04
 FEATURES = ["entailment_avg", "contradiction_avg", "n_claims", "n_entailed", "n_contradicted", "n_unsupported", "n_conflicts", "frame_alignment", "frame_drift", "n_prior_conflicts", "longitudinal", "assembly_quality", "n_feedback_accepted", "n_ungrounded", "edge_support", "elapsed_sec", "gap_closure", "distractor_ratio"]
 
 
+def gap_closure(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(query_id, gap_closure): the share of what was missing before a retrieval step that is confirmed after it (4 places); 0 if nothing was.
+
+    before, after: (query_id, confirmed, missing), as retrieval.gap_record gives them."""
+    rows = before.select("query_id", "missing").join(after.select("query_id", "confirmed"), "query_id", "left")
+    closed = F.size(F.array_intersect("missing", F.coalesce("confirmed", F.array().cast("array<string>"))))
+    return rows.select("query_id", F.when(F.size("missing") > 0, F.round(closed / F.size("missing"), 4)).otherwise(0.0).alias("gap_closure"))
+
+
 def support_of(answer: Column, context: Column, messages: Column) -> Column:
     """The best overlap of the answer with all context texts, with the messages among them, or with one text."""
     one = F.array_max(F.transform(context, lambda x: T.lexical_overlap(answer, x)))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
+from lodestone.operators.folds import fold
 
 PRESERVED, LOW_VALUE = ["landmark", "user_correction", "evidence_table", "conversation_frame"], ["system", "tool"]
 ALPHA = 0.25
@@ -126,14 +127,45 @@ def supported_claims(claims: DataFrame, session: str, n: int) -> DataFrame:
     return rows.select(session, "rank", (-F.col("x.t")).alias("turn_index"), "claim", "evidence_id", F.col("x.score").alias("score"))
 
 
+#: Rows of a key that are folded as one array; longer keys are streamed (operators.folds).
+ARRAY_ROWS = 50_000
+
+
 def action_values(events: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """(scope, state_key, action, visits, q_value, reward_sum, reward_avg): an ordered fold, rounded to 6 places at each step."""
-    ordered = events.filter("reward IS NOT NULL").groupBy("scope", "state_key", "action").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "reward"))).alias("xs"))
+    """(scope, state_key, action, visits, q_value, reward_sum, reward_avg): an ordered fold, rounded to 6 places at each step.
+
+    Keys of up to ARRAY_ROWS rows are folded as arrays, longer ones row by row with a state that is handed from partition to partition."""
+    keys = ["scope", "state_key", "action"]
+    rows = events.filter("reward IS NOT NULL").select(*keys, "ts", "event_id", "reward")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    long_ = sizes.filter(F.col("_n") > ARRAY_ROWS).select(*keys, F.lit(True).alias("_long"))
+    six = lambda x: F.floor(x * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+    out = folded_arrays(rows, keys, alpha)
+    if not long_.isEmpty():
+        same = F.lit(True)
+        for k in keys:
+            same = same & rows[k].eqNullSafe(long_[k])
+        out = folded_arrays(rows.join(long_, same, "left_anti"), keys, alpha).unionByName(streamed(rows.join(long_, same, "left_semi"), keys, alpha))
+    return out.withColumn("reward_avg", six(F.col("reward_sum") / F.col("visits")))
+
+
+def folded_arrays(rows: DataFrame, keys: list[str], alpha: float) -> DataFrame:
+    ordered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "reward"))).alias("xs"))
     start = F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("s"))
     six = lambda x: F.floor(x * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
     step = lambda a, x: F.struct(six(a["q"] + F.lit(alpha) * (x["reward"] - a["q"])).alias("q"), six(a["s"] + x["reward"]).alias("s"))
     folded = ordered.withColumn("f", F.aggregate("xs", start, step))
-    return folded.select("scope", "state_key", "action", F.size("xs").cast("long").alias("visits"), F.col("f.q").alias("q_value"), F.col("f.s").alias("reward_sum"), six(F.col("f.s") / F.size("xs")).alias("reward_avg"))
+    return folded.select(*keys, F.size("xs").cast("long").alias("visits"), F.col("f.q").alias("q_value"), F.col("f.s").alias("reward_sum"))
+
+
+def streamed(rows: DataFrame, keys: list[str], alpha: float, partitions: int | None = None) -> DataFrame:
+    def step(state, row):
+        from math import floor
+
+        n, q, s = state
+        return (n + 1, floor((q + alpha * (row["reward"] - q)) * 1e6 + 0.5) / 1e6, floor((s + row["reward"]) * 1e6 + 0.5) / 1e6), ()
+
+    return fold(rows, keys, ["ts", "event_id"], lambda: (0, 0.0, 0.0), step, "visits long, q_value double, reward_sum double", partitions=partitions)
 
 
 def best_actions(values: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """All registered queries of the library's own operators."""
 
-from lodestone.plans import columns, edges, evals, extras, judged, ranked, roundtrips, sessions
+from lodestone.plans import columns, edges, evals, extras, judged, judges, ranked, roundtrips, sessions
 
-PARTS = [columns, ranked, sessions, judged, evals, edges, extras, roundtrips]
+PARTS = [columns, ranked, sessions, judged, evals, judges, edges, extras, roundtrips]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for part in PARTS:

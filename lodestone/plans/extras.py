@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import claims as C
 from lodestone.operators import expansion as E
 from lodestone.operators import graph as G
 from lodestone.operators import retrieval as X
 from lodestone.operators import rewards as Rw
 from lodestone.operators import stored as St
-from lodestone.operators import windows as W
 from lodestone.plans import duck as D
 from lodestone.plans import ranked as K
 from lodestone.plans.columns import redact_sql
@@ -188,6 +188,58 @@ def join07(spark, d):
     return docs.join(hits, "doc_id").join(b, "query_id").select("query_id", "doc_id", "p", "h").select("query_id", "doc_id", c["score"].alias("score"), c["comparable"].alias("comparable"), F.array_join(c["reasons"], ",").alias("reasons"), c["blocking"].alias("blocking"))
 
 
+#: Scores of the pairs that CMP compares, under names of their own.
+SCORES = "pr AS (" + PAIRS.split(", pr AS (", 1)[1].replace(", sc AS (", ", s2 AS (").replace("FROM sc)", "FROM s2)")
+
+
+@query("join06_comparable_support", f"WITH {CMP}, {SCORES}, al AS (SELECT sc.query_id, sc.doc_id AS evidence_id, score >= 0.35 AS ok, sc.query_id % 5 <> 0 AS cited, sc.doc_id % 2 = 0 AS prompt FROM sc), ct AS (SELECT query_id, count(*) AS n_candidates, count(*) FILTER (NOT ok) AS n_incomparable, bool_or(cited) AS cited FROM al GROUP BY query_id), fw AS (SELECT al.*, entailment, contradiction, CASE WHEN contradiction >= 0.5 THEN 'contradicted' WHEN entailment >= 0.5 AND entailment >= neutral THEN 'entailed' ELSE 'unsupported' END AS st, row_number() OVER (PARTITION BY al.query_id ORDER BY al.evidence_id) AS r FROM al JOIN nl USING (query_id, evidence_id) WHERE ok AND cited), ck AS (SELECT query_id, count(*) AS n, max(entailment) AS e, max(contradiction) AS c, bool_or(st = 'entailed' AND prompt) AS ps, first(evidence_id ORDER BY contradiction DESC, evidence_id) FILTER (st = 'contradicted') AS bc, first(evidence_id ORDER BY entailment DESC, evidence_id) FILTER (st = 'entailed') AS be FROM fw WHERE r <= 3 GROUP BY query_id), f AS (SELECT ct.query_id, CASE WHEN NOT cited THEN 'not_checked' WHEN bc IS NOT NULL THEN 'contradicted' WHEN be IS NOT NULL THEN 'entailed' ELSE 'unsupported' END AS status, n_candidates, n_incomparable, coalesce(n, 0) AS n_checked, coalesce(e, 0.0)::DOUBLE AS best_entailment, coalesce(c, 0.0)::DOUBLE AS max_contradiction, coalesce(bc, be) AS best_evidence, coalesce(ps, false) AS prompt_supported FROM ct LEFT JOIN ck USING (query_id)) SELECT *, status = 'contradicted' AS needs_confirmation FROM f")
+def join06c(spark, d):
+    """Claims behind the comparability gate: at most three scored pairs each. Every fifth claim needs no citation; even documents were in the prompt."""
+    b = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("hypothesis"), (F.col("item_id") % 5 != 0).alias("requires_citation"))
+    docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("evidence_id"), F.col("text").alias("premise"), (F.col("doc_id") % 2 == 0).alias("in_prompt"))
+    hits = K.ret02(spark, d, MOST_EVIDENCE).select("query_id", F.col("doc").alias("evidence_id"))
+    return C.claim_support(docs.join(hits, "evidence_id").join(b, "query_id"), ["query_id"], E.comparability(F.col("premise"), F.col("hypothesis"), REL, COND, NEGS)["comparable"], 3)
+
+
+@query("agg06_gap_closure", f"WITH {K.HITS}, {K.OPEN}, sn AS (SELECT query_id, list_distinct(flatten(list({D.terms('text')}))) AS seen FROM ht GROUP BY query_id) SELECT query_id, (CASE WHEN len(missing) = 0 THEN 0.0 ELSE round(len(list_filter(missing, lambda x: list_contains(coalesce(seen, []), x)))::DOUBLE / len(missing), 4) END)::DOUBLE AS gap_closure FROM (SELECT item_id AS query_id, coalesce(gp.missing, {D.important('text')}) AS missing FROM benchmark LEFT JOIN gp ON gp.query_id = item_id) LEFT JOIN sn USING (query_id)")
+def agg06g(spark, d):
+    """From the best hit to all hits."""
+    hits, q = K.hit_texts(spark, d), K.asked(spark, d)
+    return Rw.gap_closure(X.gap_record(q, hits.filter("rank = 1")), X.gap_record(q, hits))
+
+
+def external_sql(k):
+    """The three searches as CTEs of their own, then one table of results."""
+    one = lambda name, inner: f"{name} AS (SELECT * FROM ({inner}))"
+    docs = f"WITH {K.bm25_sql(K.DOCS, K.FIELDS, K.BOOSTS, 5)} SELECT query_id, doc, score FROM ranked"
+    lines = f"WITH {D.SENTENCES}, {K.bm25_sql(K.LINES, {'body': 'sentence'}, {'body': 1.0}, 5)} SELECT query_id, doc, score FROM ranked"
+    facts = f"WITH {K.SCORED}, {K.bm25_sql(K.TRIPLE_DOCS, {'spo': 'spo'}, {'spo': 1.0}, 10)} SELECT query_id, doc, score FROM ranked"
+    n = "greatest(1, len(q))"
+    return f"""WITH {one('r1', docs)}, {one('r2', lines)}, {one('r3', facts)}, {D.TRIPLES},
+rs AS (SELECT query_id, 'pubmed' AS source, CAST(r1.doc AS VARCHAR) AS key, string_split(text, chr(10))[1] AS title, text AS snippet, score AS ps, true AS has_id FROM r1 JOIN documents ON doc_id = r1.doc
+ UNION ALL SELECT query_id, 'litsense2:x', CAST(s.doc_id AS VARCHAR), '', sentence, score, s.doc_id % 2 = 0 FROM r2 JOIN sentences s ON s.doc_id || ':' || s.pos = r2.doc
+ UNION ALL SELECT query_id, 'pubtator3', triple_id, subject, object, score, false FROM r3 JOIN triples ON triple_id = r3.doc),
+q AS (SELECT item_id AS query_id, {D.important('text', 64)} AS q, {D.important('text', 2)} AS a FROM benchmark),
+z AS (SELECT rs.*, q, a, {D.important('title', 80)} AS t, {D.important('snippet', 160)} AS sn, list_filter(a, lambda x: NOT regexp_matches(lower(title || ' ' || snippet), '(^|[^a-z0-9])' || regexp_replace(x, '([^a-z0-9 ])', '\\\\\\1', 'g') || '($|[^a-z0-9])')) AS ms FROM rs JOIN q USING (query_id)),
+y AS (SELECT *, len(list_filter(q, lambda x: list_contains(t, x) OR list_contains(sn, x))) AS n_shared, len(list_filter(q, lambda x: list_contains(t, x))) AS named FROM z),
+sc AS (SELECT query_id, key, source, ps, round(n_shared::DOUBLE / {n} + 0.45::DOUBLE * named / least({n}, 12) + CASE split_part(source, ':', 1) WHEN 'litsense2' THEN 0.16 WHEN 'pubtator3' THEN 0.12 ELSE 0.04 END::DOUBLE + CASE WHEN has_id THEN 0.04 ELSE 0.0 END::DOUBLE + CASE WHEN n_shared = 0 THEN -0.20 ELSE 0.0 END::DOUBLE, 4) AS score, CASE WHEN len(ms) = 0 THEN 2 WHEN len(ms) < len(a) THEN 1 ELSE 0 END AS tier, array_to_string(ms, ',') AS missing FROM y),
+o1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY tier DESC, score DESC, ps DESC, key, source) AS f FROM sc)
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY tier DESC, score DESC, ps DESC, key, source) AS rank, key, source, score, tier, missing FROM o1 WHERE f = 1) WHERE rank <= {k}"""
+
+
+@query("ret25_external_results", external_sql(8))
+def ret25x(spark, d):
+    """Document, sentence and triple searches stand in for external sources; a query's first two terms are its required anchors."""
+    text = lambda c: F.col(c).cast("string")
+    docs = K.hit_texts(spark, d).select("query_id", F.lit("pubmed").alias("source"), text("doc").alias("key"), K.title().alias("title"), F.col("text").alias("snippet"), F.col("score").alias("provider_score"), F.lit(True).alias("has_id"))
+    s = V.sentences(spark, d).select(K.by_two("doc_id", "pos"), "doc_id", "sentence")
+    lines = K.ret07(spark, d).join(s, "doc").select("query_id", F.lit("litsense2:x").alias("source"), text("doc_id").alias("key"), F.lit("").alias("title"), F.col("sentence").alias("snippet"), F.col("score").alias("provider_score"), (F.col("doc_id") % 2 == 0).alias("has_id"))
+    t = V.triples(spark, d).select(F.col("triple_id").alias("doc"), "subject", "object")
+    facts = K.ret06(spark, d).join(t, "doc").select("query_id", F.lit("pubtator3").alias("source"), F.col("doc").alias("key"), F.col("subject").alias("title"), F.col("object").alias("snippet"), F.col("score").alias("provider_score"), F.lit(False).alias("has_id"))
+    q = K.asked(spark, d).withColumn("anchors", T.important_terms(F.col("query"), 2))
+    return E.external_results(q, docs.unionByName(lines).unionByName(facts), 8).withColumn("missing", F.array_join("missing", ","))
+
+
 @query("join14_filled_abstracts", "SELECT l.doc_id, coalesce(d.text, 'none') AS abstract FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id")
 def join14(spark, d):
     docs = V.table(spark, d, "documents").select("doc_id", F.col("text").alias("found"))

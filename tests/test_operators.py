@@ -4,7 +4,7 @@ import random
 import re
 
 from lodestone.functions import text as T
-from lodestone.operators import evaluation, replay, retrieval
+from lodestone.operators import replay, retrieval
 
 
 def test_nearest_goes_on_in_blocks(spark):

@@ -75,9 +75,9 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable, st
     longest = spans.agg(F.max(F.col("_last") - F.col("_first"))).first()[0] or 0
     kinds = dict(rows.dtypes)
     full = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), schema, "_state binary"])
-    empty = spark.createDataFrame([], full)
-    arrow = pa.schema([(f.name, to_arrow(f.dataType)) for f in empty.schema.fields])
-    run = scanned(keys, start, step, each, empty.columns, arrow)
+    fields = spark.createDataFrame([], full).schema.fields
+    names, arrow = [f.name for f in fields], pa.schema([(f.name, to_arrow(f.dataType)) for f in fields])
+    run = scanned(keys, start, step, each, names, arrow)
     passes = dealt.join(F.broadcast(spans), same, "left").withColumn("_pass", F.coalesce(F.col("_at") - F.col("_first"), F.lit(0))).select(*rows.columns, "_at", "_pass")  # no more rows than partitions
     state = None
     for n in range(longest + 1):
@@ -99,7 +99,7 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable, st
         for b in batches:
             states = [pickle.loads(x) for x in b.column("_state").to_pylist()]
             columns = list(zip(*states, strict=True)) if states else [[]] * len(width)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *(pa.array(list(c), arrow.field(len(keys) + i).type) for i, c in enumerate(columns))], names=empty.columns[:-1])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *(pa.array(list(c), arrow.field(len(keys) + i).type) for i, c in enumerate(columns))], names=names[:-1])
 
     return last.select(*keys, "_state").mapInArrow(opened, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), schema]))
 

@@ -16,9 +16,9 @@ from lodestone.streaming import jobs, observed
 def test_progress_late_rows_and_counts(spark, tmp_path):
     """Three files; the last has rows that the watermark has passed. The listener sees each batch and what state dropped."""
     day = 86_400
-    files = [[(1, 0), (2, 3600)], [(3, 5 * day), (4, 5 * day + 60)], [(5, 6 * day), (6, 1800), (7, 2 * day), (8, 6 * day + 1)]]
+    files = [[(1, 0), (2, 10_800)], [(3, 5 * day), (4, 5 * day + 60)], [(5, 6 * day), (6, 1800), (7, 2 * day), (8, 6 * day + 1)]]
     for rows in files:
-        spark.createDataFrame([(i, t, 1, "a", 0, 0.75) for i, t in rows], "event_id long, t long, scope long, state_key string, action int, reward double").withColumn("ts", F.timestamp_seconds("t")).drop("t").select("event_id", "ts", "scope", "state_key", "action", "reward").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        spark.createDataFrame([(i, t, 1, "a", 0, 0.75) for i, t in rows], "event_id long, t long, scope long, state_key string, action int, reward double").withColumn("ts", F.timestamp_seconds(F.col("t") + 1_700_000_000)).drop("t").select("event_id", "ts", "scope", "state_key", "action", "reward").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = lambda: jobs.read_events(spark, f"{tmp_path}/in")
     seen = observed.Progress()
     spark.streams.addListener(seen)
@@ -108,9 +108,9 @@ def test_backfill_scores_each_key_once(spark, tmp_path):
     stored.backfill_in_parts(rows, "key", ["p"], score, done, 4, 1)
     some = len(asked)
     out = stored.backfill_in_parts(rows, "key", ["p"], score, done, 4)
-    assert 0 < some < 9 and sorted(asked) == [f"k{i}" for i in range(9)]
+    assert 0 < some < 6 and sorted(asked) == [f"k{i}" for i in (1, 2, 4, 5, 7, 8)]
     more = stored.backfill_in_parts(rows.unionByName(spark.createDataFrame([(99, "new", None)], rows.schema)), "key", ["p"], score, done, 4)
-    assert asked[9:] == ["new"] and more.count() == 61
+    assert asked[6:] == ["new"] and more.count() == 61
     assert {(r["id"], r["p"]) for r in out.collect()} == {(i, 0.5 if i % 3 == 0 else 0.2 if i % 7 else None) for i in range(60)}
 
 
@@ -142,10 +142,10 @@ def test_judging_with_targets_traps_focus_and_tags(spark):
     said = judging.judge(claims, ["turn"], turns, gold, words)
     got = {(r["turn"], r["claim_id"]): (r["rule"], r["label"], r["trap_id"], r["gold_id"]) for r in said.collect()}
     assert got["a", 1] == ("matched", "supported", None, 1) and got["a", 2] == ("wrong_variant", "contradicted", "t1", 1) and got["a", 3][:2] == ("rejected_variant", "supported")
-    assert got["a", 4][0] == "none" and got["a", 5][0] == "off_focus" and got["a", 6][0] == "matched"
+    assert got["a", 4][0] == "none" and got["a", 5][0] == "off_focus" and got["a", 6][0] == "in_focus"
     assert got["b", 1][0] == "observing" and got["b", 2] == ("drift", "out_of_scope", "t3", None) and got["b", 3] == ("none", "unsupported", None, None) and got["b", 4][0] == "boundary"
     assert got["c", 1][:2] == ("overgeneral", "overgeneralized") and got["c", 1][3] == 1 and got["c", 2][0] == "vague"
-    graphs = spark.createDataFrame([(5, "alpha"), (5, "omega"), (6, "zeta"), (6, "eta"), (6, "gamma")], "graph_id long, node string")
+    graphs = spark.createDataFrame([(5, "alpha"), (5, "omega"), (6, "zeta"), (6, "iota"), (6, "gamma")], "graph_id long, node string")
     gaps = [(r["turn"], r["graph_id"], r["label"], r["missing"]) for r in judging.mechanism_gaps(said, claims, ["turn"], turns, graphs).collect()]
     assert gaps == [("c", 5, "partially_supported", ["omega"])]  # a has a severe contradiction, b is about the system
 
@@ -171,5 +171,5 @@ def test_folds_go_on_across_partitions(spark, partitions):
 def test_long_keys_have_the_same_values(spark, monkeypatch):
     e = spark.createDataFrame([(i % 3, "s", 1 if i % 3 else 2, 1_000 - i // 2, i, (i * 7 % 11) / 10 if i % 10 else None) for i in range(600)], "scope long, state_key string, action int, t long, event_id long, reward double").withColumn("ts", F.timestamp_seconds("t"))
     short = sorted(map(tuple, windows.action_values(e).collect()))
-    monkeypatch.setattr(windows, "ARRAY_ROWS", 190)
+    monkeypatch.setattr(windows, "ARRAY_ROWS", 100)
     assert sorted(map(tuple, windows.action_values(e.unionByName(e.filter("scope = 1 AND event_id < 60").withColumn("scope", F.lit(9)))).filter("scope < 9").collect())) == short

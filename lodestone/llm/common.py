@@ -58,6 +58,14 @@ def text_hash(c: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(c), F.lit("")), F.col(c).isNull())
 
 
+def free_name(name: str, docs: DataFrame) -> str:
+    """The name, with underscores before it until docs has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     """Null-safe equality of the keys of two frames."""
     on = F.lit(True)

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import durable, ships, table, text_hash
+from lodestone.llm.common import durable, free_name, ships, table, text_hash
 
 ships(__name__)
 
@@ -98,9 +98,9 @@ def feistel(values: Column, radix: Column, salt: Column) -> Column:
     return rounds(values, 0)
 
 
-def moved_text(kind: str, norm: Column, key: str, keep: Callable[[Column, Column], Column]) -> Column:
+def moved_text(kind: str, norm: Column, key: Column, keep: Callable[[Column, Column], Column]) -> Column:
     """norm with every character moved within its alphabet; keep(i, n) says which stay."""
-    salt = F.lit(f"{key}|{kind}")
+    salt = F.concat(key, F.lit(f"|{kind}"))
 
     value = lambda c, y: F.when(y["base"] > 0, F.ascii(c) - y["base"]).otherwise(F.position(c, y["a"]) - 1)
     letter = lambda v, y: F.when(y["base"] > 0, F.decode(F.unhex(F.lpad(F.hex(y["base"] + v), 4, "0")), "UTF-16BE")).otherwise(F.substring(y["a"], v + 1, 1))
@@ -131,11 +131,12 @@ def normal(kind: Column, e: Column) -> Column:
     return F.when(kind == "name", F.split(F.lower(F.regexp_replace(e, rf"^{HONORIFIC}\.? ", "")), " ")).otherwise(F.array(one))
 
 
-def surrogate(kind: Column, norm: Column, key: str) -> Column:
+def surrogate(kind: Column, norm: Column, key: str | Column) -> Column:
     """The normal form's surrogate, a normal form of the same kind."""
+    key = F.lit(key) if isinstance(key, str) else key
     dot = lambda c: F.length(c) - F.length(F.substring_index(c, ".", -1))
     code = F.length(F.regexp_extract(norm, COUNTRY, 0))
-    octets = lambda o: F.concat_ws(".", F.slice(o, 1, 1), feistel(F.transform(F.slice(o, 2, 3), lambda x: x.cast("int")), F.array(*[F.lit(256)] * 3), F.concat(F.lit(f"{key}|ip|"), F.get(o, 0))).cast("array<string>"))
+    octets = lambda o: F.concat_ws(".", F.slice(o, 1, 1), feistel(F.transform(F.slice(o, 2, 3), lambda x: x.cast("int")), F.array(*[F.lit(256)] * 3), F.concat(key, F.lit("|ip|"), F.get(o, 0))).cast("array<string>"))
 
     def card(d: Column) -> Column:
         body = F.substring(norm, F.lit(1), F.length(norm) - 1)
@@ -181,20 +182,30 @@ def moved_on(docs: DataFrame, key: str, text_col: str, tries: int = TRIES) -> Da
 
     Try t takes another key. A surrogate is good if it is no entity, no entity's first surrogate, and no other's new one; of two that
     meet, the smaller form keeps it. What still clashes after `tries` (a nearly full space, such as all names of two letters) gets a marker.
+    The surrogates of all tries are computed in one job; a form that no key moves (a name in letters without an alphabet here) has none
+    that is free, so it takes no part in the tries.
     """
     found = docs.select(F.explode(entities(F.col(text_col))).alias("e")).select(kind_of(F.col("e")).alias("kind"), "e").select("kind", F.explode(normal(F.col("kind"), F.col("e"))).alias("norm"))
     known = durable(found.distinct().withColumn("sur", surrogate(F.col("kind"), F.col("norm"), key)))
     real = known.select("kind", F.col("norm").alias("sur"))
     left = durable(known.join(real, ["kind", "sur"], "left_semi").select("kind", "norm"))
+    stuck = (F.col("kind") == "name") & F.forall(chars(F.col("norm")), lambda c: symbol("name", c, F.lit(False))["n"] == 1)
+    movable = left.filter(~stuck)
+    if not tries or movable.isEmpty():  # as a rule; spares the plan of the tries
+        return left.withColumn("sur", marker(F.col("kind"), F.col("norm"), key))
+    free = movable.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(tries))))
+    # written before the joins, which would otherwise be pushed below the surrogates and compute them once more for each
+    free = durable(free.withColumn("sur", surrogate(F.col("kind"), F.col("norm"), F.concat(F.lit(f"{key}|"), F.col("t").cast("string")))))
+    free = durable(free.join(real, ["kind", "sur"], "left_anti").join(known.select("kind", "sur"), ["kind", "sur"], "left_anti"))
     done = durable(left.limit(0).withColumn("sur", F.col("norm")))
     for t in range(1, tries + 1):
-        if left.isEmpty():
+        if free.filter(F.col("t") >= t).isEmpty():
             break
-        new = left.withColumn("sur", surrogate(F.col("kind"), F.col("norm"), f"{key}|{t}"))
-        new = new.join(real, ["kind", "sur"], "left_anti").join(known.select("kind", "sur"), ["kind", "sur"], "left_anti").join(done.select("kind", "sur"), ["kind", "sur"], "left_anti")
+        new = free.filter(F.col("t") == t).join(done.select("kind", "sur"), ["kind", "sur"], "left_anti")
         new = durable(new.groupBy("kind", "sur").agg(F.min("norm").alias("norm")).select("kind", "norm", "sur"))
         done = durable(done.unionByName(new))
-        left = durable(left.join(new, ["kind", "norm"], "left_anti").select("kind", "norm"))
+        free = durable(free.filter(F.col("t") > t).join(new, ["kind", "norm"], "left_anti"))
+    left = left.join(done, ["kind", "norm"], "left_anti")
     return done.unionByName(left.withColumn("sur", marker(F.col("kind"), F.col("norm"), key)))
 
 
@@ -208,23 +219,24 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     if not key:
         raise ValueError("replace_pii needs a key")
     base = docs.drop(*[f"n_{k}" for k in KINDS])
+    found, forms, hashed, ident, hashed2, own_col = (free_name(c, base) for c in ("_e", "_m", "_h", "_id", "_h2", "_own"))
     moved = moved_on(base, key, text_col, tries)
-    rows = base.withColumn("_e", entities(F.col(text_col)))
+    rows = base.withColumn(found, entities(F.col(text_col)))
     marked = lambda e: let(kind_of(e), lambda k: F.struct(e.alias("e"), k.alias("kind"), normal(k, e).alias("norms")))
-    rows = rows.withColumn("_m", F.transform("_e", marked))
+    rows = rows.withColumn(forms, F.transform(found, marked))
     own = F.lit(None).cast("map<string,string>")
     if not moved.isEmpty():
-        rows = rows.withColumn("_h", text_hash(text_col))
-        held = rows.filter(F.size("_e") > 0).select(F.col(id_col).alias("_id"), "_h", F.explode("_m").alias("m")).select("_id", "_h", "m.kind", F.explode("m.norms").alias("norm")).distinct().join(moved, ["kind", "norm"])
-        held = durable(held.groupBy("_id", "_h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "sur"))).alias("_own")).withColumnRenamed("_h", "_h2"))
+        rows = rows.withColumn(hashed, text_hash(text_col))
+        held = rows.filter(F.size(found) > 0).select(F.col(id_col).alias(ident), hashed, F.explode(forms).alias("m")).select(ident, hashed, "m.kind", F.explode("m.norms").alias("norm")).distinct().join(moved, ["kind", "norm"])
+        held = durable(held.groupBy(ident, hashed).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "sur"))).alias(own_col)).withColumnRenamed(hashed, hashed2))
         held = F.broadcast(held) if held.count() <= FEW else held
-        rows = rows.join(held, rows[id_col].eqNullSafe(held["_id"]) & (rows["_h"] == held["_h2"]), "left")
-        own = F.col("_own")
+        rows = rows.join(held, rows[id_col].eqNullSafe(held[ident]) & (rows[hashed] == held[hashed2]), "left")
+        own = F.col(own_col)
     one = lambda k: lambda n: F.coalesce(F.element_at(own, F.concat_ws("|", k, n)), surrogate(k, n, key))
     change = lambda m: laid_out(m["kind"], m["e"], F.transform(m["norms"], one(m["kind"])))
-    text = F.when(F.size("_e") == 0, F.col(text_col)).otherwise(F.array_join(F.zip_with(F.split(text_col, PATTERN, -1), F.transform("_m", change), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), ""))
+    text = F.when(F.size(found) == 0, F.col(text_col)).otherwise(F.array_join(F.zip_with(F.split(text_col, PATTERN, -1), F.transform(forms, change), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), ""))
     is_ = lambda k: lambda m: m["kind"] == k
-    counts = [F.size(F.filter("_m", is_(k))).alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter(forms, is_(k))).alias(f"n_{k}") for k in KINDS]
     return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in base.columns], *counts)
 
 

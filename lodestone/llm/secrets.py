@@ -87,7 +87,8 @@ def find_secrets(docs: DataFrame, reach: int = REACH, id_col: str = "doc_id") ->
     secret, other = F.col("p.kind").isin(0, 2, 4), F.col("p.kind").isin(1, 3, 5)
     # nearest end before and nearest start after, for either role
     before = Window.partitionBy("_id", "_h").orderBy("p.start", "p.kind", "p.end").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("_id", "_h").orderBy("p.start", "p.kind", "p.end").rowsBetween(1, Window.unboundedFollowing)
+    # the reversed order, as a frame that starts at a row would be added up anew for each row
+    after = Window.partitionBy("_id", "_h").orderBy(F.desc("p.start"), F.desc("p.kind"), F.desc("p.end")).rowsBetween(Window.unboundedPreceding, -1)
     near = lambda role: F.coalesce(F.col("p.start") - F.max(F.when(role, F.col("p.end"))).over(before) <= reach, F.lit(False)) | F.coalesce(F.min(F.when(role, F.col("p.start"))).over(after) - F.col("p.end") <= reach, F.lit(False))
     linked = part.select("_id", "_h", "p", F.when(secret, near(other)).otherwise(near(secret)).alias("_near")).filter((F.col("p.kind") > 2) & F.col("_near"))
     linked = linked.groupBy("_id", "_h").agg(F.collect_list("p").alias("_linked"))

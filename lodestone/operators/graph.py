@@ -24,6 +24,24 @@ def entity_graph(triples: DataFrame) -> DataFrame:
     return ends.groupBy("x.name").agg(F.max_by("x.type", F.struct("doc_id", "pos", -F.col("x.side"))).alias("type"), F.count("*").alias("degree"))
 
 
+def entity_edges(triples: DataFrame, text_most: int = 1000) -> DataFrame:
+    """(source, target, triple_id, relation, article_id, confidence, sentence_text): one edge for each subject, object and triple id, as
+    its latest triple (by doc_id, pos) has it; the sentence is cut to text_most characters. Rows without an end or id make no edge.
+
+    Whole rows of an edge compete in an aggregate, so a triple that repeats often is cut down before the shuffle.
+    """
+    kept = triples.filter("subject IS NOT NULL AND object IS NOT NULL AND triple_id IS NOT NULL")
+    values = F.struct("relation", "article_id", "confidence", F.substring("sentence_text", 1, text_most).alias("sentence_text"))
+    edges = kept.groupBy(F.col("subject").alias("source"), F.col("object").alias("target"), "triple_id").agg(F.max_by(values, F.struct("doc_id", "pos")).alias("x"))
+    return edges.select("source", "target", "triple_id", "x.*")
+
+
+def updated_edges(edges: DataFrame, triples: DataFrame, text_most: int = 1000) -> DataFrame:
+    """A stored edge table after a batch of triples: the batch's edges replace those of the same ends and triple id, others stay."""
+    new = entity_edges(triples, text_most)
+    return edges.join(new, ["source", "target", "triple_id"], "left_anti").unionByName(new)
+
+
 def evidence_union(parts: list[tuple[str, DataFrame]]) -> DataFrame:
     """(evidence_id, source, text): rows (doc_id, pos, text) of several sources, one of each id; earlier sources win."""
     out = None

@@ -74,12 +74,22 @@ def fitting(rows: DataFrame, key: str, order: list[Column], cost: Column, keep:
     return ordered.select(key, F.explode(F.aggregate("xs", empty, step, lambda s: s["out"])).alias("x")).select(key, *[f"x.{c}" for c in keep], "x.cost")
 
 
-def working_set(messages: DataFrame, budget: int, working_turns: int = 8) -> DataFrame:
-    """The messages of each session kept under a token budget: promoted, working and episodic rows by priority."""
-    rows = with_states(messages, working_turns).filter("memory_state <> 'evicted'")
+def working_set(messages: DataFrame, budget: int, working_turns: int = 8, supported: Column | None = None, reward: Column | None = None, questions: DataFrame | None = None) -> DataFrame:
+    """The messages of each session kept under a token budget: promoted rows first, then working and episodic ones by priority.
+
+    supported: rows that evidence promotes and lifts; reward: of a row, null for none; questions (session_id, question): the session's
+    request, whose terms lift rows that share them. Sessions without a question, or with an empty one, get no such bonus.
+    """
+    rows = with_states(messages, working_turns, supported=supported).filter("memory_state <> 'evicted'")
+    relevance = None
+    if questions is not None:
+        rows = rows.join(questions.select("session_id", F.col("question").alias("_question")), "session_id", "left")
+        relevance = relevance_bonus(F.coalesce("text", F.lit("")), F.coalesce("_question", F.lit("")))
     current = F.max("turn_index").over(Window.partitionBy("session_id"))
-    rows = rows.withColumn("priority", priority(F.col("memory_state"), F.col("importance"), F.col("turn_index"), current, working_turns))
-    return fitting(rows, "session_id", [F.when(F.col("memory_state") == "promoted", 0).otherwise(1), -F.col("priority"), -F.col("turn_index")], T.tokens(F.col("text")), ["turn_index", "memory_state", "priority"], budget)
+    rows = rows.withColumn("priority", priority(F.col("memory_state"), F.col("importance"), F.col("turn_index"), current, working_turns, supported, reward, relevance))
+    promoted = F.col("memory_state") == "promoted"
+    order = [F.when(promoted, 0).otherwise(1), -F.col("priority"), F.when(promoted, -F.coalesce("importance", F.lit(0.0))), -F.col("turn_index")]
+    return fitting(rows, "session_id", order, T.tokens(F.col("text")), ["turn_index", "memory_state", "priority"], budget)
 
 
 def legacy_recent(messages: DataFrame, budget: int, turns: int) -> DataFrame:

@@ -138,6 +138,13 @@ def agg02(spark, d):
     return G.entity_graph(typed(spark, d))
 
 
+@query("agg02_entity_edges", f"WITH {D.TRIPLES}, e AS (SELECT *, concat_ws('|', article_id, subject, relation, object) AS eid FROM triples), r AS (SELECT *, row_number() OVER (PARTITION BY subject, object, eid ORDER BY doc_id DESC, pos DESC) AS k FROM e) SELECT subject AS source, object AS target, eid AS triple_id, relation, article_id, ((doc_id * 31 + pos * 17) % 101 / 100.0)::DOUBLE AS confidence, substr(sentence_text, 1, 1000) AS sentence_text FROM r WHERE k = 1")
+def agg02_edges(spark, d):
+    """Edges written from even documents, then updated by the others. Triples that a paper repeats have one id."""
+    t = V.triples(spark, d).withColumn("triple_id", F.concat_ws("|", "article_id", "subject", "relation", "object")).withColumn("confidence", ((F.col("doc_id") * 31 + F.col("pos") * 17) % 101 / 100.0).cast("double"))
+    return G.updated_edges(G.entity_edges(t.filter("doc_id % 2 = 0")), t.filter("doc_id % 2 = 1"))
+
+
 @query("agg03_evidence_table", f"WITH {PAIRS} SELECT query_id, count(*) AS n, count(*) FILTER (label = 'entailment') AS n_entailment, count(*) FILTER (label = 'contradiction') AS n_contradiction, count(*) FILTER (label = 'neutral') AS n_neutral, array_to_string(list_slice(list(evidence_id ORDER BY evidence_id), 1, 5), ',') AS first_five FROM nl GROUP BY query_id")
 def agg03(spark, d):
     count = lambda x: F.count_if(F.col("label") == x).alias(f"n_{x}")

@@ -78,6 +78,17 @@ def win06(spark, d):
     return W.working_set(V.memory_docs(spark, d), 300, 3).select("session_id", "turn_index")
 
 
+LIFTED = "round(CASE memory_state WHEN 'promoted' THEN 1.0 WHEN 'working' THEN 0.65 ELSE 0.45 END::DOUBLE + 0.55::DOUBLE * importance + 0.35::DOUBLE / (1.0::DOUBLE + greatest(0, cur - turn_index) / 3::DOUBLE) + CASE WHEN importance > 0.9 THEN 0.25 ELSE 0.0 END::DOUBLE + least(0.2::DOUBLE, 0.2::DOUBLE * (turn_index % 5 / 4::DOUBLE)) + least(0.45::DOUBLE, len(list_intersect(qt, mt)) / greatest(4, len(qt))::DOUBLE * 0.9::DOUBLE), 4)"
+
+
+@query("win06_relevant_set", f"WITH {STATES}, q AS (SELECT session_id, arg_max(text, turn_index) AS question FROM memory_docs WHERE role = 'user' GROUP BY session_id), l AS (SELECT ms.* REPLACE (CASE WHEN importance > 0.9 THEN 'promoted' ELSE memory_state END AS memory_state), {D.important("coalesce(question, '')", 12)} AS qt, {D.important('text', 14)} AS mt FROM ms LEFT JOIN q USING (session_id)), p AS (SELECT session_id, turn_index, memory_state, importance, {LIFTED} AS priority, {D.tokens('text')} AS cost FROM l WHERE memory_state <> 'evicted'), o AS (SELECT session_id, list({{'cost': cost, 't': turn_index}} ORDER BY CASE WHEN memory_state = 'promoted' THEN 0 ELSE 1 END, priority DESC, CASE WHEN memory_state = 'promoted' THEN importance ELSE 0 END DESC, turn_index DESC) AS xs FROM p GROUP BY session_id), k AS (SELECT session_id, unnest({GREEDY.replace('BUDGET', '120')}.keep) AS turn_index FROM o) SELECT session_id, turn_index, memory_state, priority FROM k JOIN p USING (session_id, turn_index)")
+def win06_relevant(spark, d):
+    """The working set for each session's last request. Rows of high importance stand in for supported ones, the turn's number for rewards."""
+    m = V.memory_docs(spark, d)
+    asked = m.filter("role = 'user'").groupBy("session_id").agg(F.max_by("text", "turn_index").alias("question"))
+    return W.working_set(m, 120, 3, F.col("importance") > 0.9, F.col("turn_index") % 5 / 4.0, asked).select("session_id", "turn_index", "memory_state", "priority")
+
+
 @query("win07_recent_under_budget", f"WITH {D.MEMORY}, p AS (SELECT session_id, turn_index, {D.tokens('text')} AS cost, row_number() OVER (PARTITION BY session_id ORDER BY turn_index DESC) AS r FROM memory_docs WHERE role IN ('user', 'assistant')), o AS (SELECT session_id, list({{'cost': cost, 't': turn_index}} ORDER BY r) AS xs FROM p WHERE r <= 6 GROUP BY session_id) SELECT session_id, unnest({GREEDY.replace('BUDGET', '300')}.keep) AS turn_index FROM o")
 def win07(spark, d):
     return W.legacy_recent(V.memory_docs(spark, d), 300, 3).select("session_id", "turn_index")

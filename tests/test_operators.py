@@ -3,8 +3,10 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from lodestone.functions import text as T
-from lodestone.operators import replay, retrieval
+from lodestone.operators import graph, replay, retrieval, windows
 
 
 def test_nearest_goes_on_in_blocks(spark):
@@ -97,3 +99,31 @@ def test_shortened_fits():
         text = ". ".join(" ".join("w" * rnd.randint(1, 12) for _ in range(rnd.randint(1, 30))) for _ in range(rnd.randint(1, 6)))
         for budget in (8, 24, 60, 500):
             assert replay.estimate(replay.shortened(text, budget)) <= budget
+
+
+def test_updated_edges_replace_those_of_a_batch(spark):
+    """Latest triple of an edge wins, a batch replaces stored edges of its own, the rest stays; null ends make no edge."""
+    schema = "doc_id long, pos long, triple_id string, subject string, relation string, object string, article_id string, confidence double, sentence_text string"
+    row = lambda d, p, i, s, r, o, t="x": (d, p, i, s, r, o, "a", 0.5, t)
+    first = [row(1, 0, "t1", "a", "binds", "b"), row(1, 2, "t1", "a", "blocks", "b"), row(1, 1, "t2", "a", "binds", "b", "y" * 2000), row(2, 0, "t3", None, "r", "b"), row(2, 1, None, "a", "r", "b"), row(2, 2, "t1", "b", "r", "a")]
+    edges = graph.entity_edges(spark.createDataFrame(first, schema))
+    got = {(r["source"], r["target"], r["triple_id"]): (r["relation"], len(r["sentence_text"])) for r in edges.collect()}
+    assert got == {("a", "b", "t1"): ("blocks", 1), ("a", "b", "t2"): ("binds", 1000), ("b", "a", "t1"): ("r", 1)}
+    later = graph.updated_edges(edges, spark.createDataFrame([row(0, 0, "t1", "a", "cuts", "b"), row(0, 1, "t4", "c", "r", "d", None)], schema))
+    got = {(r["source"], r["target"], r["triple_id"]): r["relation"] for r in later.collect()}
+    assert got == {("a", "b", "t1"): "cuts", ("a", "b", "t2"): "binds", ("b", "a", "t1"): "r", ("c", "d", "t4"): "r"}
+    assert graph.updated_edges(edges, spark.createDataFrame([], schema)).count() == 3
+
+
+def test_working_set_with_bonuses(spark):
+    """The question's terms lift an old row over an equal newer one; supported rows come first; null texts, importances and questions are allowed."""
+    schema = "session_id long, turn_index int, doc_type string, role string, text string, importance double"
+    rows = [(1, t, "message", "user", f"words number{t} of talk", 0.5) for t in range(12)] + [(1, 12, "message", "user", None, None), (2, 0, "message", "user", "alone here", 0.5)]
+    rows[1] = (1, 1, "message", "user", "platelet aggregation rises", 0.5)
+    m = spark.createDataFrame(rows, schema)
+    asked = spark.createDataFrame([(1, "platelet aggregation"), (3, "none")], "session_id long, question string")
+    kept = lambda **k: {(r["session_id"], r["turn_index"]) for r in windows.working_set(m, 14, 2, **k).collect()}
+    plain, lifted = kept(), kept(questions=asked)
+    assert (1, 1) not in plain and (1, 1) in lifted and (2, 0) in plain & lifted
+    assert (1, 3) in kept(supported=F.coalesce(F.col("turn_index") == 3, F.lit(False)))
+    assert kept(questions=asked.limit(0)) == plain

@@ -9,6 +9,12 @@ from pyspark.sql.window import Window
 AUTOMATON_BYTES = 8 << 20
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it takes no more than an automaton's bytes; rows that meet it then stay where they are."""
+    size = df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= AUTOMATON_BYTES else df
+
+
 def words(c: Column) -> Column:
     """Lower-case words: letters a-z, digits and hyphens."""
     return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9-]+", " "), " "), lambda w: w != "")
@@ -28,7 +34,7 @@ def phrase_matches(rows: DataFrame, key: list[str], text: str, phrases: DataFram
         return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - n + 1)), lambda i: F.struct((i - 1).alias("start"), F.lit(n).alias("n"), F.array_join(F.slice("_w", i, n), " ").alias("phrase")))
 
     grams = F.flatten(F.array(*map(of_length, lengths))) if lengths else F.array().cast("array<struct<start:int,n:int,phrase:string>>")
-    found = w.select(*key, F.explode(grams).alias("g")).select(*key, "g.*").join(p, ["phrase", "n"]).select(*key, "start", "n", "phrase")
+    found = w.select(*key, F.explode(grams).alias("g")).select(*key, "g.*").join(small(p), ["phrase", "n"]).select(*key, "start", "n", "phrase")
     if not longest:
         return found
     ends = Window.partitionBy(*key).orderBy("start", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)

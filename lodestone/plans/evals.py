@@ -6,6 +6,7 @@ from lodestone.functions import text as T
 from lodestone.operators import evaluation as E
 from lodestone.plans import duck as D
 from lodestone.sources import views as V
+from lodestone.sources.store import durable
 
 Q, S = {}, {}
 
@@ -101,8 +102,8 @@ def agg09(spark, d):
     return E.turn_components(judgements(spark, d), ["doc_id"])
 
 
-def rewards(spark, d):
-    t = E.turn_components(judgements(spark, d), ["doc_id"])
+def rewards(spark, d, said=None):
+    t = E.turn_components(said if said is not None else judgements(spark, d), ["doc_id"])
     base = F.lit(0.4) * F.col("factual_support") + F.lit(0.3) * F.col("contradiction_avoidance") + F.lit(0.3) * F.col("scope_alignment")
     return t.select("doc_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base - F.col("penalty"))), 4).alias("reward"))
 
@@ -111,7 +112,8 @@ BOARD = f"{TURN}, rw AS (SELECT doc_id, round(greatest(0.0::DOUBLE, least(1.0::D
 
 
 def board(spark, d):
-    return E.failure_board(judgements(spark, d), rewards(spark, d), ["doc_id"])
+    said = durable(judgements(spark, d))
+    return E.failure_board(said, rewards(spark, d, said), ["doc_id"])
 
 
 @query("agg12_failure_board", f"WITH {BOARD} SELECT * FROM bo")

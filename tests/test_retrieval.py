@@ -215,3 +215,34 @@ def test_promotion_gates(spark):
     c = spark.createDataFrame([("the", 5), ("tumor growths", 3), ("hypoxia", 2), ("matrix", 1), ("known", 4)], "term string, runs int")
     got = sorted(map(tuple, expansion.promotion_gates(c, frame(["tumor growth", "known"]), frame(["the"])).collect()))
     assert got == [("hypoxia", "promoted", None), ("known", "near_duplicate", "known"), ("matrix", "single_run", None), ("the", "stopword", None), ("tumor growths", "near_duplicate", "tumor growth")]
+
+
+def test_gold_claims_dont_multiply_rows(spark):
+    """Claims meet the bank in their own row (no join, one shuffle of a row a claim), in several parts of it as in one."""
+    from lodestone.operators import evaluation
+
+    gold = spark.createDataFrame([(i, f"word{i} shared{i % 3} the", [f"ent{i % 5}"]) for i in range(40)], "gold_id long, claim string, entities array<string>")
+    claims = spark.createDataFrame([(j, f"a word{j} with shared{j % 3} and ENT{j % 5}", ["ent1"] if j % 2 else None, [j, 7, 99] if j % 4 == 0 else [99]) for j in range(60)] + [(60, None, None, None)], "id long, claim string, entities array<string>, targets array<long>")
+    plan = evaluation.best_gold(claims, ["id"], "claim", gold)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    whole, parts = ([tuple(r) for r in evaluation.with_best_gold(claims, "claim", gold, "entities", None, "targets", n).orderBy("id").select("id", "gold_id", "match").collect()] for n in (1 << 20, 200))
+    assert whole == parts and whole[60] == (60, None, None)
+    for j, i, m in whole[:60]:
+        rates = {}
+        for g in range(40):
+            kt = (f"word{g}" in f"a word{j} with") + (g % 3 == j % 3)
+            ke = (g % 5 == j % 5) or (j % 2 == 1 and g % 5 == 1)
+            rates[g] = max(kt / 2, float(ke))
+        own = [g for g in (j, 7) if g < 40] if j % 4 == 0 else range(40)
+        top = min(own, key=lambda g: (-rates[g], g))
+        assert (i, m) == ((top, round(rates[top], 4)) if rates[top] > 0 else (None, None))
+
+
+def test_phrases_meet_texts_where_they_are(spark):
+    """A small vocabulary is sent to the texts; their word n-grams aren't shuffled."""
+    from lodestone.operators import phrases
+
+    rows = spark.createDataFrame([(1, "an old dog, an old cat")], "id long, t string")
+    found = phrases.phrase_matches(rows, ["id"], "t", spark.createDataFrame([("old dog",), ("an",)], "phrase string"))
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.select("start", "phrase").collect())) == [(0, "an"), (1, "old dog"), (3, "an")]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import evaluation as E
+from lodestone.operators import phrases as P
 
 # Shares of a gold claim that count as support, partial support and a fragment; tags of turns that are about the system itself; error types.
 SUPPORTED, PARTIAL, FRAGMENT = 0.75, 0.55, 0.20
@@ -105,11 +106,10 @@ def judge(claims: DataFrame, turn: list[str], turns: DataFrame, gold: DataFrame,
     """
     key = [*turn, "claim_id"]
     none = F.array().cast("array<string>")
-    targets = turns.select(*turn, F.explode("targets").alias("gold_id"))
-    matched = E.best_gold(claims, key, "claim", gold, claims.select(*key, "entities"), aliases, targets)
     nodes = E.pieces_of(gold.select("gold_id", F.explode("nodes").alias("node")), "node", aliases).groupBy("gold_id", "node").agg(F.collect_set("piece").alias("p")).groupBy("gold_id").agg(F.collect_list("p").alias("nodes"))
     known = gold.select("gold_id", "variants", "subject", "object").join(nodes, "gold_id", "left")
-    rows = claims.join(turns.select(*turn, "tags", "focus", "traps"), turn, "left").join(matched, key, "left").join(known, "gold_id", "left")
+    rows = claims.join(turns.select(*turn, "tags", "focus", "traps", "targets"), turn, "left")
+    rows = E.with_best_gold(rows, "claim", gold, "entities", aliases, "targets").join(P.small(known), "gold_id", "left")
     rows = rows.withColumns({"match": F.coalesce("match", F.lit(0.0)), "entities": F.coalesce("entities", none), "tags": F.coalesce("tags", none), "focus": F.coalesce("focus", none), "variants": F.coalesce("variants", none), "nodes": F.coalesce("nodes", F.array().cast("array<array<string>>")), "traps": F.coalesce("traps", F.array().cast("array<struct<trap_id:string,type:string>>"))})
     out = None
     for r in reversed(rules(vocabulary)):

@@ -74,7 +74,7 @@ LINES = "ln AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(
 
 
 def lines_of(spark, d):
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")  # F.trim itself would take the place as the characters to trim
     return V.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), (F.col("doc_id") % 2 == 0).alias("even"), lines.alias("l"))
 
 

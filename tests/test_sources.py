@@ -184,3 +184,13 @@ def test_jats_nested_sections(spark, tmp_path):
     (tmp_path / "a.xml").write_text("<articles>" + "".join(f"<article>{x}</article>" for x in docs) + "</articles>")
     got = {r["pmid"]: r for r in S.jats(spark, str(tmp_path / "a.xml")).collect()}
     assert set(got) == {"1", "2"} and got["1"]["abstract"] == "first second" and got["1"]["paragraphs"] == ["lead", "a", "b", "c", "d"] and got["2"]["paragraphs"] == []
+
+
+def test_lines_keep_their_last_digits(spark, tmp_path):
+    """A line's place in its text is no character to trim."""
+    from lodestone.plans import roundtrips
+
+    spark.createDataFrame([(2, "call 555-8630\n 1st of 171 \n\n2022")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert roundtrips.lines_of(spark, str(tmp_path)).first()["l"] == ["call 555-8630", "1st of 171", "2022"]
+    for q in (roundtrips.src06, roundtrips.src07):
+        assert q(spark, str(tmp_path)).first()["title"] == "call 555-8630"

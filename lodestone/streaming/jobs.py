@@ -1,11 +1,12 @@
 """Structured Streaming: turn observation, running values with state, expiring term counts, incremental ingest, backfill, windows."""
 
+import json
 import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks get these functions with the job
@@ -22,22 +23,35 @@ def observe(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoi
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Keys share their state by a hash: a call of Python a key and micro-batch would cost more than the rows do. Part of a stream's checkpoint.
+BUCKETS = 1024
+
+
+def bucket(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("bucket")
+
+
 def running_values(stream: DataFrame, alpha: float = 0.25) -> DataFrame:
-    """(scope, state_key, action, visits, q_value) after each micro-batch: a running estimate held in state for each key.
+    """(scope, state_key, action, visits, q_value) after each micro-batch: a running estimate for each key, held in the state of its bucket.
 
     Within a micro-batch rewards are folded in the order of (ts, event_id); null rewards are passed over.
     """
 
     def fold(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        visits, q = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(frames)).dropna(subset=["reward"]).sort_values(["ts", "event_id"])
-        for r in rows["reward"]:
-            q = round(q + alpha * (r - q), 6)
-            visits += 1
-        state.update((visits, q))
-        yield pd.DataFrame({"scope": [key[0]], "state_key": [key[1]], "action": [key[2]], "visits": [visits], "q_value": [q]})
-
-    return stream.groupBy("scope", "state_key", "action").applyInPandasWithState(fold, "scope long, state_key string, action int, visits long, q_value double", "visits long, q double", "update", "NoTimeout")
+        held = json.loads(state.get[0]) if state.exists else {}
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        for k, r in zip(rows["held_key"].tolist(), rows["reward"].tolist(), strict=True):
+            visits, q = held.get(k, (0, 0.0))
+            held[k] = (visits, q) if r is None or r != r else (visits + 1, round(q + alpha * (r - q), 6))
+        state.update((json.dumps(held),))
+        seen = rows["held_key"].unique().tolist()
+        scope, state_key, action = zip(*map(json.loads, seen), strict=True)
+        visits, q = zip(*(held[k] for k in seen), strict=True)
+        yield pd.DataFrame({"scope": pd.array([None if x is None else int(x) for x in scope], "Int64"), "state_key": list(state_key), "action": pd.array([None if x is None else int(x) for x in action], "Int32"), "visits": list(visits), "q_value": list(q)})
+
+    text = F.to_json(F.array(*[F.col(c).cast("string") for c in ("scope", "state_key", "action")]), {"ignoreNullFields": "false"})
+    keyed = stream.select(text.alias("held_key"), "ts", "event_id", "reward", bucket("scope", "state_key", "action"))
+    return keyed.groupBy("bucket").applyInPandasWithState(fold, "scope long, state_key string, action int, visits long, q_value double", "held string", "update", "NoTimeout")
 
 
 def term_counts(stream: DataFrame, ttl_minutes: int = 120) -> DataFrame:

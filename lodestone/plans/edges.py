@@ -200,7 +200,7 @@ def event_files(spark, d) -> str:
     place = F.least(F.lit(N_FILES - 1), F.floor((F.unix_micros("ts") - F.col("a")) * N_FILES / (F.col("b") - F.col("a") + 1)))
     rows = e.join(F.broadcast(ends)).withColumn("file", F.when(F.col("event_id") % 13 == 0, N_FILES - 1).otherwise(place).cast("int")).drop("a", "b")  # one row
     for i in range(N_FILES):  # one after another: a stream takes files in the order of their times
-        rows.filter(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(out)
+        rows.filter(F.col("file") == i).drop("file").repartition(1).write.mode("append").parquet(out)
     return out
 
 

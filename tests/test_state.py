@@ -173,3 +173,33 @@ def test_long_keys_have_the_same_values(spark, monkeypatch):
     short = sorted(map(tuple, windows.action_values(e).collect()))
     monkeypatch.setattr(windows, "ARRAY_ROWS", 100)
     assert sorted(map(tuple, windows.action_values(e.unionByName(e.filter("scope = 1 AND event_id < 60").withColumn("scope", F.lit(9)))).filter("scope < 9").collect())) == short
+
+
+def test_keys_share_their_state_by_bucket(spark, tmp_path):
+    """Many keys in two files: one group a bucket, and the same values as a fold of each key, null keys and rewards among them."""
+    import random
+
+    rnd = random.Random(5)
+    rows = [(i, i * 3600, rnd.choice([None, *range(400)]), rnd.choice([None, "a,\"b", "c"]), rnd.choice([None, 1, 2]), rnd.choice([None, 0.1, 0.9])) for i in range(3000)]
+    schema = "event_id long, t long, scope long, state_key string, action int, reward double"
+    for part in (rows[:1500], rows[1500:]):
+        spark.createDataFrame(part, schema).select("event_id", F.timestamp_seconds("t").alias("ts"), "scope", "state_key", "action", "reward").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got = jobs.running_values(jobs.read_events(spark, f"{tmp_path}/in"))
+    assert "bucket" in got._jdf.queryExecution().analyzed().toString()
+    observed.run_stream(got, f"{tmp_path}/values", "update", f"{tmp_path}/c1")
+    observed.run_stream(observed.expiring_counts(jobs.read_events(spark, f"{tmp_path}/in").select("scope", F.col("state_key").alias("term"), "ts", "event_id", F.col("reward").alias("utility")), 36 * 3600, "1 hour"), f"{tmp_path}/counts", "update", f"{tmp_path}/c2")
+    values, counts = {}, {}
+    for _, t, scope, key, action, reward in rows:
+        visits, q = values.get((scope, key, action), (0, 0.0))
+        values[scope, key, action] = (visits, q) if reward is None else (visits + 1, round(q + 0.25 * (reward - q), 6))
+        if reward is not None:
+            a, n, last = counts.get((scope, key), (1.0, 0, t))
+            counts[scope, key] = (a + reward, n + 1, t) if t <= last + 36 * 3600 else (1.0 + reward, 1, t)
+    seen = {}
+    for r in spark.read.schema("scope long, state_key string, action int, visits long, q_value double, part int").parquet(f"{tmp_path}/values").orderBy("part").collect():
+        seen[r["scope"], r["state_key"], r["action"]] = (r["visits"], r["q_value"])
+    assert seen == values
+    seen = {}
+    for r in spark.read.schema(observed.COUNTED + ", part int").parquet(f"{tmp_path}/counts").orderBy("part").collect():
+        seen[r["scope"], r["term"]] = (round(r["alpha"], 6), r["updates"], r["last_us"] // 1_000_000)
+    assert seen == {k: (round(a, 6), n, t) for k, (a, n, t) in counts.items()}

@@ -246,3 +246,19 @@ def test_phrases_meet_texts_where_they_are(spark):
     found = phrases.phrase_matches(rows, ["id"], "t", spark.createDataFrame([("old dog",), ("an",)], "phrase string"))
     assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.select("start", "phrase").collect())) == [(0, "an"), (1, "old dog"), (3, "an")]
+
+
+def test_bounds_are_summed_where_blocks_lie(spark, texts, monkeypatch):
+    """The rows of a query and block aren't dealt anew, so they don't grow with the number of buckets; queries in several parts give the same bounds."""
+    docs = spark.createDataFrame(texts, "id long, title string, body string")
+    written = index.write_index(docs, "id", {"title": F.col("title"), "body": F.col("body")}, block_docs=8, bucket_docs=20)
+    assert written.buckets == 21 and index.BUCKET_DOCS <= 8_000
+    q, boosts = spark.createDataFrame([(i, t[2]) for i, t in enumerate(texts[:40])], "query_id long, query string"), {"title": 2.0, "body": 1.0}
+    weighted = index.durable(index.weighted_terms(spark, index.asked_terms(q), written, boosts))
+    with index.as_bucketed(spark):
+        bounds = index.block_bounds(spark, weighted, written, boosts)
+        assert not re.search(r"hashpartitioning\([^)]*block#", bounds._jdf.queryExecution().executedPlan().toString())
+        whole = sorted(map(tuple, bounds.collect()))
+        monkeypatch.setattr(index, "SENT_BYTES", 20_000)
+        parts = sorted(map(tuple, index.block_bounds(spark, weighted, written, boosts).collect()))
+    assert len(whole) == len(parts) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9 and a[3] == b[3] for a, b in zip(whole, parts, strict=True))

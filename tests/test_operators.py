@@ -127,3 +127,18 @@ def test_working_set_with_bonuses(spark):
     assert (1, 1) not in plain and (1, 1) in lifted and (2, 0) in plain & lifted
     assert (1, 3) in kept(supported=F.coalesce(F.col("turn_index") == 3, F.lit(False)))
     assert kept(questions=asked.limit(0)) == plain
+
+
+def test_nearest_is_scored_in_matrix_products(spark):
+    """No product of query and row as a Spark row; the same list as all pairs, ties, copies, nulls and rows that aren't finite among them."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, [float((i * 7 + d * 3) % 11 - 5) for d in range(4)]) for i in range(60)] + [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(60, 90)] + [(90, None), (91, [1.0, None, 1.0, 1.0]), (92, [1.0]), (93, [0.0] * 4), (94, [float("nan")] * 4)]
+    v = spark.createDataFrame(rows, "doc long, vector array<float>")
+    q = v.filter("doc % 9 = 0 OR doc > 88").selectExpr("doc AS query_id", "vector AS query_vector")
+    pairs = v.crossJoin(q).select("query_id", "doc", F.round(retrieval.cosine(F.col("vector"), F.col("query_vector")), 6).alias("score"))
+    want = sorted(map(str, retrieval.top(pairs, "query_id", [F.desc("score"), "doc"], 5).select("query_id", "rank", "doc", "score").collect()))
+    got = retrieval.nearest(q, v, 5)
+    assert sorted(map(str, got.select("query_id", "rank", "doc", "score").collect())) == want
+    plain = retrieval.nearest(q.filter("query_id < 60"), v.filter("doc < 90"), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plain and "NestedLoop" not in plain

@@ -21,6 +21,8 @@ ships(__name__)
 BITS, SEGMENTS, SEED, SHINGLE = 3, 8, 42, 3
 KINDS = 3 * SEGMENTS  # of buckets; view v has the kinds from v * KINDS on
 MOST = 4096
+#: Pairs of fingerprints that a bucket compares at once, and passing ones that are joined at once.
+PAIRS, JOINED = 1 << 18, 1 << 12
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -88,7 +90,8 @@ def segment(s: int):
 
 
 def forest(fp: np.ndarray, kind: int, bits: int) -> tuple[list[int], list[int]]:
-    """Links that join all of a bucket's fingerprints which links of at most `bits` bits within it join. In blocks of rows."""
+    """Links that join all of a bucket's fingerprints which links of at most `bits` bits within it join. In blocks of rows; in a large group
+    of near copies nearly all pairs pass, but most are joined already and don't become Python numbers."""
     root = np.arange(len(fp))
     left, right = [], []
 
@@ -99,7 +102,7 @@ def forest(fp: np.ndarray, kind: int, bits: int) -> tuple[list[int], list[int]]:
         return i
 
     near, far = masks()[kind]
-    block = max(1, (1 << 20) // len(fp))
+    block = max(1, PAIRS // len(fp))
     for a in range(0, len(fp), block):
         x = fp[a : a + block, None] ^ fp[None, a:]
         i, j = np.nonzero(np.bitwise_count(x & near) <= bits * 5 // SEGMENTS)
@@ -108,12 +111,20 @@ def forest(fp: np.ndarray, kind: int, bits: int) -> tuple[list[int], list[int]]:
         ok = np.bitwise_count(x & far) <= bits * 7 // SEGMENTS  # the chain's budget
         i, j, x = i[ok], j[ok], x[ok]
         ok = np.bitwise_count(x) <= bits
-        for u, v in zip((a + i[ok]).tolist(), (a + j[ok]).tolist(), strict=True):
-            p, q = top(u), top(v)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                left.append(u)
-                right.append(v)
+        i, j = a + i[ok], a + j[ok]
+        for b in range(0, len(i), JOINED):
+            x, y = i[b : b + JOINED], j[b : b + JOINED]
+            if len(i) > JOINED:
+                while not np.array_equal(root, at := root[root]):
+                    root[:] = at
+                new = root[x] != root[y]
+                x, y = x[new], y[new]
+            for u, v in zip(x.tolist(), y.tolist(), strict=True):
+                p, q = top(u), top(v)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    left.append(u)
+                    right.append(v)
     return left, right
 
 

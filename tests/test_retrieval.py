@@ -210,6 +210,14 @@ def test_anchor_aliases_stand_as_words(spark):
     assert got == {(1, 1): (3, 2, ["immune"], True), (1, 2): (3, 0, ["checkpoint", "immune", "t cell"], False), (1, 3): (3, 0, ["checkpoint", "immune", "t cell"], False), (2, 1): (1, 1, [], True)}
 
 
+def test_anchors_behind_many_terms_keep_a_hit(spark):
+    """A text is read to its end: an anchor behind hundreds of terms counts."""
+    many = " ".join(f"word{i}" for i in range(400))
+    hits = spark.createDataFrame([(1, 1, f"idiot {many} Hypoxia"), (1, 2, f"idiot {many}"), (1, 3, f"{many} hypoxia")], "query_id long, doc long, text string")
+    frames = spark.createDataFrame([(1, ["idiot"], ["hypoxia"])], "query_id long, avoid array<string>, anchors array<string>")
+    assert {r["doc"]: r["off_topic"] for r in retrieval.off_topic(hits, frames).collect()} == {1: False, 2: True, 3: False}
+
+
 def test_promotion_gates(spark):
     frame = lambda ws: spark.createDataFrame([(w,) for w in ws], "term string")
     c = spark.createDataFrame([("the", 5), ("tumor growths", 3), ("hypoxia", 2), ("matrix", 1), ("known", 4)], "term string, runs int")

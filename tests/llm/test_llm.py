@@ -302,6 +302,28 @@ def test_search_long_text(spark):
     assert got == {q: [i for i, _ in v] for q, v in brute_search(rows, qs, 10).items()}
 
 
+def test_search_shards_pass_one_by_one(spark, monkeypatch):
+    """However many shards a task and a file hold, they are read and sent to Python one by one, in few bytes a posting."""
+    rows = [(i, f"all w{i % 7} w{i % 11} x{i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    qs = docs.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    one = search.searcher
+
+    def checked(batch, mean, k):
+        def alone(batches):
+            for b in batches:
+                assert b.num_rows <= 1 and sum(len(b.column(c)[0].as_buffer()) for c in ("docs", "tfs")) <= 2 * 8 * b.column("n_docs")[0].as_py()
+                yield b
+
+        return lambda batches: one(batch, mean, k)(alone(batches))
+
+    monkeypatch.setattr(search, "searcher", checked)
+    got = defaultdict(list)
+    for r in search.search(docs, qs, 5, shard_bytes=1500).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["doc_id"])
+    assert got == {q: [i for i, _ in v] for q, v in brute_search(rows, [x for x in rows if x[0] % 100 == 0], 5).items()}
+
+
 @pytest.mark.parametrize("n_docs", [50, 10**6, 5 * 10**6])
 def test_search_returns_hits_of_widespread_terms(spark, n_docs):
     """A term in all of many documents scores below the rounding, and its documents are hits all the same; ties go to the smaller id."""

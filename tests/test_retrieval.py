@@ -270,3 +270,29 @@ def test_bounds_are_summed_where_blocks_lie(spark, texts, monkeypatch):
         monkeypatch.setattr(index, "SENT_BYTES", 20_000)
         parts = sorted(map(tuple, index.block_bounds(spark, weighted, written, boosts).collect()))
     assert len(whole) == len(parts) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9 and a[3] == b[3] for a, b in zip(whole, parts, strict=True))
+
+
+@pytest.mark.parametrize("sizes", [(1 << 18, 1 << 21, 1 << 20), (60, 40, 7)])
+def test_hits_are_added_up_in_their_block(spark, texts, monkeypatch, sizes):
+    """Pairs of query and posting aren't rows and nothing of the index is dealt anew; in parts as in one, of many equal documents the first ones stay."""
+    for name, x in zip(("SENT_PAIRS", "CELLS", "AT_ONCE"), sizes, strict=True):
+        monkeypatch.setattr(index, name, x)
+    texts = [*texts, *[(i, texts[7][1], texts[7][2]) for i in range(500, 540)]]
+    docs = spark.createDataFrame(texts, "id long, title string, body string")
+    written = index.write_index(docs, "id", {"title": F.col("title"), "body": F.col("body")}, block_docs=64, bucket_docs=128)
+    queries, boosts = [(i, texts[i][2]) for i in range(3, 9)], {"title": 2.0, "body": 1.0}
+    asked = index.asked_terms(spark.createDataFrame(queries, "query_id long, query string")).localCheckpoint()
+    with index.as_bucketed(spark):
+        hits = index.all_hits(spark, asked, written, boosts, 4)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInArrow" in plan and "hashpartitioning(block" not in plan
+        count = hits.count()
+    if sizes[0] > 1000:
+        assert count <= len(queries) * 7 * 3 * 4  # a few for each query and block
+    got = [tuple(r) for r in index.search(asked, written, boosts, 4).orderBy("query_id", "rank").collect()]
+    want = ranked(texts, queries, boosts, 4)
+    assert [r[:3] for r in got] == [r[:3] for r in want] and all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, want, strict=True))
+    more = lambda hits: hits.filter("doc % 3 > 0").withColumn("score", F.col("score") + (F.col("doc") % 5) / 4)
+    some = [(r["query_id"], r["doc"]) for r in index.search(asked, written, boosts, 4, more, 1.0).orderBy("query_id", "rank").collect()]
+    every = sorted((a, -round(s + d % 5 / 4, 6), d) for a, _, d, s in ranked(texts, queries, boosts, 10_000) if d % 3 > 0)
+    assert some == [(a, d) for qid, _ in queries for a, _, d in [x for x in every if x[0] == qid][:4]]
